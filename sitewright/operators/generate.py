@@ -7,8 +7,8 @@ row explodes, so no cross join appears and the work spreads with the origins.
 
 from __future__ import annotations
 
-from collections.abc import Iterable
-from dataclasses import dataclass
+from collections.abc import Callable, Iterable
+from dataclasses import dataclass, fields
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -47,6 +47,15 @@ def dimension(df: DataFrame, pos: str, value: str) -> Column:
     return rows.agg(checked.alias("values")).scalar()
 
 
+def attach(df: DataFrame, d: Dimensions) -> tuple[DataFrame, Dimensions]:
+    """``df`` with the dimension arrays as columns, and the dimensions that name them."""
+    names = {f.name: f"_dim_{f.name}" for f in fields(d)}
+    return (
+        df.withColumns({column: getattr(d, name) for name, column in names.items()}),
+        Dimensions(**{name: F.col(column) for name, column in names.items()}),
+    )
+
+
 def literal_dimensions(location: Iterable[str], category: Iterable[str]) -> Dimensions:
     return table_dimensions(value_array(location), value_array(category))
 
@@ -146,7 +155,7 @@ def pattern_paths(d: Dimensions, n: int = 10) -> Column:
     )
 
 
-def search_param_paths() -> Column:
+def search_param_paths(d: Dimensions | None = None) -> Column:
     """Seven fixed parameters on two endpoints."""
     return F.array(
         *(
@@ -157,19 +166,22 @@ def search_param_paths() -> Column:
     )
 
 
-def candidates(origins: DataFrame, paths: Column) -> DataFrame:
+def candidates(
+    origins: DataFrame, d: Dimensions, paths: Callable[[Dimensions], Column]
+) -> DataFrame:
     """Distinct normalised candidate URLs: every path on every origin.
 
     ``origins`` holds distinct origins and the paths are made distinct per row, so
     the result needs no shuffle.
     """
+    rows, dims = attach(origins, d)
     urls = F.transform(
-        paths,
+        paths(dims),
         lambda p: U.let(
             U.url_split(F.concat(F.col("origin"), p)), lambda u: U.normalize_parts_fast(u)
         ),
     )
-    return origins.select("origin", F.explode(F.array_distinct(urls)).alias("url"))
+    return rows.select("origin", F.explode(F.array_distinct(urls)).alias("url"))
 
 
 def site_origins(pages: DataFrame) -> DataFrame:
@@ -198,12 +210,13 @@ def api_candidates(probes: DataFrame, d: Dimensions, n: int = 5) -> DataFrame:
         .select("url")
         .distinct()
     )
+    rows, dims = attach(good, d)
     params = F.concat(
         F.array(F.lit("")),
-        F.transform(top(d.location, n), lambda v: F.concat(F.lit("?location="), v)),
-        F.transform(top(d.category, n), lambda v: F.concat(F.lit("?category="), v)),
+        F.transform(top(dims.location, n), lambda v: F.concat(F.lit("?location="), v)),
+        F.transform(top(dims.category, n), lambda v: F.concat(F.lit("?category="), v)),
     )
-    return good.select(
+    return rows.select(
         F.col("url").alias("endpoint"),
         F.explode(F.transform(params, lambda p: F.concat(F.col("url"), p))).alias("url"),
     )

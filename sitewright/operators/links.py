@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import html as H
 from ..functions import url as U
+from .generate import Dimensions, all_paths, attach
 from ..rules import COMPANY_WORDS, FAST, FINAL, Rules, SEARCH_ENDPOINTS, STANDARD
 
 
@@ -225,18 +226,22 @@ def normalized_links(raws: Column, base: Column, own: Column, rules: Rules) -> C
 
 
 def extract_links(
-    pages: DataFrame, rules: Rules = STANDARD, generated: Column | None = None
+    pages: DataFrame, rules: Rules = STANDARD, dimensions: Dimensions | None = None
 ) -> DataFrame:
     """All candidate URLs of every page: ``(src_url, dst_url)``, distinct per page.
 
-    ``generated`` adds paths every page offers besides its own markup (see
-    ``generate.all_paths``).
+    With ``rules.generate`` each page also yields the template URLs of
+    ``dimensions``.
     """
     staged = pages.select(
         F.col("url").alias("src_url"),
         U.url_split("url").alias("base"),
         H.strip_noise("html").alias("markup"),
     ).withColumn("own", own_url(rules))
+    generated = None
+    if rules.generate and dimensions is not None:
+        staged, dims = attach(staged, dimensions)
+        generated = all_paths(dims)
     return staged.select(
         "src_url",
         F.explode(
@@ -305,8 +310,8 @@ def link_density(pages: DataFrame) -> DataFrame:
     )
 
 
-def unique_links_per_page(pages: DataFrame, rules: Rules = STANDARD) -> DataFrame:
-    """Number of distinct candidate URLs per page, pages without any included."""
+def links_per_page(pages: DataFrame, rules: Rules = STANDARD) -> DataFrame:
+    """``(src_url, discovered_urls)``: the distinct candidate URLs of each page."""
     staged = pages.select(
         F.col("url").alias("src_url"),
         U.url_split("url").alias("base"),
@@ -315,7 +320,13 @@ def unique_links_per_page(pages: DataFrame, rules: Rules = STANDARD) -> DataFram
     links = normalized_links(
         _raw_links(F.col("markup"), rules, None), F.col("base"), F.col("own"), rules
     )
-    return staged.select("src_url", F.size(links).alias("unique_urls_found"))
+    return staged.select("src_url", links.alias("discovered_urls"))
+
+
+def unique_links_per_page(pages: DataFrame, rules: Rules = STANDARD) -> DataFrame:
+    """Number of distinct candidate URLs per page, pages without any included."""
+    found = links_per_page(pages, rules)
+    return found.select("src_url", F.size("discovered_urls").alias("unique_urls_found"))
 
 
 VARIANTS = {"standard": STANDARD, "fast": FAST, "final": FINAL}

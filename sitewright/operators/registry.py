@@ -74,13 +74,17 @@ def latest_result(crawl_log: DataFrame) -> DataFrame:
     )
 
 
-def seed_rows(spark, base_urls: tuple[str, ...], added_at: str) -> DataFrame:
-    """Base URLs as a discovery batch: depth 0, priority 100."""
-    rows = [(u, None, 0, False, 100, i) for i, u in enumerate(base_urls)]
-    return spark.createDataFrame(
-        rows,
-        "url string, parent_url string, depth int, is_dynamic boolean, priority int, pos bigint",
-    ).withColumn("added_at", F.lit(added_at).cast("timestamp"))
+def seed_batch(bases: DataFrame, added_at: str) -> DataFrame:
+    """Base URLs ``bases(url)`` as a discovery batch: depth 0, priority 100."""
+    return bases.select(
+        "url",
+        F.lit(None).cast("string").alias("parent_url"),
+        F.lit(0).alias("depth"),
+        F.lit(False).alias("is_dynamic"),
+        F.lit(100).alias("priority"),
+        F.col("url").alias("pos"),
+        F.lit(added_at).cast("timestamp").alias("added_at"),
+    )
 
 
 def pending_rows(found: DataFrame, added_at: Column | str = "added_at") -> DataFrame:

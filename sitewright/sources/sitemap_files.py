@@ -15,6 +15,7 @@ from ..session import shuffle_partitions
 
 URL_ROWS = "loc string, lastmod string, changefreq string, priority string, _corrupt string"
 INDEX_ROWS = "loc string, lastmod string"
+SITEMAP_FILES = "/sitemap{.xml,_[0-9]*.xml}"
 XML_DECLARATION = 'version="1.0" encoding="UTF-8"'
 
 
@@ -197,7 +198,7 @@ def read_indexed_sitemaps(spark: SparkSession, index_path: str, folder: str) ->
     listed = read_sitemap_index(spark, index_path).select(
         F.element_at(F.split("loc", "/"), -1).alias("_name")
     )
-    rows = read_sitemap(spark, f"{folder}/sitemap*.xml").withColumn(
+    rows = read_sitemap(spark, folder + SITEMAP_FILES).withColumn(
         "_name", F.element_at(F.split("file", "/"), -1)
     )
     return rows.join(listed.distinct(), "_name", "left_semi").drop("_name")

@@ -8,6 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..rules import JOB_RELATED, Rules, STANDARD, URL_TYPE_CHANGEFREQ, URL_TYPE_PRIORITY
+from .html import strip_ws
 from .url import _col, is_dynamic_url, let, matches_any, query_pairs, url_split
 
 
@@ -106,7 +107,7 @@ def crawl_status(status_code: Column | str, error_message: Column | str) -> Colu
 def content_type_main(content_type: Column | str) -> Column:
     """Media type without parameters; nothing given is ``unknown``."""
     raw = F.coalesce(_col(content_type), F.lit(""))
-    main = F.regexp_replace(F.substring_index(raw, ";", 1), r"^\s+|\s+$", "")
+    main = strip_ws(F.substring_index(raw, ";", 1))
     return F.when(raw == "", "unknown").otherwise(F.lower(main))
 
 

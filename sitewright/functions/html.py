@@ -13,7 +13,12 @@ from pyspark.sql import functions as F
 from ..rules import PAGINATION_WORDS, SCRIPT_URL_PATTERNS
 from .url import _col, let
 
-NOISE = r"(?is)<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>"
+NOISE = r"(?is)<(?:!--.*?-->|script\b.*?</script\s*>|style\b.*?</style\s*>)"
+# What counts as white space at the ends of a text.
+WHITE_SPACE = (
+    " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005"
+    "\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+)
 NON_LINK_PREFIXES = ("#", "javascript:", "mailto:", "tel:")
 ENTITIES = (
     ("&lt;", "<"),
@@ -31,7 +36,7 @@ def strip_noise(html: Column | str) -> Column:
 
 
 def strip_ws(text: Column) -> Column:
-    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+    return F.trim(text, F.lit(WHITE_SPACE))
 
 
 def _numeric_entities(text: Column) -> Column:
@@ -58,12 +63,14 @@ def _numeric_entities(text: Column) -> Column:
 
 def unescape(text: Column) -> Column:
     """Decode numeric entities and the usual named ones."""
-    named = F.when(text.rlike("(?i)&#(x[0-9a-f]+|[0-9]+);"), _numeric_entities(text)).otherwise(
-        text
-    )
-    for entity, char in ENTITIES:
-        named = F.replace(named, F.lit(entity), F.lit(char))
-    return F.when(F.contains(text, F.lit("&")), named).otherwise(text)
+
+    def decoded(t: Column) -> Column:
+        named = F.when(t.rlike("(?i)&#(x[0-9a-f]+|[0-9]+);"), _numeric_entities(t)).otherwise(t)
+        for entity, char in ENTITIES:
+            named = F.replace(named, F.lit(entity), F.lit(char))
+        return F.when(F.contains(t, F.lit("&")), named).otherwise(t)
+
+    return let(text, decoded)
 
 
 def attribute(tag: Column, name: str) -> Column:

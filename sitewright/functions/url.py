@@ -286,8 +286,9 @@ def url_path(url: Column | str) -> Column:
 
 
 def url_origin(url: Column | str) -> Column:
-    """``scheme://authority`` as written."""
-    return F.regexp_extract(_col(url), r"^[A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*", 0)
+    """``scheme://authority``, the scheme in lower case."""
+    authority = F.regexp_extract(_col(url), r"^[A-Za-z][A-Za-z0-9+.\-]*(://[^/?#]*)", 1)
+    return F.concat(url_scheme(url), authority)
 
 
 def is_valid_url(url: Column | str) -> Column:

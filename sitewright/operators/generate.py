@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass, fields
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import rules as R
@@ -166,26 +166,53 @@ def search_param_paths(d: Dimensions | None = None) -> Column:
     )
 
 
+_ANY_ORIGIN = "http://h"
+
+
+def path_array(
+    spark: SparkSession,
+    d: Dimensions,
+    paths: Callable[[Dimensions], Column],
+    rules: R.Rules | None = None,
+) -> Column:
+    """The normalised distinct paths of ``paths`` as one array, worked out once.
+
+    Normalisation touches only what follows the origin, so it is done here on a
+    single row and not once per origin. With ``rules``, paths to skip are dropped.
+    """
+    rows, dims = attach(spark.range(1), d)
+    full = F.transform(
+        paths(dims),
+        lambda p: U.let(
+            U.url_split(F.concat(F.lit(_ANY_ORIGIN), p)), lambda u: U.normalize_parts_fast(u)
+        ),
+    )
+    cut = F.array_distinct(F.transform(full, lambda u: F.substring(u, len(_ANY_ORIGIN) + 1, 1 << 30)))
+    if rules is not None:
+        cut = F.filter(cut, lambda p: ~U.should_skip_url(p, rules))
+    return rows.select(cut.alias("paths")).scalar()
+
+
+def on_origin(origin: Column, paths: Column) -> Column:
+    return F.transform(paths, lambda p: F.concat(origin, p))
+
+
 def candidates(
     origins: DataFrame, d: Dimensions, paths: Callable[[Dimensions], Column]
 ) -> DataFrame:
     """Distinct normalised candidate URLs: every path on every origin.
 
-    ``origins`` holds distinct origins and the paths are made distinct per row, so
-    the result needs no shuffle.
+    ``origins`` holds distinct origins and the paths are distinct, so the result
+    needs no shuffle.
     """
-    rows, dims = attach(origins, d)
-    urls = F.transform(
-        paths(dims),
-        lambda p: U.let(
-            U.url_split(F.concat(F.col("origin"), p)), lambda u: U.normalize_parts_fast(u)
-        ),
+    rows = origins.withColumn("_paths", path_array(origins.sparkSession, d, paths))
+    return rows.select(
+        "origin", F.explode(on_origin(F.col("origin"), F.col("_paths"))).alias("url")
     )
-    return rows.select("origin", F.explode(F.array_distinct(urls)).alias("url"))
 
 
 def site_origins(pages: DataFrame) -> DataFrame:
-    """Distinct ``scheme://host`` of the corpus."""
+    """Distinct ``scheme://host`` of the corpus, scheme in lower case."""
     return pages.select(U.url_origin("url").alias("origin")).distinct()
 
 

@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 
 from ..functions import html as H
 from ..functions import url as U
-from .generate import Dimensions, all_paths, attach
 from ..rules import COMPANY_WORDS, FAST, FINAL, Rules, SEARCH_ENDPOINTS, STANDARD
+from .generate import Dimensions, all_paths, on_origin, path_array
 
 
 def _found_links(pages: DataFrame, tag: str, found: Callable[[Column], Column]) -> DataFrame:
@@ -185,7 +185,7 @@ def search_option_urls(
     ).distinct()
 
 
-def _raw_links(markup: Column, rules: Rules, generated: Column | None) -> Column:
+def _raw_links(markup: Column, rules: Rules) -> Column:
     found = [H.hrefs_of(markup, "a"), H.rel_hrefs(markup, rules.link_rels)]
     if rules.use_area:
         found.append(H.hrefs_of(markup, "area"))
@@ -197,8 +197,6 @@ def _raw_links(markup: Column, rules: Rules, generated: Column | None) -> Column
         found.append(H.company_hrefs(markup, COMPANY_WORDS))
     if rules.select_variant:
         found.append(option_paths(markup, rules.select_variant))
-    if generated is not None:
-        found.append(generated)
     return F.array_distinct(F.concat(*found))
 
 
@@ -238,18 +236,27 @@ def extract_links(
         U.url_split("url").alias("base"),
         H.strip_noise("html").alias("markup"),
     ).withColumn("own", own_url(rules))
-    generated = None
+    links = normalized_links(
+        _raw_links(F.col("markup"), rules), F.col("base"), F.col("own"), rules
+    )
     if rules.generate and dimensions is not None:
-        staged, dims = attach(staged, dimensions)
-        generated = all_paths(dims)
-    return staged.select(
-        "src_url",
-        F.explode(
-            normalized_links(
-                _raw_links(F.col("markup"), rules, generated), F.col("base"), F.col("own"), rules
-            )
-        ).alias("dst_url"),
+        staged = staged.withColumn(
+            "_paths", path_array(pages.sparkSession, dimensions, all_paths, rules)
+        )
+        links = F.array_union(links, _generated_links(rules))
+    return staged.select("src_url", F.explode(links).alias("dst_url"))
+
+
+def _generated_links(rules: Rules) -> Column:
+    """Template URLs on the page's own origin; none where that is not a target."""
+    origin = U.url_origin("src_url")
+    wanted = U.is_target_domain("src_url", rules) & ~U.should_skip_url(
+        F.concat(origin, F.lit("/")), rules
     )
+    return F.when(
+        wanted,
+        U.let(origin, lambda o: F.array_remove(on_origin(o, F.col("_paths")), F.col("own"))),
+    ).otherwise(F.array().cast("array<string>"))
 
 
 def homepage_links(pages: DataFrame) -> DataFrame:
@@ -318,7 +325,7 @@ def links_per_page(pages: DataFrame, rules: Rules = STANDARD) -> DataFrame:
         H.strip_noise("html").alias("markup"),
     ).withColumn("own", own_url(rules))
     links = normalized_links(
-        _raw_links(F.col("markup"), rules, None), F.col("base"), F.col("own"), rules
+        _raw_links(F.col("markup"), rules), F.col("base"), F.col("own"), rules
     )
     return staged.select("src_url", links.alias("discovered_urls"))
 

@@ -23,6 +23,19 @@ class CrawlState:
     registry: DataFrame
     frontier: DataFrame
 
+    def write(self, path: str) -> CrawlState:
+        """Store both tables under a new version path and read them back.
+
+        Parquet has no MERGE: a round reads one version and writes the next, and
+        what it reads stays as it is until the new version is complete.
+        """
+        spark = self.registry.sparkSession
+        out = {}
+        for name, df in (("registry", self.registry), ("frontier", self.frontier)):
+            df.write.mode("error").parquet(f"{path}/{name}")
+            out[name] = spark.read.schema(df.schema).parquet(f"{path}/{name}")
+        return CrawlState(**out)
+
 
 def first_per_key(df: DataFrame, key: str, order: list[str]) -> DataFrame:
     """The whole row that comes first per key; ``order`` decides ties in full."""

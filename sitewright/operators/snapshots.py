@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import html as H
 from ..functions import url as U
 from ..rules import Rules, STANDARD
+from ..session import materialize
 from .links import normalized_links, option_paths, own_url
 from .skew import HOT_ROWS, lookup_join
 
@@ -37,7 +38,8 @@ def snapshot_delta(
     With ``stop_on_empty`` a step that brings nothing ends the page. The comparison
     is an anti join on page, step and link, so a page with very many links is spread.
     """
-    links = snapshot_links(snapshots.filter(F.col("step") <= max_steps))
+    # The links serve several joins below: parse the markup once.
+    links = materialize(snapshot_links(snapshots.filter(F.col("step") <= max_steps)), "snapshots")
     before = links.select("url", (F.col("step") + 1).alias("step"), "dst_url")
     delta = links.filter(F.col("step") > 0).join(before, ["url", "step", "dst_url"], "left_anti")
     if not stop_on_empty:

@@ -77,27 +77,29 @@ def final_stats(discovered: DataFrame, results: DataFrame) -> DataFrame:
         F.count_if(C.is_browse_jobs("url")).alias("browse_jobs_urls"),
     )
     failed = F.coalesce(F.col("error_message"), F.lit("")) != ""
-    per_url = results.groupBy("url").agg(F.max(failed).alias("failed"))
-    seconds = results.agg(
-        (
-            (
-                F.unix_micros(F.max("fetched_at").cast("timestamp"))
-                - F.unix_micros(F.min("fetched_at").cast("timestamp"))
-            )
-            / F.lit(1_000_000.0)
-        ).alias("s")
+    micros = F.unix_micros(F.col("fetched_at").cast("timestamp"))
+    per_url = results.groupBy("url").agg(
+        F.max(failed).alias("failed"), F.min(micros).alias("first"), F.max(micros).alias("last")
+    )
+    totals = per_url.agg(
+        F.struct(
+            F.count(F.lit(1)).alias("crawled"),
+            F.count_if("failed").alias("failed"),
+            ((F.max("last") - F.min("first")) / F.lit(1_000_000.0)).alias("seconds"),
+        ).alias("t")
     ).scalar()
-    crawled = per_url.agg(F.count(F.lit(1)).alias("n")).scalar()
-    failures = per_url.agg(F.count_if("failed").alias("n")).scalar()
-    return found.select(
-        "total_discovered",
-        crawled.alias("total_crawled"),
-        failures.alias("total_failed"),
-        "job_related_urls",
-        "browse_jobs_urls",
-        C.coverage_rate(crawled, F.col("total_discovered")).alias("success_rate"),
-        seconds.alias("total_time"),
-        (crawled / F.greatest(seconds, F.lit(1.0))).alias("urls_per_second"),
+    return (
+        found.withColumn("t", totals)
+        .select(
+            "total_discovered",
+            F.col("t.crawled").alias("total_crawled"),
+            F.col("t.failed").alias("total_failed"),
+            "job_related_urls",
+            "browse_jobs_urls",
+            C.coverage_rate(F.col("t.crawled"), F.col("total_discovered")).alias("success_rate"),
+            F.col("t.seconds").alias("total_time"),
+            (F.col("t.crawled") / F.greatest("t.seconds", F.lit(1.0))).alias("urls_per_second"),
+        )
     )
 
 

@@ -253,7 +253,7 @@ def duckdb_with(*names: str) -> str:
     for name in names:
         need(name)
     values = {t: t for t in (*GIVEN, *TEXTS)}
-    values |= {"n": "(SELECT count(*) FROM pages)", "steps": "unnest(generate_series(0, 4))"}
+    values |= {"n": "(SELECT count(*) FROM pages)", "steps": "CAST(unnest(generate_series(0, 4)) AS INTEGER)"}
     return ", ".join(f"{name} AS ({TEXTS[name].format(**values)})" for name in wanted)
 
 

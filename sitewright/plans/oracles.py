@@ -882,7 +882,7 @@ def all_oracles() -> dict[str, str]:
     # Joins
     o["new_urls"] = w("found", "registry", extra=FRESH) + "SELECT url, pos, parent_url, depth FROM fresh"
     o["uncrawled"] = w("crawl_log") + (
-        "SELECT DISTINCT url FROM site_pages WHERE url NOT IN (SELECT url FROM crawl_log WHERE fetched_at < DATE '2024-01-02')"
+        "SELECT DISTINCT url FROM site_pages WHERE url NOT IN (SELECT url FROM crawl_log WHERE fetched_at < TIMESTAMP '2024-01-01 06:00:00')"
     )
     o["apply_results"] = w("registry", "crawl_log", extra=LATEST_NORM) + (
         f"SELECT r.url, {applied('status_code')}, {applied('content_type')}, {NEW_STATUS}, {applied('error_message')}, "

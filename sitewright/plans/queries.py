@@ -543,7 +543,7 @@ def new_urls(t):
 
 @query
 def uncrawled(t):
-    return R.uncrawled(t.site_pages.select("url"), t.crawl_log.filter("fetched_at < DATE '2024-01-02'"))
+    return R.uncrawled(t.site_pages.select("url"), t.crawl_log.filter("fetched_at < TIMESTAMP '2024-01-01 06:00:00'"))
 
 
 @query
@@ -590,7 +590,8 @@ def candidate_cross(t):
 
 @query
 def links_in_corpus(t):
-    return filters.links_in_corpus(L.extract_links(t.site_pages), t.site_pages)
+    links = materialize(L.extract_links(t.site_pages), "links")
+    return filters.links_in_corpus(links, t.site_pages)
 
 
 # --- Aggregations -------------------------------------------------------------
@@ -897,7 +898,7 @@ def _results(t) -> DataFrame:
     latest = R.latest_result(t.crawl_log)
     found = L.links_per_page(t.site_pages).withColumnRenamed("src_url", "url")
     depth = t.site_pages.select("url", (F.col("page_id") % 6).cast("int").alias("depth"))
-    return latest.join(found, "url").join(depth, "url")
+    return materialize(latest.join(found, "url").join(depth, "url"), "results")
 
 
 @query

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -51,10 +54,20 @@ def progress(crawl_log: DataFrame, delay: str = "10 minutes", width: str = "1 ho
     )
 
 
+def _earliest_per_url(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for frame in frames:
+        yield frame.groupby("url", as_index=False)["fetched_at"].min()
+
+
 def first_seen(crawl_log: DataFrame, delay: str = "1 day") -> DataFrame:
-    """Each normalised URL once within the watermark."""
+    """Each normalised URL once within the watermark.
+
+    Repeats are dropped per Arrow batch before the shuffle, so a URL that makes up
+    much of a micro-batch does not reach one task row by row.
+    """
+    urls = crawl_log.select(U.url_normalize("url").alias("url"), "fetched_at")
     return (
-        crawl_log.select(U.url_normalize("url").alias("url"), "fetched_at")
+        urls.mapInPandas(_earliest_per_url, urls.schema)
         .withWatermark("fetched_at", delay)
         .dropDuplicatesWithinWatermark(["url"])
         .select("url")

@@ -253,12 +253,18 @@ def validate_sitemaps(
     rows = urls.unionByName(index).withColumn(
         "loc", F.when(~F.col("malformed"), F.col("loc"))
     )
-    checked = S.validate_rows(rows, "file", per_file)
+    checked = S.validate_rows(rows, "file")
+    within = (F.col("kind") != "urlset") | (F.coalesce("urls", F.lit(0)) <= per_file)
     return roots.join(checked, "file", "left").select(
         F.element_at(F.split("file", "/"), -1).alias("file"),
         "kind",
         F.coalesce("urls", F.lit(0)).alias("urls"),
-        (F.col("closed") & F.coalesce("valid", F.lit(True)) & (F.col("kind") != "other")).alias("valid"),
+        (
+            F.col("closed")
+            & F.coalesce("valid", F.lit(True))
+            & within
+            & (F.col("kind") != "other")
+        ).alias("valid"),
     )
 
 

@@ -78,7 +78,12 @@ def attribute(tag: Column, name: str) -> Column:
     raw = F.regexp_extract(
         tag, r"(?is)\s" + name + r"""\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", 1
     )
-    return unescape(F.regexp_replace(raw, r"""^["']|["']$""", ""))
+
+    def unquoted(v: Column) -> Column:
+        quoted = v.startswith('"') | v.startswith("'")
+        return F.when(quoted, F.substring(v, F.lit(2), F.length(v) - 2)).otherwise(v)
+
+    return unescape(let(raw, unquoted))
 
 
 def has_attribute(tag: Column, name: str) -> Column:
@@ -319,7 +324,7 @@ def page_text(markup: Column) -> Column:
     """Text of the first main-content element, else of the body."""
     main = F.regexp_extract(markup, MAIN_CONTENT, 0)
     body = F.regexp_extract(markup, r"(?is)<body\b[^>]*>(.*?)(?:</body\s*>|\z)", 1)
-    return inner_text(F.when(main != "", main).otherwise(body))
+    return inner_text(let(main, lambda m: F.when(m != "", m).otherwise(body)))
 
 
 def link_count(markup: Column) -> Column:

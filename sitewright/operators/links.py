@@ -205,22 +205,21 @@ def own_url(rules: Rules) -> Column:
     return U.url_normalize("src_url") if rules.normalization == "standard" else F.col("src_url")
 
 
-def crawlable(url: Column, own: Column, rules: Rules) -> Column:
-    """Own host, not skipped, not the page itself, a valid URL."""
-    return (
-        U.is_target_domain(url, rules)
-        & ~U.should_skip_url(url, rules)
-        & (url != own)
-        & U.is_valid_url(url)
-    )
-
-
 def normalized_links(raws: Column, base: Column, own: Column, rules: Rules) -> Column:
-    """Raw references of one page to its distinct candidate URLs, in one pass each."""
+    """Raw references of one page to its distinct candidate URLs.
+
+    Kept are URLs of an own host that are not skipped and not the page itself.
+    Normalisation leaves scheme and host alone, so foreign links go before it.
+    """
     refs = F.transform(raws, lambda r: U.url_split(r))
-    absolute = F.transform(refs, lambda r: U.resolve_parts(base, r))
+    absolute = F.filter(
+        F.transform(refs, lambda r: U.resolve_parts(base, r)),
+        lambda u: F.lower(u.netloc).isin(*rules.hosts) & u.scheme.isin("http", "https"),
+    )
     urls = F.transform(absolute, lambda u: U.normalize_parts(u, rules))
-    return F.array_distinct(F.filter(urls, lambda u: crawlable(u, own, rules)))
+    return F.array_distinct(
+        F.filter(urls, lambda u: (u != own) & ~U.should_skip_url(u, rules))
+    )
 
 
 def extract_links(

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import url as U
 from ..functions.html import strip_ws
+from ..session import materialize
 from .skew import HOT_ROWS, lookup_join
 
 
@@ -108,7 +109,10 @@ def robots_allowed(
     path lengths its host's rules have, and the pieces are looked up as keys. A
     host's lengths are a set of small integers whatever the number of its rules.
     """
-    bound = applicable_rules(rules, user_agent).withColumn("_len", F.length("path"))
+    # Written once: both lookups below read it, and its real size decides their joins.
+    bound = materialize(
+        applicable_rules(rules, user_agent).withColumn("_len", F.length("path")), "robots"
+    )
     first = bound.groupBy("host", "path").agg(
         F.min_by(F.struct("rule_no", "allow"), "rule_no").alias("_rule")
     )

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import materialize, shuffle_partitions
+from ..session import materialize, shuffle_partitions, will_broadcast
 
 MAX_HOT_KEYS = 1000
 HOT_ROWS = 500_000
@@ -40,8 +40,11 @@ def lookup_join(
     """Join ``left`` to ``right`` (unique on its key), splitting hot left keys.
 
     Rows of a hot key are spread by a hash of ``salt_on``; only the matching right
-    rows are repeated. Column names of the two sides must differ.
+    rows are repeated. A right side small enough for Spark to broadcast needs none of
+    it. Column names of the two sides must differ.
     """
+    if will_broadcast(right):
+        return left.join(right, F.col(left_key) == F.col(right_key), how)
     hot = hot_keys(left, left_key, hot_rows)
     no_salt = F.lit(0)
     spread = F.pmod(F.xxhash64(*salt_on), F.lit(salts)).cast("int")

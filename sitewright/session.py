@@ -56,5 +56,20 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def clear_work(spark: SparkSession) -> None:
+    """Delete what this application wrote by ``materialize``, once results are stored."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(
+        f"{shared_dir(spark)}/sitewright/{spark.sparkContext.applicationId}"
+    )
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def will_broadcast(df: DataFrame) -> bool:
+    """Whether Spark's own size estimate is within its automatic broadcast threshold."""
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    limit = df.sparkSession._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
+    return size <= limit
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))

@@ -185,7 +185,7 @@ def snapshots(spark, url, sizes):
     ]
 
 
-def test_snapshot_delta(spark):
+def test_snapshot_delta(spark, no_broadcast):
     rows = snapshots(spark, SITE + "/a", [2, 3, 3, 5]) + snapshots(spark, SITE + "/b", [1, 2, 4, 4])
     df = spark.createDataFrame(rows, "url string, step int, html string")
     for hot in (1, 10**6):

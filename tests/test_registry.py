@@ -164,7 +164,7 @@ def test_pattern_first(spark):
     assert kept == {SITE + "/browse-jobs?category=a", SITE + "/x?1", SITE + "/y"}
 
 
-def test_parent_lineage_with_hot_parent(spark, empty):
+def test_parent_lineage_with_hot_parent(spark, empty, no_broadcast):
     rows = [("/", None, 0, False, 0)] + [(f"/c{i}", SITE + "/", 1, False, 0) for i in range(40)]
     rows += [("/d", SITE + "/c1", 3, False, 0), ("/e", SITE + "/gone", 1, False, 0)]
     registry = R.registry_add(empty, found(spark, *rows)).registry

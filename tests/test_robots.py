@@ -51,7 +51,7 @@ def test_equal_to_robotparser(spark, agent):
     assert verdicts(spark, TEXTS, agent) == expected(TEXTS, agent)
 
 
-def test_hot_hosts_and_random_files(spark):
+def test_hot_hosts_and_random_files(spark, no_broadcast):
     rng = random.Random(3)
 
     def text():

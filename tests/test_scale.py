@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from sitewright.operators import generate as G
 from sitewright.operators import graph, schedule, skew
 from sitewright.operators.registry import batch_frontier
-from sitewright.session import shared_dir
+from sitewright.session import materialize, shared_dir
 
 
 def skewed(n, seed=5):
@@ -44,7 +44,7 @@ def test_rank_of_nothing(spark):
 
 @pytest.mark.parametrize("how", ["left", "inner", "left_semi", "left_anti"])
 @pytest.mark.parametrize("hot_rows", [20, 10**6])
-def test_lookup_join(spark, how, hot_rows):
+def test_lookup_join(spark, how, hot_rows, no_broadcast):
     rows = skewed(300)
     left = spark.createDataFrame(rows, "g string, p int, id int")
     keys = sorted({g for g, _, _ in rows})[::2] + ["hot", "unused"]
@@ -184,3 +184,10 @@ def test_api_candidates(spark):
 def test_shared_dir_comes_from_the_session(spark):
     named = spark.conf.get("spark.checkpoint.dir", None)
     assert shared_dir(spark) == named.rstrip("/") if named else shared_dir(spark)
+
+
+def test_small_sides_are_left_to_spark(spark):
+    left = spark.createDataFrame(skewed(30), "g string, p int, id int")
+    right = materialize(spark.createDataFrame([("hot", 1)], "k string, n int"), "test")
+    plan = skew.lookup_join(left, right, "g", "k", "left", ["id"])
+    assert "TakeOrdered" not in plan._jdf.queryExecution().executedPlan().toString()

@@ -5,7 +5,7 @@ from __future__ import annotations
 from .. import rules as R
 from ..rules import FAST, FINAL, STANDARD
 from .derived import duckdb_with
-from .queries import BASE, NOW, PER_FILE
+from .queries import BASE, EARLY, NOW, PER_FILE
 
 NOW_ISO = NOW.replace(" ", "T") + "+00:00"
 
@@ -882,7 +882,7 @@ def all_oracles() -> dict[str, str]:
     # Joins
     o["new_urls"] = w("found", "registry", extra=FRESH) + "SELECT url, pos, parent_url, depth FROM fresh"
     o["uncrawled"] = w("crawl_log") + (
-        "SELECT DISTINCT url FROM site_pages WHERE url NOT IN (SELECT url FROM crawl_log WHERE fetched_at < TIMESTAMP '2024-01-01 06:00:00')"
+        f"SELECT DISTINCT url FROM site_pages WHERE url NOT IN (SELECT url FROM crawl_log WHERE fetched_at < TIMESTAMP '{EARLY}')"
     )
     o["apply_results"] = w("registry", "crawl_log", extra=LATEST_NORM) + (
         f"SELECT r.url, {applied('status_code')}, {applied('content_type')}, {NEW_STATUS}, {applied('error_message')}, "
@@ -891,11 +891,11 @@ def all_oracles() -> dict[str, str]:
     )
     o["dequeue_done"] = w("frontier", "crawl_log") + (
         f"SELECT url, priority, is_processing FROM frontier WHERE url NOT IN (SELECT {norm('url')} FROM crawl_log "
-        "WHERE NOT contains(url, '/blog/'))"
+        f"WHERE fetched_at < TIMESTAMP '{EARLY}')"
     )
     o["replace_results"] = w("crawl_log", extra=LATEST) + (
-        "SELECT url, status_code, is_dynamic FROM latest WHERE url NOT IN (SELECT url FROM site_pages WHERE page_id % 3 = 0) "
-        "UNION ALL SELECT url, 200, TRUE FROM site_pages WHERE page_id % 3 = 0"
+        f"SELECT url, status_code, is_dynamic FROM latest WHERE url NOT IN (SELECT url FROM site_pages WHERE {any_of('url', STANDARD.dynamic)}) "
+        f"UNION ALL SELECT url, 200, TRUE FROM site_pages WHERE {any_of('url', STANDARD.dynamic)}"
     )
     o["type_lookup"] = jobs + (
         f"SELECT DISTINCT {classify('url')} AS url_type, url, {priority('url')} AS priority, {changefreq('url')} AS changefreq FROM job_urls"
@@ -1041,15 +1041,15 @@ def all_oracles() -> dict[str, str]:
 
     # Discovery and registry
     o["bfs_depth"] = (
-        f"WITH RECURSIVE {duckdb_with('link_edges')}, b(id, depth) AS (SELECT CAST(0 AS BIGINT), 0 UNION "
+        f"WITH RECURSIVE {duckdb_with('link_edges')}, b(id, depth) AS (SELECT min(page_id), 0 FROM pages UNION "
         "SELECT e.dst, b.depth + 1 FROM b JOIN link_edges e ON e.src = b.id WHERE b.depth < 5) "
         "SELECT id AS node, min(depth) AS depth FROM b GROUP BY id"
     )
     o["bfs_pages"] = (
-        f"WITH RECURSIVE {duckdb_with('site_pages')}, m AS (SELECT url AS src_url, {stripped()} AS markup FROM site_pages), "
+        f"WITH RECURSIVE {duckdb_with('site_pages', 'registry')}, m AS (SELECT url AS src_url, {stripped()} AS markup FROM site_pages), "
         f"{link_ctes(STANDARD, STANDARD_RAWS)}, e AS (SELECT {norm('src_url')} AS src, dst_url AS dst FROM links), "
-        f"b(url, depth) AS (SELECT {norm('url')}, 0 FROM site_pages WHERE page_id = 0 UNION "
-        "SELECT e.dst, b.depth + 1 FROM b JOIN e ON e.src = b.url WHERE b.depth < 3) "
+        "b(url, depth) AS (SELECT url, 0 FROM registry WHERE parent_url IS NULL UNION "
+        "SELECT e.dst, b.depth + 1 FROM b JOIN e ON e.src = b.url WHERE b.depth < 5) "
         "SELECT url, min(depth) AS depth FROM b GROUP BY url"
     )
     o["registry_add"] = w("found", "registry", extra=FRESH) + (
@@ -1064,10 +1064,10 @@ def all_oracles() -> dict[str, str]:
         f"{iso('CASE WHEN l.url IS NOT NULL THEN l.fetched_at ELSE r.updated_at END')} AS updated_at "
         "FROM registry r LEFT JOIN latest l ON r.url = l.url"
     )
-    skipped = f"SELECT {norm('url')} FROM site_pages WHERE page_id % 6 = 1"
+    skipped = f"SELECT {norm('url')} FROM site_pages WHERE NOT {html_type('content_type')}"
     o["registry_mark_skipped"] = w("registry", "site_pages") + (
         f"SELECT url, CASE WHEN url IN ({skipped}) THEN 'skipped' ELSE crawl_status END AS crawl_status, "
-        f"CASE WHEN url IN ({skipped}) THEN 'excluded' ELSE error_message END AS error_message FROM registry"
+        f"CASE WHEN url IN ({skipped}) THEN 'not HTML' ELSE error_message END AS error_message FROM registry"
     )
     o["registry_claim"] = w("frontier") + (
         f"SELECT url, is_processing OR url IN (SELECT url FROM frontier WHERE NOT is_processing {order} LIMIT 25) "

@@ -24,6 +24,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 BASE = STANDARD.base_urls[0]
 NOW = "2024-06-01 12:00:00"
+EARLY = "2024-01-01 06:00:00"
 PER_FILE = 20
 AGENT = "SiteBot/1.0"
 LOG_COLUMNS = (
@@ -58,6 +59,11 @@ def state_of(t: Inputs) -> CrawlState:
     return CrawlState(registry_of(t), t.frontier)
 
 
+def first_hours(t: Inputs) -> DataFrame:
+    """The fetch log as it stood some hours into the crawl."""
+    return t.crawl_log.filter(f"fetched_at < TIMESTAMP '{EARLY}'")
+
+
 def dimensions_of(t: Inputs) -> G.Dimensions:
     return G.table_dimensions(
         G.dimension(t.locations, "pos", "value"), G.dimension(t.categories, "pos", "value")
@@ -543,7 +549,7 @@ def new_urls(t):
 
 @query
 def uncrawled(t):
-    return R.uncrawled(t.site_pages.select("url"), t.crawl_log.filter("fetched_at < TIMESTAMP '2024-01-01 06:00:00'"))
+    return R.uncrawled(t.site_pages.select("url"), first_hours(t))
 
 
 @query
@@ -557,16 +563,14 @@ def apply_results(t):
 
 @query
 def dequeue_done(t):
-    done = t.crawl_log.select(U.url_normalize("url").alias("url")).filter(
-        ~F.col("url").contains("/blog/")
-    )
+    done = first_hours(t).select(U.url_normalize("url").alias("url"))
     return R.dequeue_done(t.frontier, done).select("url", "priority", "is_processing")
 
 
 @query
 def replace_results(t):
     latest = R.latest_result(t.crawl_log).select("url", "status_code", "is_dynamic")
-    rendered = t.site_pages.filter("page_id % 3 = 0").select(
+    rendered = t.site_pages.filter(U.is_dynamic_url("url", STANDARD)).select(
         "url", F.lit(200).alias("status_code"), F.lit(True).alias("is_dynamic")
     )
     return R.replace_results(latest, rendered)
@@ -842,8 +846,8 @@ def gen_all(t):
 
 @query
 def bfs_depth(t):
-    seeds = t.pages.filter("page_id = 0").select(F.col("page_id").alias("node"))
-    return graph.bfs_depth(seeds, t.link_edges, 5)
+    seeds = t.pages.agg(F.min("page_id").alias("node"))
+    return graph.bfs_depth(seeds, t.link_edges, STANDARD.max_depth)
 
 
 @query
@@ -851,8 +855,8 @@ def bfs_pages(t):
     edges = L.extract_links(t.site_pages).select(
         U.url_normalize("src_url").alias("src"), F.col("dst_url").alias("dst")
     )
-    seeds = t.site_pages.filter("page_id = 0").select(U.url_normalize("url").alias("node"))
-    return graph.bfs_depth(seeds, edges, 3).select(F.col("node").alias("url"), "depth")
+    seeds = t.registry.filter("parent_url IS NULL").select(F.col("url").alias("node"))
+    return graph.bfs_depth(seeds, edges, STANDARD.max_depth).select(F.col("node").alias("url"), "depth")
 
 
 @query
@@ -876,8 +880,8 @@ def registry_mark_crawled(t):
 
 @query
 def registry_mark_skipped(t):
-    skipped = t.site_pages.filter("page_id % 6 = 1").select(
-        "url", F.lit("excluded").alias("reason"), now().alias("at")
+    skipped = t.site_pages.filter(~C.is_html("content_type")).select(
+        "url", F.lit("not HTML").alias("reason"), now().alias("at")
     )
     return R.mark_skipped(state_of(t), skipped).registry.select(
         "url", "crawl_status", "error_message"

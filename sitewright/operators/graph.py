@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -11,9 +13,17 @@ from ..session import materialize, shuffle_partitions
 EDGE_SALTS = 8
 
 
-def bfs_depth(seeds: DataFrame, links: DataFrame, max_depth: int) -> DataFrame:
+def bfs_depth(
+    seeds: DataFrame,
+    links: DataFrame,
+    max_depth: int,
+    also: Callable[[DataFrame], DataFrame] | None = None,
+) -> DataFrame:
     """Least number of hops from a seed: ``(node, depth)``, up to ``max_depth``.
 
+    ``also`` may name further nodes, as ``(node)``, that a level leads to without an
+    edge of its own.
+
     ``seeds(node)``, ``links(src, dst)``. Edges are partitioned once by source and
     salt, so a source with very many links is split and no round shuffles them
     again; each level is written to the shared folder before the next one starts.
@@ -34,10 +44,11 @@ def bfs_depth(seeds: DataFrame, links: DataFrame, max_depth: int) -> DataFrame:
                 F.col("node").alias("src"),
                 F.explode(F.sequence(F.lit(0), F.lit(EDGE_SALTS - 1))).alias("_salt"),
             )
+            nodes = edges.join(reach, ["src", "_salt"]).select(F.col("dst").alias("node"))
+            if also is not None:
+                nodes = nodes.unionByName(also(level))
             found = (
-                edges.join(reach, ["src", "_salt"])
-                .select(F.col("dst").alias("node"))
-                .distinct()
+                nodes.distinct()
                 .join(seen.select("node"), "node", "left_anti")
                 .withColumn("depth", F.lit(depth))
             )

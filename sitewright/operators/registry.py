@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from ..functions import classify as C
 from ..functions import url as U
 from ..rules import Rules, STANDARD
+from ..session import materialize, will_broadcast
 from .skew import HOT_ROWS, lookup_join, ranked
 
 
@@ -129,16 +130,24 @@ def frontier_rows(found: DataFrame) -> DataFrame:
 
 
 def new_urls(found: DataFrame, registry: DataFrame) -> DataFrame:
-    """URLs of a batch that the registry lacks: normalised, first position wins."""
-    normalized = found.withColumn("url", U.url_normalize("url"))
-    return first_per_key(normalized, "url", ["pos"]).join(
-        registry.select("url"), "url", "left_anti"
+    """URLs of a batch that the registry lacks: normalised, first position wins.
+
+    A batch small enough to broadcast first picks its known URLs out of the registry
+    scan, which then needs no shuffle.
+    """
+    batch = materialize(
+        first_per_key(found.withColumn("url", U.url_normalize("url")), "url", ["pos"]), "batch"
     )
+    known = registry.select("url")
+    if will_broadcast(batch):
+        known = known.join(batch.select("url"), "url", "left_semi")
+    return batch.join(known, "url", "left_anti")
 
 
 def registry_add(state: CrawlState, found: DataFrame) -> CrawlState:
     """Add unknown URLs of ``found(url, parent_url, depth, is_dynamic, priority, pos, added_at)``."""
-    fresh = new_urls(found, state.registry)
+    # Both tables take the new rows: written once, so the registry is searched once.
+    fresh = materialize(new_urls(found, state.registry), "fresh")
     return CrawlState(
         state.registry.unionByName(pending_rows(fresh)),
         state.frontier.unionByName(frontier_rows(fresh)),
@@ -180,8 +189,14 @@ def dequeue_done(frontier: DataFrame, done: DataFrame) -> DataFrame:
 
 
 def mark_crawled(state: CrawlState, crawl_log: DataFrame) -> CrawlState:
-    """Write the latest result of each URL and take it off the frontier."""
-    latest = latest_result(crawl_log.withColumn("url", U.url_normalize("url")))
+    """Write the latest result of each URL and take it off the frontier.
+
+    The results are written once for both tables; with their real size known, a
+    small round is broadcast and the registry is not shuffled.
+    """
+    latest = materialize(
+        latest_result(crawl_log.withColumn("url", U.url_normalize("url"))), "latest"
+    )
     return CrawlState(
         apply_results(state.registry, latest), dequeue_done(state.frontier, latest)
     )

@@ -1088,6 +1088,28 @@ def all_oracles() -> dict[str, str]:
         "FROM registry r LEFT JOIN marks l ON l.url = r.url UNION ALL "
         "SELECT url, depth, parent_url, 'pending', NULL, is_dynamic FROM fresh"
     )
+    o["crawl_run"] = (
+        f"WITH RECURSIVE {duckdb_with('site_pages', 'registry', 'crawl_log')}, {LATEST_NORM}, "
+        f"m AS (SELECT url AS src_url, {stripped()} AS markup FROM site_pages), "
+        f"{link_ctes(STANDARD, STANDARD_RAWS)}, e AS (SELECT {norm('src_url')} AS src, dst_url AS dst FROM links "
+        f"WHERE {norm('src_url')} IN (SELECT url FROM latest)), "
+        "b(url, depth) AS (SELECT url, 0 FROM registry WHERE parent_url IS NULL UNION "
+        "SELECT e.dst, b.depth + 1 FROM b JOIN e ON e.src = b.url WHERE b.depth < 5), "
+        "d AS (SELECT url, min(depth) AS depth FROM b GROUP BY url) SELECT d.url, d.depth, "
+        f"CASE WHEN l.url IS NULL THEN 'pending' ELSE {status('l.status_code', 'l.error_message')} END AS crawl_status, "
+        "l.status_code FROM d LEFT JOIN latest l ON l.url = d.url"
+    )
+    o["crawl_run_final"] = (
+        f"WITH RECURSIVE {duckdb_with('site_pages', 'crawl_log', 'locations', 'categories')}, gen_paths AS ({GEN_ALL}), "
+        f"{LATEST_NORM.replace(norm('url'), norm_fast('url'))}, "
+        f"m AS (SELECT url AS src_url, html, {stripped()} AS markup FROM site_pages), {link_ctes(FINAL, FINAL_RAWS)}, "
+        f"e AS (SELECT {norm_fast('src_url')} AS src, dst_url AS dst FROM links WHERE {norm_fast('src_url')} IN "
+        "(SELECT url FROM latest WHERE coalesce(error_message, '') = '')), "
+        f"b(url, depth) AS (SELECT {q(FINAL.base_urls[0])}, 0 UNION SELECT {norm_fast('min(url)')}, 0 FROM site_pages "
+        f"WHERE {target('url', FINAL)} UNION SELECT e.dst, b.depth + 1 FROM b JOIN e ON e.src = b.url WHERE b.depth < 4), "
+        "d AS (SELECT url, min(depth) AS depth FROM b GROUP BY url) "
+        "SELECT d.url, d.depth, l.status_code FROM d LEFT JOIN latest l ON l.url = d.url"
+    )
     o["build_entries"] = w("registry", extra=CHUNKS) + "SELECT loc, lastmod, changefreq, priority FROM chunks"
     o["build_sitemap"] = w("registry", extra=CHUNKS) + "SELECT loc, lastmod, changefreq, priority, sitemap_no FROM chunks"
 
@@ -1100,6 +1122,9 @@ def all_oracles() -> dict[str, str]:
         "ON s.url = l.url"
     )
     o["stream_new_urls"] = w("crawl_log") + f"SELECT DISTINCT {norm('url')} AS url FROM crawl_log"
+    o["stream_pattern_first"] = w("crawl_log") + (
+        f"SELECT {pattern('url')} AS pattern, min(url) AS url FROM crawl_log GROUP BY 1"
+    )
     o["stream_progress"] = w("crawl_log") + (
         f"SELECT {iso('h')} AS window_start, crawled, succeeded, CAST(succeeded AS DOUBLE) / crawled * 100 AS success_rate FROM ("
         f"SELECT date_trunc('hour', fetched_at) AS h, count(*) AS crawled, count(*) FILTER (WHERE {status('status_code', 'error_message')} "

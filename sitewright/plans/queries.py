@@ -18,6 +18,7 @@ from ..rules import FAST, FINAL, STANDARD
 from ..session import materialize, work_path
 from ..sources import sitemap_files as X, tables
 from ..streaming import jobs
+from . import runs
 from .derived import Inputs
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -913,6 +914,24 @@ def process_results(t):
     )
 
 
+@query
+def crawl_run(t):
+    seeds = t.registry.filter("parent_url IS NULL").select("url")
+    results = runs.results_of(t.site_pages, t.crawl_log)
+    return runs.crawl(seeds, results, NOW).registry.select(
+        "url", "depth", "crawl_status", "status_code"
+    )
+
+
+@query
+def crawl_run_final(t):
+    seeds = t.spark.createDataFrame([(FINAL.base_urls[0],)], "url string").unionByName(
+        t.site_pages.filter(U.is_target_domain("url", FINAL)).agg(F.min("url").alias("url"))
+    )
+    run = runs.crawl_final(t.site_pages, t.crawl_log, seeds, dimensions_of(t))
+    return run.discovered.join(run.results.select("url", "status_code"), "url", "left")
+
+
 @query
 def build_entries(t):
     return S.build_entries(filters.valid_urls(registry_of(t)))
@@ -952,6 +971,13 @@ def stream_new_urls(t):
     return jobs.run_to_files(jobs.first_seen(_log_stream(t)), "stream-urls")
 
 
+@query
+def stream_pattern_first(t):
+    stream = jobs.PatternStream(t.spark, work_path(t.spark, "stream"))
+    stream.start(_log_stream(t).select("url")).awaitTermination()
+    return stream.firsts().select("pattern", "url")
+
+
 @query
 def stream_progress(t):
     done = jobs.run_to_files(jobs.progress(_log_stream(t)), "stream-progress")

@@ -148,6 +148,39 @@ class RegistryStream:
         return self.spark.read.schema(merged.schema).parquet(path)
 
 
+class PatternStream:
+    """First URL of each pattern over a stream: later ones are likely duplicates.
+
+    A micro-batch is reduced to one URL per pattern and compared with the patterns
+    of earlier batches; a replayed batch overwrites itself.
+    """
+
+    FIRSTS = "pattern string, url string, batch_id bigint"
+
+    def __init__(self, spark: SparkSession, folder: str):
+        self.spark = spark
+        self.path = f"{folder}/patterns"
+        self.offsets = f"{folder}/pattern-offsets"
+
+    def firsts(self) -> DataFrame:
+        return self.spark.read.schema(self.FIRSTS).parquet(self.path)
+
+    def write_batch(self, batch: DataFrame, batch_id: int) -> None:
+        fresh = batch.groupBy(C.url_pattern("url").alias("pattern")).agg(F.min("url").alias("url"))
+        if batch_id > 0:
+            known = self.firsts().filter(F.col("batch_id") < batch_id).select("pattern")
+            fresh = fresh.join(known, "pattern", "left_anti")
+        fresh.write.mode("overwrite").parquet(f"{self.path}/batch_id={batch_id}")
+
+    def start(self, urls: DataFrame) -> StreamingQuery:
+        return (
+            urls.writeStream.foreachBatch(self.write_batch)
+            .option("checkpointLocation", self.offsets)
+            .trigger(availableNow=True)
+            .start()
+        )
+
+
 def registry_of_batch(crawl_log: DataFrame, base: DataFrame) -> DataFrame:
     """The end state of ``RegistryStream`` computed in one batch."""
     log = crawl_log.withColumn("url", U.url_normalize("url"))

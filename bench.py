@@ -22,7 +22,7 @@ from sitewright.operators import generate as G  # noqa: E402
 from sitewright.operators import sitemap as S  # noqa: E402
 from sitewright.plans.derived import Inputs  # noqa: E402
 from sitewright.plans.queries import BASE, all_queries, dimensions_of, now, origins_of  # noqa: E402
-from sitewright.session import work_path  # noqa: E402
+from sitewright.session import local_session, work_path  # noqa: E402
 from sitewright.sources import sitemap_files as X  # noqa: E402
 
 HEADLINE = (
@@ -61,15 +61,7 @@ def sitemap_50k(spark: SparkSession, sf_dir: str) -> None:
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
-    spark = (
-        SparkSession.builder.master(f"local[{cpus}]")
-        .appName("sitewright-bench")
-        .config("spark.sql.shuffle.partitions", cpus if cpus.isdigit() else "8")
-        .config("spark.sql.session.timeZone", "UTC")
-        .config("spark.ui.enabled", "false")
-        .config("spark.driver.memory", "8g")
-        .getOrCreate()
-    )
+    spark = local_session(cpus, "sitewright-bench")
     spark.sparkContext.setLogLevel("ERROR")
     queries = all_queries()
     runs = {name: (lambda d, q=queries[name]: drain(q(spark, d))) for name in HEADLINE}

@@ -20,14 +20,14 @@ WHITE_SPACE = (
     "\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 )
 NON_LINK_PREFIXES = ("#", "javascript:", "mailto:", "tel:")
+AMPERSAND = "(?i)&(?:amp|#0*38|#x0*26);"
 ENTITIES = (
     ("&lt;", "<"),
     ("&gt;", ">"),
     ("&quot;", '"'),
     ("&#39;", "'"),
     ("&apos;", "'"),
-    ("&nbsp;", " "),
-    ("&amp;", "&"),
+    ("&nbsp;", "\xa0"),
 )
 
 
@@ -58,7 +58,9 @@ def _numeric_entities(text: Column) -> Column:
     found = F.array_distinct(
         F.regexp_extract_all(text, F.lit(r"(?i)&#(?:x[0-9a-f]{1,6}|[0-9]{1,7});"), F.lit(0))
     )
-    return F.aggregate(found, text, lambda acc, e: F.replace(acc, e, char(e)))
+    # The ampersand itself comes last of all, so that nothing is decoded twice.
+    others = F.filter(found, lambda e: ~e.rlike(AMPERSAND))
+    return F.aggregate(others, text, lambda acc, e: F.replace(acc, e, char(e)))
 
 
 def unescape(text: Column) -> Column:
@@ -68,6 +70,7 @@ def unescape(text: Column) -> Column:
         named = F.when(t.rlike("(?i)&#(x[0-9a-f]+|[0-9]+);"), _numeric_entities(t)).otherwise(t)
         for entity, char in ENTITIES:
             named = F.replace(named, F.lit(entity), F.lit(char))
+        named = F.regexp_replace(named, AMPERSAND, "&")
         return F.when(F.contains(t, F.lit("&")), named).otherwise(t)
 
     return let(text, decoded)

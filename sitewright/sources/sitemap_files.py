@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,6 +17,7 @@ from ..session import shuffle_partitions
 URL_ROWS = "loc string, lastmod string, changefreq string, priority string, _corrupt string"
 INDEX_ROWS = "loc string, lastmod string"
 SITEMAP_FILES = "/sitemap{.xml,_[0-9]*.xml}"
+MOVE_THREADS = 16
 XML_DECLARATION = 'version="1.0" encoding="UTF-8"'
 
 
@@ -86,14 +88,19 @@ def write_sitemaps(chunks: DataFrame, out_dir: str, gzip: bool = False) -> list[
     writer.save(staging)
     parts = _part_files(spark, staging, 2)
     suffix = ".xml.gz" if gzip else ".xml"
-    names = []
-    for folder, path in parts:
+
+    def name(folder: str) -> str:
         number = int(folder.split("=")[1])
-        stem = "sitemap" if len(parts) == 1 else f"sitemap_{number:03d}"
-        _move(spark, path, f"{out_dir}/{stem}{suffix}")
-        names.append(stem + suffix)
+        return ("sitemap" if len(parts) == 1 else f"sitemap_{number:03d}") + suffix
+
+    with ThreadPoolExecutor(MOVE_THREADS) as pool:
+        moves = [
+            pool.submit(_move, spark, path, f"{out_dir}/{name(folder)}") for folder, path in parts
+        ]
+        for move in moves:
+            move.result()
     _drop(spark, staging)
-    return sorted(names)
+    return sorted(name(folder) for folder, _ in parts)
 
 
 def _write_single(df: DataFrame, target: str, fmt: str, **options: str) -> None:

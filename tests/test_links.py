@@ -175,8 +175,14 @@ def test_extraction_is_one_narrow_stage(spark):
 
 
 def test_entities(spark):
-    df = spark.createDataFrame([("a&#233;&#x20AC;&amp;lt;&#0;&bogus;",)], "t string")
-    assert df.select(H.unescape(F.col("t"))).first()[0] == "aé€&lt;�&bogus;"
+    texts = {
+        "a&#233;&#x20AC;&amp;lt;&#0;&bogus;": "aé€&lt;�&bogus;",
+        "&#38;lt;&amp;#65;&lt;&AMP;": "&lt;&#65;<&",
+        "x&y": "x&y",
+    }
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = {r.t: r.u for r in df.select("t", H.unescape(F.col("t")).alias("u")).collect()}
+    assert got == texts
 
 
 def snapshots(spark, url, sizes):

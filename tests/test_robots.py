@@ -4,7 +4,6 @@ import random
 from urllib.robotparser import RobotFileParser
 
 import pytest
-from pyspark.sql import functions as F
 
 from sitewright.operators import robots as B
 from sitewright.sources import sitemap_files as X

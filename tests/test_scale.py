@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from sitewright.operators import generate as G
 from sitewright.operators import graph, schedule, skew
 from sitewright.operators.registry import batch_frontier
-from sitewright.session import materialize, shared_dir
+from sitewright.session import clear_work, materialize, shared_dir
 
 
 def skewed(n, seed=5):
@@ -191,3 +191,11 @@ def test_small_sides_are_left_to_spark(spark):
     right = materialize(spark.createDataFrame([("hot", 1)], "k string, n int"), "test")
     plan = skew.lookup_join(left, right, "g", "k", "left", ["id"])
     assert "TakeOrdered" not in plan._jdf.queryExecution().executedPlan().toString()
+
+
+def test_clear_work_removes_what_was_written(spark):
+    df = materialize(spark.range(5), "test")
+    path = df.inputFiles()[0]
+    clear_work(spark)
+    with pytest.raises(Exception, match="PATH_NOT_FOUND|does not exist"):
+        spark.read.parquet(path).count()

@@ -1,6 +1,5 @@
 import gzip
 import os
-import re
 import xml.etree.ElementTree as ET
 from datetime import datetime
 

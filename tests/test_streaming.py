@@ -2,7 +2,6 @@ import glob
 import os
 from datetime import datetime, timedelta
 
-from pyspark.sql import functions as F
 
 from sitewright.operators import registry as R
 from sitewright.sources import tables

@@ -54,20 +54,21 @@ def progress(crawl_log: DataFrame, delay: str = "10 minutes", width: str = "1 ho
     )
 
 
-def _earliest_per_url(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for frame in frames:
-        yield frame.groupby("url", as_index=False)["fetched_at"].min()
-
-
 def first_seen(crawl_log: DataFrame, delay: str = "1 day") -> DataFrame:
     """Each normalised URL once within the watermark.
 
     Repeats are dropped per Arrow batch before the shuffle, so a URL that makes up
     much of a micro-batch does not reach one task row by row.
     """
+
+    # Local, so that it travels by value: workers need not have this package.
+    def earliest_per_url(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            yield frame.groupby("url", as_index=False)["fetched_at"].min()
+
     urls = crawl_log.select(U.url_normalize("url").alias("url"), "fetched_at")
     return (
-        urls.mapInPandas(_earliest_per_url, urls.schema)
+        urls.mapInPandas(earliest_per_url, urls.schema)
         .withWatermark("fetched_at", delay)
         .dropDuplicatesWithinWatermark(["url"])
         .select("url")

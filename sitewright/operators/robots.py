@@ -2,26 +2,39 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import url as U
 from ..functions.html import strip_ws
 from ..session import materialize
-from .skew import HOT_ROWS, lookup_join
+from .skew import HOT_ROWS, lookup_join, ranked
 
 
 def _text(line: Column) -> Column:
     return strip_ws(F.regexp_replace(line, "#.*$", ""))
 
 
-def robots_rules(lines: DataFrame) -> DataFrame:
-    """``lines(host, line_no, line)`` to ``(host, group_no, agent, rule_no, allow, path)``.
+BLOCK = 10_000
+
+
+@dataclass(frozen=True)
+class RobotsTables:
+    """Parsed robots.txt files.
 
-    A group is a run of agent lines and the rules under it; a blank line ends the
-    group. One row per agent and rule, agents in lower case, paths decoded. The
-    windows run within one file.
+    ``agents(host, group_no, agent)`` in lower case; ``rules(host, group_no, rule_no,
+    allow, path)`` with decoded paths. The two meet by group only: a group's agents
+    and rules are never paired up.
     """
+
+    agents: DataFrame
+    rules: DataFrame
+
+
+def _line_kinds(lines: DataFrame) -> DataFrame:
+    """Lines that count: ``(host, line_no, kind, value)``."""
     field = F.lower(F.trim(F.substring_index(_text(F.col("line")), ":", 1)))
     value = U.percent_decode(F.trim(F.regexp_replace(_text(F.col("line")), "^[^:]*:", "")))
     kind = (
@@ -31,21 +44,63 @@ def robots_rules(lines: DataFrame) -> DataFrame:
         .when(field.isin("allow", "disallow"), field)
         .when(field.isin("crawl-delay", "request-rate"), "other")
     )
-    rows = lines.select("host", "line_no", kind.alias("kind"), value.alias("value")).filter(
+    return lines.select("host", "line_no", kind.alias("kind"), value.alias("value")).filter(
         F.col("kind").isNotNull()
     )
-    in_file = Window.partitionBy("host").orderBy("line_no")
-    opens = (F.col("kind") == "agent") & (F.coalesce(F.lag("kind").over(in_file), F.lit("")) != "agent")
-    state = F.last(F.when(F.col("kind").isin("agent", "blank"), F.col("kind")), ignorenulls=True)
-    grouped = (
-        rows.withColumn("opens", opens.cast("int"))
-        .withColumn("group_no", F.sum("opens").over(in_file))
-        .withColumn("state", state.over(in_file))
+
+
+def _grouped_lines(lines: DataFrame, block: int) -> DataFrame:
+    """Lines with their group number and whether an agent line still holds.
+
+    A group opens at an agent line that does not follow another one. Both facts
+    depend on earlier lines, so lines are numbered and read in blocks: each block
+    is one small window, and what it needs from before comes from one summary row
+    per earlier block. A long file is spread like many short ones.
+    """
+    numbered = ranked(_line_kinds(lines), [F.asc("line_no")], ["host"], "no").withColumn(
+        "block", F.floor((F.col("no") - 1) / block)
+    )
+    is_state = F.col("kind").isin("agent", "blank")
+    blocks = Window.partitionBy("host").orderBy("block")
+    earlier = blocks.rowsBetween(Window.unboundedPreceding, -1)
+    tails = numbered.groupBy("host", "block").agg(
+        F.max_by("kind", "no").alias("tail"),
+        F.max(F.when(is_state, F.struct("no", "kind")))["kind"].alias("state"),
+    )
+    carried = tails.select(
+        "host",
+        "block",
+        F.lag("tail").over(blocks).alias("tail_before"),
+        F.last("state", ignorenulls=True).over(earlier).alias("state_before"),
+    )
+    in_block = Window.partitionBy("host", "block").orderBy("no")
+    previous = F.coalesce(F.lag("kind").over(in_block), F.col("tail_before"), F.lit(""))
+    state = F.last(F.when(is_state, F.col("kind")), ignorenulls=True).over(in_block)
+    opened = (
+        numbered.join(carried, ["host", "block"])
+        .withColumn("opens", ((F.col("kind") == "agent") & (previous != "agent")).cast("int"))
+        .withColumn("state", F.coalesce(state, "state_before"))
+    )
+    opened = materialize(opened.drop("tail_before", "state_before"), "robots-lines")
+    sums = opened.groupBy("host", "block").agg(F.sum("opens").alias("n"))
+    before = sums.select(
+        "host", "block", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("groups_before")
     )
+    return opened.join(before, ["host", "block"]).withColumn(
+        "group_no", F.col("groups_before") + F.sum("opens").over(in_block)
+    )
+
+
+def parse_robots(lines: DataFrame, block: int = BLOCK) -> RobotsTables:
+    """``lines(host, line_no, line)`` to agents and rules.
+
+    A group is a run of agent lines and the rules under it; a blank line ends it.
+    """
+    grouped = materialize(_grouped_lines(lines, block), "robots-groups")
     agents = grouped.filter(F.col("kind") == "agent").select(
         "host", "group_no", F.lower("value").alias("agent")
     )
-    paths = grouped.filter(
+    rules = grouped.filter(
         F.col("kind").isin("allow", "disallow", "other") & (F.col("state") == "agent")
     ).select(
         "host",
@@ -56,33 +111,36 @@ def robots_rules(lines: DataFrame) -> DataFrame:
         ((F.col("kind") != "disallow") | (F.col("value") == "")).alias("allow"),
         F.when(F.col("kind") != "other", F.col("value")).alias("path"),
     )
-    return agents.join(paths, ["host", "group_no"]).select(
-        "host", "group_no", "agent", "rule_no", "allow", "path"
-    )
+    return RobotsTables(agents, rules)
 
 
-def applicable_rules(rules: DataFrame, user_agent: str) -> DataFrame:
+def applicable_rules(
+    tables: RobotsTables, user_agent: str, hot_rows: int = HOT_ROWS
+) -> DataFrame:
     """Rules of the one group per host that binds ``user_agent``.
 
     The first group in file order whose agent is part of the name, the first ``*``
-    group last.
+    group last; a group that lists ``*`` among its agents counts as such and no
+    other; groups without rules do not count.
     """
     name = user_agent.split("/")[0].lower()
     named = (F.col("agent") != "*") & F.contains(F.lit(name), F.col("agent"))
-    # A group that lists * among its agents is the default group and no other.
-    is_default = F.max((F.col("agent") == "*").cast("int")) == 1
-    groups = rules.groupBy("host", "group_no").agg(
-        F.max(named.cast("int")).alias("named"), is_default.alias("is_default")
-    )
-    candidate = groups.filter(F.col("is_default") | (F.col("named") == 1))
-    chosen = candidate.groupBy("host").agg(
-        F.min_by("group_no", F.struct(F.col("is_default").cast("int"), "group_no")).alias("group_no")
+    groups = (
+        tables.agents.groupBy("host", "group_no")
+        .agg(F.max(named).alias("named"), F.max(F.col("agent") == "*").alias("is_default"))
+        .filter(F.col("named") | F.col("is_default"))
+        .join(tables.rules.select("host", "group_no").distinct(), ["host", "group_no"], "left_semi")
     )
-    return (
-        rules.join(chosen, ["host", "group_no"], "left_semi")
-        .select("host", "rule_no", "allow", "path")
-        .distinct()
+    key = F.concat_ws(" ", "host", "group_no")
+    chosen = (
+        groups.groupBy("host")
+        .agg(F.min_by("group_no", F.struct("is_default", "group_no")).alias("group_no"))
+        .select(key.alias("_chosen"))
     )
+    rules = tables.rules.withColumn("_group", key)
+    return lookup_join(
+        rules, chosen, "_group", "_chosen", "left_semi", ["rule_no"], hot_rows
+    ).select("host", "rule_no", "allow", "path")
 
 
 def robots_path(url: Column | str) -> Column:
@@ -101,7 +159,7 @@ def robots_path(url: Column | str) -> Column:
 
 
 def robots_allowed(
-    urls: DataFrame, rules: DataFrame, user_agent: str, hot_rows: int = HOT_ROWS
+    urls: DataFrame, tables: RobotsTables, user_agent: str, hot_rows: int = HOT_ROWS
 ) -> DataFrame:
     """``(url, allowed)``: the first rule in file order whose path is a prefix decides.
 
@@ -111,7 +169,8 @@ def robots_allowed(
     """
     # Written once: both lookups below read it, and its real size decides their joins.
     bound = materialize(
-        applicable_rules(rules, user_agent).withColumn("_len", F.length("path")), "robots"
+        applicable_rules(tables, user_agent, hot_rows).withColumn("_len", F.length("path")),
+        "robots",
     )
     first = bound.groupBy("host", "path").agg(
         F.min_by(F.struct("rule_no", "allow"), "rule_no").alias("_rule")

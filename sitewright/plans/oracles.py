@@ -867,7 +867,14 @@ def all_oracles() -> dict[str, str]:
     o["valid_urls_final"] = w("crawl_log", extra=LATEST) + (
         "SELECT url, status_code FROM latest WHERE status_code = 200 AND coalesce(error_message, '') = ''"
     )
-    o["robots_rules"] = w("robots_lines", extra=ROBOTS_RULES) + "SELECT * FROM robots_rules"
+    o["robots_rules"] = w("robots_lines", extra=ROBOTS_RULES) + (
+        "SELECT host, CAST(group_no AS BIGINT) AS group_no, line_no AS rule_no, (kind <> 'disallow' OR value = '') AS allow, "
+        "CASE WHEN kind <> 'other' THEN value END AS path FROM rg WHERE kind IN ('allow', 'disallow', 'other') "
+        "AND state = 'agent'"
+    )
+    o["robots_agents"] = w("robots_lines", extra=ROBOTS_RULES) + (
+        "SELECT host, CAST(group_no AS BIGINT) AS group_no, lower(value) AS agent FROM rg WHERE kind = 'agent'"
+    )
     o["robots_allowed"] = w(
         "robots_lines", "site_pages", "job_urls",
         extra=robots_verdict("sitebot", "SELECT url FROM site_pages UNION ALL SELECT url FROM job_urls"),

@@ -519,20 +519,25 @@ def valid_urls_final(t):
 @query
 def robots_allowed(t):
     urls = t.site_pages.select("url").unionByName(t.job_urls.select("url"))
-    return robots.robots_allowed(urls, robots.robots_rules(t.robots_lines), AGENT)
+    return robots.robots_allowed(urls, robots.parse_robots(t.robots_lines), AGENT)
 
 
 @query
 def robots_blocked(t):
     verdicts = robots.robots_allowed(
-        t.site_pages.select("url"), robots.robots_rules(t.robots_lines), "otherbot"
+        t.site_pages.select("url"), robots.parse_robots(t.robots_lines), "otherbot"
     )
     return robots.blocked_results(verdicts)
 
 
 @query
 def robots_rules(t):
-    return robots.robots_rules(t.robots_lines)
+    return robots.parse_robots(t.robots_lines).rules
+
+
+@query
+def robots_agents(t):
+    return robots.parse_robots(t.robots_lines).agents
 
 
 @query

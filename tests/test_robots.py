@@ -39,9 +39,9 @@ def expected(texts, agent):
     return out
 
 
-def verdicts(spark, texts, agent, **kw):
+def verdicts(spark, texts, agent, block=B.BLOCK, **kw):
     urls = spark.createDataFrame([(f"http://{h}{p}",) for h in texts for p in PATHS], "url string")
-    rules = B.robots_rules(lines(spark, texts))
+    rules = B.parse_robots(lines(spark, texts), block)
     return {r.url: r.allowed for r in B.robots_allowed(urls, rules, agent, **kw).collect()}
 
 
@@ -64,11 +64,13 @@ def test_hot_hosts_and_random_files(spark, no_broadcast):
     texts = {f"h{i}.com": text() for i in range(25)}
     want = expected(texts, "SiteBot")
     assert verdicts(spark, texts, "SiteBot", hot_rows=3) == want
+    # Blocks of three lines: groups and states carry over from block to block.
+    assert verdicts(spark, texts, "SiteBot", block=3) == want
 
 
 def test_blocked(spark):
     urls = spark.createDataFrame([("http://order/a/z",), ("http://order/a/b",)], "url string")
-    v = B.robots_allowed(urls, B.robots_rules(lines(spark, TEXTS)), "x")
+    v = B.robots_allowed(urls, B.parse_robots(lines(spark, TEXTS)), "x")
     assert [tuple(r) for r in B.blocked_results(v).collect()] == [
         ("http://order/a/z", 403, "Disallowed by robots.txt")]
 

@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sitewright.llm import bpe, chat
-from sitewright.llm.common import documents, table
+from sitewright.llm import bpe, chat, quality
+from sitewright.llm.common import documents, remainder, table
 
 RANKS = "byte_bpe_50k.tiktoken"
 
@@ -41,9 +41,22 @@ def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.read_back(chat.format_chats(rows)))
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    held = remainder("doc_id", 4) == 2
+    weights = quality.train(docs, table(spark, sf_dir, "labels"), "quality", learn=~held)
+    return quality.score(docs, weights).select(
+        "doc_id",
+        held.alias("held_out"),
+        "score",
+        (F.col("score") >= 0.7).cast("int").alias("predicted"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_byte_bpe": op4_byte_bpe,
     "op5_chat_format": op5_chat_format,
+    "op8_quality": op8_quality,
 }
 
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sitewright.llm import bpe, chat, lm, quality
+from sitewright.llm import bpe, chat, lm, ngram_join, quality
 from sitewright.llm.common import documents, remainder, table
 
 RANKS = "byte_bpe_50k.tiktoken"
@@ -61,11 +61,16 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.link_components(documents(spark, sf_dir), width=3, percent=90)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_byte_bpe": op4_byte_bpe,
     "op5_chat_format": op5_chat_format,
     "op6_lm_score": op6_lm_score,
     "op8_quality": op8_quality,
+    "op9_ngram_join": op9_ngram_join,
 }
 
 

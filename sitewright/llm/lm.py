@@ -3,15 +3,15 @@
 Training counts how often each byte follows each context of ``ORDER`` bytes in the training
 documents; shorter contexts are sums of these. Together they are a trie of contexts.
 A byte is scored in the longest context that the trie holds. Where it never followed there, the
-model pays the escape (method C: distinct followers over occurrences plus distinct followers)
-and goes on in the context without its oldest byte, with the followers of the longer context
+model pays the escape (method D: half the distinct followers over all occurrences; a follower seen
+c times has c less a half of them) and goes on in the context without its oldest byte, with the followers of the longer context
 excluded. Below order 0 the bytes not yet excluded are equally likely. A text starts after
 ``ORDER`` start marks and pays for an end mark. Scores are log10 probabilities of whole texts,
 from the pretrained trie.
 
 The trie that scorers receive has at most ``NODES`` nodes of full order: all of them where there
 are fewer, else those that occur at least as often as the lowest count that keeps within the
-bound. The bound belongs to the model (about 100 MB for a scorer) and not to the data: every
+bound. The bound belongs to the model (about 200 MB for a scorer) and not to the data: every
 training document is counted, and bytes after a node left out are scored by escape.
 
 The base is the word unigram model with one added to every count. Words that make up at least
@@ -38,8 +38,8 @@ from pyspark.sql import functions as F
 from sitewright.llm.common import UPPER, ship, texts
 from sitewright.session import materialize
 
-ORDER = 5
-NODES = 1 << 21
+ORDER = 6
+NODES = 1 << 22
 HEAVY = 1 << 16
 START, END = b"\xfe", b"\xff"  # bytes that UTF-8 never has
 _FLUSH = 4_000_000
@@ -149,9 +149,9 @@ class Trie:
     def index(self) -> None:
         """Lay full-order nodes out for direct probes; those that meet another one go to a sorted rest."""
         keys, counts = self.nodes[-1]
-        above, total, kinds, _ = self.contexts[-1]
+        above, total, _, _ = self.contexts[-1]
         at = np.searchsorted(above, keys >> np.uint64(8))
-        value = (np.log10(counts) - np.log10(total[at] + kinds[at])).astype(np.float32) if len(keys) else counts
+        value = (np.log10(counts - 0.5) - np.log10(total[at])).astype(np.float32) if len(keys) else counts
         bits = max(10, int(len(keys)).bit_length() + 1)
         self.shift = np.uint64(64 - bits)
         self.slots = np.full(1 << bits, np.uint64(2**64 - 1))
@@ -198,9 +198,9 @@ class Trie:
             at = np.minimum(np.searchsorted(nodes, asked), len(nodes) - 1)
             found = nodes[at] == asked
             with np.errstate(divide="ignore", invalid="ignore"):
-                out[left[found]] += np.log10(counts[at[found]] / (t + d)[found])
+                out[left[found]] += np.log10((counts[at[found]] - 0.5) / t[found])
                 paid = known & ~found & (d > 0)
-                out[left[paid]] += np.log10((d / (t + d))[paid])
+                out[left[paid]] += np.log10((d / (2 * t))[paid])
             cut_total[left] = np.where(known, excluded[c] if k else 0, 0)
             cut_kinds[left] = np.where(known, kinds[c], 0)
             left = left[~found]
@@ -209,8 +209,10 @@ class Trie:
 
 
 def _scored(batches: Iterator[pa.RecordBatch], model, heavy) -> Iterator[pa.RecordBatch]:
-    trie, known = Trie(*model.value), heavy.value
-    trie.index()
+    if "trie" not in model.value:  # built once in a worker, which keeps the broadcast value
+        model.value["trie"] = Trie(*model.value["nodes"])
+        model.value["trie"].index()
+    trie, known = model.value["trie"], heavy.value
     order = trie.order
     for batch in batches:
         for at in range(0, batch.num_rows, 256):
@@ -247,8 +249,10 @@ def train(docs: DataFrame, order: int = ORDER, nodes: int = NODES) -> tuple[np.n
             least = _least(counted, 1 << p, room)
             break
         room -= by_power[p]
-    kept = counted.where(F.col("n") >= least).orderBy("gram").toPandas()
-    return kept.gram.to_numpy().astype(np.uint64), kept.n.to_numpy(), order
+    kept = counted.where(F.col("n") >= least).toArrow()  # columns of numbers, 16 bytes a node
+    keys, counts = kept["gram"].to_numpy().astype(np.uint64), kept["n"].to_numpy()
+    by_key = np.argsort(keys)
+    return keys[by_key], counts[by_key], order
 
 
 def _least(counted: DataFrame, low: int, room: int) -> int:
@@ -272,7 +276,7 @@ def score(docs: DataFrame, learn: Column, order: int = ORDER, nodes: int = NODES
     total = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     often = counts.where(F.col("c") * HEAVY >= total.n).collect()  # at most HEAVY rows
     heavy = spark.sparkContext.broadcast({bytes(r.word): math.log10(r.c + 1) for r in often})
-    model = spark.sparkContext.broadcast(train(learned, order, nodes))
+    model = spark.sparkContext.broadcast({"nodes": train(learned, order, nodes)})
     rows = texts(docs).mapInArrow(
         partial(_scored, model=model, heavy=heavy),
         "doc_id long, n_tokens long, n_known long, base double, rare array<binary>, rare_n array<long>, score double",

@@ -27,7 +27,31 @@ SELECT conv_id,
 FROM escaped GROUP BY conv_id
 """
 
-ORACLES: dict[str, str] = {"op5_chat_format": OP5}
+OP7 = r"""
+WITH item_words AS (
+  SELECT DISTINCT item_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda w: w <> '') AS words
+  FROM benchmark
+), items AS (
+  SELECT DISTINCT item_id, least(len(words), 5) AS width, array_to_string(list_slice(words, i, i + least(len(words), 5) - 1), ' ') AS shingle
+  FROM (SELECT item_id, words, unnest(range(1, len(words) - least(len(words), 5) + 2)) AS i FROM item_words WHERE len(words) > 0)
+), sizes AS (
+  SELECT item_id, count(*) AS n_shingles FROM items GROUP BY item_id
+), doc_words AS (
+  SELECT doc_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda w: w <> '') AS words
+  FROM documents
+), docs AS (
+  SELECT DISTINCT doc_id, width, array_to_string(list_slice(words, i, i + width - 1), ' ') AS shingle
+  FROM (
+    SELECT doc_id, words, width, unnest(range(1, len(words) - width + 2)) AS i
+    FROM doc_words, (SELECT DISTINCT width FROM items) WHERE len(words) >= width
+  )
+)
+SELECT doc_id, item_id, CAST(count(*) AS INTEGER) AS n_shared, CAST(any_value(n_shingles) AS INTEGER) AS n_shingles
+FROM docs JOIN items USING (width, shingle) JOIN sizes USING (item_id)
+GROUP BY doc_id, item_id HAVING count(*) * 100 >= any_value(n_shingles) * 80
+"""
+
+ORACLES: dict[str, str] = {"op7_decontaminate": OP7, "op5_chat_format": OP5}
 
 
 def llm_oracles() -> dict[str, str]:

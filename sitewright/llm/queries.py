@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sitewright.llm import bpe, chat, lm, ngram_join, quality
+from sitewright.llm import bpe, chat, decontaminate, line_dedup, lm, ngram_join, quality
 from sitewright.llm.common import documents, remainder, table
 
 RANKS = "byte_bpe_50k.tiktoken"
@@ -65,10 +65,24 @@ def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.link_components(documents(spark, sf_dir), width=3, percent=90)
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = line_dedup.remove_repeats(documents(spark, sf_dir).select("doc_id", "text"))
+    return left.select(
+        "doc_id", "lines_removed", F.length("text").cast("long").alias("chars_left"), F.sha2("text", 256).alias("text_sha256")
+    )
+
+
+def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.contained(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", "n_shared", "n_shingles").distinct()
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_line_dedup": op1_line_dedup,
     "op4_byte_bpe": op4_byte_bpe,
     "op5_chat_format": op5_chat_format,
     "op6_lm_score": op6_lm_score,
+    "op7_decontaminate": op7_decontaminate,
     "op8_quality": op8_quality,
     "op9_ngram_join": op9_ngram_join,
 }

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sitewright.llm import bpe, chat, decontaminate, line_dedup, lm, ngram_join, quality
+from sitewright.llm import bpe, chat, decontaminate, line_dedup, lm, ngram_join, pii, quality
 from sitewright.llm.common import documents, remainder, table
 
 RANKS = "byte_bpe_50k.tiktoken"
@@ -77,6 +77,10 @@ def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "item_id", "n_shared", "n_shingles").distinct()
 
 
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.per_document(pii.spans(documents(spark, sf_dir)))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op4_byte_bpe": op4_byte_bpe,
@@ -85,6 +89,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_decontaminate": op7_decontaminate,
     "op8_quality": op8_quality,
     "op9_ngram_join": op9_ngram_join,
+    "op10_pii": op10_pii,
 }
 
 

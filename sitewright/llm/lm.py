@@ -11,7 +11,7 @@ from the pretrained trie.
 
 The trie that scorers receive has at most ``NODES`` nodes of full order: all of them where there
 are fewer, else those that occur at least as often as the lowest count that keeps within the
-bound. The bound belongs to the model (about 200 MB for a scorer) and not to the data: every
+bound. The bound belongs to the model (about 150 MB for a scorer) and not to the data: every
 training document is counted, and bytes after a node left out are scored by escape.
 
 The base is the word unigram model with one added to every count. Words that make up at least
@@ -39,7 +39,7 @@ from sitewright.llm.common import UPPER, ship, texts
 from sitewright.session import materialize
 
 ORDER = 6
-NODES = 1 << 22
+NODES = 1 << 21
 HEAVY = 1 << 16
 START, END = b"\xfe", b"\xff"  # bytes that UTF-8 never has
 _FLUSH = 4_000_000
@@ -152,7 +152,7 @@ class Trie:
         above, total, _, _ = self.contexts[-1]
         at = np.searchsorted(above, keys >> np.uint64(8))
         value = (np.log10(counts - 0.5) - np.log10(total[at])).astype(np.float32) if len(keys) else counts
-        bits = max(10, int(len(keys)).bit_length() + 1)
+        bits = max(10, int(len(keys)).bit_length())
         self.shift = np.uint64(64 - bits)
         self.slots = np.full(1 << bits, np.uint64(2**64 - 1))
         self.values = np.zeros(1 << bits, np.float32)

@@ -1,8 +1,8 @@
 """Line deduplication: repeated runs of lines are kept once in the whole corpus.
 
 A text is cut at line feeds. Chunks are runs of lines whose borders follow from the lines themselves: a
-border stands behind a line where the rolling hash of the last ``WINDOW`` line hashes is 0 modulo
-``DIVISOR``, and on both sides of a line of ``LONG`` words or more, a passage of its own. So the
+border stands behind a line where the rolling hash of the last ``WINDOW`` line hashes has a given remainder modulo
+``DIVISOR`` (each of ``REMAINDERS`` cuts the text once), and on both sides of a line of ``LONG`` words or more, a passage of its own. So the
 chunks of a passage are the same wherever it stands, whatever surrounds it.
 
 Chunks of several lines, and long lines, that occur again are compared byte by byte (they
@@ -10,7 +10,7 @@ are grouped by their text) and all but the first, by id, version and place, are
 ``REACH`` lines before and behind, as far as they equal those around the first occurrence: the parts
 of a passage between its ends and its first and last border.
 
-Texts are shuffled only for chunks whose hash repeats; a chunk that very many documents hold is reduced before the
+Chunks are first told apart by hashes of their line hashes, a few numbers each. Texts are taken only of chunks whose hash repeats; a chunk that very many documents hold is reduced before the
 shuffle, and its occurrences meet their first one in a join that Spark splits. Ranges to
 remove are a few numbers a document.
 
@@ -29,6 +29,7 @@ from sitewright.session import materialize
 
 WINDOW = 2
 DIVISOR = 3
+REMAINDERS = (0, 1)
 LONG = 50
 REACH = 4
 _PRIME = (1 << 31) - 1
@@ -36,51 +37,68 @@ _PRIME = (1 << 31) - 1
 SMALL = 500_000
 
 
-def _lines(docs: DataFrame) -> DataFrame:
-    """(doc_id, version, lines, hashes, long) of non-empty texts."""
-    return (
+def chunks(docs: DataFrame) -> DataFrame:
+    """(doc_id, version, start, n, hash) of chunks of several lines and of long lines."""
+    lined = (
         docs.where(F.length("text") > 0)
         .select("doc_id", F.xxhash64("text").alias("version"), F.split("text", "\n", -1).alias("lines"))
-        .withColumn("hashes", F.transform("lines", lambda x: F.pmod(F.xxhash64(x), F.lit(_PRIME))))
-        .withColumn("long", F.transform("lines", lambda x: F.length(x) - F.length(F.replace(x, F.lit(" "), F.lit(""))) >= LONG - 1))
+        .select(
+            "doc_id",
+            "version",
+            F.transform("lines", lambda x: F.xxhash64(x)).alias("hashes"),
+            F.transform("lines", lambda x: F.length(x) - F.length(F.replace(x, F.lit(" "), F.lit(""))) >= LONG - 1).alias("long"),
+        )
+    )
+    rolling = " + ".join(f"if(i >= {k}, pmod(hashes[greatest(i - {k}, 0)], {_PRIME}), 0) * {31**k}" for k in range(WINDOW))
+    rolled = lined.withColumn("rolled", F.expr(f"transform(hashes, (h, i) -> pmod(pmod({rolling}, {_PRIME}), {DIVISOR}))"))
+    for r in REMAINDERS:
+        ends = F.expr(
+            f"""filter(sequence(0, size(hashes) - 1), i -> i = size(hashes) - 1 or long[i] or long[i + 1] or rolled[i] = {r})"""
+        )
+        cut = F.expr(f"transform(ends{r}, (e, k) -> named_struct('start', if(k = 0, 0, ends{r}[k - 1] + 1), 'stop', e + 1))")
+        rolled = rolled.withColumn(f"ends{r}", ends).withColumn(f"cut{r}", cut)
+    every = F.array_distinct(F.concat(*[F.col(f"cut{r}") for r in REMAINDERS]))
+    taken = F.expr(
+        """transform(filter(cut, c -> c.stop - c.start > 1 or long[c.start]),
+            c -> named_struct('start', c.start, 'n', c.stop - c.start, 'hash', xxhash64(slice(hashes, c.start + 1, c.stop - c.start))))"""
     )
+    return rolled.withColumn("cut", every).select("doc_id", "version", F.explode(taken).alias("c")).select("doc_id", "version", "c.*")
 
 
-def chunks(docs: DataFrame) -> DataFrame:
-    """(doc_id, version, start, n, hash, text, before, behind) of chunks of several lines and of long lines."""
-    rolling = " + ".join(f"coalesce(hashes[i - {k}], 0) * {31 ** k}" if k else "hashes[i]" for k in range(WINDOW))
-    guarded = rolling.replace("hashes[i - 1]", "if(i > 0, hashes[i - 1], 0)")
-    ends = F.expr(
-        f"""filter(sequence(0, size(lines) - 1), i -> i = size(lines) - 1 or long[i] or long[i + 1]
-            or pmod(pmod({guarded}, {_PRIME}), {DIVISOR}) = 0)"""
+def _hint(side: DataFrame) -> DataFrame:
+    return F.broadcast(side) if side.count() <= SMALL else side
+
+
+def _with_text(docs: DataFrame, again: DataFrame) -> DataFrame:
+    """(place, n, hash, text, before, behind) of chunks; only documents that have such chunks are cut again."""
+    wanted = materialize(
+        again.groupBy(F.col("doc_id").alias("id"), F.col("version").alias("v")).agg(F.collect_list(F.struct("start", "n", "hash")).alias("wanted")), "wanted"
     )
-    cut = F.expr("transform(ends, (e, k) -> named_struct('start', if(k = 0, 0, ends[k - 1] + 1), 'stop', e + 1))")
-    taken = F.expr("filter(cut, c -> c.stop - c.start > 1 or long[c.start])")
     full = F.expr(
-        f"""transform(taken, c -> named_struct('start', c.start, 'n', c.stop - c.start,
-            'text', array_join(slice(lines, c.start + 1, c.stop - c.start), '\\n'),
+        f"""transform(wanted, c -> named_struct('start', c.start, 'n', c.n, 'hash', c.hash,
+            'text', array_join(slice(lines, c.start + 1, c.n), '\n'),
             'before', slice(lines, greatest(c.start - {REACH}, 0) + 1, least(c.start, {REACH})),
-            'behind', slice(lines, c.stop + 1, {REACH})))"""
+            'behind', slice(lines, c.start + c.n + 1, {REACH})))"""
     )
+    given = docs.select("doc_id", "text").withColumn("version", F.xxhash64("text"))
+    same = given.doc_id.eqNullSafe(F.col("id")) & (given.version == F.col("v"))
     return (
-        _lines(docs)
-        .withColumn("ends", ends)
-        .withColumn("cut", cut)
-        .withColumn("taken", taken)
+        given.join(_hint(wanted), same)
+        .select("doc_id", "version", "wanted", F.split("text", "\n", -1).alias("lines"))
         .select("doc_id", "version", F.explode(full).alias("c"))
-        .select("doc_id", "version", "c.*", F.xxhash64("c.text").alias("hash"))
+        .select(F.struct("doc_id", "version", "c.start").alias("place"), "c.n", "c.hash", "c.text", "c.before", "c.behind")
     )
 
 
 def repeats(docs: DataFrame) -> DataFrame:
     """(doc_id, version, start, stop): lines to remove; ranges of a document may overlap."""
-    each = chunks(docs.select("doc_id", "text"))
+    each = materialize(chunks(docs), "places")
     place = F.struct("doc_id", "version", "start")
     # Equal rows give equal places, so the least and the greatest differ only where the chunk really occurs again.
     shared = (
         each.select("hash", place.alias("p")).groupBy("hash").agg(F.min("p").alias("a"), F.max("p").alias("b")).where("not (a <=> b)").select("hash")
     )
-    again = materialize(each.join(shared, "hash").select("hash", "text", "n", "before", "behind", place.alias("place")), "chunks")
+    again = materialize(_with_text(docs, each.join(shared, "hash").distinct()), "chunks")
     first = (
         again.groupBy("hash", "text")
         .agg(F.min(F.struct("place", "before", "behind")).alias("f"))
@@ -108,10 +126,9 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
         .withColumnsRenamed({"doc_id": "__id", "version": "__version"})
     )
     gaps = materialize(gaps, "gaps")
-    small = gaps.count() <= SMALL
     given = docs.drop("lines_removed")
     same = given.doc_id.eqNullSafe(F.col("__id")) & (F.xxhash64(given.text) == F.col("__version"))
-    joined = given.join(F.broadcast(gaps) if small else gaps, same, "left")
+    joined = given.join(_hint(gaps), same, "left")
     lines = F.split("text", "\n", -1)
     # The one-element array binds the lines, so that a text is cut once and not for every gap.
     kept = F.flatten(

@@ -8,21 +8,53 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from sitewright.llm import bpe
-from sitewright.llm.common import documents
+from sitewright.llm import bpe, decontaminate, line_dedup, ngram_join, quality
+from sitewright.llm.common import documents, table
 from sitewright.llm.queries import vocabulary
 from sitewright.session import materialize
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
+#: A document goes if it is more likely bad than good.
+LEAST_QUALITY = 0.5
+
+
+def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier, learned from the labels, does not reject."""
+    weights = quality.train(docs, table(spark, sf_dir, "labels"), "quality")
+    return quality.score(docs, weights).where(F.col("score") >= LEAST_QUALITY).drop("score")
+
+
+def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Repeated passages stand once in the corpus; documents of which nothing is left go."""
+    left = line_dedup.remove_repeats(docs).where((F.col("lines_removed") == 0) | (F.trim("text") != "")).drop("lines_removed")
+    return left.withColumn("n_chars", F.length("text").cast("long"))
+
+
+def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of linked near duplicates (five words, 0.8) the one of the smallest id."""
+    return ngram_join.keep_one(docs, width=5, percent=80)
+
+
+def untested(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that contain no benchmark item."""
+    return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
+
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token counts and digests of what is left."""
     return bpe.round_trip(docs, *vocabulary())
 
 
-STAGES: list[tuple[str, Stage]] = [("byte_bpe", tokens)]
+STAGES: list[tuple[str, Stage]] = [
+    ("quality", good),
+    ("line_dedup", without_repeated_lines),
+    ("ngram_join", one_of_each_group),
+    ("decontaminate", untested),
+    ("byte_bpe", tokens),
+]
 
 #: The models of stage 1 are not expressible in SQL.
 ORACLE_SQL: str | None = None

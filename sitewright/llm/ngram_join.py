@@ -120,7 +120,8 @@ def _prints(batches: Iterator[pa.RecordBatch], width: int, percent: int) -> Iter
             flat = np.concatenate(keys) if keys else np.empty(0, np.uint64)
             lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat.view(np.int64)))
             yield pa.RecordBatch.from_arrays(
-                [part.column(0), pa.array(sizes, pa.int64()), pa.array(names, pa.binary()), lists], ["doc_id", "n", "key", "segments"]
+                [part.column(0), part.column(2), pa.array(sizes, pa.int64()), pa.array(names, pa.binary()), lists],
+                ["doc_id", "version", "n", "key", "segments"],
             )
 
 
@@ -255,11 +256,12 @@ def _window():
     return Window.partitionBy("segment").orderBy("class")
 
 
-def link_components(docs: DataFrame, width: int = 3, percent: int = 90) -> DataFrame:
-    """(doc_id, n_shingles, component_id) of every row of ``docs``."""
+def grouped_rows(docs: DataFrame, width: int = 3, percent: int = 90) -> DataFrame:
+    """(doc_id, version, n_shingles, group, component_id) of every row of ``docs``; version is a hash of the text, group null for empty sets."""
     prints = materialize(
         texts(docs)
-        .mapInArrow(partial(_prints, width=width, percent=percent), "doc_id long, n long, key binary, segments array<long>")
+        .withColumn("version", F.xxhash64("text"))
+        .mapInArrow(partial(_prints, width=width, percent=percent), "doc_id long, version long, n long, key binary, segments array<long>")
         .withColumn("row", F.monotonically_increasing_id()),
         "prints",
     )
@@ -290,10 +292,37 @@ def link_components(docs: DataFrame, width: int = 3, percent: int = 90) -> DataF
         step += 1
     rooted = classes.join(labels, "class", "left").select("class", "key", "low", F.coalesce("root", "class").alias("root"))
     names = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
-    by_class = rooted.join(names, "root").select("key", "component_id")
+    by_class = rooted.join(names, "root").select("key", F.col("root").alias("group"), "component_id")
     return prints.join(by_class, "key", "left").select(
-        "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id")
+        "doc_id", "version", F.col("n").alias("n_shingles"), "group", F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id")
     )
 
 
+def link_components(docs: DataFrame, width: int = 3, percent: int = 90) -> DataFrame:
+    """(doc_id, n_shingles, component_id) of every row of ``docs``."""
+    return grouped_rows(docs, width, percent).select("doc_id", "n_shingles", "component_id")
+
+
+def keep_one(docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """The rows of ``docs``, all columns, without those linked to a row of smaller id (then smaller hash of the text).
+
+    One of several equal rows stays. Rows with empty sets stay, all of them.
+    """
+    rows = materialize(grouped_rows(docs, width, percent).where(F.col("group").isNotNull()).select(F.col("doc_id").alias("__id"), F.col("version").alias("__v"), "group"), "grouped")
+    first = rows.groupBy("group").agg(F.min(F.struct("__id", "__v")).alias("first"))
+    gone = rows.join(first, "group").where("not (__id <=> first.__id and __v = first.__v)").select("__id", "__v").distinct()
+    gone = materialize(gone, "gone")
+    repeated = materialize(rows.groupBy("__id", "__v").count().where("count > 1").select("__id", "__v"), "repeated")
+    given = docs.withColumn("__version", F.xxhash64(F.coalesce("text", F.lit(""))))
+    same = given.doc_id.eqNullSafe(F.col("__id")) & (F.col("__version") == F.col("__v"))
+
+    def hint(side: DataFrame) -> DataFrame:
+        return F.broadcast(side) if side.count() <= SMALL else side
+
+    left = given.join(hint(gone), same, "left_anti")
+    if not repeated.isEmpty():
+        left = left.join(hint(repeated), same, "left_anti").unionByName(left.join(hint(repeated), same, "left_semi").dropDuplicates(["doc_id", "__version"]))
+    return left.drop("__version")
+
+
 ship(__name__)

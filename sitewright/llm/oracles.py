@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from sitewright.llm.queries import ORDER_KEY
+from sitewright.llm.token_output import LENGTH, PRIME, ROUNDS, SHARD_BYTES, Feistel
+
 OP5 = r"""
 WITH turns AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
@@ -51,7 +54,55 @@ FROM docs JOIN items USING (width, shingle) JOIN sizes USING (item_id)
 GROUP BY doc_id, item_id HAVING count(*) * 100 >= any_value(n_shingles) * 80
 """
 
-ORACLES: dict[str, str] = {"op7_decontaminate": OP7, "op5_chat_format": OP5}
+OP2 = """
+WITH vectors AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
+), scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2])) AS BIGINT) AS score
+  FROM vectors q JOIN vectors c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id
+), ranked AS (
+  SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM scored
+)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20
+"""
+
+
+
+def _slots(key: int, length: int, shard_bytes: int, walks: int = 12) -> str:
+    """Slots of all sequences: six keyed half rounds, walked on while the number is beyond the last."""
+    ctes = [
+        f"""docs AS (SELECT doc_id, strlen(text) AS bytes, CAST(ceil(strlen(text) / {length}.0) AS BIGINT) AS n FROM documents WHERE strlen(text) > 0)""",
+        "firsts AS (SELECT *, CAST(sum(n) OVER (ORDER BY doc_id) AS BIGINT) - n AS first FROM docs)",
+        "size AS (SELECT CAST(sum(n) AS BIGINT) AS total, CAST(ceil(sqrt(sum(n))) AS BIGINT) AS a FROM docs)",
+        "radix AS (SELECT total, a, CAST(ceil(total / CAST(a AS DOUBLE)) AS BIGINT) AS b FROM size)",
+        "v0 AS (SELECT doc_id, bytes, unnest(range(n)) AS seq_no, first FROM firsts)",
+        "w0 AS (SELECT doc_id, bytes, seq_no, first + seq_no AS x, false AS done FROM v0)",
+    ]
+    rounds = Feistel(1, key)
+    for w in range(walks):
+        ctes.append(f"s{w}_0 AS (SELECT w{w}.*, x // b AS l, x % b AS r FROM w{w}, radix)")
+        for i in range(ROUNDS):
+            m, k = rounds.keys(i)
+            moved, other, by = ("l", "r", "a") if i % 2 == 0 else ("r", "l", "b")
+            y = f"(({other} * {m} + {k}) % {PRIME})"
+            kept = f"{other}, ({moved} + ({y} * {y}) % {PRIME}) % {by} AS {moved}"
+            ctes.append(f"s{w}_{i + 1} AS (SELECT doc_id, bytes, seq_no, x, done, {kept} FROM s{w}_{i}, radix)")
+        ctes.append(
+            f"""w{w + 1} AS (SELECT doc_id, bytes, seq_no, CASE WHEN done THEN x ELSE l * b + r END AS x,
+            done OR l * b + r < total AS done FROM s{w}_{ROUNDS}, radix)"""
+        )
+    per_shard = shard_bytes // length
+    return (
+        "WITH " + ", ".join(ctes)
+        + f""" SELECT x AS slot, doc_id, seq_no, least({length}, bytes - seq_no * {length}) AS n_ids,
+        x // {per_shard} AS shard, (x % {per_shard}) * {length} AS byte_offset FROM w{walks}"""
+    )
+
+
+ORACLES: dict[str, str] = {"op3_token_output": _slots(ORDER_KEY, LENGTH, SHARD_BYTES), "op2_topk": OP2, "op7_decontaminate": OP7, "op5_chat_format": OP5}
 
 
 def llm_oracles() -> dict[str, str]:

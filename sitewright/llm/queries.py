@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sitewright.llm import bpe, chat, decontaminate, line_dedup, lm, ngram_join, pii, quality
+from sitewright.llm import bpe, chat, decontaminate, line_dedup, lm, ngram_join, pii, quality, token_output, topk
 from sitewright.llm.common import documents, remainder, table
+from sitewright.session import work_path
 
 RANKS = "byte_bpe_50k.tiktoken"
 
@@ -20,6 +21,20 @@ def vocabulary() -> tuple[str, str]:
     return public_tokenizers.path(RANKS), public_tokenizers.PATTERN
 
 
+def op2_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = topk.scaled(table(spark, sf_dir, "embeddings"), 64)
+    return topk.search(vectors, F.col("vec_id") % 20 == 0, 20)
+
+
+#: Fixes the training order.
+ORDER_KEY = 20240131
+
+
+def op3_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ids = documents(spark, sf_dir).select("doc_id", F.encode("text", "UTF-8").alias("ids"))
+    return token_output.write_shards(ids, work_path(spark, "shards"), ORDER_KEY)
+
+
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(documents(spark, sf_dir), *vocabulary())
 
@@ -83,6 +98,8 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
+    "op2_topk": op2_topk,
+    "op3_token_output": op3_token_output,
     "op4_byte_bpe": op4_byte_bpe,
     "op5_chat_format": op5_chat_format,
     "op6_lm_score": op6_lm_score,

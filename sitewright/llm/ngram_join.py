@@ -10,15 +10,15 @@ of its distinct ``width``-word shingles; the whole sequence where it has fewer w
    that very many documents share makes no long list of its own. Sizes fall in classes of ratio t; a set
    is cut for its size class and for the one below. Sets with more than one empty segment list those too.
    No linked pair is lost.
-3. In each list, pivots are compared with the members of other components: one pivot at first, then
-   eight times as many in each round, until every pair of a list is in one component or compared. Near
-   copies of one text fall together in the first round, so a large group costs one comparison a member.
-4. A comparison is a T-occurrence search of the pivot in an inverted index of a block of members,
-   by DivideSkip: short lists are merged and counted, members that may still reach the overlap
-   are looked up in the long lists by binary search.
+3. Classes that lists connect are a cluster. A cluster of up to ``CLUSTER`` classes is dealt into blocks, and every pair of blocks is
+   a unit of work: the sets of one block are looked up in the other. In larger clusters (copies of one text by the
+   million), lists are worked off by pivots: in each list one pivot is compared with the members of other
+   components, then, after these fell together, eight times as many in each round, until every pair of a list is in one component or compared.
+4. A look-up is a T-occurrence search in an inverted index of a block, by DivideSkip: short lists are merged and
+   counted, sets that may still reach the overlap are looked up in the long lists by binary search.
 
-Blocks hold at most ``BLOCK`` members; one task streams over its blocks and holds one at a time.
-Roles (which text goes to which block) are broadcast up to ``SMALL`` rows and joined beyond.
+Blocks hold about ``BLOCK`` sets; one task streams over its units and holds one at a time.
+Roles (which text goes to which unit) are broadcast up to ``SMALL`` rows and joined beyond.
 
 Every row is a document, also where ids repeat. Null ids are documents too; they never name a
 component that has other ids. Null and empty texts have empty sets, link with nothing and keep their own id.
@@ -42,6 +42,7 @@ from sitewright.llm.graph import components
 from sitewright.session import materialize
 
 BLOCK = 256
+CLUSTER = 16_384
 #: Rows of about 70 bytes that may be broadcast: 35 MB.
 SMALL = 500_000
 _LOWER = bytes.maketrans(UPPER.encode(), UPPER.lower().encode())
@@ -130,34 +131,44 @@ def needed(n: int, sizes: np.ndarray, percent: int) -> np.ndarray:
     return -(-percent * (n + sizes) // (100 + percent))
 
 
-def search(query: np.ndarray, members: list[np.ndarray], percent: int) -> list[int]:
-    """T-occurrence search by DivideSkip: members whose overlap with the query suffices."""
-    sizes = np.array([len(m) for m in members])
-    want = needed(len(query), sizes, percent)
-    want[(sizes * 100 < percent * len(query)) | (len(query) * 100 < percent * sizes)] = len(query) + 1
-    owner = np.repeat(np.arange(len(members)), sizes)
-    values = np.concatenate(members)
-    order = np.argsort(values, kind="stable")  # members stay in order within a list
-    values, owner = values[order], owner[order]
-    low, high = np.searchsorted(values, query, "left"), np.searchsorted(values, query, "right")
-    lengths = high - low
-    least = int(want.min())
-    if least > len(query):
-        return []
-    longest = max(int(lengths.max()), 1)
-    n_long = min(least - 1, int(least / (0.01 * math.log2(longest + 1) + 1)), len(query))
-    by_length = np.argsort(-lengths, kind="stable")
-    long, short = by_length[:n_long], by_length[n_long:]
-    merged = np.sort(np.concatenate([owner[low[i] : high[i]] for i in short])) if len(short) else owner[:0]
-    counts = np.bincount(merged, minlength=len(members))
-    left = np.flatnonzero(counts >= want - n_long)
-    for i in long:
-        if not len(left):
-            break
-        listed = owner[low[i] : high[i]]
-        at = np.searchsorted(listed, left)
-        counts[left] += (at < len(listed)) & (listed[np.minimum(at, len(listed) - 1)] == left) if len(listed) else False
-    return [int(i) for i in left if counts[i] >= want[i]]
+class Index:
+    """Inverted lists of a block: for every shingle the sets that hold it, in order."""
+
+    def __init__(self, members: list[np.ndarray], percent: int):
+        self.percent = percent
+        self.sizes = np.array([len(m) for m in members])
+        owner = np.repeat(np.arange(len(members)), self.sizes)
+        values = np.concatenate(members)
+        order = np.argsort(values, kind="stable")
+        self.values, self.owner = values[order], owner[order]
+
+    def search(self, query: np.ndarray) -> np.ndarray:
+        """T-occurrence search by DivideSkip: sets whose overlap with the query suffices."""
+        n = len(query)
+        want = needed(n, self.sizes, self.percent)
+        want[(self.sizes * 100 < self.percent * n) | (n * 100 < self.percent * self.sizes)] = n + 1
+        least = int(want.min())
+        if least > n:
+            return np.empty(0, np.int64)
+        low, high = np.searchsorted(self.values, query, "left"), np.searchsorted(self.values, query, "right")
+        lengths = high - low
+        longest = max(int(lengths.max()), 2)
+        n_long = min(least - 1, int(least / (math.log2(longest) + 1)))
+        by_length = np.argsort(-lengths, kind="stable")
+        long, short = by_length[:n_long], by_length[n_long:]
+        short = short[lengths[short] > 0]
+        merged = np.concatenate([self.owner[low[i] : high[i]] for i in short]) if len(short) else self.owner[:0]
+        counts = np.bincount(merged, minlength=len(self.sizes))
+        left = np.flatnonzero(counts >= want - n_long)
+        for done, i in enumerate(long):
+            left = left[counts[left] + (n_long - done) >= want[left]]
+            if not len(left):
+                break
+            listed = self.owner[low[i] : high[i]]
+            if len(listed):
+                at = np.minimum(np.searchsorted(listed, left), len(listed) - 1)
+                counts[left] += listed[at] == left
+        return left[counts[left] >= want[left]]
 
 
 def _sets(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
@@ -173,61 +184,77 @@ def _sets(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBa
 
 
 def _linked(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    """Sorted rows (pivot, salt, member, id, data): each block is its pivot's row and then its members'."""
-    block, query, ids, members = None, None, [], []
+    """Sorted rows (a, b, c, member, id, data): a unit's probes, then its members; without probes, members probe each other."""
+    unit, probes, members = None, [], []
 
-    def found() -> tuple[list[int], list[int]]:
-        hits = search(query, members, percent) if members and query is not None else []
-        return [block[0]] * len(hits), [ids[i] for i in hits]
+    def found() -> list[tuple[int, int]]:
+        if not members:
+            return []
+        index, out = Index([m for _, m in members], percent), []
+        for n, (own, data) in enumerate(probes or members):
+            hits = index.search(data)
+            out += [(own, members[i][0]) for i in (hits if probes else hits[hits > n])]
+        return out
+
+    def batch_of(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (zip(*pairs) if pairs else ([], []))], ["u", "v"])
 
     for batch in batches:
-        us, vs = [], []
-        for pivot, salt, member, own, data in zip(*(c.to_pylist() for c in batch.columns)):
-            if block != (pivot, salt):
-                if block:
-                    u, v = found()
-                    us += u
-                    vs += v
-                block, query, ids, members = (pivot, salt), None, [], []
-            held = np.frombuffer(data, np.uint64)
-            if not member:
-                query = held
-            elif not ids or ids[-1] != own:
-                ids.append(own)
-                members.append(held)
-        yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], ["u", "v"])
-    if block:
-        u, v = found()
-        yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
-
-
-def compare(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs (u pivot, v member) of classes that are linked."""
-    blocks = pairs.groupBy("u").agg(F.ceil(F.count("*") / BLOCK).alias("salts"))
-    members = pairs.join(blocks, "u").select(
-        F.col("v").alias("id"), F.col("u").alias("pivot"), F.pmod(F.xxhash64("v"), F.col("salts")).alias("salt"), F.lit(True).alias("member")
-    )
-    pivots = blocks.select(
-        F.col("u").alias("id"), F.col("u").alias("pivot"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"), F.lit(False).alias("member")
-    )
+        pairs: list[tuple[int, int]] = []
+        for a, b, c, member, own, data in zip(*(x.to_pylist() for x in batch.columns)):
+            if unit != (a, b, c):
+                pairs += found()
+                unit, probes, members = (a, b, c), [], []
+            side = members if member else probes
+            if not side or side[-1][0] != own:
+                side.append((own, np.frombuffer(data, np.uint64)))
+        yield batch_of(pairs)
+    yield batch_of(found())
+
+
+def compare(roles: DataFrame, classes: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """Linked pairs (u, v) of the classes that meet in a unit of ``roles`` (a, b, c, member, id)."""
     roles = materialize(
-        members.unionByName(pivots).join(classes.select(F.col("class").alias("id"), "low", "key"), "id").select("low", "key", "pivot", "salt", "member", "id"),
-        "roles",
+        roles.join(classes.select(F.col("class").alias("id"), "low", "key"), "id").select("low", "key", "a", "b", "c", "member", "id"), "roles"
     )
     small = roles.count() <= SMALL
-    given = texts(docs).withColumnRenamed("doc_id", "low")
-    rows = given.join(F.broadcast(roles) if small else roles, given.low.eqNullSafe(roles.low)).select("text", "key", "pivot", "salt", "member", "id")
-    kinds = "pivot long, salt long, member boolean, id long"
+    given = texts(docs).withColumnRenamed("doc_id", "doc")
+    rows = given.join(F.broadcast(roles) if small else roles, given.doc.eqNullSafe(roles.low)).select("text", "key", "a", "b", "c", "member", "id")
+    kinds = "a long, b long, c long, member boolean, id long"
     sets = rows.mapInArrow(partial(_sets, width=width), f"{kinds}, data binary")
-    dealt = sets.repartition("pivot", "salt").sortWithinPartitions("pivot", "salt", "member", "id")
+    dealt = sets.repartition("a", "b", "c").sortWithinPartitions("a", "b", "c", "member", "id")
     return dealt.mapInArrow(partial(_linked, percent=percent), "u long, v long")
 
 
+def _pivot_roles(pairs: DataFrame) -> DataFrame:
+    """A unit for each pivot u and each share of the classes v it is compared with."""
+    shares = pairs.groupBy("u").agg(F.ceil(F.count("*") / BLOCK).alias("shares"))
+    no = F.lit(-1).cast("long")
+    members = pairs.join(shares, "u").select(
+        F.col("u").alias("a"), F.pmod(F.xxhash64("v"), F.col("shares")).alias("b"), no.alias("c"), F.lit(True).alias("member"), F.col("v").alias("id")
+    )
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("shares") - 1))
+    probes = shares.select(F.col("u").alias("a"), every.alias("b"), no.alias("c"), F.lit(False).alias("member"), F.col("u").alias("id"))
+    return members.unionByName(probes)
+
+
+def _cluster_roles(clusters: DataFrame) -> DataFrame:
+    """Every pair of blocks of a cluster as a unit; (class, root, size) gives the blocks."""
+    own = F.pmod(F.xxhash64("class"), F.col("blocks"))
+    dealt = (
+        clusters.withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("long"))
+        .withColumn("own", own)
+        .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    )
+    member = F.col("own") >= F.col("other")  # the higher block is indexed, the lower one probes
+    return dealt.select(F.col("root").alias("a"), F.least("own", "other").alias("b"), F.greatest("own", "other").alias("c"), member.alias("member"), F.col("class").alias("id"))
+
+
 def _lists(classes: DataFrame) -> DataFrame:
-    """(segment, class) of segments that more than one class has."""
+    """(segment, first, class) of segments that more than one class has, with the first class of each."""
     each = classes.select(F.explode("segments").alias("segment"), "class")
-    shared = each.groupBy("segment").agg(F.min("class").alias("a"), F.max("class").alias("b")).where("a < b").select("segment")
-    return each.join(shared, "segment")
+    shared = each.groupBy("segment").agg(F.min("class").alias("first"), F.max("class").alias("last")).where("first < last").select("segment", "first")
+    return each.join(shared, "segment").select("segment", "first", "class")
 
 
 def _pairs(lists: DataFrame, labels: DataFrame, pivots: int) -> tuple[DataFrame, DataFrame]:
@@ -256,22 +283,8 @@ def _window():
     return Window.partitionBy("segment").orderBy("class")
 
 
-def grouped_rows(docs: DataFrame, width: int = 3, percent: int = 90) -> DataFrame:
-    """(doc_id, version, n_shingles, group, component_id) of every row of ``docs``; version is a hash of the text, group null for empty sets."""
-    prints = materialize(
-        texts(docs)
-        .withColumn("version", F.xxhash64("text"))
-        .mapInArrow(partial(_prints, width=width, percent=percent), "doc_id long, version long, n long, key binary, segments array<long>")
-        .withColumn("row", F.monotonically_increasing_id()),
-        "prints",
-    )
-    grouped = prints.where("n > 0").groupBy("key").agg(
-        F.min("row").alias("class"), F.min("doc_id").alias("low"), F.first("segments").alias("segments")
-    )
-    lists = materialize(_lists(grouped), "lists")
-    classes = materialize(
-        prints.where("n > 0").groupBy("key").agg(F.min("row").alias("class"), F.min("doc_id").alias("low")), "classes"
-    )
+def _large(lists: DataFrame, classes: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """Links of large clusters, list by list, by pivots; enough of them to connect what is connected."""
     spark = docs.sparkSession
     labels = spark.createDataFrame([], "class long, root long")
     links = spark.createDataFrame([], "u long, v long")
@@ -284,12 +297,39 @@ def grouped_rows(docs: DataFrame, width: int = 3, percent: int = 90) -> DataFram
             pairs = pairs.join(seen, ["u", "v"], "left_anti")
         pairs = materialize(pairs, "pairs")
         if not pairs.isEmpty():
-            links = links.union(materialize(compare(pairs, classes, docs, width, percent), "found"))
+            links = links.union(materialize(compare(_pivot_roles(pairs), classes, docs, width, percent), "found"))
             labels = components(links).select(F.col("node").alias("class"), "root")
             seen = pairs if seen is None else seen.union(pairs)
         elif more.isEmpty():
-            break
+            return links
         step += 1
+
+
+def grouped_rows(docs: DataFrame, width: int = 3, percent: int = 90, cluster: int = CLUSTER) -> DataFrame:
+    """(doc_id, version, n_shingles, group, component_id) of every row of ``docs``; version is a hash of the text, group null for empty sets."""
+    prints = materialize(
+        texts(docs)
+        .withColumn("version", F.xxhash64("text"))
+        .mapInArrow(partial(_prints, width=width, percent=percent), "doc_id long, version long, n long, key binary, segments array<long>")
+        .withColumn("row", F.monotonically_increasing_id()),
+        "prints",
+    )
+    grouped = prints.where("n > 0").groupBy("key").agg(
+        F.min("row").alias("class"), F.min("doc_id").alias("low"), F.first("segments").alias("segments")
+    )
+    lists = materialize(_lists(grouped), "lists")
+    classes = materialize(
+        prints.where("n > 0").groupBy("key").agg(F.min("row").alias("class"), F.min("doc_id").alias("low")), "classes"
+    )
+    joined = materialize(components(lists.where("first <> class").select(F.col("class").alias("u"), F.col("first").alias("v"))), "joined")
+    sizes = joined.groupBy("root").agg((F.count("*") + 1).alias("size"))
+    every = joined.union(joined.select(F.col("root"), "root").distinct()).withColumnRenamed("node", "class")
+    clusters = materialize(every.join(sizes, "root").select("class", "root", "size"), "clusters")
+    links = materialize(compare(_cluster_roles(clusters.where(F.col("size") <= cluster)), classes, docs, width, percent), "links")
+    large = clusters.where(F.col("size") > cluster).select("class")
+    if not large.isEmpty():
+        links = links.union(_large(materialize(lists.join(large, "class", "left_semi"), "large"), classes, docs, width, percent))
+    labels = components(links).select(F.col("node").alias("class"), "root")
     rooted = classes.join(labels, "class", "left").select("class", "key", "low", F.coalesce("root", "class").alias("root"))
     names = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
     by_class = rooted.join(names, "root").select("key", F.col("root").alias("group"), "component_id")
@@ -298,9 +338,9 @@ def grouped_rows(docs: DataFrame, width: int = 3, percent: int = 90) -> DataFram
     )
 
 
-def link_components(docs: DataFrame, width: int = 3, percent: int = 90) -> DataFrame:
+def link_components(docs: DataFrame, width: int = 3, percent: int = 90, cluster: int = CLUSTER) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row of ``docs``."""
-    return grouped_rows(docs, width, percent).select("doc_id", "n_shingles", "component_id")
+    return grouped_rows(docs, width, percent, cluster).select("doc_id", "n_shingles", "component_id")
 
 
 def keep_one(docs: DataFrame, width: int, percent: int) -> DataFrame:

@@ -2,13 +2,13 @@
 
 A text is cut at line feeds. Chunks are runs of lines whose borders follow from the lines themselves: a
 border stands behind a line where the rolling hash of the last ``WINDOW`` line hashes has a given remainder modulo
-``DIVISOR`` (each of ``REMAINDERS`` cuts the text once), and on both sides of a line of ``LONG`` words or more, a passage of its own. So the
+``DIVISOR`` (each of ``REMAINDERS`` cuts the text once; with modulus 1 every line is a border, and from each a chunk reaches over
+borders until it has ``LONG`` words or ``FINE`` lines, so that short passages are met too), and on both sides of a line of ``LONG`` words or more, a passage of its own. So the
 chunks of a passage are the same wherever it stands, whatever surrounds it.
 
 Chunks of several lines, and long lines, that occur again are compared byte by byte (they
-are grouped by their text) and all but the first, by id, version and place, are removed. Then removal goes on over up to
-``REACH`` lines before and behind, as far as they equal those around the first occurrence: the parts
-of a passage between its ends and its first and last border.
+are grouped by their text) and all but the first, by id, version and place, are removed. Chunks may overlap: what any of them
+covers goes. A line whose chunk is removed stands in the earlier occurrence, so no line is lost altogether.
 
 Chunks are first told apart by hashes of their line hashes, a few numbers each. Texts are taken only of chunks whose hash repeats; a chunk that very many documents hold is reduced before the
 shuffle, and its occurrences meet their first one in a join that Spark splits. Ranges to
@@ -30,8 +30,8 @@ from sitewright.session import materialize
 WINDOW = 2
 DIVISOR = 3
 REMAINDERS = (0, 1)
+FINE = 6
 LONG = 50
-REACH = 4
 _PRIME = (1 << 31) - 1
 #: Documents with removals whose ranges may be broadcast: about 100 MB.
 SMALL = 500_000
@@ -46,8 +46,9 @@ def chunks(docs: DataFrame) -> DataFrame:
             "doc_id",
             "version",
             F.transform("lines", lambda x: F.xxhash64(x)).alias("hashes"),
-            F.transform("lines", lambda x: F.length(x) - F.length(F.replace(x, F.lit(" "), F.lit(""))) >= LONG - 1).alias("long"),
+            F.transform("lines", lambda x: F.length(x) - F.length(F.replace(x, F.lit(" "), F.lit(""))) + 1).alias("words"),
         )
+        .withColumn("long", F.transform("words", lambda n: n >= LONG))
     )
     rolling = " + ".join(f"if(i >= {k}, pmod(hashes[greatest(i - {k}, 0)], {_PRIME}), 0) * {31**k}" for k in range(WINDOW))
     rolled = lined.withColumn("rolled", F.expr(f"transform(hashes, (h, i) -> pmod(pmod({rolling}, {_PRIME}), {DIVISOR}))"))
@@ -57,7 +58,14 @@ def chunks(docs: DataFrame) -> DataFrame:
         )
         cut = F.expr(f"transform(ends{r}, (e, k) -> named_struct('start', if(k = 0, 0, ends{r}[k - 1] + 1), 'stop', e + 1))")
         rolled = rolled.withColumn(f"ends{r}", ends).withColumn(f"cut{r}", cut)
-    every = F.array_distinct(F.concat(*[F.col(f"cut{r}") for r in REMAINDERS]))
+    # With modulus 1 every line ends at a border: chunks reach over borders until they have LONG words.
+    reached = [f"aggregate(slice(words, i + 1, {n}), 0, (a, w) -> a + w) >= {LONG}" for n in range(2, FINE)]
+    size = " ".join(f"when {test} then {n}" for n, test in zip(range(2, FINE), reached))
+    fine = F.expr(
+        f"""transform(filter(sequence(0, size(hashes) - 1), i -> not long[i] and i < size(hashes) - 1),
+            i -> named_struct('start', i, 'stop', least(size(hashes), i + case {size} else {FINE} end)))"""
+    )
+    every = F.array_distinct(F.concat(*[F.col(f"cut{r}") for r in REMAINDERS], fine))
     taken = F.expr(
         """transform(filter(cut, c -> c.stop - c.start > 1 or long[c.start]),
             c -> named_struct('start', c.start, 'n', c.stop - c.start, 'hash', xxhash64(slice(hashes, c.start + 1, c.stop - c.start))))"""
@@ -70,15 +78,13 @@ def _hint(side: DataFrame) -> DataFrame:
 
 
 def _with_text(docs: DataFrame, again: DataFrame) -> DataFrame:
-    """(place, n, hash, text, before, behind) of chunks; only documents that have such chunks are cut again."""
+    """(place, n, hash, text) of chunks; only documents that have such chunks are cut again."""
     wanted = materialize(
         again.groupBy(F.col("doc_id").alias("id"), F.col("version").alias("v")).agg(F.collect_list(F.struct("start", "n", "hash")).alias("wanted")), "wanted"
     )
     full = F.expr(
-        f"""transform(wanted, c -> named_struct('start', c.start, 'n', c.n, 'hash', c.hash,
-            'text', array_join(slice(lines, c.start + 1, c.n), '\n'),
-            'before', slice(lines, greatest(c.start - {REACH}, 0) + 1, least(c.start, {REACH})),
-            'behind', slice(lines, c.start + c.n + 1, {REACH})))"""
+        """transform(wanted, c -> named_struct('start', c.start, 'n', c.n, 'hash', c.hash,
+            'text', array_join(slice(lines, c.start + 1, c.n), '\n')))"""
     )
     given = docs.select("doc_id", "text").withColumn("version", F.xxhash64("text"))
     same = given.doc_id.eqNullSafe(F.col("id")) & (given.version == F.col("v"))
@@ -86,7 +92,7 @@ def _with_text(docs: DataFrame, again: DataFrame) -> DataFrame:
         given.join(_hint(wanted), same)
         .select("doc_id", "version", "wanted", F.split("text", "\n", -1).alias("lines"))
         .select("doc_id", "version", F.explode(full).alias("c"))
-        .select(F.struct("doc_id", "version", "c.start").alias("place"), "c.n", "c.hash", "c.text", "c.before", "c.behind")
+        .select(F.struct("doc_id", "version", "c.start").alias("place"), "c.n", "c.hash", "c.text")
     )
 
 
@@ -99,16 +105,9 @@ def repeats(docs: DataFrame) -> DataFrame:
         each.select("hash", place.alias("p")).groupBy("hash").agg(F.min("p").alias("a"), F.max("p").alias("b")).where("not (a <=> b)").select("hash")
     )
     again = materialize(_with_text(docs, each.join(shared, "hash").distinct()), "chunks")
-    first = (
-        again.groupBy("hash", "text")
-        .agg(F.min(F.struct("place", "before", "behind")).alias("f"))
-        .select("hash", F.col("text").alias("first_text"), F.col("f.place").alias("first"), F.col("f.before").alias("first_before"), F.col("f.behind").alias("first_behind"))
-    )
+    first = again.groupBy("hash", "text").agg(F.min("place").alias("first")).select("hash", F.col("text").alias("first_text"), "first")
     met = again.join(first, "hash").where("text = first_text and place <> first")
-    reach = F.sequence(F.lit(1), F.lit(REACH))
-    up = F.size(F.filter(reach, lambda k: (k <= F.size("before")) & (k <= F.size("first_before")) & (F.slice("before", -k, k) == F.slice("first_before", -k, k))))
-    down = F.size(F.filter(reach, lambda k: (k <= F.size("behind")) & (k <= F.size("first_behind")) & (F.slice("behind", 1, k) == F.slice("first_behind", 1, k))))
-    return met.select("place.doc_id", "place.version", (F.col("place.start") - up).alias("start"), (F.col("place.start") + F.col("n") + down).alias("stop")).distinct()
+    return met.select("place.doc_id", "place.version", "place.start", (F.col("place.start") + F.col("n")).alias("stop")).distinct()
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:

@@ -31,12 +31,13 @@ from pyspark.sql import functions as F
 from sitewright.llm.common import ship
 from sitewright.session import materialize
 
-BLOCK = 16_384
+BLOCK = 65_536
 GROUP = 512
 LEVELS = 16
-#: Processing goes on while more than this share of a block may still be members.
-FEW = 0.05
-STEPS = 12
+#: Processing goes on while more than this share of a block may still be members: rescoring those costs less than the proof.
+FEW = 0.4
+#: Shares of the segments after which the proof is tried; with the first, the k-th best score is bounded.
+STEPS = (0.5, 0.65, 0.75, 0.85, 0.95, 1.0)
 
 
 def scaled(vectors: DataFrame, factor: int) -> DataFrame:
@@ -52,18 +53,20 @@ class Index:
     def __init__(self, ids: np.ndarray, vectors: np.ndarray):
         order = np.argsort(ids, kind="stable")
         self.ids, self.vectors = ids[order], vectors[order]
-        self.exact = self.vectors.astype(np.float64)  # sums below 2 ** 53 are exact
+        # Single precision holds sums below 2 ** 24 exactly, and double precision those below 2 ** 53.
+        self.largest = int(np.abs(self.vectors).max())
+        self.exact = self.vectors.astype(np.float32 if vectors.shape[1] * self.largest**2 < 1 << 24 else np.float64)
         n, dims = vectors.shape
         self.postings, low, high, dim = [], [], [], []
         for d in range(dims):
             column = self.vectors[:, d]
-            by_value = np.argsort(column, kind="stable").astype(np.int32)
+            by_value = np.argsort(column, kind="stable")
             values = column[by_value]
             # Levels end where the value changes, at about equal numbers of vectors.
             cuts = np.unique(np.searchsorted(values, values[np.linspace(0, n - 1, LEVELS + 1).astype(int)], "left"))
             for a, b in zip(cuts, np.append(cuts[1:], n)):
                 if a < b:
-                    self.postings.append(by_value[a:b])
+                    self.postings.append(np.sort(by_value[a:b]))
                     low.append(int(values[a]))
                     high.append(int(values[b - 1]))
                     dim.append(d)
@@ -83,52 +86,62 @@ class Index:
         position = np.full(len(gain), len(order))
         position[order] = np.arange(len(order))
         others = self.ids != own
-        exact, threshold = query.astype(np.float64), None
-        possible = np.flatnonzero(others)
-        steps = np.unique(np.linspace(0, len(order), STEPS + 1).astype(int))
-        for a, b in zip(steps, steps[1:]):
-            for s in order[a:b]:
+        exact = query.astype(np.float64 if len(q) * self.largest * int(np.abs(q).max(initial=0)) >= 1 << 24 else self.exact.dtype)
+        possible, threshold, done = np.flatnonzero(others), None, 0
+        for step in STEPS:
+            upto = int(np.ceil(step * len(order)))
+            for s in order[done:upto]:
                 acc[self.postings[s]] += np.int32(gain[s])
-            rest = int(np.maximum.reduceat(np.where(position >= b, gain, 0), self.first).sum())
-            if threshold is None and len(possible) > k:
-                likely = np.argpartition(-acc, min(2 * k, len(acc) - 1))[: 2 * k + 1]
-                likely = likely[others[likely]]
+            done = upto
+            if len(possible) <= k:
+                break
+            if threshold is None or step > 0.9:
+                likely = possible[np.argpartition(-acc[possible], min(2 * k, len(possible) - 1))[: 2 * k + 1]]
                 scores = np.sort(self.exact[likely] @ exact)
-                threshold = scores[-k] if len(scores) >= k else None
-            elif threshold is not None:
-                likely = possible[np.argpartition(-acc[possible], min(k, len(possible) - 1))[: k + 1]]
-                scores = np.sort(self.exact[likely] @ exact)
-                threshold = max(threshold, scores[-k]) if len(scores) >= k else threshold
-            if threshold is not None:
-                possible = possible[acc[possible] + rest >= threshold]
-                if len(possible) <= max(4 * k, FEW * len(acc)):
-                    break
-        scores = (self.exact[possible] @ exact).astype(np.int64)
+                threshold = scores[-k] if threshold is None else max(threshold, scores[-k])
+            rest = int(np.maximum.reduceat(np.where(position >= done, gain, 0), self.first).sum())
+            possible = possible[acc[possible] + rest >= threshold]
+            if len(possible) <= FEW * len(acc):
+                break
+        # Beyond an eighth of the rows, a product with all of them is cheaper than gathering those.
+        many = len(possible) * 8 > len(acc)
+        scores = ((self.exact @ exact)[possible] if many else self.exact[possible] @ exact).astype(np.int64)
         best = np.lexsort((self.ids[possible], -scores))[:k]
         return self.ids[possible][best], scores[best]
 
 
 def _search(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
     """Sorted rows (unit, kind, id, data): a unit's candidates, then its queries."""
-    unit, ids, data, index = None, [], [], {}
+    unit, held, index = None, [], None
+
+    def built() -> dict[int, Index]:
+        ids, lengths, values = (np.concatenate(x) for x in zip(*held))
+        place = np.concatenate([[0], np.cumsum(lengths)])
+        out = {}
+        for w in np.unique(lengths[lengths > 0]):
+            at = np.flatnonzero(lengths == w)
+            out[int(w)] = Index(ids[at], values[place[at][:, None] + np.arange(w)].astype(np.int64))
+        return out
+
     for batch in batches:
+        units, kinds, ids = (batch.column(i).to_numpy() for i in range(3))
+        ends = batch.column(3).offsets.to_numpy()
+        values = batch.column(3).values.to_numpy()
+        borders = np.flatnonzero(np.r_[True, (units[1:] != units[:-1]) | (kinds[1:] != kinds[:-1])])
         out: list[tuple[int, int, int]] = []
-        for u, kind, own, v in zip(*(c.to_pylist() for c in batch.columns)):
-            if u != unit:
-                unit, ids, data, index = u, [], [], {}
-            if kind == 0:
-                ids.append(own)
-                data.append(v)
+        for a, b in zip(borders, np.append(borders[1:], len(units))):
+            if units[a] != unit:
+                unit, held, index = units[a], [], None
+            if kinds[a] == 0:
+                held.append((ids[a:b], np.diff(ends[a : b + 1]), values[ends[a] : ends[b]].copy()))
                 continue
-            if not index and ids:
-                widths = np.array([len(x) for x in data])
-                for w in np.unique(widths[widths > 0]):
-                    at = np.flatnonzero(widths == w)
-                    index[int(w)] = Index(np.array([ids[i] for i in at]), np.array([data[i] for i in at], np.int64))
-                data = []
-            if len(v) in index:
-                found, scores = index[len(v)].top(np.array(v), own, k)
-                out += [(own, int(a), int(b)) for a, b in zip(found, scores)]
+            if index is None:
+                index, held = built() if held else {}, []
+            for i in range(a, b):
+                query = values[ends[i] : ends[i + 1]].astype(np.int64)
+                if len(query) in index:
+                    found, scores = index[len(query)].top(query, ids[i], k)
+                    out += zip([int(ids[i])] * len(found), found.tolist(), scores.tolist())
         yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (zip(*out) if out else ([], [], []))], ["query_id", "vec_id", "score"])
 
 

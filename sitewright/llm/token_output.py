@@ -7,8 +7,8 @@ numbers beyond, so slots are exactly 0 to N - 1, and an order needs no shuffle b
 
 Slots are dealt by range: shard s holds slots s * per_shard up to the next, in order, one record of ``length`` ids each,
 little-endian, nothing else. So slot k is at a known place, reading is sequential, and a reader resumes at any slot
-(``read_slots``). A shard is written by one task under a name of its own and then renamed, so a repeated task replaces
-it as a whole. Files go to a folder every executor can reach, by its own file system.
+(``read_slots``). Sequences travel packed by shard and compressed. A shard (``SHARD_BYTES``) is put together by one task, written
+under a name of its own and then renamed, so a repeated task replaces it as a whole. Files go to a folder every executor can reach, by its own file system.
 
 Ids here are bytes of UTF-8 (one byte an id); other ids come as binary too, ``width`` bytes an id. Null and empty texts have
 no sequences. Rows that are equal are numbered one after the other; every row's sequences are written. Other columns are left out.
@@ -24,7 +24,9 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import partial
 
+import numpy as np
 import pyarrow as pa
+import zstandard
 from pyarrow import fs
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -34,6 +36,8 @@ from sitewright.session import materialize, shuffle_partitions
 
 LENGTH = 512
 SHARD_BYTES = 16 << 20
+#: Bytes of sequences that a task gathers before it packs them by shard.
+PARCEL = 32 << 20
 ROUNDS = 6
 PRIME = (1 << 31) - 1
 #: Documents whose first number may be broadcast: about 50 MB.
@@ -159,34 +163,80 @@ def shard_name(shard: int) -> str:
     return f"shard-{shard:08d}.bin"
 
 
-def _write(batches: Iterator[pa.RecordBatch], folder: str, stride: int, per_shard: int) -> Iterator[pa.RecordBatch]:
+_META = np.dtype([("slot", "<i8"), ("doc_id", "<i8"), ("no_id", "u1"), ("seq_no", "<i8"), ("n_ids", "<i8")])
+
+
+def _packed(batches: Iterator[pa.RecordBatch], stride: int, per_shard: int) -> Iterator[pa.RecordBatch]:
+    """Rows to one compressed parcel for each shard and ``PARCEL`` bytes of rows: whole records, filled up, behind their numbers."""
+    press = zstandard.ZstdCompressor(level=1)
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+    size = 0
+
+    def parcels() -> pa.RecordBatch:
+        meta, records = (np.concatenate(x) for x in zip(*held))
+        held.clear()
+        shard = meta["slot"] // per_shard
+        order = np.argsort(shard, kind="stable")
+        first = np.flatnonzero(np.r_[True, np.diff(shard[order]) != 0])
+        data = []
+        for own in np.split(order, first[1:]):
+            data.append(press.compress(meta[own].tobytes() + records[own].tobytes()))
+        return pa.RecordBatch.from_arrays([pa.array(shard[order][first]), pa.array(data, pa.binary())], ["shard", "data"])
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        slot, doc_id, seq_no, n_ids, ids = batch.columns
+        meta = np.zeros(batch.num_rows, _META)
+        meta["slot"], meta["seq_no"], meta["n_ids"] = slot.to_numpy(), seq_no.to_numpy(), n_ids.to_numpy()
+        meta["doc_id"], meta["no_id"] = doc_id.fill_null(0).to_numpy(), doc_id.is_null().to_numpy(zero_copy_only=False)
+        filled = b"".join(x.as_py().ljust(stride, b"\0") for x in ids)
+        held.append((meta, np.frombuffer(filled, np.uint8).reshape(-1, stride)))
+        size += len(filled)
+        if size >= PARCEL:
+            yield parcels()
+            size = 0
+    if held:
+        yield parcels()
+
+
+def _write(batches: Iterator[pa.RecordBatch], folder: str, stride: int, per_shard: int, total: int) -> Iterator[pa.RecordBatch]:
+    """Parcels sorted by shard: each shard is put together in memory, once, and written."""
     files, root = fs.FileSystem.from_uri(folder)
     files.create_dir(root, recursive=True)
-    shard, out, draft = None, None, ""
+    open_box = zstandard.ZstdDecompressor()
+    shard, metas, image = None, [], np.empty((0, stride), np.uint8)
 
-    def closed() -> None:
-        out.close()
+    def written() -> pa.RecordBatch:
         target = posixpath.join(root, shard_name(shard))
+        draft = posixpath.join(root, f".{shard_name(shard)}-{uuid.uuid4().hex}")
+        with files.open_output_stream(draft) as out:
+            out.write(image.data)
         if files.get_file_info(target).type != fs.FileType.NotFound:
             files.delete_file(target)  # of an earlier try of this task
         files.move(draft, target)
+        meta = np.concatenate(metas)
+        meta = meta[np.argsort(meta["slot"])]
+        n = len(meta)
+        doc_id = pa.array(meta["doc_id"], mask=meta["no_id"].astype(bool))
+        columns = [meta["slot"], doc_id, meta["seq_no"], meta["n_ids"], np.full(n, shard, np.int64), meta["slot"] % per_shard * stride]
+        names = ["slot", "doc_id", "seq_no", "n_ids", "shard", "byte_offset"]
+        return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(np.ascontiguousarray(c)) for c in columns], names)
 
     for batch in batches:
-        slots = batch.column(0).to_pylist()
-        for slot, ids in zip(slots, batch.column(4)):
-            if slot // per_shard != shard:
-                if out:
-                    closed()
-                shard = slot // per_shard
-                draft = posixpath.join(root, f".{shard_name(shard)}-{uuid.uuid4().hex}")
-                out = files.open_output_stream(draft)
-            data = ids.as_py()
-            out.write(data + bytes(stride - len(data)))
-        shards = pa.array([s // per_shard for s in slots], pa.int64())
-        places = pa.array([s % per_shard * stride for s in slots], pa.int64())
-        yield pa.RecordBatch.from_arrays([*batch.columns[:4], shards, places], ["slot", "doc_id", "seq_no", "n_ids", "shard", "byte_offset"])
-    if out:
-        closed()
+        for own, parcel in zip(batch.column(0).to_pylist(), batch.column(1)):
+            if own != shard:
+                if shard is not None:
+                    yield written()
+                shard, metas = own, []
+                image = np.zeros((min(per_shard, total - own * per_shard), stride), np.uint8)
+            data = open_box.decompress(parcel.as_py())
+            n = len(data) // (_META.itemsize + stride)
+            meta = np.frombuffer(data, _META, n)
+            image[meta["slot"] % per_shard] = np.frombuffer(data, np.uint8, offset=n * _META.itemsize).reshape(n, stride)
+            metas.append(meta)
+    if shard is not None:
+        yield written()
 
 
 def write_shards(docs: DataFrame, folder: str, key: int, length: int = LENGTH, width: int = 1, shard_bytes: int = SHARD_BYTES) -> DataFrame:
@@ -195,10 +245,11 @@ def write_shards(docs: DataFrame, folder: str, key: int, length: int = LENGTH, w
     stride = length * width
     per_shard = max(1, shard_bytes // stride)
     n_shards = max(1, -(-total // per_shard))
-    dealt = rows.repartitionById(n_shards, F.expr(f"cast(slot div {per_shard} as int)")).sortWithinPartitions("slot")
+    parcels = rows.mapInArrow(partial(_packed, stride=stride, per_shard=per_shard), "shard long, data binary")
+    dealt = parcels.repartitionById(n_shards, F.col("shard").cast("int")).sortWithinPartitions("shard")
     kinds = "slot long, doc_id long, seq_no long, n_ids long, shard long, byte_offset long"
     uri = folder if "://" in folder else f"file://{folder.removeprefix('file:')}"
-    return dealt.mapInArrow(partial(_write, folder=uri, stride=stride, per_shard=per_shard), kinds)
+    return dealt.mapInArrow(partial(_write, folder=uri, stride=stride, per_shard=per_shard, total=total), kinds)
 
 
 def read_slots(folder: str, start: int, stop: int, length: int = LENGTH, width: int = 1, shard_bytes: int = SHARD_BYTES) -> Iterator[bytes]:

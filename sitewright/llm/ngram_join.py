@@ -9,7 +9,8 @@ of its distinct ``width``-word shingles; the whole sequence where it has fewer w
    segment is a key under which classes meet. Keys hold several shingles each, so a shingle
    that very many documents share makes no long list of its own. Sizes fall in classes of ratio t; a set
    is cut for its size class and for the one below. Sets with more than one empty segment list those too.
-   No linked pair is lost.
+   No linked pair is lost. A task hands on one set for each key and links the others it holds to that one, so a key of
+   very many sets is a few rows.
 3. Classes that lists connect are a cluster. A cluster of up to ``CLUSTER`` classes is dealt into blocks, and every pair of blocks is
    a unit of work: the sets of one block are looked up in the other. In larger clusters (copies of one text by the
    million), lists are worked off by pivots: in each list one pivot is compared with the members of other
@@ -43,6 +44,8 @@ from sitewright.session import materialize
 
 BLOCK = 256
 CLUSTER = 16_384
+#: Keys that a task gathers before it hands them on.
+HELD = 2_000_000
 #: Rows of about 70 bytes that may be broadcast: 35 MB.
 SMALL = 500_000
 _LOWER = bytes.maketrans(UPPER.encode(), UPPER.lower().encode())
@@ -103,27 +106,85 @@ def segments(own: np.ndarray, percent: int, bounds: list[int]) -> np.ndarray:
     return np.concatenate(keys)
 
 
-def _prints(batches: Iterator[pa.RecordBatch], width: int, percent: int) -> Iterator[pa.RecordBatch]:
+def node_of(key: bytes) -> int:
+    return int.from_bytes(key[:8], "little", signed=True)
+
+
+def _keys(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+    """Size and key of each text's set, and the number that stands for the set among the segments."""
+    for batch in batches:
+        own = [shingles(text.as_py(), width) for text in batch.column(1)]
+        keys = [key_of(x) for x in own]
+        columns = [pa.array([len(x) for x in own], pa.int64()), pa.array(keys, pa.binary()), pa.array(map(node_of, keys), pa.int64())]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *columns], ["doc_id", "version", "n", "key", "node"])
+
+
+def _bounds(bounds: list[int], percent: int, size: int) -> list[int]:
+    while size >= bounds[-2]:
+        bounds = starts(percent, 2 * bounds[-1])
+    return bounds
+
+
+def _segment_rows(batches: Iterator[pa.RecordBatch], width: int, percent: int) -> Iterator[pa.RecordBatch]:
+    """(segment, a, b): a is the first set that this task has for the segment, b another one or a itself."""
+    bounds, held, size = starts(percent, 1 << 16), [], 0
+
+    def rows() -> pa.RecordBatch:
+        segment, node = (np.concatenate(x) for x in zip(*held))
+        order = np.lexsort((node, segment))
+        segment, node = segment[order], node[order]
+        new = np.r_[True, (segment[1:] != segment[:-1]) | (node[1:] != node[:-1])]
+        segment, node = segment[new], node[new]
+        start = np.r_[True, segment[1:] != segment[:-1]]
+        first = node[np.flatnonzero(start)[np.cumsum(start) - 1]]
+        return pa.RecordBatch.from_arrays([pa.array(segment), pa.array(first), pa.array(node)], ["segment", "a", "b"])
+
+    for batch in batches:
+        for text in batch.column(0):
+            own = shingles(text.as_py(), width)
+            if not len(own):
+                continue
+            bounds = _bounds(bounds, percent, len(own))
+            keys = segments(own, percent, bounds).view(np.int64)
+            held.append((keys, np.full(len(keys), node_of(key_of(own)))))
+            size += len(keys)
+            if size > HELD:
+                yield rows()
+                held, size = [], 0
+    if held:
+        yield rows()
+
+
+def _meetings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by segment to links (u, v) that connect all sets of a segment."""
+    last, first = None, 0
+    for batch in batches:
+        segment, a, b = (c.to_numpy() for c in batch.columns)
+        if not len(segment):
+            continue
+        start = np.r_[segment[0] != last, segment[1:] != segment[:-1]]
+        run = np.cumsum(start) - 1
+        firsts = np.append(a[start], first)  # the run carried over from the batch before has number -1
+        head = firsts[run]
+        last, first = segment[-1], head[-1]
+        u = np.concatenate([head[a != head], a[a != b]])
+        v = np.concatenate([a[a != head], b[a != b]])
+        yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
+
+
+def _listed(batches: Iterator[pa.RecordBatch], width: int, percent: int) -> Iterator[pa.RecordBatch]:
+    """(text, key, id) to the segments of the classes of large clusters."""
     bounds = starts(percent, 1 << 16)
     for batch in batches:
-        for at in range(0, batch.num_rows, 512):
-            part = batch.slice(at, 512)
-            sizes, names, keys, ends = [], [], [], [0]
-            for text in part.column(1):
-                own = shingles(text.as_py(), width)
-                while len(own) >= bounds[-2]:
-                    bounds = starts(percent, 2 * bounds[-1])
-                sizes.append(len(own))
-                names.append(key_of(own))
-                if len(own):
-                    keys.append(segments(own, percent, bounds))
-                ends.append(ends[-1] + (len(keys[-1]) if len(own) else 0))
-            flat = np.concatenate(keys) if keys else np.empty(0, np.uint64)
-            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat.view(np.int64)))
-            yield pa.RecordBatch.from_arrays(
-                [part.column(0), part.column(2), pa.array(sizes, pa.int64()), pa.array(names, pa.binary()), lists],
-                ["doc_id", "version", "n", "key", "segments"],
-            )
+        ids, found = [], []
+        for text, key, own_id in zip(batch.column(0), batch.column(1), batch.column(2).to_pylist()):
+            own = shingles(text.as_py(), width)
+            if key_of(own) == key.as_py():
+                bounds = _bounds(bounds, percent, len(own))
+                found.append(segments(own, percent, bounds).view(np.int64))
+                ids.append(np.full(len(found[-1]), own_id))
+        if ids:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found)), pa.array(np.concatenate(ids), pa.int64())], ["segment", "class"])
 
 
 def needed(n: int, sizes: np.ndarray, percent: int) -> np.ndarray:
@@ -212,16 +273,21 @@ def _linked(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Reco
     yield batch_of(found())
 
 
+def _texts_of(chosen: DataFrame, docs: DataFrame) -> DataFrame:
+    """Texts beside the rows of ``chosen`` (low, key, ...) that they may belong to."""
+    small = chosen.count() <= SMALL
+    given = texts(docs).withColumnRenamed("doc_id", "doc")
+    joined = given.join(F.broadcast(chosen) if small else chosen, given.doc.eqNullSafe(chosen.low))
+    return joined.select("text", *[c for c in chosen.columns if c != "low"])
+
+
 def compare(roles: DataFrame, classes: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
     """Linked pairs (u, v) of the classes that meet in a unit of ``roles`` (a, b, c, member, id)."""
     roles = materialize(
         roles.join(classes.select(F.col("class").alias("id"), "low", "key"), "id").select("low", "key", "a", "b", "c", "member", "id"), "roles"
     )
-    small = roles.count() <= SMALL
-    given = texts(docs).withColumnRenamed("doc_id", "doc")
-    rows = given.join(F.broadcast(roles) if small else roles, given.doc.eqNullSafe(roles.low)).select("text", "key", "a", "b", "c", "member", "id")
     kinds = "a long, b long, c long, member boolean, id long"
-    sets = rows.mapInArrow(partial(_sets, width=width), f"{kinds}, data binary")
+    sets = _texts_of(roles, docs).mapInArrow(partial(_sets, width=width), f"{kinds}, data binary")
     dealt = sets.repartition("a", "b", "c").sortWithinPartitions("a", "b", "c", "member", "id")
     return dealt.mapInArrow(partial(_linked, percent=percent), "u long, v long")
 
@@ -250,13 +316,6 @@ def _cluster_roles(clusters: DataFrame) -> DataFrame:
     return dealt.select(F.col("root").alias("a"), F.least("own", "other").alias("b"), F.greatest("own", "other").alias("c"), member.alias("member"), F.col("class").alias("id"))
 
 
-def _lists(classes: DataFrame) -> DataFrame:
-    """(segment, first, class) of segments that more than one class has, with the first class of each."""
-    each = classes.select(F.explode("segments").alias("segment"), "class")
-    shared = each.groupBy("segment").agg(F.min("class").alias("first"), F.max("class").alias("last")).where("first < last").select("segment", "first")
-    return each.join(shared, "segment").select("segment", "first", "class")
-
-
 def _pairs(lists: DataFrame, labels: DataFrame, pivots: int) -> tuple[DataFrame, DataFrame]:
     """Pairs of (pivot, member) of different components, and lists with more pivots to come."""
     marked = lists.join(labels, "class", "left").select("segment", "class", F.coalesce("root", "class").alias("root"))
@@ -307,28 +366,29 @@ def _large(lists: DataFrame, classes: DataFrame, docs: DataFrame, width: int, pe
 
 def grouped_rows(docs: DataFrame, width: int = 3, percent: int = 90, cluster: int = CLUSTER) -> DataFrame:
     """(doc_id, version, n_shingles, group, component_id) of every row of ``docs``; version is a hash of the text, group null for empty sets."""
+    given = texts(docs)
     prints = materialize(
-        texts(docs)
-        .withColumn("version", F.xxhash64("text"))
-        .mapInArrow(partial(_prints, width=width, percent=percent), "doc_id long, version long, n long, key binary, segments array<long>")
+        given.withColumn("version", F.xxhash64("text"))
+        .mapInArrow(partial(_keys, width=width), "doc_id long, version long, n long, key binary, node long")
         .withColumn("row", F.monotonically_increasing_id()),
         "prints",
     )
-    grouped = prints.where("n > 0").groupBy("key").agg(
-        F.min("row").alias("class"), F.min("doc_id").alias("low"), F.first("segments").alias("segments")
-    )
-    lists = materialize(_lists(grouped), "lists")
     classes = materialize(
-        prints.where("n > 0").groupBy("key").agg(F.min("row").alias("class"), F.min("doc_id").alias("low")), "classes"
+        prints.where("n > 0").groupBy("key", "node").agg(F.min("row").alias("class"), F.min("doc_id").alias("low")), "classes"
     )
-    joined = materialize(components(lists.where("first <> class").select(F.col("class").alias("u"), F.col("first").alias("v"))), "joined")
+    kinds = "segment long, a long, b long"
+    dealt = given.select("text").mapInArrow(partial(_segment_rows, width=width, percent=percent), kinds).repartition("segment")
+    meetings = dealt.sortWithinPartitions("segment", "a").mapInArrow(_meetings, "u long, v long")
+    joined = materialize(components(meetings), "joined")
+    every = joined.union(joined.select("root", "root").distinct()).withColumnRenamed("node", "__node")
     sizes = joined.groupBy("root").agg((F.count("*") + 1).alias("size"))
-    every = joined.union(joined.select(F.col("root"), "root").distinct()).withColumnRenamed("node", "class")
-    clusters = materialize(every.join(sizes, "root").select("class", "root", "size"), "clusters")
+    clusters = classes.join(every.join(sizes, "root"), F.col("node") == F.col("__node")).select("class", "low", "key", "root", "size")
+    clusters = materialize(clusters, "clusters")
     links = materialize(compare(_cluster_roles(clusters.where(F.col("size") <= cluster)), classes, docs, width, percent), "links")
-    large = clusters.where(F.col("size") > cluster).select("class")
+    large = clusters.where(F.col("size") > cluster).select("low", "key", F.col("class").alias("id"))
     if not large.isEmpty():
-        links = links.union(_large(materialize(lists.join(large, "class", "left_semi"), "large"), classes, docs, width, percent))
+        lists = _texts_of(large, docs).mapInArrow(partial(_listed, width=width, percent=percent), "segment long, class long").distinct()
+        links = links.union(_large(materialize(lists, "lists"), classes, docs, width, percent))
     labels = components(links).select(F.col("node").alias("class"), "root")
     rooted = classes.join(labels, "class", "left").select("class", "key", "low", F.coalesce("root", "class").alias("root"))
     names = rooted.groupBy("root").agg(F.min("low").alias("component_id"))

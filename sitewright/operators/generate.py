@@ -1,143 +1,140 @@
 """Candidate URLs from templates and dimensions.
 
-Dimensions (locations, categories, ...) are site configuration: ordered value
-lists of a checked size. They enter a plan as one small array that each origin
-row explodes, so no cross join appears and the work spreads with the origins.
+Dimensions (locations, categories, ...) are tables of ``(pos, value)``. Templates are
+filled row by row; where two tables must be paired, one is copied to a number of
+buckets and the other dealt over them, so pairs come from an equality join that
+spreads over the cluster, and no dimension is gathered in one row or task.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable
-from dataclasses import dataclass, fields
+from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import rules as R
 from ..functions import url as U
-
-MAX_DIMENSION = 10_000
+from ..session import materialize, shuffle_partitions
 
 
 @dataclass(frozen=True)
 class Dimensions:
-    """Value arrays, in order, one per dimension."""
+    """One table ``(pos, value)`` per dimension."""
 
-    location: Column
-    category: Column
-    type: Column
-    level: Column
-    salary: Column
+    location: DataFrame
+    category: DataFrame
+    type: DataFrame
+    level: DataFrame
+    salary: DataFrame
 
 
-def value_array(values: Iterable[str]) -> Column:
-    return F.array(*(F.lit(v) for v in values))
+Paths = Callable[[Dimensions], DataFrame]
 
 
-def dimension(df: DataFrame, pos: str, value: str) -> Column:
-    """A dimension table as one ordered array; more than ``MAX_DIMENSION`` rows fail."""
-    rows = df.select(F.col(pos).alias("p"), F.col(value).alias("v")).limit(MAX_DIMENSION + 1)
-    ordered = F.transform(F.array_sort(F.collect_list(F.struct("p", "v"))), lambda r: r.v)
-    checked = F.when(
-        F.size(ordered) > MAX_DIMENSION,
-        F.raise_error(F.lit(f"a dimension holds over {MAX_DIMENSION} values")).cast(
-            "array<string>"
-        ),
-    ).otherwise(ordered)
-    return rows.agg(checked.alias("values")).scalar()
+def value_rows(spark: SparkSession, values: Iterable[str]) -> DataFrame:
+    return spark.createDataFrame(list(enumerate(values)), "pos int, value string")
 
 
-def attach(df: DataFrame, d: Dimensions) -> tuple[DataFrame, Dimensions]:
-    """``df`` with the dimension arrays as columns, and the dimensions that name them."""
-    names = {f.name: f"_dim_{f.name}" for f in fields(d)}
-    return (
-        df.withColumns({column: getattr(d, name) for name, column in names.items()}),
-        Dimensions(**{name: F.col(column) for name, column in names.items()}),
-    )
+def dimension(df: DataFrame, pos: str, value: str) -> DataFrame:
+    return df.select(F.col(pos).alias("pos"), F.col(value).alias("value"))
 
 
-def literal_dimensions(location: Iterable[str], category: Iterable[str]) -> Dimensions:
-    return table_dimensions(value_array(location), value_array(category))
+def literal_dimensions(
+    spark: SparkSession, location: Iterable[str], category: Iterable[str]
+) -> Dimensions:
+    return table_dimensions(value_rows(spark, location), value_rows(spark, category))
 
 
-def table_dimensions(location: Column, category: Column) -> Dimensions:
+def table_dimensions(location: DataFrame, category: DataFrame) -> Dimensions:
+    spark = location.sparkSession
     return Dimensions(
         location=location,
         category=category,
-        type=value_array(R.JOB_TYPES),
-        level=value_array(R.JOB_LEVELS),
-        salary=value_array(R.SALARY_BANDS),
+        type=value_rows(spark, R.JOB_TYPES),
+        level=value_rows(spark, R.JOB_LEVELS),
+        salary=value_rows(spark, R.SALARY_BANDS),
     )
 
 
-def fill(templates: tuple[str, ...], name: str, values: Column) -> Column:
-    """Every template with every value of one dimension."""
-    return F.flatten(
-        F.transform(
-            values,
-            lambda v: F.array(
-                *(F.replace(F.lit(t), F.lit("{" + name + "}"), v) for t in templates)
-            ),
-        )
+def paired(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Every row of ``left`` with every row of ``right``; column names must differ.
+
+    Left rows are copied once per bucket, right rows dealt over the buckets: each
+    bucket is one share of the pairs, whatever the values are.
+    """
+    n = shuffle_partitions(left.sparkSession)
+    copied = left.withColumn("_bucket", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    dealt = right.withColumn(
+        "_bucket", F.pmod(F.xxhash64(*right.columns), F.lit(n)).cast("int")
     )
+    return copied.join(dealt, "_bucket").drop("_bucket")
 
 
-def fill_pairs(templates: tuple[str, ...], locations: Column, categories: Column) -> Column:
-    """Every template with every (location, category) pair of two short lists."""
-    return F.flatten(
-        F.transform(
-            locations,
-            lambda loc: fill_both(templates, loc, categories),
+def _filled(rows: DataFrame, templates: tuple[str, ...], **values: str) -> DataFrame:
+    def path(template: str) -> Column:
+        return reduce(
+            lambda t, kv: F.replace(t, F.lit("{" + kv[0] + "}"), F.col(kv[1])),
+            values.items(),
+            F.lit(template),
         )
-    )
 
+    return rows.select(F.explode(F.array(*map(path, templates))).alias("path"))
 
-def fill_both(templates: tuple[str, ...], loc: Column, categories: Column) -> Column:
-    return F.flatten(
-        F.transform(
-            categories,
-            lambda cat: F.array(
-                *(
-                    F.replace(
-                        F.replace(F.lit(t), F.lit("{location}"), loc), F.lit("{category}"), cat
-                    )
-                    for t in templates
-                )
-            ),
-        )
+
+def fill(templates: tuple[str, ...], name: str, values: DataFrame) -> DataFrame:
+    """Every template with every value of one dimension."""
+    return _filled(values, templates, **{name: "value"})
+
+
+def fill_pairs(
+    templates: tuple[str, ...], locations: DataFrame, categories: DataFrame
+) -> DataFrame:
+    """Every template with every (location, category) pair."""
+    pairs = paired(
+        locations.select(F.col("value").alias("_location")),
+        categories.select(F.col("value").alias("_category")),
     )
+    return _filled(pairs, templates, location="_location", category="_category")
+
 
+def top(values: DataFrame, n: int | None) -> DataFrame:
+    """The first ``n`` values of a dimension, all for ``None``."""
+    return values if n is None else values.orderBy("pos").limit(n)
 
-def top(values: Column, n: int) -> Column:
-    """The first ``n`` values of a dimension."""
-    return F.slice(values, 1, n)
 
+def unite(*parts: DataFrame) -> DataFrame:
+    return reduce(DataFrame.union, parts)
 
-def location_paths(d: Dimensions) -> Column:
+
+def location_paths(d: Dimensions) -> DataFrame:
     return fill(R.LOCATION_TEMPLATES, "location", d.location)
 
 
-def category_paths(d: Dimensions) -> Column:
+def category_paths(d: Dimensions) -> DataFrame:
     return fill(R.CATEGORY_TEMPLATES, "category", d.category)
 
 
-def type_level_paths(d: Dimensions) -> Column:
-    return F.concat(
+def type_level_paths(d: Dimensions) -> DataFrame:
+    return unite(
         fill(R.TYPE_TEMPLATES, "type", d.type), fill(R.LEVEL_TEMPLATES, "level", d.level)
     )
 
 
-def salary_paths(d: Dimensions) -> Column:
+def salary_paths(d: Dimensions) -> DataFrame:
     return fill(R.SALARY_TEMPLATES, "salary", d.salary)
 
 
-def combo_paths(d: Dimensions, n: int = 15) -> Column:
+def combo_paths(d: Dimensions, n: int | None = None) -> DataFrame:
+    """Pairs of all values, or of the first ``n`` of each dimension."""
     return fill_pairs(R.COMBO_TEMPLATES, top(d.location, n), top(d.category, n))
 
 
-def all_paths(d: Dimensions) -> Column:
-    return F.concat(
-        location_paths(d), category_paths(d), type_level_paths(d), combo_paths(d), salary_paths(d)
+def all_paths(d: Dimensions, n: int | None = None) -> DataFrame:
+    return unite(
+        location_paths(d), category_paths(d), type_level_paths(d), combo_paths(d, n), salary_paths(d)
     )
 
 
@@ -146,69 +143,53 @@ def templates_for(templates: tuple[str, ...], name: str) -> tuple[str, ...]:
     return tuple(t for t in templates if t.count("{") == t.count("{" + name + "}") > 0)
 
 
-def pattern_paths(d: Dimensions, n: int = 10) -> Column:
-    """Template URLs of the discovery rules: one dimension each, then short pairs."""
-    return F.concat(
+def pattern_paths(d: Dimensions, n: int | None = None) -> DataFrame:
+    """Template URLs of the discovery rules: one dimension each, then pairs."""
+    return unite(
         fill(templates_for(R.PATTERN_TEMPLATES, "location"), "location", d.location),
         fill(templates_for(R.PATTERN_TEMPLATES, "category"), "category", d.category),
         fill_pairs(R.PATTERN_COMBO_TEMPLATES, top(d.location, n), top(d.category, n)),
     )
 
 
-def search_param_paths(d: Dimensions | None = None) -> Column:
+def search_param_paths(d: Dimensions) -> DataFrame:
     """Seven fixed parameters on two endpoints."""
-    return F.array(
-        *(
-            F.concat(F.lit(f"{e}?{k}="), U.form_encode(F.lit(v)))
-            for e in ("/search", "/jobs")
-            for k, v in R.SEARCH_PARAMS
-        )
-    )
+    rows = [(e, k, v) for e in ("/search", "/jobs") for k, v in R.SEARCH_PARAMS]
+    fixed = d.location.sparkSession.createDataFrame(rows, "e string, k string, v string")
+    return fixed.select(F.concat("e", F.lit("?"), "k", F.lit("="), U.form_encode("v")).alias("path"))
 
 
 _ANY_ORIGIN = "http://h"
 
 
-def path_array(
-    spark: SparkSession,
-    d: Dimensions,
-    paths: Callable[[Dimensions], Column],
-    rules: R.Rules | None = None,
-) -> Column:
-    """The normalised distinct paths of ``paths`` as one array, worked out once.
+def path_rows(d: Dimensions, paths: Paths, rules: R.Rules | None = None) -> DataFrame:
+    """The normalised distinct paths of ``paths``: ``(path)``, written once.
 
-    Normalisation touches only what follows the origin, so it is done here on a
-    single row and not once per origin. With ``rules``, paths to skip are dropped.
+    Normalisation touches only what follows the origin, so it is done here and not
+    once per origin. With ``rules``, paths to skip are dropped.
     """
-    rows, dims = attach(spark.range(1), d)
-    full = F.transform(
-        paths(dims),
-        lambda p: U.let(
-            U.url_split(F.concat(F.lit(_ANY_ORIGIN), p)), lambda u: U.normalize_parts_fast(u)
-        ),
-    )
-    cut = F.array_distinct(F.transform(full, lambda u: F.substring(u, len(_ANY_ORIGIN) + 1, 1 << 30)))
+    full = paths(d).select(U.url_split(F.concat(F.lit(_ANY_ORIGIN), "path")).alias("u"))
+    cut = full.select(
+        F.substring(U.normalize_parts_fast(F.col("u")), len(_ANY_ORIGIN) + 1, 1 << 30).alias("path")
+    ).distinct()
     if rules is not None:
-        cut = F.filter(cut, lambda p: ~U.should_skip_url(p, rules))
-    return rows.select(cut.alias("paths")).scalar()
+        cut = cut.filter(~U.should_skip_url("path", rules))
+    return materialize(cut, "paths")
 
 
-def on_origin(origin: Column, paths: Column) -> Column:
-    return F.transform(paths, lambda p: F.concat(origin, p))
+def on_origins(origins: DataFrame, paths: DataFrame) -> DataFrame:
+    """Every path on every row of ``origins``, as ``url`` beside the given columns."""
+    rows = paired(origins, paths)
+    return rows.select(*origins.columns, F.concat("origin", "path").alias("url"))
 
 
-def candidates(
-    origins: DataFrame, d: Dimensions, paths: Callable[[Dimensions], Column]
-) -> DataFrame:
+def candidates(origins: DataFrame, d: Dimensions, paths: Paths) -> DataFrame:
     """Distinct normalised candidate URLs: every path on every origin.
 
     ``origins`` holds distinct origins and the paths are distinct, so the result
-    needs no shuffle.
+    needs no duplicate removal.
     """
-    rows = origins.withColumn("_paths", path_array(origins.sparkSession, d, paths))
-    return rows.select(
-        "origin", F.explode(on_origin(F.col("origin"), F.col("_paths"))).alias("url")
-    )
+    return on_origins(origins.select("origin"), path_rows(d, paths))
 
 
 def site_origins(pages: DataFrame) -> DataFrame:
@@ -221,12 +202,14 @@ def probe_sitemap_paths(origins: DataFrame) -> DataFrame:
     return origins.select(
         "origin",
         F.explode(
-            F.transform(value_array(R.SITEMAP_PATHS), lambda p: U.url_resolve(p, F.col("origin")))
+            F.transform(
+                F.array(*map(F.lit, R.SITEMAP_PATHS)), lambda p: U.url_resolve(p, F.col("origin"))
+            )
         ).alias("url"),
     )
 
 
-def api_candidates(probes: DataFrame, d: Dimensions, n: int = 5) -> DataFrame:
+def api_candidates(probes: DataFrame, d: Dimensions, n: int | None = None) -> DataFrame:
     """Parameter URLs for API endpoints known to answer 200 with JSON."""
     good = (
         probes.filter(
@@ -237,15 +220,14 @@ def api_candidates(probes: DataFrame, d: Dimensions, n: int = 5) -> DataFrame:
         .select("url")
         .distinct()
     )
-    rows, dims = attach(good, d)
-    params = F.concat(
-        F.array(F.lit("")),
-        F.transform(top(dims.location, n), lambda v: F.concat(F.lit("?location="), v)),
-        F.transform(top(dims.category, n), lambda v: F.concat(F.lit("?category="), v)),
-    )
-    return rows.select(
-        F.col("url").alias("endpoint"),
-        F.explode(F.transform(params, lambda p: F.concat(F.col("url"), p))).alias("url"),
+    plain = good.sparkSession.createDataFrame([("",)], "suffix string")
+    suffixes = unite(
+        plain,
+        top(d.location, n).select(F.concat(F.lit("?location="), "value").alias("suffix")),
+        top(d.category, n).select(F.concat(F.lit("?category="), "value").alias("suffix")),
+    ).distinct()
+    return paired(good, suffixes).select(
+        F.col("url").alias("endpoint"), F.concat("url", "suffix").alias("url")
     )
 
 

@@ -3,59 +3,67 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from itertools import count
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import materialize, shuffle_partitions
+from ..session import materialize
 
-EDGE_SALTS = 8
+#: Edges of one source that a task may hold before the source is split.
+EDGES_PER_TASK = 100_000
 
 
 def bfs_depth(
     seeds: DataFrame,
     links: DataFrame,
-    max_depth: int,
+    max_depth: int | None,
     also: Callable[[DataFrame], DataFrame] | None = None,
 ) -> DataFrame:
-    """Least number of hops from a seed: ``(node, depth)``, up to ``max_depth``.
+    """Least number of hops from a seed: ``(node, depth)``, up to ``max_depth``,
+    or until a level brings nothing new.
 
     ``also`` may name further nodes, as ``(node)``, that a level leads to without an
     edge of its own.
 
-    ``seeds(node)``, ``links(src, dst)``. Edges are partitioned once by source and
-    salt, so a source with very many links is split and no round shuffles them
-    again; each level is written to the shared folder before the next one starts.
+    ``seeds(node)``, ``links(src, dst)``. Edges are written once to the shared folder,
+    each with the number of shares its source is dealt into, so a source with very
+    many links is split in proportion; each level is written there before the next
+    one starts, and its real size decides the join.
     """
-    spark = links.sparkSession
-    n = shuffle_partitions(spark)
+    distinct = materialize(links.select("src", "dst"), "edges")
+    hot = (
+        distinct.groupBy("src")
+        .agg(F.count(F.lit(1)).alias("_n"))
+        .filter(F.col("_n") > EDGES_PER_TASK)
+        .select("src", F.ceil(F.col("_n") / EDGES_PER_TASK).cast("int").alias("_shares"))
+    )
+    hot = materialize(hot, "hubs")
+    one = F.lit(1)
     edges = (
-        links.select("src", "dst")
-        .withColumn("_salt", F.pmod(F.xxhash64("dst"), F.lit(EDGE_SALTS)).cast("int"))
-        .repartition(n, "src", "_salt")
-        .persist(StorageLevel.MEMORY_AND_DISK)
+        distinct.join(hot, "src", "left")
+        .withColumn("_salt", F.pmod(F.xxhash64("dst"), F.coalesce("_shares", one)).cast("int"))
+        .select("src", "_salt", "dst")
     )
-    try:
-        level = materialize(seeds.select("node").distinct().withColumn("depth", F.lit(0)), "bfs")
-        seen = level
-        for depth in range(1, max_depth + 1):
-            reach = level.select(
-                F.col("node").alias("src"),
-                F.explode(F.sequence(F.lit(0), F.lit(EDGE_SALTS - 1))).alias("_salt"),
-            )
-            nodes = edges.join(reach, ["src", "_salt"]).select(F.col("dst").alias("node"))
-            if also is not None:
-                nodes = nodes.unionByName(also(level))
-            found = (
-                nodes.distinct()
-                .join(seen.select("node"), "node", "left_anti")
-                .withColumn("depth", F.lit(depth))
-            )
-            level = materialize(found, "bfs")
-            if level.isEmpty():
-                break
-            seen = seen.unionByName(level)
-        return seen
-    finally:
-        edges.unpersist()
+    edges = materialize(edges, "edges")
+    level = materialize(seeds.select("node").distinct().withColumn("depth", F.lit(0)), "bfs")
+    seen = level
+    for depth in range(1, max_depth + 1) if max_depth is not None else count(1):
+        reach = (
+            level.select(F.col("node").alias("src"))
+            .join(hot, "src", "left")
+            .select("src", F.explode(F.sequence(F.lit(0), F.coalesce("_shares", one) - 1)).alias("_salt"))
+        )
+        nodes = edges.join(reach, ["src", "_salt"]).select(F.col("dst").alias("node"))
+        if also is not None:
+            nodes = nodes.unionByName(also(level))
+        found = (
+            nodes.distinct()
+            .join(seen.select("node"), "node", "left_anti")
+            .withColumn("depth", F.lit(depth))
+        )
+        level = materialize(found, "bfs")
+        if level.isEmpty():
+            break
+        seen = seen.unionByName(level)
+    return seen

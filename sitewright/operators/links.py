@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 
 from ..functions import html as H
 from ..functions import url as U
-from ..rules import COMPANY_WORDS, FAST, FINAL, Rules, SEARCH_ENDPOINTS, STANDARD
-from .generate import Dimensions, all_paths, on_origin, path_array
+from ..rules import COMPANY_WORDS, Rules, SEARCH_ENDPOINTS, STANDARD
+from .generate import Dimensions, all_paths, on_origins, path_rows
 
 
 def _found_links(pages: DataFrame, tag: str, found: Callable[[Column], Column]) -> DataFrame:
@@ -227,8 +227,8 @@ def extract_links(
 ) -> DataFrame:
     """All candidate URLs of every page: ``(src_url, dst_url)``, distinct per page.
 
-    With ``rules.generate`` each page also yields the template URLs of
-    ``dimensions``.
+    With ``rules.generate`` the template URLs of ``dimensions`` are added once per
+    origin, as links of its first page: they belong to the origin, not to a page.
     """
     staged = pages.select(
         F.col("url").alias("src_url"),
@@ -238,24 +238,23 @@ def extract_links(
     links = normalized_links(
         _raw_links(F.col("markup"), rules), F.col("base"), F.col("own"), rules
     )
+    found = staged.select("src_url", F.explode(links).alias("dst_url"))
     if rules.generate and dimensions is not None:
-        staged = staged.withColumn(
-            "_paths", path_array(pages.sparkSession, dimensions, all_paths, rules)
-        )
-        links = F.array_union(links, _generated_links(rules))
-    return staged.select("src_url", F.explode(links).alias("dst_url"))
-
-
-def _generated_links(rules: Rules) -> Column:
-    """Template URLs on the page's own origin; none where that is not a target."""
-    origin = U.url_origin("src_url")
-    wanted = U.is_target_domain("src_url", rules) & ~U.should_skip_url(
-        F.concat(origin, F.lit("/")), rules
+        found = found.union(_generated_links(pages, rules, dimensions)).distinct()
+    return found
+
+
+def _generated_links(pages: DataFrame, rules: Rules, dimensions: Dimensions) -> DataFrame:
+    """Template URLs on every origin that is a target, as links of its first page."""
+    origins = (
+        pages.select(U.url_origin("url").alias("origin"), F.col("url").alias("src_url"))
+        .groupBy("origin")
+        .agg(F.min("src_url").alias("src_url"))
+        .filter(U.is_target_domain("src_url", rules))
+        .filter(~U.should_skip_url(F.concat("origin", F.lit("/")), rules))
     )
-    return F.when(
-        wanted,
-        U.let(origin, lambda o: F.array_remove(on_origin(o, F.col("_paths")), F.col("own"))),
-    ).otherwise(F.array().cast("array<string>"))
+    urls = on_origins(origins, path_rows(dimensions, all_paths, rules))
+    return urls.filter(F.col("url") != own_url(rules)).select("src_url", F.col("url").alias("dst_url"))
 
 
 def homepage_links(pages: DataFrame) -> DataFrame:
@@ -334,5 +333,3 @@ def unique_links_per_page(pages: DataFrame, rules: Rules = STANDARD) -> DataFram
     found = links_per_page(pages, rules)
     return found.select("src_url", F.size("discovered_urls").alias("unique_urls_found"))
 
-
-VARIANTS = {"standard": STANDARD, "fast": FAST, "final": FINAL}

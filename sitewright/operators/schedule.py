@@ -45,16 +45,13 @@ def retry_schedule(
 
 
 RENDER_QUOTA = {"base": 1, "category": 3, "location": 3, "other": 5}
-RENDER_BELOW = 1800
-
 
 def topk_per_class(
-    discovered: DataFrame, rules: Rules = FINAL, below: int | None = RENDER_BELOW
+    discovered: DataFrame, rules: Rules = FINAL, below: int | None = None
 ) -> DataFrame:
     """The few dynamic URLs worth rendering, by class and quota, in URL order.
 
-    Only while fewer than ``below`` URLs are known (``None``: always). Spark cuts
-    each class to its quota before the shuffle (WindowGroupLimit).
+    With ``below``, only while fewer URLs than that are known. Spark cuts each class to its quota before the shuffle (WindowGroupLimit).
     """
     browse = is_browse_jobs("url")
     category = F.contains("url", F.lit("category="))

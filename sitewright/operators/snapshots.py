@@ -30,23 +30,23 @@ def snapshot_links(snapshots: DataFrame) -> DataFrame:
 def snapshot_delta(
     snapshots: DataFrame,
     stop_on_empty: bool = True,
-    max_steps: int = 10,
+    max_steps: int | None = None,
     hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Links new at each step against the step before: ``(url, step, dst_url)``.
 
-    With ``stop_on_empty`` a step that brings nothing ends the page. The comparison
+    All steps count, or those up to ``max_steps``. With ``stop_on_empty`` a step that brings nothing ends the page. The comparison
     is an anti join on page, step and link, so a page with very many links is spread.
     """
     # The links serve several joins below: parse the markup once.
-    links = materialize(snapshot_links(snapshots.filter(F.col("step") <= max_steps)), "snapshots")
+    if max_steps is not None:
+        snapshots = snapshots.filter(F.col("step") <= max_steps)
+    links = materialize(snapshot_links(snapshots), "snapshots")
     before = links.select("url", (F.col("step") + 1).alias("step"), "dst_url")
     delta = links.filter(F.col("step") > 0).join(before, ["url", "step", "dst_url"], "left_anti")
     if not stop_on_empty:
         return delta
-    steps = snapshots.filter((F.col("step") > 0) & (F.col("step") <= max_steps)).select(
-        "url", "step"
-    )
+    steps = snapshots.filter(F.col("step") > 0).select("url", "step")
     stops = (
         steps.distinct()
         .join(delta.select("url", "step").distinct(), ["url", "step"], "left_anti")

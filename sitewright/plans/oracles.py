@@ -455,10 +455,19 @@ FAST_RAWS = (
     f"flatten([{hrefs('markup', 'a')}, {rel_hrefs('markup', FAST.link_rels)}, {form_actions('markup')}, "
     f"{data_locations('markup')}, {option_paths('markup', 'fast')}])"
 )
-FINAL_RAWS = (
-    f"flatten([{hrefs('markup', 'a')}, {rel_hrefs('markup', FINAL.link_rels)}, {form_actions('markup')}, "
-    f"{company('markup')}, {option_paths('markup', 'final')}, (SELECT list(path) FROM gen_paths)])"
-)
+GENERATED = "(SELECT list(path) FROM gen_paths)"
+FIRST_PAGES = "(SELECT min(url) FROM site_pages GROUP BY regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*'))"
+
+
+def final_raws(generated: str) -> str:
+    return (
+        f"flatten([{hrefs('markup', 'a')}, {rel_hrefs('markup', FINAL.link_rels)}, {form_actions('markup')}, "
+        f"{company('markup')}, {option_paths('markup', 'final')}, {generated}])"
+    )
+
+
+FINAL_RAWS = final_raws(GENERATED)
+FIRST_PAGE_RAWS = final_raws(f"CASE WHEN src_url IN {FIRST_PAGES} THEN {GENERATED} ELSE [] END")
 HOME_RAWS = (
     r"flatten([" + each(tags("markup", "a"), attr("t", "href")) + f", {script_urls('html')}, "
     f"{form_actions('markup', True)}, {data_url_only('markup')}])"
@@ -500,7 +509,7 @@ GEN_TYPE_LEVEL = (
     + filled(R.LEVEL_TEMPLATES, "level", values_of(R.JOB_LEVELS))
 )
 GEN_SALARY = filled(R.SALARY_TEMPLATES, "salary", values_of(R.SALARY_BANDS))
-GEN_COMBO = pairs(R.COMBO_TEMPLATES, 15)
+GEN_COMBO = pairs(R.COMBO_TEMPLATES, None)
 GEN_ALL = " UNION ALL ".join((GEN_LOCATION, GEN_CATEGORY, GEN_TYPE_LEVEL, GEN_SALARY, GEN_COMBO))
 ONE_LOCATION = [
     t for t in R.PATTERN_TEMPLATES if t.count("{") == 1 and "{location}" in t
@@ -512,7 +521,7 @@ GEN_PATTERNS = " UNION ALL ".join(
     (
         filled(ONE_LOCATION, "location", "locations"),
         filled(ONE_CATEGORY, "category", "categories"),
-        pairs(R.PATTERN_COMBO_TEMPLATES, 10),
+        pairs(R.PATTERN_COMBO_TEMPLATES, None),
     )
 )
 GEN_SEARCH = " UNION ALL ".join(
@@ -533,7 +542,7 @@ API_SQL = (
     "WHERE status_code = 200 AND contains(content_type, 'json') AND "
     f"{in_list('regexp_extract(url, chr(94) || $$[a-z]+://[^/?#]*([^?#]*)$$, 1)', R.API_ENDPOINTS)}) g "
     "CROSS JOIN (SELECT '' AS suffix UNION ALL SELECT '?location=' || value FROM "
-    f"{top_dim('locations', 5)} UNION ALL SELECT '?category=' || value FROM {top_dim('categories', 5)}) s"
+    "locations UNION ALL SELECT '?category=' || value FROM categories) s"
 )
 
 SEARCH_SQL = (
@@ -809,7 +818,7 @@ def all_oracles() -> dict[str, str]:
     o["extract_links_fast"] = f"{pages_cte()}, {link_ctes(FAST, FAST_RAWS)} SELECT * FROM links"
     o["extract_links_final"] = (
         f"{pages_cte()}, {duckdb_with('locations', 'categories')}, gen_paths AS ({GEN_ALL}), "
-        f"{link_ctes(FINAL, FINAL_RAWS)} SELECT * FROM links"
+        f"{link_ctes(FINAL, FIRST_PAGE_RAWS)} SELECT * FROM links"
     )
     o["snapshot_delta"] = w("snapshots", extra=SNAP_LINKS) + (
         ", stops AS (SELECT url, min(step) AS stop FROM (SELECT DISTINCT url, step FROM snapshots WHERE step > 0 "
@@ -996,7 +1005,7 @@ def all_oracles() -> dict[str, str]:
         ", d AS (SELECT DISTINCT url FROM job_urls), c AS (SELECT url, CASE WHEN NOT contains(lower(url), 'browse-jobs') THEN 'other' "
         "WHEN ends_with(url, '/browse-jobs') THEN 'base' WHEN contains(url, 'category=') AND NOT contains(url, 'location=') THEN 'category' "
         "WHEN contains(url, 'location=') AND NOT contains(url, 'category=') THEN 'location' END AS render_class FROM d "
-        f"WHERE {any_of('url', FINAL.dynamic)} AND (SELECT count(*) FROM d) < 1800), "
+        f"WHERE {any_of('url', FINAL.dynamic)}), "
         "r AS (SELECT url, render_class, CAST(row_number() OVER (PARTITION BY render_class ORDER BY url) AS INTEGER) AS rn FROM c "
         "WHERE render_class IS NOT NULL) SELECT url, render_class, rn FROM r WHERE rn <= CASE render_class WHEN 'base' THEN 1 "
         "WHEN 'category' THEN 3 WHEN 'location' THEN 3 ELSE 5 END"
@@ -1056,7 +1065,7 @@ def all_oracles() -> dict[str, str]:
         f"WITH RECURSIVE {duckdb_with('site_pages', 'registry')}, m AS (SELECT url AS src_url, {stripped()} AS markup FROM site_pages), "
         f"{link_ctes(STANDARD, STANDARD_RAWS)}, e AS (SELECT {norm('src_url')} AS src, dst_url AS dst FROM links), "
         "b(url, depth) AS (SELECT url, 0 FROM registry WHERE parent_url IS NULL UNION "
-        "SELECT e.dst, b.depth + 1 FROM b JOIN e ON e.src = b.url WHERE b.depth < 5) "
+        "SELECT e.dst, b.depth + 1 FROM b JOIN e ON e.src = b.url WHERE b.depth < (SELECT count(*) FROM registry)) "
         "SELECT url, min(depth) AS depth FROM b GROUP BY url"
     )
     o["registry_add"] = w("found", "registry", extra=FRESH) + (

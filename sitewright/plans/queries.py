@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import replace
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import classify as C
@@ -462,7 +462,7 @@ def extract_links_final(t):
 
 @query
 def snapshot_delta(t):
-    return N.snapshot_delta(t.snapshots, max_steps=5)
+    return N.snapshot_delta(t.snapshots)
 
 
 @query
@@ -767,8 +767,10 @@ def sort_urls(t):
 
 @query
 def topn_dims(t):
-    rows, d = G.attach(origins_of(t), dimensions_of(t))
-    return rows.select("origin", F.posexplode(G.top(d.location, 15)).alias("pos", "location"))
+    first = G.top(dimensions_of(t).location, 15)  # 15 rows: they may be numbered together
+    place = F.row_number().over(Window.orderBy("pos")) - 1
+    rows = first.select(place.alias("pos"), F.col("value").alias("location"))
+    return G.paired(origins_of(t), rows)
 
 
 # --- Set operations -----------------------------------------------------------
@@ -801,7 +803,7 @@ def dedupe_set(t):
 # --- Generators, discovery, registry ------------------------------------------
 
 
-def _generated(t, paths: Callable[[G.Dimensions], Column]) -> DataFrame:
+def _generated(t, paths: G.Paths) -> DataFrame:
     return G.candidates(origins_of(t), dimensions_of(t), paths)
 
 
@@ -862,7 +864,7 @@ def bfs_pages(t):
         U.url_normalize("src_url").alias("src"), F.col("dst_url").alias("dst")
     )
     seeds = t.registry.filter("parent_url IS NULL").select(F.col("url").alias("node"))
-    return graph.bfs_depth(seeds, edges, STANDARD.max_depth).select(F.col("node").alias("url"), "depth")
+    return graph.bfs_depth(seeds, edges, None).select(F.col("node").alias("url"), "depth")
 
 
 @query

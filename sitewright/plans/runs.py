@@ -116,7 +116,6 @@ def crawl_final(
     Template URLs belong to an origin, not to a page, so each level adds them once
     per origin it reached instead of as edges of every page.
     """
-    spark = pages.sparkSession
     latest = materialize(
         R.latest_result(crawl_log.withColumn("url", U.normalize("url", rules))), "results"
     )
@@ -131,7 +130,7 @@ def crawl_final(
     parsed = materialize(
         stored.filter(U.is_target_domain("node", rules)), "parsed"
     )
-    paths = G.path_array(spark, dimensions, G.all_paths, rules)
+    paths = G.path_rows(dimensions, G.all_paths, rules)
 
     def templates(level: DataFrame) -> DataFrame:
         origins = (
@@ -139,11 +138,8 @@ def crawl_final(
             .select(U.url_origin("node").alias("origin"))
             .distinct()
             .filter(~U.should_skip_url(F.concat("origin", F.lit("/")), rules))
-            .withColumn("_paths", paths)
-        )
-        return origins.select(
-            F.explode(G.on_origin(F.col("origin"), F.col("_paths"))).alias("node")
         )
+        return G.on_origins(origins, paths).select(F.col("url").alias("node"))
 
     start = seeds.select(U.normalize("url", rules).alias("node"))
     found = graph.bfs_depth(start, edges, rules.max_depth, templates).select(

@@ -126,7 +126,7 @@ def test_extract_variants_differ(spark):
     assert dsts(L.extract_links(p, STANDARD)) == [SITE + "/area", SITE + "/n"]
     fast = dsts(L.extract_links(p, FAST))
     assert SITE + "/find" in fast and SITE + "/jobs-in-x" in fast and SITE + "/area" not in fast
-    d = G.literal_dimensions(["leeds"], ["banking", "risk"])
+    d = G.literal_dimensions(spark, ["leeds"], ["banking", "risk"])
     final = dsts(L.extract_links(p, FINAL, d))
     assert SITE + "/banking-jobs-in-leeds" in final and SITE + "/jobs?salary=100k+" in final
     assert SITE + "/it-jobs" in final and len(final) == len(set(final))

@@ -6,8 +6,8 @@ import __spark_entry__ as entry_point
 from compare import connect, differences
 
 SF = "/root/testdata/sf0.001"
-QUERIES = entry_point.queries()
-ORACLES = entry_point.oracle_sql()
+QUERIES = entry_point.all_queries()
+ORACLES = entry_point.all_oracles()
 
 
 @pytest.fixture(scope="module")

@@ -64,7 +64,7 @@ def test_depth_limit(spark):
 
 def test_final_run(spark):
     pages, log = corpus(spark)
-    d = G.literal_dimensions(["leeds"], ["banking"])
+    d = G.literal_dimensions(spark, ["leeds"], ["banking"])
     run = runs.crawl_final(pages, log, seeds(spark), d)
     depth = {r.url.replace(SITE, ""): r.depth for r in run.discovered.collect()}
     # /c failed, so /d stays unknown; template URLs come with the first page.

@@ -2,6 +2,7 @@
 
 import random
 from collections import Counter, defaultdict
+from functools import partial
 
 import pytest
 from pyspark.sql import functions as F
@@ -120,6 +121,8 @@ def test_topk_per_class(spark):
     picked = schedule.topk_per_class(df)
     assert Counter(r.render_class for r in picked.collect()) == {"base": 1, "category": 3, "location": 2, "other": 5}
     assert schedule.topk_per_class(df, below=5).count() == 0
+    many = df.union(spark.range(3000).select(F.concat(F.lit(base + "/about?x="), "id")))
+    assert Counter(r.render_class for r in schedule.topk_per_class(many).collect())["category"] == 3
     assert "WindowGroupLimit" in picked._jdf.queryExecution().executedPlan().toString()
 
 
@@ -127,38 +130,32 @@ def test_generators(spark):
     origins = spark.createDataFrame([("https://a.com",), ("http://b.com",)], "origin string")
     locations = [f"l{i}" for i in range(53)]
     categories = [f"c{i}" for i in range(40)]
-    d = G.literal_dimensions(locations, categories)
+    d = G.literal_dimensions(spark, locations, categories)
     counts = {
         "location": (G.location_paths, 265), "category": (G.category_paths, 200),
-        "type_level": (G.type_level_paths, 21 + 24), "combo": (G.combo_paths, 675),
-        "salary": (G.salary_paths, 14), "all": (G.all_paths, 1199),
+        "type_level": (G.type_level_paths, 21 + 24), "combo": (G.combo_paths, 53 * 40 * 3),
+        "first": (partial(G.combo_paths, n=15), 675), "salary": (G.salary_paths, 14), "all": (partial(G.all_paths, n=15), 1199),
     }
     for name, (paths, n) in counts.items():
         got = G.candidates(origins, d, paths).groupBy("origin").count().collect()
         assert {r["count"] for r in got} == {n} and len(got) == 2, name
-    urls = {r.url for r in G.candidates(origins, d, G.all_paths).collect()}
+    urls = {r.url for r in G.candidates(origins, d, partial(G.all_paths, n=15)).collect()}
     assert "https://a.com/c14-jobs-in-l14" in urls and "https://a.com/c15-jobs-in-l14" not in urls
     patterns = {r.url for r in G.candidates(origins, d, G.pattern_paths).collect()}
-    assert "http://b.com/jobs/c9/l9" in patterns and "http://b.com/jobs/c10/l9" not in patterns
+    assert "http://b.com/jobs/c9/l9" in patterns and "http://b.com/jobs/c39/l52" in patterns
     assert not any("{" in u for u in patterns)
 
 
-def test_candidates_need_no_shuffle_or_cross_join(spark):
+def test_large_dimensions_are_paired_by_equality(spark, no_broadcast):
     origins = spark.createDataFrame([("https://a.com",)], "origin string")
-    table = spark.createDataFrame([(1, "x"), (0, "y")], "pos int, value string")
-    d = G.table_dimensions(G.dimension(table, "pos", "value"), G.dimension(table, "pos", "value"))
-    df = G.candidates(origins, d, G.location_paths)
-    assert [r.url for r in df.collect()][0] == "https://a.com/jobs-in-y"
-    plan = df._jdf.queryExecution().optimizedPlan().toString()
-    assert "Join" not in plan
-
-
-def test_dimension_size_is_checked(spark):
-    big = spark.range(G.MAX_DIMENSION + 1).select("id", F.col("id").cast("string").alias("v"))
-    origins = spark.createDataFrame([("https://a.com",)], "origin string")
-    d = G.table_dimensions(G.dimension(big, "id", "v"), G.value_array(["c"]))
-    with pytest.raises(Exception, match="a dimension holds over"):
-        G.candidates(origins, d, G.location_paths).collect()
+    big = spark.range(50_000).select(F.col("id").alias("pos"), F.concat(F.lit("v"), "id").alias("value"))
+    d = G.table_dimensions(G.dimension(big, "pos", "value"), G.value_rows(spark, ["c"]))
+    found = G.candidates(origins, d, G.location_paths)
+    assert found.count() == found.select("url").distinct().count() == 250_000
+    plan = G.paired(origins, big)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Cross" not in plan and "(_bucket#" in plan
+    pairs = G.fill_pairs(("/{location}/{category}",), big.limit(300), G.value_rows(spark, [f"c{i}" for i in range(200)]))
+    assert pairs.distinct().count() == 60_000
 
 
 def test_discovery_counts(spark):
@@ -175,8 +172,9 @@ def test_api_candidates(spark):
     rows = [("https://a.com/api/jobs", 200, "application/json"), ("https://a.com/api/search", 404, "application/json"),
             ("https://a.com/other", 200, "application/json"), ("https://a.com/ajax/jobs", 200, "text/html")]
     probes = spark.createDataFrame(rows, "url string, status_code int, content_type string")
-    d = G.literal_dimensions([f"l{i}" for i in range(9)], ["c0"])
-    got = sorted(r.url for r in G.api_candidates(probes, d).collect())
+    d = G.literal_dimensions(spark, [f"l{i}" for i in range(9)], ["c0"])
+    assert G.api_candidates(probes, d).count() == 11
+    got = sorted(r.url for r in G.api_candidates(probes, d, n=5).collect())
     assert got == sorted(["https://a.com/api/jobs", "https://a.com/api/jobs?category=c0"]
                          + [f"https://a.com/api/jobs?location=l{i}" for i in range(5)])
 

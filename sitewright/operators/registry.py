@@ -144,10 +144,15 @@ def new_urls(found: DataFrame, registry: DataFrame) -> DataFrame:
     return batch.join(known, "url", "left_anti")
 
 
-def registry_add(state: CrawlState, found: DataFrame) -> CrawlState:
-    """Add unknown URLs of ``found(url, parent_url, depth, is_dynamic, priority, pos, added_at)``."""
+def registry_add(
+    state: CrawlState, found: DataFrame, known: DataFrame | None = None
+) -> CrawlState:
+    """Add unknown URLs of ``found(url, parent_url, depth, is_dynamic, priority, pos, added_at)``.
+
+    ``known`` may name a table of the same URLs that is cheaper to search.
+    """
     # Both tables take the new rows: written once, so the registry is searched once.
-    fresh = materialize(new_urls(found, state.registry), "fresh")
+    fresh = materialize(new_urls(found, state.registry if known is None else known), "fresh")
     return CrawlState(
         state.registry.unionByName(pending_rows(fresh)),
         state.frontier.unionByName(frontier_rows(fresh)),
@@ -318,7 +323,8 @@ def process_results(
         "pos", F.struct("depth", "added_at", "parent_url", "url")
     )
     marked = mark_crawled(state, results.drop("discovered_urls", "depth"))
-    return registry_add(marked, found)
+    # Marking changes no URL, so the registry as given is searched, not the lazy result.
+    return registry_add(marked, found, state.registry)
 
 
 def parent_lineage(registry: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:

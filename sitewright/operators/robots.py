@@ -193,13 +193,10 @@ def robots_allowed(
             F.substring("_path", F.lit(1), F.col("_cut")).alias("_piece"),
         )
     )
-    matched = pieces.withColumn("_salt", F.pmod(F.xxhash64("url"), F.lit(8)).cast("int")).join(
-        first.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(7)))).select(
-            F.col("host").alias("_h"), F.col("path").alias("_piece"), "_salt", "_rule"
-        ),
-        ["_h", "_piece", "_salt"],
-        "left",
-    )
+    # A short piece of a large host is the piece of very many URLs: such keys are dealt by their size.
+    by_piece = first.select(F.concat_ws("\x00", "host", "path").alias("_rule_key"), "_rule")
+    keyed_pieces = pieces.withColumn("_key", F.concat_ws("\x00", "_h", F.coalesce("_piece", F.lit("\x00"))))
+    matched = lookup_join(keyed_pieces, by_piece, "_key", "_rule_key", "left", ["url"], hot_rows)
     return matched.groupBy("url").agg(
         F.coalesce(F.min_by("_rule.allow", "_rule.rule_no"), F.lit(True)).alias("allowed")
     )

@@ -102,11 +102,12 @@ def robots_txt(files: DataFrame, base_url: str) -> DataFrame:
 
 
 def robots_txt_final(files: DataFrame, base_url: str) -> DataFrame:
-    """robots.txt of the final rules: one sitemap at the site root, no blank line."""
+    """robots.txt of the final rules: the sitemap at the site root or the index, no blank line."""
+    name = F.when(F.col("n") == 1, "sitemap.xml").otherwise("sitemap_index.xml")
     lines = F.array(
         F.lit("User-agent: *"),
         F.lit("Allow: /"),
-        F.lit(f"Sitemap: {base_url.rstrip('/')}/sitemap.xml"),
+        F.concat(F.lit(f"Sitemap: {base_url.rstrip('/')}/"), name),
     )
     some = files.agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 0)
     return some.select(F.posexplode(lines).alias("line_no", "line"))

@@ -7,24 +7,23 @@ from pyspark.sql import functions as F
 
 from ..session import materialize, shuffle_partitions, will_broadcast
 
-MAX_HOT_KEYS = 1000
+#: Rows of one key that a task may hold before the key is split.
 HOT_ROWS = 500_000
-SALTS = 64
 
 
 def hot_keys(df: DataFrame, key: str, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """The heaviest keys of ``df``: at most ``MAX_HOT_KEYS`` rows, so broadcast-safe.
+    """``(_hot_key, _shares)``: keys of ``hot_rows`` rows or more, and into how many shares they go.
 
-    Keys beyond that number hold at most one ``MAX_HOT_KEYS``-th of the rows each.
+    All of them, however many: at most one for every ``hot_rows`` rows. The list is
+    written once, so its real size decides how it is joined.
     """
-    return (
+    hot = (
         df.groupBy(F.col(key).alias("_hot_key"))
         .agg(F.count(F.lit(1)).alias("_n"))
         .filter(F.col("_n") >= hot_rows)
-        .orderBy(F.desc("_n"), "_hot_key")
-        .limit(MAX_HOT_KEYS)
-        .select("_hot_key")
+        .select("_hot_key", (F.floor(F.col("_n") / hot_rows) + 1).cast("int").alias("_shares"))
     )
+    return materialize(hot, "hot")
 
 
 def lookup_join(
@@ -35,35 +34,27 @@ def lookup_join(
     how: str,
     salt_on: list[str],
     hot_rows: int = HOT_ROWS,
-    salts: int = SALTS,
 ) -> DataFrame:
     """Join ``left`` to ``right`` (unique on its key), splitting hot left keys.
 
-    Rows of a hot key are spread by a hash of ``salt_on``; only the matching right
-    rows are repeated. A right side small enough for Spark to broadcast needs none of
-    it. Column names of the two sides must differ.
+    Rows of a hot key are dealt by a hash of ``salt_on`` over shares of about
+    ``hot_rows`` rows; only the matching right rows are repeated, once per share. A
+    right side small enough for Spark to broadcast needs none of it. Column names of
+    the two sides must differ.
     """
     if will_broadcast(right):
         return left.join(right, F.col(left_key) == F.col(right_key), how)
     hot = hot_keys(left, left_key, hot_rows)
-    no_salt = F.lit(0)
-    spread = F.pmod(F.xxhash64(*salt_on), F.lit(salts)).cast("int")
+    one = F.lit(1)
     left_salted = (
-        left.join(F.broadcast(hot), F.col(left_key) == F.col("_hot_key"), "left")
-        .withColumn("_ls", F.when(F.col("_hot_key").isNotNull(), spread).otherwise(no_salt))
-        .drop("_hot_key")
+        left.join(hot, F.col(left_key) == F.col("_hot_key"), "left")
+        .withColumn("_ls", F.pmod(F.xxhash64(*salt_on), F.coalesce("_shares", one)).cast("int"))
+        .drop("_hot_key", "_shares")
     )
     right_salted = (
-        right.join(F.broadcast(hot), F.col(right_key) == F.col("_hot_key"), "left")
-        .withColumn(
-            "_rs",
-            F.explode(
-                F.when(
-                    F.col("_hot_key").isNotNull(), F.sequence(no_salt, F.lit(salts - 1))
-                ).otherwise(F.array(no_salt))
-            ),
-        )
-        .drop("_hot_key")
+        right.join(hot, F.col(right_key) == F.col("_hot_key"), "left")
+        .withColumn("_rs", F.explode(F.sequence(F.lit(0), F.coalesce("_shares", one) - 1)))
+        .drop("_hot_key", "_shares")
     )
     on = (F.col(left_key) == F.col(right_key)) & (F.col("_ls") == F.col("_rs"))
     joined = left_salted.join(right_salted, on, how)

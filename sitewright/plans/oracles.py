@@ -5,7 +5,7 @@ from __future__ import annotations
 from .. import rules as R
 from ..rules import FAST, FINAL, STANDARD
 from .derived import duckdb_with
-from .queries import BASE, EARLY, NOW, PER_FILE
+from .queries import BASE, NOW, PER_FILE
 
 NOW_ISO = NOW.replace(" ", "T") + "+00:00"
 
@@ -897,17 +897,17 @@ def all_oracles() -> dict[str, str]:
 
     # Joins
     o["new_urls"] = w("found", "registry", extra=FRESH) + "SELECT url, pos, parent_url, depth FROM fresh"
-    o["uncrawled"] = w("crawl_log") + (
-        f"SELECT DISTINCT url FROM site_pages WHERE url NOT IN (SELECT url FROM crawl_log WHERE fetched_at < TIMESTAMP '{EARLY}')"
+    o["uncrawled"] = w("crawl_log", extra=LATEST) + (
+        f"SELECT DISTINCT url FROM site_pages WHERE url NOT IN (SELECT url FROM latest WHERE {status('status_code', 'error_message')} = 'success')"
     )
     o["apply_results"] = w("registry", "crawl_log", extra=LATEST_NORM) + (
         f"SELECT r.url, {applied('status_code')}, {applied('content_type')}, {NEW_STATUS}, {applied('error_message')}, "
         f"{applied('response_time')}, {iso('CASE WHEN l.url IS NOT NULL THEN l.fetched_at ELSE r.last_crawled END')} "
         "AS last_crawled FROM registry r LEFT JOIN latest l ON r.url = l.url"
     )
-    o["dequeue_done"] = w("frontier", "crawl_log") + (
-        f"SELECT url, priority, is_processing FROM frontier WHERE url NOT IN (SELECT {norm('url')} FROM crawl_log "
-        f"WHERE fetched_at < TIMESTAMP '{EARLY}')"
+    o["dequeue_done"] = w("frontier", "crawl_log", extra=LATEST_NORM) + (
+        f"SELECT url, priority, is_processing FROM frontier WHERE url NOT IN (SELECT url FROM latest "
+        f"WHERE {status('status_code', 'error_message')} = 'success')"
     )
     o["replace_results"] = w("crawl_log", extra=LATEST) + (
         f"SELECT url, status_code, is_dynamic FROM latest WHERE url NOT IN (SELECT url FROM site_pages WHERE {any_of('url', STANDARD.dynamic)}) "
@@ -1130,11 +1130,15 @@ def all_oracles() -> dict[str, str]:
     o["build_sitemap"] = w("registry", extra=CHUNKS) + "SELECT loc, lastmod, changefreq, priority, sitemap_no FROM chunks"
 
     # Streaming
-    o["stream_registry"] = w("registry", "crawl_log", extra=LATEST_NORM) + (
+    newer = (
+        ", newer AS (SELECT l.* FROM latest l LEFT JOIN registry r ON r.url = l.url "
+        "WHERE r.last_crawled IS NULL OR l.fetched_at > r.last_crawled)"
+    )
+    o["stream_registry"] = w("registry", "crawl_log", extra=LATEST_NORM + newer) + (
         f"SELECT coalesce(r.url, l.url) AS url, coalesce(r.depth, 0) AS depth, {NEW_STATUS}, {applied('status_code')}, "
         f"{applied('error_message')}, {applied('response_time')}, {iso('coalesce(r.discovered_at, s.first_at)')} AS discovered_at, "
         f"{iso('CASE WHEN l.url IS NOT NULL THEN l.fetched_at ELSE r.updated_at END')} AS updated_at "
-        "FROM registry r FULL JOIN latest l ON r.url = l.url LEFT JOIN (SELECT url, min(fetched_at) AS first_at FROM clog GROUP BY url) s "
+        "FROM registry r FULL JOIN newer l ON r.url = l.url LEFT JOIN (SELECT url, min(fetched_at) AS first_at FROM clog GROUP BY url) s "
         "ON s.url = l.url"
     )
     o["stream_new_urls"] = w("crawl_log") + f"SELECT DISTINCT {norm('url')} AS url FROM crawl_log"
@@ -1144,7 +1148,6 @@ def all_oracles() -> dict[str, str]:
     o["stream_progress"] = w("crawl_log") + (
         f"SELECT {iso('h')} AS window_start, crawled, succeeded, CAST(succeeded AS DOUBLE) / crawled * 100 AS success_rate FROM ("
         f"SELECT date_trunc('hour', fetched_at) AS h, count(*) AS crawled, count(*) FILTER (WHERE {status('status_code', 'error_message')} "
-        "= 'success') AS succeeded FROM crawl_log GROUP BY 1) z WHERE h + INTERVAL 1 HOUR <= "
-        "(SELECT max(fetched_at) - INTERVAL 10 MINUTE FROM crawl_log)"
+        "= 'success') AS succeeded FROM crawl_log GROUP BY 1) z"
     )
     return o

@@ -25,7 +25,6 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 BASE = STANDARD.base_urls[0]
 NOW = "2024-06-01 12:00:00"
-EARLY = "2024-01-01 06:00:00"
 PER_FILE = 20
 AGENT = "SiteBot/1.0"
 LOG_COLUMNS = (
@@ -60,9 +59,10 @@ def state_of(t: Inputs) -> CrawlState:
     return CrawlState(registry_of(t), t.frontier)
 
 
-def first_hours(t: Inputs) -> DataFrame:
-    """The fetch log as it stood some hours into the crawl."""
-    return t.crawl_log.filter(f"fetched_at < TIMESTAMP '{EARLY}'")
+def fetched_well(log: DataFrame) -> DataFrame:
+    """URLs whose latest fetch succeeded, by the whole log."""
+    good = C.crawl_status("status_code", "error_message") == "success"
+    return R.latest_result(log).filter(good).select("url")
 
 
 def dimensions_of(t: Inputs) -> G.Dimensions:
@@ -115,7 +115,7 @@ def read_sitemap(t):
 @query
 def read_sitemap_index(t):
     out = _written(t, PER_FILE)
-    rows = X.read_indexed_sitemaps(t.spark, out + "/sitemap_index.xml", out)
+    rows = X.read_indexed_sitemaps(t.spark, out + "/sitemap_index.xml", out, f"{BASE}/sitemap")
     return rows.select(_file_name("file").alias("file"), "loc")
 
 
@@ -165,7 +165,7 @@ def write_robots(t):
 @query
 def write_robots_final(t):
     entries = S.build_entries_final(R.latest_result(t.crawl_log), now())
-    return S.robots_txt_final(entries, BASE)
+    return S.robots_txt_final(S.sitemap_files(S.chunk_sitemaps(entries)), BASE)
 
 
 @query
@@ -204,8 +204,12 @@ def seed_urls(t):
 
 @query
 def reset_registry(t):
-    registry, frontier = tables.reset_registry(t.spark)
-    return R.registry_add(CrawlState(registry, frontier), t.found).registry.select(
+    path = work_path(t.spark, "reset")
+    registry_of(t).write.parquet(path)
+    empty, frontier = tables.reset_registry(t.spark)
+    empty.write.mode("overwrite").parquet(path)  # the filled table is gone
+    stored = t.spark.read.schema(tables.URL_REGISTRY).parquet(path)
+    return R.registry_add(CrawlState(stored, frontier), t.found).registry.select(
         "url", "depth", "crawl_status"
     )
 
@@ -555,7 +559,7 @@ def new_urls(t):
 
 @query
 def uncrawled(t):
-    return R.uncrawled(t.site_pages.select("url"), first_hours(t))
+    return R.uncrawled(t.site_pages.select("url"), fetched_well(t.crawl_log))
 
 
 @query
@@ -569,7 +573,7 @@ def apply_results(t):
 
 @query
 def dequeue_done(t):
-    done = first_hours(t).select(U.url_normalize("url").alias("url"))
+    done = fetched_well(t.crawl_log.withColumn("url", U.url_normalize("url")))
     return R.dequeue_done(t.frontier, done).select("url", "priority", "is_processing")
 
 
@@ -975,7 +979,9 @@ def stream_registry(t):
 
 @query
 def stream_new_urls(t):
-    return jobs.run_to_files(jobs.first_seen(_log_stream(t)), "stream-urls")
+    stream = jobs.FirstSeenStream(t.spark, work_path(t.spark, "stream"))
+    stream.start(_log_stream(t)).awaitTermination()
+    return stream.urls().select("url")
 
 
 @query
@@ -987,7 +993,8 @@ def stream_pattern_first(t):
 
 @query
 def stream_progress(t):
-    done = jobs.run_to_files(jobs.progress(_log_stream(t)), "stream-progress")
-    return done.select(
+    stream = jobs.ProgressStream(t.spark, work_path(t.spark, "stream"))
+    stream.start(_log_stream(t)).awaitTermination()
+    return stream.windows().select(
         C.iso_lastmod("window_start").alias("window_start"), "crawled", "succeeded", "success_rate"
     )

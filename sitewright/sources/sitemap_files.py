@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 from concurrent.futures import ThreadPoolExecutor
 
@@ -12,7 +13,7 @@ from ..functions import url as U
 from ..functions.html import strip_ws
 from ..operators import sitemap as S
 from ..rules import MAX_URLS_PER_SITEMAP, SITEMAP_NAMESPACE
-from ..session import shuffle_partitions
+from ..session import materialize, shuffle_partitions
 
 URL_ROWS = "loc string, lastmod string, changefreq string, priority string, _corrupt string"
 INDEX_ROWS = "loc string, lastmod string"
@@ -39,6 +40,7 @@ def _part_files(spark: SparkSession, folder: str, depth: int) -> list[tuple[str,
 def _move(spark: SparkSession, source: str, target: str) -> None:
     fs, src = _hadoop(spark, source)
     _, dst = _hadoop(spark, target)
+    fs.delete(dst, False)  # some file systems refuse to replace a file
     if not fs.rename(src, dst):
         raise OSError(f"could not move {source} to {target}")
 
@@ -49,8 +51,8 @@ def _drop(spark: SparkSession, path: str) -> None:
 
 
 def overwrite_sitemaps(spark: SparkSession, out_dir: str) -> None:
-    """Drop ``sitemap*.xml`` of an earlier run; other files stay."""
-    fs, pattern = _hadoop(spark, out_dir + "/sitemap*.xml")
+    """Drop ``sitemap*.xml`` and their gzip twins of an earlier run; other files stay."""
+    fs, pattern = _hadoop(spark, out_dir + "/sitemap*.xml{,.gz}")
     for status in fs.globStatus(pattern) or []:
         fs.delete(status.getPath(), False)
 
@@ -117,7 +119,7 @@ def _write_single(df: DataFrame, target: str, fmt: str, **options: str) -> None:
 def write_sitemap_index(index: DataFrame, out_dir: str) -> str:
     target = f"{out_dir}/sitemap_index.xml"
     _write_single(
-        index.orderBy("loc"),
+        index.orderBy(F.length("loc"), "loc"),  # the order of the numbers in the names
         target,
         "xml",
         rowTag="sitemap",
@@ -167,6 +169,10 @@ def read_sitemap(spark: SparkSession, paths: str | list[str]) -> DataFrame:
         .schema(URL_ROWS)
         .load(paths)
     )
+    return _sitemap_rows(rows)
+
+
+def _sitemap_rows(rows: DataFrame) -> DataFrame:
     return rows.select(
         F.col("_metadata.file_path").alias("file"),
         strip_ws(F.col("loc")).alias("loc"),
@@ -196,26 +202,59 @@ def read_sitemap_index(spark: SparkSession, paths: str | list[str]) -> DataFrame
     )
 
 
-def read_indexed_sitemaps(spark: SparkSession, index_path: str, folder: str) -> DataFrame:
-    """Rows of the sitemaps an index lists, found by file name under ``folder``.
+def _below(path: Column, folder: str) -> Column:
+    """Path of a file below a folder, without scheme and host."""
+    plain = r"^[a-z]+:(?://[^/]*)?/*"
+    root = re.sub(plain, "/", folder.rstrip("/"))
+    return F.substring(F.regexp_replace(path, plain, "/"), len(root) + 2, 1 << 30)
+
+
+def read_indexed_sitemaps(
+    spark: SparkSession, index_path: str, folder: str, base_url: str
+) -> DataFrame:
+    """Rows of the sitemaps that an index lists, directly or by further indexes.
 
-    The index is a join side, not a driver list: children are scanned once and
-    kept if listed.
+    ``folder`` holds what lies below ``base_url``, whatever the files are called,
+    gzipped ones too. Indexes are followed by joins, level by level, until none is new.
     """
-    listed = read_sitemap_index(spark, index_path).select(
-        F.element_at(F.split("loc", "/"), -1).alias("_name")
+    def scan(tag: str, schema: str) -> DataFrame:
+        return (
+            spark.read.format("xml")
+            .option("rowTag", tag)
+            .option("recursiveFileLookup", True)
+            .option("pathGlobFilter", "*.xml{,.gz}")
+            .option("mode", "PERMISSIVE")
+            .option("columnNameOfCorruptRecord", "_corrupt")
+            .schema(schema)
+            .load(folder)
+        )
+
+    path = F.col("_metadata.file_path")
+    base = base_url.rstrip("/") + "/"
+    listed = scan("sitemap", INDEX_ROWS).select(
+        _below(path, folder).alias("_parent"), strip_ws(F.col("loc")).alias("_loc")
     )
-    rows = read_sitemap(spark, folder + SITEMAP_FILES).withColumn(
-        "_name", F.element_at(F.split("file", "/"), -1)
+    children = materialize(
+        listed.filter(F.col("_loc").startswith(base))
+        .select("_parent", F.substring("_loc", len(base) + 1, 1 << 30).alias("_name"))
+        .distinct(),
+        "indexes",
     )
-    return rows.join(listed.distinct(), "_name", "left_semi").drop("_name")
+    level = reached = spark.range(1).select(_below(F.lit(index_path), folder).alias("_name"))
+    while True:
+        found = children.join(level.withColumnRenamed("_name", "_parent"), "_parent").select("_name")
+        level = materialize(found.distinct().join(reached, "_name", "left_anti"), "listed")
+        if level.isEmpty():
+            break
+        reached = reached.union(level)
+    rows = _sitemap_rows(scan("url", URL_ROWS)).withColumn("_name", _below(F.col("file"), folder))
+    return rows.join(reached, "_name", "left_semi").drop("_name")
 
 
 def read_robots_lines(spark: SparkSession, path: str, host: str) -> DataFrame:
     """A robots.txt file as ``(host, line_no, line)``; read whole, as one record."""
     return (
-        spark.read.option("wholetext", True)
-        .text(path)
+        spark.read.text(path, wholetext=True)
         .select(F.posexplode(F.split("value", r"\r?\n", -1)).alias("line_no", "line"))
         .select(F.lit(host).alias("host"), "line_no", "line")
     )
@@ -223,13 +262,16 @@ def read_robots_lines(spark: SparkSession, path: str, host: str) -> DataFrame:
 
 def sitemap_roots(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """Per file its kind, by the root element, and whether the root is closed."""
-    lines = spark.read.text(paths).select(F.col("_metadata.file_path").alias("file"), "value")
+    # A file is one record (50 MB by the protocol): a root tag may span lines.
+    files = spark.read.text(paths, wholetext=True)
+    lines = files.select(F.col("_metadata.file_path").alias("file"), "value")
     space = SITEMAP_NAMESPACE.replace(".", r"\.")
 
     def seen(pattern: str) -> Column:
-        return F.bool_or(F.col("value").rlike(pattern))
+        return F.col("value").rlike(pattern)
 
-    flags = lines.groupBy("file").agg(
+    flags = lines.select(
+        "file",
         seen(rf"""<urlset\b[^>]*xmlns\s*=\s*["']{space}["']""").alias("urlset"),
         seen("</urlset>|<urlset[^>]*/>").alias("urlset_closed"),
         seen(rf"""<sitemapindex\b[^>]*xmlns\s*=\s*["']{space}["']""").alias("index"),

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -12,7 +9,6 @@ from pyspark.sql.streaming import StreamingQuery
 from ..functions import classify as C
 from ..functions import url as U
 from ..operators.registry import apply_results, latest_result, pending_rows
-from ..session import work_path
 
 
 def read_events(spark: SparkSession, folder: str, files: str, schema) -> DataFrame:
@@ -22,57 +18,79 @@ def read_events(spark: SparkSession, folder: str, files: str, schema) -> DataFra
     )
 
 
-def run_to_files(stream: DataFrame, label: str, mode: str = "append") -> DataFrame:
-    """Drain what has arrived into parquet files and read the result back."""
-    spark = stream.sparkSession
-    out = work_path(spark, label)
-    query = (
-        stream.writeStream.format("parquet")
-        .outputMode(mode)
-        .option("path", out)
-        .option("checkpointLocation", work_path(spark, label + "-offsets"))
-        .trigger(availableNow=True)
-        .start()
-    )
-    query.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(out)
+class BatchStore:
+    """Micro-batches reduced to small tables, each under its batch number.
 
+    A replayed batch overwrites itself; what the stream has come to is read from the
+    stored tables, so the last rows to arrive count as soon as their batch is written.
+    """
 
-def progress(crawl_log: DataFrame, delay: str = "10 minutes", width: str = "1 hour") -> DataFrame:
-    """Per window: fetches and how many succeeded; rows later than ``delay`` are dropped."""
-    ok = C.crawl_status("status_code", "error_message") == "success"
-    return (
-        crawl_log.withWatermark("fetched_at", delay)
-        .groupBy(F.window("fetched_at", width).alias("w"))
-        .agg(F.count(F.lit(1)).alias("crawled"), F.count_if(ok).alias("succeeded"))
-        .select(
-            F.col("w.start").alias("window_start"),
-            "crawled",
-            "succeeded",
-            (F.col("succeeded") / F.col("crawled") * 100).alias("success_rate"),
+    SCHEMA = ""
+
+    def __init__(self, spark: SparkSession, folder: str, name: str):
+        self.spark = spark
+        self.path = f"{folder}/{name}"
+        self.offsets = f"{folder}/{name}-offsets"
+
+    def reduce(self, batch: DataFrame) -> DataFrame:
+        raise NotImplementedError
+
+    def stored(self) -> DataFrame:
+        return self.spark.read.schema(self.SCHEMA + ", batch_id bigint").parquet(self.path)
+
+    def write_batch(self, batch: DataFrame, batch_id: int) -> None:
+        self.reduce(batch).write.mode("overwrite").parquet(f"{self.path}/batch_id={batch_id}")
+
+    def start(self, rows: DataFrame) -> StreamingQuery:
+        return (
+            rows.writeStream.foreachBatch(self.write_batch)
+            .option("checkpointLocation", self.offsets)
+            .trigger(availableNow=True)
+            .start()
         )
-    )
 
 
-def first_seen(crawl_log: DataFrame, delay: str = "1 day") -> DataFrame:
-    """Each normalised URL once within the watermark.
+class ProgressStream(BatchStore):
+    """Per window: fetches and how many succeeded, over all batches, late rows included."""
 
-    Repeats are dropped per Arrow batch before the shuffle, so a URL that makes up
-    much of a micro-batch does not reach one task row by row.
-    """
+    SCHEMA = "window_start timestamp, crawled bigint, succeeded bigint"
 
-    # Local, so that it travels by value: workers need not have this package.
-    def earliest_per_url(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            yield frame.groupby("url", as_index=False)["fetched_at"].min()
+    def __init__(self, spark: SparkSession, folder: str, width: str = "1 hour"):
+        super().__init__(spark, folder, "progress")
+        self.width = width
 
-    urls = crawl_log.select(U.url_normalize("url").alias("url"), "fetched_at")
-    return (
-        urls.mapInPandas(earliest_per_url, urls.schema)
-        .withWatermark("fetched_at", delay)
-        .dropDuplicatesWithinWatermark(["url"])
-        .select("url")
-    )
+    def reduce(self, batch: DataFrame) -> DataFrame:
+        ok = C.crawl_status("status_code", "error_message") == "success"
+        return (
+            batch.groupBy(F.window("fetched_at", self.width).alias("w"))
+            .agg(F.count(F.lit(1)).alias("crawled"), F.count_if(ok).alias("succeeded"))
+            .select(F.col("w.start").alias("window_start"), "crawled", "succeeded")
+        )
+
+    def windows(self) -> DataFrame:
+        """A batch has a row per window at most, so this sums few rows."""
+        return (
+            self.stored()
+            .groupBy("window_start")
+            .agg(F.sum("crawled").alias("crawled"), F.sum("succeeded").alias("succeeded"))
+            .withColumn("success_rate", F.col("succeeded") / F.col("crawled") * 100)
+        )
+
+
+class FirstSeenStream(BatchStore):
+    """Each normalised URL once, with its earliest fetch, however it is spread over batches."""
+
+    SCHEMA = "url string, first_seen timestamp"
+
+    def __init__(self, spark: SparkSession, folder: str):
+        super().__init__(spark, folder, "urls")
+
+    def reduce(self, batch: DataFrame) -> DataFrame:
+        seen = F.min("fetched_at").cast("timestamp").alias("first_seen")
+        return batch.groupBy(U.url_normalize("url").alias("url")).agg(seen)
+
+    def urls(self) -> DataFrame:
+        return self.stored().groupBy("url").agg(F.min("first_seen").alias("first_seen"))
 
 
 class RegistryStream:
@@ -93,6 +111,7 @@ class RegistryStream:
     def __init__(self, spark: SparkSession, folder: str):
         self.spark = spark
         self.log_path = f"{folder}/results"
+        self.marker = f"{folder}/folded"
         self.offsets = f"{folder}/offsets"
 
     def write_batch(self, batch: DataFrame, batch_id: int) -> None:
@@ -116,11 +135,23 @@ class RegistryStream:
             .start()
         )
 
+    def folded(self) -> int:
+        """Number of the last batch that ``compact`` has folded in; -1 for none."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.marker)
+        if not path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path):
+            return -1
+        return self.spark.read.schema("batch_id bigint").parquet(self.marker).first().batch_id
+
     def results(self) -> DataFrame:
-        return self.spark.read.schema(self.LOG + ", batch_id bigint").parquet(self.log_path)
+        """What has arrived since the last ``compact``."""
+        log = self.spark.read.schema(self.LOG + ", batch_id bigint").parquet(self.log_path)
+        return log.filter(F.col("batch_id") > self.folded())
 
     def registry(self, base: DataFrame) -> DataFrame:
-        """``base`` with unknown URLs added and every URL's latest result applied."""
+        """``base`` with unknown URLs added and every URL's latest result applied.
+
+        A result counts only if it is newer than the fetch that the base knows.
+        """
         log = self.results()
         per_url = log.groupBy("url").agg(
             F.max_by(
@@ -140,12 +171,19 @@ class RegistryStream:
             F.lit(0).alias("depth"),
             F.lit(None).cast("string").alias("parent_url"),
         )
-        return apply_results(base.unionByName(pending_rows(fresh)), flat)
+        last = base.select("url", F.col("last_crawled").alias("_last"))
+        newer = flat.join(last, "url", "left").filter(
+            F.col("_last").isNull() | (F.col("fetched_at") > F.col("_last"))
+        )
+        return apply_results(base.unionByName(pending_rows(fresh)), newer)
 
     def compact(self, base: DataFrame, path: str) -> DataFrame:
-        """Write the merged registry to a new path and return it."""
+        """Write the merged registry to a new path, retire its batches, and return it."""
         merged = self.registry(base)
+        last = self.results().agg(F.max("batch_id").alias("batch_id"))
         merged.write.mode("error").parquet(path)
+        if last.first().batch_id is not None:
+            last.coalesce(1).write.mode("overwrite").parquet(self.marker)
         return self.spark.read.schema(merged.schema).parquet(path)
 
 

@@ -50,14 +50,15 @@ def test_lookup_join(spark, how, hot_rows, no_broadcast):
     left = spark.createDataFrame(rows, "g string, p int, id int")
     keys = sorted({g for g, _, _ in rows})[::2] + ["hot", "unused"]
     right = spark.createDataFrame([(k, len(k)) for k in sorted(set(keys))], "k string, n int")
-    got = skew.lookup_join(left, right, "g", "k", how, ["id"], hot_rows, salts=4)
+    got = skew.lookup_join(left, right, "g", "k", how, ["id"], hot_rows)
     plain = left.join(right, F.col("g") == F.col("k"), how)
     assert Counter(map(tuple, got.collect())) == Counter(map(tuple, plain.collect()))
 
 
-def test_hot_keys_are_bounded(spark):
-    df = spark.range(5000).select((F.col("id") % 2000).alias("k"))
-    assert skew.hot_keys(df, "k", 1).count() == skew.MAX_HOT_KEYS
+def test_every_hot_key_is_split_by_its_size(spark):
+    df = spark.range(6000).select(F.when(F.col("id") < 2000, -1).otherwise(F.col("id") % 2000).alias("k"))
+    shares = {r[0]: r[1] for r in skew.hot_keys(df, "k", 2).collect()}
+    assert len(shares) == 2001 and shares[-1] == 1001 and shares[7] == 2
 
 
 def test_bfs_against_brute_force(spark):

@@ -79,7 +79,7 @@ def test_split_into_files_with_index(spark, tmp_path):
     report = X.validate_sitemaps(spark, out + "/sitemap*.xml", 2).collect()
     assert len(report) == 51 and all(r.valid for r in report)
     assert [r.kind for r in report if r.file == "sitemap_index.xml"] == ["index"]
-    listed = X.read_indexed_sitemaps(spark, out + "/sitemap_index.xml", out)
+    listed = X.read_indexed_sitemaps(spark, out + "/sitemap_index.xml", out, SITE + "/sitemap")
     assert listed.count() == 100
     sizes = {r.file: r.file_size_mb for r in X.file_sizes(spark, out + "/sitemap_0*.xml").collect()}
     assert sizes["sitemap_001.xml"] == os.path.getsize(out + "/sitemap_001.xml") / 1048576
@@ -144,10 +144,50 @@ def test_final_output(spark, tmp_path):
     e = S.build_entries_final(df, now())
     assert sorted((r["loc"], r.priority, r.changefreq) for r in e.collect()) == [
         (SITE + "/", 1.0, "weekly"), (SITE + "/browse-jobs", 0.9, "daily")]
-    X.write_robots(S.robots_txt_final(e, SITE + "/"), str(tmp_path))
+    files = S.sitemap_files(S.chunk_sitemaps(e))
+    X.write_robots(S.robots_txt_final(files, SITE + "/"), str(tmp_path))
     assert (tmp_path / "robots.txt").read_text() == f"User-agent: *\nAllow: /\nSitemap: {SITE}/sitemap.xml\n"
 
 
+    split = S.robots_txt_final(S.sitemap_files(S.chunk_sitemaps(e, 1)), SITE).collect()
+    assert split[2].line == f"Sitemap: {SITE}/sitemap_index.xml"
+
+
+def test_root_tag_over_several_lines(spark, tmp_path):
+    space = "http://www.sitemaps.org/schemas/sitemap/0.9"
+    (tmp_path / "a.xml").write_text(f'<?xml version="1.0"?>\n<urlset\n  xmlns:x="http://x"\n  xmlns="{space}"\n>\n<url><loc>{SITE}/</loc></url>\n</urlset>\n')
+    (tmp_path / "b.xml").write_text(f'<urlset\nxmlns="{space}">\n<url><loc>{SITE}/</loc></url>\n')
+    got = {r.file: (r.kind, r.valid) for r in X.validate_sitemaps(spark, str(tmp_path / "*.xml")).collect()}
+    assert got == {"a.xml": ("urlset", True), "b.xml": ("urlset", False)}
+
+
+def test_runs_leave_no_files_of_earlier_ones(spark, tmp_path):
+    out = str(tmp_path)
+    for _ in range(2):
+        X.write_site(entries(spark, SAMPLE), out, SITE, now(), 1, gzip=True)
+        assert len(list(tmp_path.glob("sitemap_0*.xml.gz"))) == 3
+    X.write_site(entries(spark, SAMPLE), out, SITE, now())
+    assert sorted(p.name for p in tmp_path.glob("sitemap*")) == ["sitemap.xml"]
+
+
+def test_listed_children_of_any_name_and_depth(spark, tmp_path):
+    import gzip
+
+    space = "http://www.sitemaps.org/schemas/sitemap/0.9"
+    urls = lambda *names: f'<urlset xmlns="{space}">' + "".join(f"<url><loc>{SITE}/{n}</loc></url>" for n in names) + "</urlset>"
+    index = lambda *files: f'<sitemapindex xmlns="{space}">' + "".join(f"<sitemap><loc>{SITE}/maps/{f}</loc></sitemap>" for f in files) + "</sitemapindex>"
+    (tmp_path / "old").mkdir()
+    (tmp_path / "index.xml").write_text(index("post-sitemap.xml", "old/index.xml", "zipped.xml.gz"))
+    (tmp_path / "old" / "index.xml").write_text(index("old/post-sitemap.xml", "index.xml"))
+    (tmp_path / "post-sitemap.xml").write_text(urls("a"))
+    (tmp_path / "old" / "post-sitemap.xml").write_text(urls("b", "c"))
+    (tmp_path / "zipped.xml.gz").write_bytes(gzip.compress(urls("d").encode()))
+    (tmp_path / "unlisted.xml").write_text(urls("e"))
+    (tmp_path / "old" / "zipped.xml").write_text(urls("f"))
+    rows = X.read_indexed_sitemaps(spark, str(tmp_path / "index.xml"), str(tmp_path), SITE + "/maps")
+    assert sorted(r["loc"].removeprefix(SITE) for r in rows.collect()) == ["/a", "/b", "/c", "/d"]
+
+
 def test_stats_and_distributions(spark):
     chunks = S.chunk_sitemaps(entries(spark, SAMPLE), 2)
     got = {r.sitemap_no: tuple(r)[1:] for r in S.sitemap_stats(chunks).collect()}

@@ -74,21 +74,28 @@ def test_replayed_batch_changes_nothing(spark, tmp_path):
     assert sorted(map(tuple, job.registry(base(spark)).collect())) == once
     compacted = job.compact(base(spark), str(tmp_path / "v2"))
     assert sorted(map(tuple, compacted.collect())) == once
+    assert job.results().count() == 0  # folded batches are not applied again
+    job.write_batch(log.filter("fetched_at < TIMESTAMP '2024-01-01 00:01:00'"), 1)
+    assert sorted(map(tuple, job.registry(compacted).collect())) == once  # older results change nothing
 
 
 def test_first_seen(spark, tmp_path):
     folder = str(tmp_path / "log")
     write_logs(spark, folder, BATCHES)
-    got = jobs.run_to_files(jobs.first_seen(stream(spark, folder)), "first-seen")
-    urls = sorted(r.url.replace(SITE, "") for r in got.collect())
-    assert urls == ["/a", "/b", "/c", "/d?a=2&b=1", "/known"]
+    job = jobs.FirstSeenStream(spark, str(tmp_path / "state"))
+    job.start(stream(spark, folder)).awaitTermination()
+    got = {r.url.replace(SITE, ""): r.first_seen for r in job.urls().collect()}
+    assert sorted(got) == ["/a", "/b", "/c", "/d?a=2&b=1", "/known"]
+    assert got["/a"] == datetime(2024, 1, 1) and got["/b"] == datetime(2024, 1, 1, 0, 1)
+    assert job.stored().select("batch_id").distinct().count() == 3
 
 
-def test_progress_drops_late_rows(spark, tmp_path):
-    # Spark drops rows by the watermark of the batch before, hence the extra batch.
+def test_progress_counts_every_window_and_late_rows(spark, tmp_path):
     folder = str(tmp_path / "log")
     write_logs(spark, folder, [[("/a", 1, 200), ("/b", 2, 500)], [("/c", 200, 200)], [("/e", 201, 0)],
                                [("/late", 3, 200), ("/d", 400, 200)]])
-    got = jobs.run_to_files(jobs.progress(stream(spark, folder)), "progress").orderBy("window_start").collect()
-    assert [(r.window_start.hour, r.crawled, r.succeeded, r.success_rate) for r in got] == [
-        (0, 2, 1, 50.0), (3, 2, 1, 50.0)]
+    job = jobs.ProgressStream(spark, str(tmp_path / "state"))
+    job.start(stream(spark, folder)).awaitTermination()
+    got = job.windows().orderBy("window_start").collect()
+    assert [(r.window_start.hour, r.crawled, r.succeeded) for r in got] == [(0, 3, 2), (3, 2, 1), (6, 1, 1)]
+    assert got[1].success_rate == 50.0

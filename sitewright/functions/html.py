@@ -1,12 +1,15 @@
 """Markup column functions: documented regex rules over HTML text.
 
-These are not an HTML5 parser. A tag runs to the next ``>``; an attribute needs
-white space before its name; comments, ``<script>`` and ``<style>`` are dropped
-first. Patterns use no look-around and no back-references.
+These are not an HTML5 parser, but tags and attributes are read as one does: a tag
+ends at the first ``>`` outside a quoted value, attributes are taken from left to
+right, and the first of a name counts. Comments, ``<script>`` and ``<style>`` are
+dropped first. Quantifiers are possessive, so that no page is scanned again and again.
 """
 
 from __future__ import annotations
 
+from html.entities import html5
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -20,15 +23,13 @@ WHITE_SPACE = (
     "\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 )
 NON_LINK_PREFIXES = ("#", "javascript:", "mailto:", "tel:")
-AMPERSAND = "(?i)&(?:amp|#0*38|#x0*26);"
-ENTITIES = (
-    ("&lt;", "<"),
-    ("&gt;", ">"),
-    ("&quot;", '"'),
-    ("&#39;", "'"),
-    ("&apos;", "'"),
-    ("&nbsp;", "\xa0"),
-)
+ENTITY = r"&(?:#[0-9]{1,12}|#[xX][0-9a-fA-F]{1,10}|[A-Za-z][A-Za-z0-9]{1,31});"
+#: Every named entity of HTML with its characters, as one text for ``str_to_map``.
+NAMED = "\x01".join(f"&{name}\x02{chars}" for name, chars in sorted(html5.items()) if name.endswith(";"))
+#: What stands between a tag's name and its end: quoted values may hold ``>``.
+INSIDE = r"""(?:[^>=]++|=\s*+(?:"[^"]*+"|'[^']*+')|=)*+"""
+#: One attribute: name, and value if there is one.
+_VALUE = r"""(?:"[^"]*+"|'[^']*+'|[^\s>]*+)"""
 
 
 def strip_noise(html: Column | str) -> Column:
@@ -39,48 +40,49 @@ def strip_ws(text: Column) -> Column:
     return F.trim(text, F.lit(WHITE_SPACE))
 
 
-def _numeric_entities(text: Column) -> Column:
-    """Replace ``&#n;`` and ``&#xh;`` with their character."""
-
-    def char(entity: Column) -> Column:
-        hexed = F.regexp_extract(entity, r"(?i)^&#x([0-9a-f]{1,6});", 1)
-        number = F.when(hexed != "", F.conv(hexed, 16, 10)).otherwise(
-            F.regexp_extract(entity, r"^&#([0-9]{1,7});", 1)
-        )
-        return let(
-            F.try_to_number(number, F.lit("9999999")).cast("int"),
-            lambda n: F.when(
-                n.between(1, 0x10FFFF) & ~n.between(0xD800, 0xDFFF),
-                F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32"),
-            ).otherwise(F.lit("�")),
-        )
-
-    found = F.array_distinct(
-        F.regexp_extract_all(text, F.lit(r"(?i)&#(?:x[0-9a-f]{1,6}|[0-9]{1,7});"), F.lit(0))
+def _character(entity: Column) -> Column:
+    """Character of a numeric entity."""
+    hexed = F.regexp_extract(entity, r"^&#[xX]0*+([0-9a-fA-F]*);", 1)
+    plain = F.regexp_extract(entity, r"^&#0*+([0-9]*);", 1)
+    number = F.when(entity.rlike("^&#[xX]"), F.when(F.length(hexed) <= 6, F.conv(hexed, 16, 10))).otherwise(
+        F.when(F.length(plain) <= 7, plain)
+    )
+    return let(
+        F.try_to_number(number, F.lit("99999999")).cast("int"),
+        lambda n: F.when(
+            n.between(1, 0x10FFFF) & ~n.between(0xD800, 0xDFFF),
+            F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32"),
+        ).otherwise(F.lit("\ufffd")),
     )
-    # The ampersand itself comes last of all, so that nothing is decoded twice.
-    others = F.filter(found, lambda e: ~e.rlike(AMPERSAND))
-    return F.aggregate(others, text, lambda acc, e: F.replace(acc, e, char(e)))
 
 
 def unescape(text: Column) -> Column:
-    """Decode numeric entities and the usual named ones."""
+    """Decode numeric and all named entities, each once; unknown names stay as they are."""
+    named = F.str_to_map(F.lit(NAMED), F.lit("\x01"), F.lit("\x02"))
 
     def decoded(t: Column) -> Column:
-        named = F.when(t.rlike("(?i)&#(x[0-9a-f]+|[0-9]+);"), _numeric_entities(t)).otherwise(t)
-        for entity, char in ENTITIES:
-            named = F.replace(named, F.lit(entity), F.lit(char))
-        named = F.regexp_replace(named, AMPERSAND, "&")
-        return F.when(F.contains(t, F.lit("&")), named).otherwise(t)
+        pieces = F.split(t, ENTITY, -1)
+        chars = F.transform(
+            F.regexp_extract_all(t, F.lit(ENTITY), F.lit(0)),
+            lambda e: F.when(e.startswith("&#"), _character(e)).otherwise(
+                F.coalesce(F.element_at(named, e), e)
+            ),
+        )
+        ends = F.concat(chars, F.array(F.lit("")))
+        return F.array_join(F.zip_with(pieces, ends, lambda p, c: F.concat(p, c)), "")
+
+    return let(text, lambda t: F.when(t.rlike(ENTITY), decoded(t)).otherwise(t))
 
-    return let(text, decoded)
+
+def _up_to(name: str) -> str:
+    """A tag from its start up to and with the first attribute of the name."""
+    other = rf"[\s/]*+(?!{name}[\s=/>])[^\s=/>]++(?:\s*+=\s*+{_VALUE})?+"
+    return rf"(?is)^<[a-z][^\s/>]*+(?:{other})*+[\s/]*+{name}\s*+="
 
 
 def attribute(tag: Column, name: str) -> Column:
     """Value of an attribute of one tag, entities decoded; empty if absent."""
-    raw = F.regexp_extract(
-        tag, r"(?is)\s" + name + r"""\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", 1
-    )
+    raw = F.regexp_extract(tag, _up_to(name) + rf"\s*+({_VALUE})", 1)
 
     def unquoted(v: Column) -> Column:
         quoted = v.startswith('"') | v.startswith("'")
@@ -90,7 +92,7 @@ def attribute(tag: Column, name: str) -> Column:
 
 
 def has_attribute(tag: Column, name: str) -> Column:
-    return tag.rlike(r"(?is)\s" + name + r"\s*=")
+    return tag.rlike(_up_to(name))
 
 
 def find_all(text: Column, pattern: str, group: int = 0) -> Column:
@@ -98,12 +100,25 @@ def find_all(text: Column, pattern: str, group: int = 0) -> Column:
 
 
 def tags(markup: Column, name: str) -> Column:
-    return find_all(markup, rf"(?is)<{name}\s[^>]*>")
+    return find_all(markup, rf"(?is)<{name}(?=[\s/]){INSIDE}>")
+
+
+def tags_with(markup: Column, *names: str) -> Column:
+    """Tags of any element that have one of the attributes."""
+    likely = "(?i)" + "|".join(names)
+
+    def has_one(t: Column) -> Column:
+        has = F.lit(False)
+        for name in names:
+            has = has | has_attribute(t, name)
+        return t.rlike(likely) & has
+
+    return F.filter(find_all(markup, rf"(?is)<[a-z]{INSIDE}>"), has_one)
 
 
 def elements(markup: Column, name: str) -> Column:
     """Whole elements, up to the first closing tag of that name."""
-    return find_all(markup, rf"(?is)<{name}\b[^>]*>.*?</{name}\s*>")
+    return find_all(markup, rf"(?is)<{name}(?=[\s/>]){INSIDE}>.*?</{name}\s*>")
 
 
 def is_link_text(href: Column) -> Column:
@@ -155,7 +170,7 @@ def form_actions(markup: Column, any_method: bool = False) -> Column:
 
 def data_urls(markup: Column) -> Column:
     """First non-empty of ``data-url``, ``data-href``, ``data-link`` per element."""
-    found = find_all(markup, r"(?is)<[a-z][^>]*\sdata-(?:url|href|link)\s*=[^>]*>")
+    found = tags_with(markup, "data-url", "data-href", "data-link")
 
     def first(t: Column) -> Column:
         return F.coalesce(
@@ -168,13 +183,13 @@ def data_urls(markup: Column) -> Column:
 
 
 def data_url_only(markup: Column) -> Column:
-    found = find_all(markup, r"(?is)<[a-z][^>]*\sdata-url\s*=[^>]*>")
+    found = tags_with(markup, "data-url")
     return F.filter(_attributes(found, "data-url"), lambda u: u != "")
 
 
 def data_locations(markup: Column) -> Column:
     """``data-location`` values as location page paths."""
-    found = find_all(markup, r"(?is)<[a-z][^>]*\sdata-location\s*=[^>]*>")
+    found = tags_with(markup, "data-location")
     values = F.filter(_stripped(found, "data-location"), lambda v: v != "")
     return F.transform(values, lambda v: F.concat(F.lit("/jobs-in-"), v))
 
@@ -208,7 +223,7 @@ def _rel_next_anchors(markup: Column) -> Column:
 def pagination_hrefs(markup: Column) -> Column:
     """Hrefs under pagination selectors, and of anchors that read like page links."""
     next_page = F.filter(
-        find_all(markup, r"(?is)<[a-z][^>]*\sclass\s*=[^>]*>"),
+        tags_with(markup, "class"),
         lambda t: F.array_contains(F.split(attribute(t, "class"), r"\s+"), "next-page"),
     )
     selected = F.concat(
@@ -216,11 +231,11 @@ def pagination_hrefs(markup: Column) -> Column:
         _anchors_in(markup, "pager"),
         _rel_next_anchors(markup),
         next_page,
-        find_all(markup, r"(?is)<[a-z][^>]*\sdata-page\s*=[^>]*>"),
+        tags_with(markup, "data-page"),
     )
     numbered = F.transform(
         F.filter(elements(markup, "a"), lambda e: _reads_like_page_link(inner_text(e))),
-        lambda e: F.regexp_extract(e, r"(?is)^<a\b[^>]*>", 0),
+        lambda e: F.regexp_extract(e, rf"(?is)^<a{INSIDE}>", 0),
     )
     return F.array_distinct(
         F.filter(_attributes(F.concat(selected, numbered), "href"), lambda h: h != "")
@@ -249,19 +264,19 @@ def pagination_top(markup: Column, per_selector: int = 5) -> Column:
 
 
 def inner_text(element: Column) -> Column:
-    return strip_ws(unescape(F.regexp_replace(element, r"(?s)<[^>]*>", "")))
+    return strip_ws(unescape(F.regexp_replace(element, rf"(?s)<{INSIDE}>", "")))
 
 
 def company_hrefs(markup: Column, words: str) -> Column:
     """Hrefs of company anchors whose own text holds one of the words."""
 
     def own_text(e: Column) -> Column:
-        inner = F.regexp_replace(e, r"(?is)^<a\b[^>]*>|</a\s*>$", "")
+        inner = F.regexp_replace(e, rf"(?is)^<a{INSIDE}>|</a\s*>$", "")
         return unescape(F.regexp_replace(inner, r"(?is)<[a-z][^>]*>.*?</[^>]*>", ""))
 
     hrefs = F.transform(
         F.filter(elements(markup, "a"), lambda e: own_text(e).rlike(words)),
-        lambda e: attribute(F.regexp_extract(e, r"(?is)^<a\b[^>]*>", 0), "href"),
+        lambda e: attribute(F.regexp_extract(e, rf"(?is)^<a{INSIDE}>", 0), "href"),
     )
     return F.filter(
         hrefs, lambda h: F.contains(h, F.lit("/company/")) | F.contains(h, F.lit("/employer/"))
@@ -277,7 +292,7 @@ def select_options(markup: Column, in_forms: bool) -> Column:
     )
 
     def options(select: Column) -> Column:
-        head = F.regexp_extract(select, r"(?is)^<select\b[^>]*>", 0)
+        head = F.regexp_extract(select, rf"(?is)^<select{INSIDE}>", 0)
         return let(
             F.struct(
                 attribute(head, "name").alias("name"), has_attribute(head, "name").alias("named")
@@ -303,7 +318,7 @@ def page_title(markup: Column) -> Column:
 
 
 def page_language(markup: Column) -> Column:
-    return attribute(F.regexp_extract(markup, r"(?is)<html\b[^>]*>", 0), "lang")
+    return attribute(F.regexp_extract(markup, rf"(?is)<html(?=[\s/>]){INSIDE}>", 0), "lang")
 
 
 def page_canonical(markup: Column) -> Column:

@@ -201,3 +201,19 @@ def test_snapshot_delta(spark, no_broadcast):
     assert clicks.filter("url like '%/a' and step = 3").count() == 2
     links = N.extract_links_rendered(df).filter(F.col("src_url") == SITE + "/a")
     assert dsts(links) == [f"{SITE}/i{k}" for k in range(5)]
+
+
+def test_tags_and_attributes_are_read_as_browsers_do(spark):
+    html = (
+        """<a title="see href=/wrong now" href="/right">x</a><a class="b"href="/close">x</a><a title="a>b" href="/gt">x</a>"""
+        """<a title='it"s' HREF=/plain>x</a><a data-x="href='/no'" href = '/spaced'>x</a><a href="/first" href="/second">x</a><a/href="/slash">x</a>"""
+    )
+    assert raws(L.links_anchor(pages(spark, html))) == sorted(["/right", "/close", "/gt", "/plain", "/spaced", "/first", "/slash"])
+    found = L.links_data_attr(pages(spark, """<div title="data-url=/no" data-url="/yes?a>b">t</div><p title="data-url='/no'">t</p>"""))
+    assert raws(found) == ["/yes?a>b"]
+
+
+def test_all_entities_are_decoded_once(spark):
+    html = "<title>caf&eacute; &pound;5 &ndash; x &amp;lt; &#60; &#x3E; &#0; &#99999999; &nosuch; &lt&#59; AT&T; &CounterClockwiseContourIntegral;</title>"
+    got = L.page_metadata(pages(spark, html)).first().title
+    assert got == "café £5 – x &lt; < > � � &nosuch; &lt; AT&T; ∳"

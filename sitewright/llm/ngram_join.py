@@ -5,11 +5,12 @@ of its distinct ``width``-word shingles; the whole sequence where it has fewer w
 
 1. Documents with equal sets are one class; everything below works on classes.
 2. Two sets with coefficient t or more differ in few shingles for their sizes, d at most. A set is cut
-   by hash into d + 2 segments, so two of them are equal in linked sets; the sum of each non-empty
-   segment is a key under which classes meet. Keys hold several shingles each, so a shingle
-   that very many documents share makes no long list of its own. Sizes fall in classes of ratio t; a set
-   is cut for its size class and for the one below. Sets with more than one empty segment list those too.
-   No linked pair is lost. A task hands on one set for each key and links the others it holds to that one, so a key of
+   by hash into somewhat more than d + 1 segments, so some of them are equal in linked sets; the sum of each non-empty
+   segment is a key under which classes meet. Sizes fall in classes of ratio t; a set is cut for its size class and
+   for the one below. Shingles that more than ``HOT`` of the documents share (a list bounded by the mean set
+   size over ``HOT``) are left out before cutting, in all sets alike, which only lowers the difference; sets with too few others are
+   cut with them, and sets near that border both ways. Sets with more empty segments than the surplus list those
+   too. No linked pair is lost. A task hands on one set for each key and links the others it holds to that one, so a key of
    very many sets is a few rows.
 3. Classes that lists connect are a cluster. A cluster of up to ``CLUSTER`` classes is dealt into blocks, and every pair of blocks is
    a unit of work: the sets of one block are looked up in the other. In larger clusters (copies of one text by the
@@ -44,6 +45,7 @@ from sitewright.session import materialize
 
 BLOCK = 256
 CLUSTER = 16_384
+HOT = 0.001
 #: Keys that a task gathers before it hands them on.
 HELD = 2_000_000
 #: Rows of about 70 bytes that may be broadcast: 35 MB.
@@ -81,31 +83,66 @@ def starts(percent: int, most: int) -> list[int]:
     return out
 
 
-def segments(own: np.ndarray, percent: int, bounds: list[int]) -> np.ndarray:
+def _without(own: np.ndarray, hot: np.ndarray) -> np.ndarray:
+    if not len(hot):
+        return own
+    at = np.minimum(np.searchsorted(hot, own), len(hot) - 1)
+    return own[hot[at] != own]
+
+
+def segments(own: np.ndarray, percent: int, bounds: list[int], hot: np.ndarray) -> np.ndarray:
     """Keys of a set: two linked, unequal sets have one in common."""
     size_class = int(np.searchsorted(bounds, len(own), "right")) - 1
-    keys = []
+    cold, keys = _without(own, hot), []
     for scheme in (size_class, size_class - 1):
         if scheme < 0:
             continue
         largest = bounds[scheme + 1] - 1
         differ = (100 - percent) * (largest + largest * 100 // percent) // (100 + percent)
-        count = differ + 2
-        part = ((own * _C) >> np.uint64(33)) % np.uint64(count)
-        order = np.argsort(part, kind="stable")
-        sorted_part = part[order]
-        first = np.flatnonzero(np.r_[True, sorted_part[1:] != sorted_part[:-1]])
-        there = sorted_part[first]
-        sums = np.add.reduceat(own[order], first)
-        if count - len(there) > 1:
-            empty = np.setdiff1d(np.arange(count, dtype=np.uint64), there)
-            there, sums = np.append(there, empty), np.append(sums, np.zeros(len(empty), np.uint64))
-        x = (sums * _A) ^ ((there + np.uint64(scheme << 24)) * _B)
-        x ^= x >> np.uint64(32)
-        keys.append(x * _D)
+        count = -(-(differ + 1) * 8 // 7)
+        enough = 11 * count // 5  # so many that few segments are empty
+        if len(cold) >= enough:
+            keys.append(_cut(cold, count, count - differ - 1, 2 * scheme))
+        if len(cold) < enough + differ:  # the other set may have fewer than enough
+            keys.append(_cut(own, count, count - differ - 1, 2 * scheme + 1))
     return np.concatenate(keys)
 
 
+def _cut(own: np.ndarray, count: int, surplus: int, name: int) -> np.ndarray:
+    part = ((own * _C) >> np.uint64(33)) % np.uint64(count)
+    order = np.argsort(part, kind="stable")
+    sorted_part = part[order]
+    first = np.flatnonzero(np.r_[True, sorted_part[1:] != sorted_part[:-1]])
+    there, sums = sorted_part[first], np.add.reduceat(own[order], first)
+    if count - len(there) > surplus:
+        empty = np.setdiff1d(np.arange(count, dtype=np.uint64), there)
+        there, sums = np.append(there, empty), np.append(sums, np.zeros(len(empty), np.uint64))
+    x = (sums * _A) ^ ((there + np.uint64(name << 24)) * _B)
+    x ^= x >> np.uint64(32)
+    return x * _D
+
+
+def _often(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+    """Shingles that are frequent among the documents this task has seen, with their counts there."""
+    held, size, docs = [], 0, 0
+
+    def rows() -> pa.RecordBatch:
+        found, n = np.unique(np.concatenate(held), return_counts=True)
+        often = n >= max(4, HOT * docs)
+        return pa.RecordBatch.from_arrays([pa.array(found[often].view(np.int64)), pa.array(n[often])], ["shingle", "n"])
+
+    for batch in batches:
+        for text in batch.column(0):
+            own = shingles(text.as_py(), width)
+            held.append(own)
+            size, docs = size + len(own), docs + 1
+            if size > 2 * HELD:
+                yield rows()
+                held, size, docs = [], 0, 0
+    if size:
+        yield rows()
+
+
 def node_of(key: bytes) -> int:
     return int.from_bytes(key[:8], "little", signed=True)
 
@@ -125,7 +162,7 @@ def _bounds(bounds: list[int], percent: int, size: int) -> list[int]:
     return bounds
 
 
-def _segment_rows(batches: Iterator[pa.RecordBatch], width: int, percent: int) -> Iterator[pa.RecordBatch]:
+def _segment_rows(batches: Iterator[pa.RecordBatch], width: int, percent: int, hot) -> Iterator[pa.RecordBatch]:
     """(segment, a, b): a is the first set that this task has for the segment, b another one or a itself."""
     bounds, held, size = starts(percent, 1 << 16), [], 0
 
@@ -145,7 +182,7 @@ def _segment_rows(batches: Iterator[pa.RecordBatch], width: int, percent: int) -
             if not len(own):
                 continue
             bounds = _bounds(bounds, percent, len(own))
-            keys = segments(own, percent, bounds).view(np.int64)
+            keys = segments(own, percent, bounds, hot.value).view(np.int64)
             held.append((keys, np.full(len(keys), node_of(key_of(own)))))
             size += len(keys)
             if size > HELD:
@@ -172,7 +209,7 @@ def _meetings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
 
 
-def _listed(batches: Iterator[pa.RecordBatch], width: int, percent: int) -> Iterator[pa.RecordBatch]:
+def _listed(batches: Iterator[pa.RecordBatch], width: int, percent: int, hot) -> Iterator[pa.RecordBatch]:
     """(text, key, id) to the segments of the classes of large clusters."""
     bounds = starts(percent, 1 << 16)
     for batch in batches:
@@ -181,7 +218,7 @@ def _listed(batches: Iterator[pa.RecordBatch], width: int, percent: int) -> Iter
             own = shingles(text.as_py(), width)
             if key_of(own) == key.as_py():
                 bounds = _bounds(bounds, percent, len(own))
-                found.append(segments(own, percent, bounds).view(np.int64))
+                found.append(segments(own, percent, bounds, hot.value).view(np.int64))
                 ids.append(np.full(len(found[-1]), own_id))
         if ids:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found)), pa.array(np.concatenate(ids), pa.int64())], ["segment", "class"])
@@ -376,8 +413,12 @@ def grouped_rows(docs: DataFrame, width: int = 3, percent: int = 90, cluster: in
     classes = materialize(
         prints.where("n > 0").groupBy("key", "node").agg(F.min("row").alias("class"), F.min("doc_id").alias("low")), "classes"
     )
+    often = given.select("text").mapInArrow(partial(_often, width=width), "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
+    least = max(16, int(HOT * prints.count()))
+    common = often.where(F.col("n") >= least).select("shingle").toArrow()["shingle"].to_numpy()
+    hot = docs.sparkSession.sparkContext.broadcast(np.sort(common.view(np.uint64)))
     kinds = "segment long, a long, b long"
-    dealt = given.select("text").mapInArrow(partial(_segment_rows, width=width, percent=percent), kinds).repartition("segment")
+    dealt = given.select("text").mapInArrow(partial(_segment_rows, width=width, percent=percent, hot=hot), kinds).repartition("segment")
     meetings = dealt.sortWithinPartitions("segment", "a").mapInArrow(_meetings, "u long, v long")
     joined = materialize(components(meetings), "joined")
     every = joined.union(joined.select("root", "root").distinct()).withColumnRenamed("node", "__node")
@@ -387,7 +428,7 @@ def grouped_rows(docs: DataFrame, width: int = 3, percent: int = 90, cluster: in
     links = materialize(compare(_cluster_roles(clusters.where(F.col("size") <= cluster)), classes, docs, width, percent), "links")
     large = clusters.where(F.col("size") > cluster).select("low", "key", F.col("class").alias("id"))
     if not large.isEmpty():
-        lists = _texts_of(large, docs).mapInArrow(partial(_listed, width=width, percent=percent), "segment long, class long").distinct()
+        lists = _texts_of(large, docs).mapInArrow(partial(_listed, width=width, percent=percent, hot=hot), "segment long, class long").distinct()
         links = links.union(_large(materialize(lists, "lists"), classes, docs, width, percent))
     labels = components(links).select(F.col("node").alias("class"), "root")
     rooted = classes.join(labels, "class", "left").select("class", "key", "low", F.coalesce("root", "class").alias("root"))

@@ -201,7 +201,9 @@ def test_segments_of_linked_sets_meet():
             b = np.unique(b[int(choose.integers(0, max(1, n // 20))) :])
             both = len(np.intersect1d(a, b))
             if 100 * both >= 90 * (len(a) + len(b) - both):
-                assert len(np.intersect1d(ngram_join.segments(a, 90, bounds), ngram_join.segments(b, 90, bounds)))
+                for share in (0, 0.1, 0.5, 0.9):
+                    hot = np.sort(choose.choice(np.union1d(a, b), int(share * len(a)), replace=False))
+                    assert len(np.intersect1d(ngram_join.segments(a, 90, bounds, hot), ngram_join.segments(b, 90, bounds, hot)))
                 assert list(ngram_join.Index([b], 90).search(a)) == [0]
             else:
                 assert list(ngram_join.Index([b], 90).search(a)) == []

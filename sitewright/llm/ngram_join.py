@@ -19,7 +19,8 @@ of its distinct ``width``-word shingles; the whole sequence where it has fewer w
 4. A look-up is a T-occurrence search in an inverted index of a block, by DivideSkip: short lists are merged and
    counted, sets that may still reach the overlap are looked up in the long lists by binary search.
 
-Blocks hold about ``BLOCK`` sets; one task streams over its units and holds one at a time.
+Blocks hold about ``BLOCK`` sets, more in clusters of over ``BLOCKS`` blocks (700 at most); one task streams over its units and holds
+one at a time.
 Roles (which text goes to which unit) are broadcast up to ``SMALL`` rows and joined beyond.
 
 Every row is a document, also where ids repeat. Null ids are documents too; they never name a
@@ -44,10 +45,12 @@ from sitewright.llm.graph import components
 from sitewright.session import materialize
 
 BLOCK = 256
+BLOCKS = 24
 CLUSTER = 16_384
-HOT = 0.001
+HOT = 1 << 21
+CUTS = 6
 #: Keys that a task gathers before it hands them on.
-HELD = 2_000_000
+HELD = 1_000_000
 #: Rows of about 70 bytes that may be broadcast: 35 MB.
 SMALL = 500_000
 _LOWER = bytes.maketrans(UPPER.encode(), UPPER.lower().encode())
@@ -99,46 +102,53 @@ def segments(own: np.ndarray, percent: int, bounds: list[int], hot: np.ndarray)
             continue
         largest = bounds[scheme + 1] - 1
         differ = (100 - percent) * (largest + largest * 100 // percent) // (100 + percent)
-        count = -(-(differ + 1) * 8 // 7)
-        enough = 11 * count // 5  # so many that few segments are empty
+        count = -(-(differ + 1) * 4 // 3)
+        enough = 8 * count // 5  # so many that few segments are empty
         if len(cold) >= enough:
-            keys.append(_cut(cold, count, count - differ - 1, 2 * scheme))
+            keys += _cuts(cold, count, count - differ - 1, 2 * scheme)
         if len(cold) < enough + differ:  # the other set may have fewer than enough
-            keys.append(_cut(own, count, count - differ - 1, 2 * scheme + 1))
+            keys += _cuts(own, count, count - differ - 1, 2 * scheme + 1)
     return np.concatenate(keys)
 
 
-def _cut(own: np.ndarray, count: int, surplus: int, name: int) -> np.ndarray:
-    part = ((own * _C) >> np.uint64(33)) % np.uint64(count)
-    order = np.argsort(part, kind="stable")
-    sorted_part = part[order]
-    first = np.flatnonzero(np.r_[True, sorted_part[1:] != sorted_part[:-1]])
-    there, sums = sorted_part[first], np.add.reduceat(own[order], first)
-    if count - len(there) > surplus:
-        empty = np.setdiff1d(np.arange(count, dtype=np.uint64), there)
-        there, sums = np.append(there, empty), np.append(sums, np.zeros(len(empty), np.uint64))
-    x = (sums * _A) ^ ((there + np.uint64(name << 24)) * _B)
-    x ^= x >> np.uint64(32)
-    return x * _D
+def _cuts(own: np.ndarray, count: int, surplus: int, name: int) -> list[np.ndarray]:
+    """Keys of cut after cut, up to the first with so few empty segments that a linked set must share another one."""
+    out = []
+    for cut in range(CUTS):
+        part = ((own * (_C + np.uint64(2 * cut))) >> np.uint64(33)) % np.uint64(count)
+        order = np.argsort(part, kind="stable")
+        sorted_part = part[order]
+        first = np.flatnonzero(np.r_[True, sorted_part[1:] != sorted_part[:-1]])
+        there, sums = sorted_part[first], np.add.reduceat(own[order], first)
+        good = count - len(there) <= surplus
+        if not good and cut == CUTS - 1:
+            empty = np.setdiff1d(np.arange(count, dtype=np.uint64), there)
+            there, sums = np.append(there, empty), np.append(sums, np.zeros(len(empty), np.uint64))
+        x = (sums * _A) ^ ((there + np.uint64((name * CUTS + cut) << 24)) * _B)
+        x ^= x >> np.uint64(32)
+        out.append(x * _D)
+        if good:
+            break
+    return out
 
 
 def _often(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
     """Shingles that are frequent among the documents this task has seen, with their counts there."""
-    held, size, docs = [], 0, 0
+    held, size = [], 0
 
     def rows() -> pa.RecordBatch:
         found, n = np.unique(np.concatenate(held), return_counts=True)
-        often = n >= max(4, HOT * docs)
+        often = n >= 3
         return pa.RecordBatch.from_arrays([pa.array(found[often].view(np.int64)), pa.array(n[often])], ["shingle", "n"])
 
     for batch in batches:
         for text in batch.column(0):
             own = shingles(text.as_py(), width)
             held.append(own)
-            size, docs = size + len(own), docs + 1
+            size += len(own)
             if size > 2 * HELD:
                 yield rows()
-                held, size, docs = [], 0, 0
+                held, size = [], 0
     if size:
         yield rows()
 
@@ -345,7 +355,7 @@ def _cluster_roles(clusters: DataFrame) -> DataFrame:
     """Every pair of blocks of a cluster as a unit; (class, root, size) gives the blocks."""
     own = F.pmod(F.xxhash64("class"), F.col("blocks"))
     dealt = (
-        clusters.withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("long"))
+        clusters.withColumn("blocks", F.least(F.ceil(F.col("size") / BLOCK).cast("long"), F.lit(BLOCKS)))
         .withColumn("own", own)
         .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     )
@@ -414,7 +424,9 @@ def grouped_rows(docs: DataFrame, width: int = 3, percent: int = 90, cluster: in
         prints.where("n > 0").groupBy("key", "node").agg(F.min("row").alias("class"), F.min("doc_id").alias("low")), "classes"
     )
     often = given.select("text").mapInArrow(partial(_often, width=width), "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
-    least = max(16, int(HOT * prints.count()))
+    often, least = materialize(often.where("n >= 16"), "often"), 16
+    while often.where(F.col("n") >= least).count() > HOT:
+        least *= 2
     common = often.where(F.col("n") >= least).select("shingle").toArrow()["shingle"].to_numpy()
     hot = docs.sparkSession.sparkContext.broadcast(np.sort(common.view(np.uint64)))
     kinds = "segment long, a long, b long"

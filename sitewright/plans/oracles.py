@@ -233,7 +233,7 @@ def stripped(html: str = "html") -> str:
 def unescape(x: str) -> str:
     for entity, char in (
         ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"),
-        ("&nbsp;", "\xa0"), ("&amp;", "&"),
+        ("&nbsp;", "\xa0"), ("&copy;", "\xa9"), ("&middot;", "\xb7"), ("&amp;", "&"),
     ):
         x = f"replace({x}, {q(entity)}, {q(char)})"
     return x

@@ -12,7 +12,8 @@ Vectors are dealt by hash into blocks of about ``BLOCK``, queries into groups of
 and group is one unit of work, with the best k of the block for each query of the group, and a ranked window keeps the
 best k of all. A block's index is built once for a unit. One task holds one block at a time, whatever the data's size.
 
-``scaled`` turns vectors into whole numbers. Vectors that are null, or have null or non-finite components, take no part, as
+``scaled`` turns vectors into whole numbers. Accumulators and products are as wide as the components ask for; a component
+or a score of the best k beyond a long is an error. Vectors that are null, or have null or non-finite components, take no part, as
 do vectors of another number of dimensions than the query's. A null id takes no part. Rows with an id are the query's own if
 the ids are equal; an id that occurs repeatedly is one query (its least vector) and several candidates. Ties go to the smaller id.
 Other columns are left out.
@@ -43,7 +44,8 @@ STEPS = (0.5, 0.65, 0.75, 0.85, 0.95, 1.0)
 def scaled(vectors: DataFrame, factor: int) -> DataFrame:
     """(vec_id, v): floor of ``factor`` times each component, for vectors that take part."""
     fine = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
-    whole = F.transform("embedding", lambda x: F.floor(x.cast("double") * factor).cast("int"))
+    beyond = F.raise_error(F.lit("a component is beyond a long")).cast("long")
+    whole = F.transform("embedding", lambda x: F.when(F.abs(x.cast("double") * factor) < 2.0**63, F.floor(x.cast("double") * factor)).otherwise(beyond))
     return vectors.where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull()).where(fine).select("vec_id", whole.alias("v"))
 
 
@@ -54,7 +56,7 @@ class Index:
         order = np.argsort(ids, kind="stable")
         self.ids, self.vectors = ids[order], vectors[order]
         # Single precision holds sums below 2 ** 24 exactly, and double precision those below 2 ** 53.
-        self.largest = int(np.abs(self.vectors).max())
+        self.largest = max(int(self.vectors.max()), -int(self.vectors.min()))
         self.exact = self.vectors.astype(np.float32 if vectors.shape[1] * self.largest**2 < 1 << 24 else np.float64)
         n, dims = vectors.shape
         self.postings, low, high, dim = [], [], [], []
@@ -76,28 +78,36 @@ class Index:
     def top(self, query: np.ndarray, own: int, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids and exact scores of the best k others, best first."""
         q = query.astype(np.int64)
+        others = self.ids != own
+        reach = len(q) * self.largest * max(int(q.max()), -int(q.min()))  # no score, nor part of one, is beyond
+        if 4 * reach >= 1 << 63:  # sums may leave a long on the way; a score that does not fit raises
+            wide = self.vectors.astype(object) @ q.astype(object)
+            best = sorted(np.flatnonzero(others), key=lambda i: (-wide[i], self.ids[i]))[:k]
+            return self.ids[best], np.array([wide[i] for i in best], np.int64)
         bound = np.maximum(q[self.dim] * self.low, q[self.dim] * self.high)
         least = np.minimum.reduceat(bound, self.first)
         gain = bound - least[self.dim]
         order = np.argsort(-gain, kind="stable")
         order = order[gain[order] > 0]
-        acc = np.full(len(self.ids), int(least.sum()), np.int32)
+        # An accumulator and what may still be added stay within four times the reach.
+        width = np.int32 if 4 * reach < 1 << 31 else np.int64
+        acc = np.full(len(self.ids), int(least.sum()), width)
         # What a dimension may still add: the largest gain among its segments that are not yet processed.
         position = np.full(len(gain), len(order))
         position[order] = np.arange(len(order))
-        others = self.ids != own
-        exact = query.astype(np.float64 if len(q) * self.largest * int(np.abs(q).max(initial=0)) >= 1 << 24 else self.exact.dtype)
+        rows = self.exact if reach < 1 << 53 else self.vectors
+        exact = q.astype(np.float64 if 1 << 24 <= reach < 1 << 53 else rows.dtype)
         possible, threshold, done = np.flatnonzero(others), None, 0
         for step in STEPS:
             upto = int(np.ceil(step * len(order)))
             for s in order[done:upto]:
-                acc[self.postings[s]] += np.int32(gain[s])
+                acc[self.postings[s]] += width(gain[s])
             done = upto
             if len(possible) <= k:
                 break
             if threshold is None or step > 0.9:
                 likely = possible[np.argpartition(-acc[possible], min(2 * k, len(possible) - 1))[: 2 * k + 1]]
-                scores = np.sort(self.exact[likely] @ exact)
+                scores = np.sort(rows[likely] @ exact)
                 threshold = scores[-k] if threshold is None else max(threshold, scores[-k])
             rest = int(np.maximum.reduceat(np.where(position >= done, gain, 0), self.first).sum())
             possible = possible[acc[possible] + rest >= threshold]
@@ -105,7 +115,7 @@ class Index:
                 break
         # Beyond an eighth of the rows, a product with all of them is cheaper than gathering those.
         many = len(possible) * 8 > len(acc)
-        scores = ((self.exact @ exact)[possible] if many else self.exact[possible] @ exact).astype(np.int64)
+        scores = ((rows @ exact)[possible] if many else rows[possible] @ exact).astype(np.int64)
         best = np.lexsort((self.ids[possible], -scores))[:k]
         return self.ids[possible][best], scores[best]
 

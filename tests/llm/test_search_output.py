@@ -45,6 +45,38 @@ def test_top_k_with_few_or_no_rows(spark):
     assert topk.search(topk.scaled(vectors(spark, few), 64), F.lit(False), 20).count() == 0
 
 
+@pytest.mark.parametrize("largest", [90, 255, 2**20, 2**27, 2**34])
+def test_large_components_give_the_same_top_k(largest):
+    choose = np.random.default_rng(11)
+    data = choose.integers(-largest, largest, (500, 128)) * 64
+    index = topk.Index(np.arange(500), data)
+    for query in data[:5]:
+        exact = data.astype(object) @ query.astype(object)
+        order = sorted(range(1, 500), key=lambda i: (-exact[i], i))[:20]
+        kept = [i for i in order if abs(exact[i]) < 2**63]
+        if len(kept) == len(order):
+            ids, scores = index.top(query, 0, 20)
+            assert list(ids) == order and list(scores) == [exact[i] for i in order]
+        else:
+            with pytest.raises(OverflowError):
+                index.top(query, 0, 20)
+
+
+def test_components_of_large_vectors_are_whole_in_spark(spark):
+    rows = [(i, [float(255 + (i * 7 + j) % 50) * 2**20 for j in range(64)], 0) for i in range(60)]
+    got = topk.search(topk.scaled(vectors(spark, rows), 64), F.col("vec_id") % 20 == 0, 20)
+    values = {i: [int(64 * x) for x in e] for i, e, _ in rows}
+    few = [(i, [x * 2.0**-10 for x in e], 0) for i, e, _ in rows]
+    with pytest.raises(Exception):  # scores beyond a long
+        got.collect()
+    got = topk.search(topk.scaled(vectors(spark, few), 64), F.col("vec_id") % 20 == 0, 20).collect()
+    want = []
+    for q in (0, 20, 40):
+        scored = sorted((-sum(a * b for a, b in zip(values[q], values[i])) >> 20, i) for i in values if i != q)
+        want += [(q, n + 1, i, -s) for n, (s, i) in enumerate(scored[:20])]
+    assert sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in got) == sorted(want)
+
+
 def test_processing_stops_on_proof():
     choose = np.random.default_rng(5)
     data = np.floor(64 * choose.normal(0, 0.05, (4000, 32))).astype(np.int64)

@@ -9,10 +9,12 @@ excluded. Below order 0 the bytes not yet excluded are equally likely. A text st
 ``ORDER`` start marks and pays for an end mark. Scores are log10 probabilities of whole texts,
 from the pretrained trie.
 
-The trie that scorers receive has at most ``NODES`` nodes of full order: all of them where there
-are fewer, else those that occur at least as often as the lowest count that keeps within the
-bound. The bound belongs to the model (about 150 MB for a scorer) and not to the data: every
-training document is counted, and bytes after a node left out are scored by escape.
+Every node that was counted takes part in scoring, whatever their number. The nodes stay in a written table and
+are dealt by the youngest two bytes of the context, so that a part holds all that orders 2 and up of its
+contexts need; orders 0 and 1 have at most 65,536 nodes and go to every part. Documents are taken in chunks of about
+``CHUNK`` bytes: a chunk asks each part once for every distinct byte in its context, and the answers meet the
+chunk's texts by its number. A part has about ``PART`` nodes, more only if one pair of bytes has more.
+``train`` with ``nodes`` gives a bounded model on request; scoring does not use it.
 
 The base is the word unigram model with one added to every count. Words that make up at least
 1 / ``HEAVY`` of the training tokens, hence at most ``HEAVY`` of them, are looked up where the
@@ -26,6 +28,7 @@ columns other than doc_id and text are left out.
 from __future__ import annotations
 
 import math
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 from functools import partial
@@ -39,7 +42,8 @@ from sitewright.llm.common import UPPER, ship, texts
 from sitewright.session import materialize
 
 ORDER = 6
-NODES = 1 << 21
+PART = 1 << 18
+CHUNK = 6_000_000
 HEAVY = 1 << 16
 START, END = b"\xfe", b"\xff"  # bytes that UTF-8 never has
 _FLUSH = 4_000_000
@@ -125,13 +129,16 @@ def _gram_counts(batches: Iterator[pa.RecordBatch], order: int) -> Iterator[pa.R
 class Trie:
     """Counts of bytes behind contexts of 0 to ``order`` bytes, with what scoring needs of them."""
 
-    def __init__(self, keys: np.ndarray, counts: np.ndarray, order: int):
+    def __init__(self, keys: np.ndarray, counts: np.ndarray, order: int, low: tuple[np.ndarray, np.ndarray] | None = None):
+        """``low``: all nodes of order 1, where ``keys`` are a part of the full-order nodes."""
         self.order = order
         self.nodes, self.contexts = [], []
         for k in range(order, -1, -1):
             if k < order:
                 keys, at = np.unique(keys & np.uint64((1 << 8 * (k + 1)) - 1), return_inverse=True)
                 counts = np.bincount(at, counts, len(keys)).astype(np.int64)
+            if k == 1 and low is not None:
+                keys, counts = low
             above, first = np.unique(keys >> np.uint64(8), return_index=True)
             total = np.add.reduceat(counts, first) if len(first) else np.zeros(0, np.int64)
             kinds = np.diff(np.append(first, len(keys)))
@@ -208,39 +215,184 @@ class Trie:
         return out[back].astype(np.float32)
 
 
-def _scored(batches: Iterator[pa.RecordBatch], model, heavy) -> Iterator[pa.RecordBatch]:
-    if "trie" not in model.value:  # built once in a worker, which keeps the broadcast value
-        model.value["trie"] = Trie(*model.value["nodes"])
-        model.value["trie"].index()
-    trie, known = model.value["trie"], heavy.value
-    order = trie.order
+def _place(keys: np.ndarray, parts: int) -> np.ndarray:
+    """The part of each key: a mix of the youngest two bytes of its context."""
+    pair = (keys >> np.uint64(8)) & np.uint64(0xFFFF)
+    return ((pair * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)) % np.uint64(parts)
+
+
+def _distinct(keys: np.ndarray) -> np.ndarray:
+    keys.sort()
+    return keys[np.r_[True, keys[1:] != keys[:-1]]] if len(keys) else keys
+
+
+def _by_part(found: list[str], order: int, parts: int) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct keys of texts, by part and then by number, and where each part's begin."""
+    held = []
+    for at in range(0, len(found), 256):
+        keys, begins = grams(found[at : at + 256], order)
+        held.append(_distinct(keys[_inside(begins, len(keys), order)]))
+    keys = np.concatenate(held)
+    held.clear()
+    keys = _distinct(keys)
+    part = _place(keys, parts).astype(np.int32)
+    by_part = np.argsort(part, kind="stable")
+    return keys[by_part], np.searchsorted(part[by_part], np.arange(parts + 1))
+
+
+def _packed(**columns: pa.Array) -> bytes:
+    batch = pa.record_batch(columns)
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        out.write_batch(batch)
+    return sink.getvalue().to_pybytes()
+
+
+def _unpacked(data: bytes, column: str) -> pa.Array:
+    return pa.ipc.open_stream(data).read_all()[column].combine_chunks()
+
+
+def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Ids and texts in chunks, under a number of their own; the rows are written once."""
+    ids, listed, size = [], [], 0
+
+    def flushed() -> pa.RecordBatch:
+        data = _packed(ids=pa.array(ids, pa.int64()), texts=pa.array(listed, pa.large_string()))
+        return pa.RecordBatch.from_arrays([pa.array([uuid.uuid4().int >> 65], pa.int64()), pa.array([data], pa.binary())], ["chunk", "docs"])
+
     for batch in batches:
-        for at in range(0, batch.num_rows, 256):
-            part = batch.slice(at, 256)
-            listed = part.column(1).to_pylist()
-            keys, begins = grams(listed, order)
-            logs = trie.log10(keys).astype(np.float64)
-            logs[~_inside(begins, len(keys), order)] = 0
-            sums = np.add.reduceat(logs, begins[:-1])
-            rows = []
-            for text in listed:
-                counts = Counter(split_words(text))
-                counts[b""] += 1
-                rare = {w: n for w, n in counts.items() if w not in known}
-                common = [(n, known[w]) for w, n in counts.items() if w in known]
-                rows.append((sum(counts.values()), sum(n for n, _ in common), sum(n * c for n, c in common), list(rare), list(rare.values())))
-            kinds = [pa.int64(), pa.int64(), pa.float64(), pa.list_(pa.binary()), pa.list_(pa.int64())]
-            columns = [pa.array(x, kind) for x, kind in zip(zip(*rows), kinds)]
-            names = ["doc_id", "n_tokens", "n_known", "base", "rare", "rare_n", "score"]
-            yield pa.RecordBatch.from_arrays([part.column(0), *columns, pa.array(sums)], names)
-
-
-def train(docs: DataFrame, order: int = ORDER, nodes: int = NODES) -> tuple[np.ndarray, np.ndarray, int]:
-    """Full-order nodes of the trie, by key, and their counts."""
+        for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            ids.append(i)
+            listed.append(text)
+            size += len(text) + ORDER
+            if size > CHUNK:
+                yield flushed()
+                ids, listed, size = [], [], 0
+    if ids:
+        yield flushed()
+
+
+def _asked(batches: Iterator[pa.RecordBatch], order: int, parts: int) -> Iterator[pa.RecordBatch]:
+    """The keys that each part is asked for by a chunk, as steps from one to the next."""
+    for batch in batches:
+        for chunk, docs in zip(batch.column(0), batch.column(1)):
+            keys, begins = _by_part(_unpacked(docs.as_py(), "texts").to_pylist(), order, parts)
+            for p in np.flatnonzero(np.diff(begins)):
+                steps = np.diff(keys[begins[p] : begins[p + 1]], prepend=np.uint64(0))
+                row = [pa.array([chunk.as_py()], pa.int64()), pa.array([p], pa.int64()), pa.array([_packed(steps=pa.array(steps))], pa.binary())]
+                yield pa.RecordBatch.from_arrays(row, ["chunk", "part", "keys"])
+
+
+def _dealt(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordBatch]:
+    """Counted nodes with their part."""
+    for batch in batches:
+        place = _place(batch.column(0).to_numpy().astype(np.uint64), parts)
+        yield pa.RecordBatch.from_arrays([pa.array(place.astype(np.int64)), batch.column(0), batch.column(1)], ["part", "gram", "n"])
+
+
+def _answered(batches: Iterator[pa.RecordBatch], order: int, low) -> Iterator[pa.RecordBatch]:
+    """Sorted rows (part, kind, gram, n, chunk, keys): a part's nodes, then what it is asked for."""
+    part, held, trie = None, [], None
+    for batch in batches:
+        parts, kinds, grams_, counts = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(4))
+        borders = np.flatnonzero(np.r_[True, (parts[1:] != parts[:-1]) | (kinds[1:] != kinds[:-1])])
+        for a, b in zip(borders, np.append(borders[1:], len(parts))):
+            if parts[a] != part:
+                part, held, trie = parts[a], [], None
+            if kinds[a] == 0:
+                held.append((grams_[a:b].astype(np.uint64), counts[a:b].astype(np.int64)))
+                continue
+            if trie is None:
+                keys, n = (np.concatenate(x) for x in zip(*held)) if held else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+                by_key = np.argsort(keys)
+                trie, held = Trie(keys[by_key], n[by_key], order, low.value), []
+                trie.index()
+            for i in range(a, b):
+                logs = trie.log10(np.cumsum(_unpacked(batch.column(5)[i].as_py(), "steps").to_numpy()))
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(4).slice(i, 1), batch.column(0).slice(i, 1), pa.array([logs.astype(np.float32).tobytes()], pa.binary())], ["chunk", "part", "logs"]
+                )
+
+
+def _scored(batches: Iterator[pa.RecordBatch], order: int, parts: int, heavy) -> Iterator[pa.RecordBatch]:
+    """Sorted rows (chunk, part, data): a chunk's documents, then the answers to it by part."""
+    known, chunk, ids, listed, logs = heavy.value, None, [], [], []
+    for batch in batches:
+        for i in range(batch.num_rows):
+            if batch.column(0)[i].as_py() != chunk:
+                if ids:
+                    yield from _summed(ids, listed, logs, order, parts, known)
+                chunk, logs = batch.column(0)[i].as_py(), []
+                ids, listed = (_unpacked(batch.column(2)[i].as_py(), c).to_pylist() for c in ("ids", "texts"))
+            else:
+                logs.append(np.frombuffer(batch.column(2)[i].as_py(), np.float32))
+    if ids:
+        yield from _summed(ids, listed, logs, order, parts, known)
+
+
+def _summed(ids: list, listed: list[str], logs: list[np.ndarray], order: int, parts: int, known: dict) -> Iterator[pa.RecordBatch]:
+    # The keys are found again, in the order in which they were asked for.
+    asked, _ = _by_part(listed, order, parts)
+    answers = np.concatenate(logs)
+    by_key = np.argsort(asked)
+    asked, answers = asked[by_key], answers[by_key]
+    for at in range(0, len(listed), 256):
+        part = listed[at : at + 256]
+        keys, begins = grams(part, order)
+        inside = _inside(begins, len(keys), order)
+        distinct, back = np.unique(keys[inside], return_inverse=True)
+        values = np.zeros(len(keys))
+        values[inside] = answers[np.searchsorted(asked, distinct)][back]
+        sums = np.add.reduceat(values, begins[:-1])
+        rows = []
+        for text in part:
+            counts = Counter(split_words(text))
+            counts[b""] += 1
+            rare = {w: n for w, n in counts.items() if w not in known}
+            common = [(n, known[w]) for w, n in counts.items() if w in known]
+            rows.append((sum(counts.values()), sum(n for n, _ in common), sum(n * c for n, c in common), list(rare), list(rare.values())))
+        kinds = [pa.int64(), pa.int64(), pa.float64(), pa.list_(pa.binary()), pa.list_(pa.int64())]
+        columns = [pa.array(x, kind) for x, kind in zip(zip(*rows), kinds)]
+        names = ["doc_id", "n_tokens", "n_known", "base", "rare", "rare_n", "score"]
+        yield pa.RecordBatch.from_arrays([pa.array(ids[at : at + 256], pa.int64()), *columns, pa.array(sums)], names)
+
+
+def counted_nodes(docs: DataFrame, order: int = ORDER) -> DataFrame:
+    """(gram, n): all full-order nodes of the training documents, written once."""
     text = texts(docs).select("text")
-    counted = materialize(
+    return materialize(
         text.mapInArrow(partial(_gram_counts, order=order), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")), "grams"
     )
+
+
+def log_scores(docs: DataFrame, counted: DataFrame, order: int, heavy, part: int = PART) -> DataFrame:
+    """Rows of ``_scored`` for every document, from all nodes of ``counted``."""
+    spark = docs.sparkSession
+    parts = max(1, -(-counted.count() // part))
+    low = counted.groupBy(F.col("gram").bitwiseAND(0xFFFF).alias("k")).agg(F.sum("n").alias("n")).toArrow()  # at most 65,536 rows
+    by_key = np.argsort(low["k"].to_numpy())
+    low = spark.sparkContext.broadcast((low["k"].to_numpy().astype(np.uint64)[by_key], low["n"].to_numpy()[by_key]))
+    chunks = materialize(texts(docs).mapInArrow(_chunks, "chunk long, docs binary"), "chunks")
+    none = F.lit(None)
+    nodes = counted.mapInArrow(partial(_dealt, parts=parts), "part long, gram long, n long").select(
+        "part", F.lit(0).alias("kind"), "gram", "n", none.cast("long").alias("chunk"), none.cast("binary").alias("keys")
+    )
+    asked = chunks.mapInArrow(partial(_asked, order=order, parts=parts), "chunk long, part long, keys binary").select(
+        "part", F.lit(1).alias("kind"), F.lit(0).cast("long").alias("gram"), F.lit(0).cast("long").alias("n"), "chunk", "keys"
+    )
+    dealt = nodes.union(asked).repartition(min(parts, 100_000), "part").sortWithinPartitions("part", "kind")
+    answers = dealt.mapInArrow(partial(_answered, order=order, low=low), "chunk long, part long, logs binary")
+    held = chunks.select("chunk", F.lit(-1).cast("long").alias("part"), F.col("docs").alias("data"))
+    met = held.union(answers.select("chunk", "part", "logs")).repartition("chunk").sortWithinPartitions("chunk", "part")
+    return met.mapInArrow(
+        partial(_scored, order=order, parts=parts, heavy=heavy),
+        "doc_id long, n_tokens long, n_known long, base double, rare array<binary>, rare_n array<long>, score double",
+    )
+
+
+def train(docs: DataFrame, order: int, nodes: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """At most ``nodes`` full-order nodes, the most frequent ones, by key, and their counts."""
+    counted = counted_nodes(docs, order)
     # A histogram by powers of two, then by count within the one that crosses the bound: a few hundred rows at most.
     by_power = {r.p: r.k for r in counted.groupBy(F.floor(F.log2("n")).alias("p")).agg(F.count("*").alias("k")).collect()}
     room, least = nodes, 1
@@ -266,7 +418,7 @@ def _least(counted: DataFrame, low: int, room: int) -> int:
     return low
 
 
-def score(docs: DataFrame, learn: Column, order: int = ORDER, nodes: int = NODES) -> DataFrame:
+def score(docs: DataFrame, learn: Column, order: int = ORDER, part: int = PART) -> DataFrame:
     """(doc_id, n_tokens, n_known, train_tokens, base_score, score) of every row; ``learn`` says which ids train."""
     spark = docs.sparkSession
     learned = docs.where(learn)
@@ -276,11 +428,7 @@ def score(docs: DataFrame, learn: Column, order: int = ORDER, nodes: int = NODES
     total = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     often = counts.where(F.col("c") * HEAVY >= total.n).collect()  # at most HEAVY rows
     heavy = spark.sparkContext.broadcast({bytes(r.word): math.log10(r.c + 1) for r in often})
-    model = spark.sparkContext.broadcast({"nodes": train(learned, order, nodes)})
-    rows = texts(docs).mapInArrow(
-        partial(_scored, model=model, heavy=heavy),
-        "doc_id long, n_tokens long, n_known long, base double, rare array<binary>, rare_n array<long>, score double",
-    )
+    rows = log_scores(docs, counted_nodes(learned, order), order, heavy, part)
     rows = materialize(rows.withColumn("row", F.monotonically_increasing_id()), "scored")
     rest = (
         rows.select("row", F.explode(F.arrays_zip("rare", "rare_n")).alias("w"))

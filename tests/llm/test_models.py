@@ -89,6 +89,36 @@ def test_node_bound_and_empty_tables(spark, docs_of):
     assert lm.score(docs_of([]), F.lit(True)).count() == 0
 
 
+def test_no_counted_node_is_left_out_of_scoring(spark, docs_of):
+    choose = random.Random(8)
+    texts = ["".join(choose.choice("abcdefgh é") for _ in range(choose.randint(0, 300))) for _ in range(120)]
+    docs = docs_of(list(enumerate(texts)))
+    own = Plain(texts[:90], 3)
+    for part in (10**6, 200):  # 200 nodes a part: many parts, and far fewer than there are nodes
+        got = {r.doc_id: r.score for r in lm.score(docs, F.col("doc_id") < 90, order=3, part=part).collect()}
+        for i, t in enumerate(texts):
+            want = own.log10(t)
+            assert abs(got[i] - want) < 2e-3 * max(1, abs(want))
+
+
+def test_parts_score_as_the_whole_trie():
+    choose = random.Random(9)
+    texts = ["".join(choose.choice("abc dé") for _ in range(200)) for _ in range(40)]
+    keys, begins = lm.grams(texts, 4)
+    keys, counts = np.unique(keys[lm._inside(begins, len(keys), 4)], return_counts=True)
+    asked, _ = lm.grams(["".join(choose.choice("abcd éx") for _ in range(500))], 4)
+    whole = lm.Trie(keys, counts, 4)
+    whole.index()
+    low, at = np.unique(keys & np.uint64(0xFFFF), return_inverse=True)
+    n = np.bincount(at, counts).astype(np.int64)
+    place, own = lm._place(keys, 5), lm._place(asked, 5)
+    for p in range(5):
+        part = lm.Trie(keys[place == p], counts[place == p], 4, (low, n))
+        part.index()
+        mine = asked[own == p]
+        assert np.allclose(part.log10(mine), whole.log10(mine), atol=1e-6)
+
+
 def test_held_out_is_by_id_and_no_text_of_it_is_counted(spark):
     got = op6_lm_score(spark, SF).collect()
     assert len(got) == documents(spark, SF).count()

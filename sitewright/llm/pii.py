@@ -5,7 +5,8 @@ Base kinds (email, ip, card, phone) are found by fixed patterns, leftmost and no
 propose spans that may overlap anything: addresses in disguise (``mail``), any run of seven or more digits
 with separators (``number``), long strings with digits (``secret``). Gradient-boosted trees score every proposal from its format and
 its surroundings. Nobody labels such spans, so the trees learn from what is certain: a proposal is
-positive if it meets a checked base span, has the shape of an access key or stands behind a cue such as ``password=``.
+positive if it meets a checked base span, has the shape of an access key, stands behind a cue such as ``password=``, is
+an address with a bracketed "at" or a number behind a cue of contact or account such as ``tel:``.
 Whether a check succeeded is no feature. A threshold for each generator is calibrated on a fifth of
 the documents that the trees don't see: the lowest score down to which at least ``PRECISION`` of the proposals at every
 score are positive. Proposals above it that meet no base span are added.
@@ -143,7 +144,12 @@ def _weighed(found: DataFrame) -> DataFrame:
     reached = F.max(base_end).over(by_start.rangeBetween(Window.unboundedPreceding, 0))
     following = F.min(base_start).over(by_start.rangeBetween(0, Window.unboundedFollowing))
     meets = F.coalesce(reached > F.col("start"), F.lit(False)) | F.coalesce(following < F.col("end"), F.lit(False))
-    certain = (F.col("kind") == "secret") & (F.col("match").rlike("^AKIA[0-9A-Z]{16}$") | F.col("before").rlike(SECRET_CUE))
+    certain = (
+        F.when(F.col("kind") == "secret", F.col("match").rlike("^AKIA[0-9A-Z]{16}$") | F.col("before").rlike(SECRET_CUE))
+        .when(F.col("kind") == "mail", ~F.contains("match", F.lit("@")))  # the pattern asks for a bracketed "at" then
+        .when(F.col("kind") == "number", F.col("before").rlike(CONTACT_CUE))
+        .otherwise(False)
+    )
     return found.where("kind is not null").withColumn("meets", meets).withColumns(_features()).withColumn("label", (F.col("meets") | certain).cast("int"))
 
 

@@ -261,3 +261,21 @@ def test_added_spans_are_learned_from_certain_ones(docs_of):
     assert sum("secret:" in r.spans for r in got if r.doc_id < 1000) >= 270
     assert all(set(filter(None, r.spans.split(","))) == set(plain_spans(dict(rows)[r.doc_id])) for r in got if r.doc_id >= 1000)
     assert F is not None
+
+
+def test_disguised_addresses_and_cued_numbers_are_added(docs_of):
+    choose = random.Random(7)
+    digits = lambda n: "".join(choose.choice("123456789") for _ in range(n))
+    said = {}
+    for i in range(300):
+        said[i] = "mail", f"{choose.choice(WORDS)} [at] example{i} [dot] com"
+        said[1000 + i] = "number", digits(10)
+    rows = [(i, prose(choose, 20) + (" phone: " if i >= 1000 else " ") + m + " " + prose(choose, 9)) for i, (_, m) in said.items()]
+    rows += [(2000 + i, f"{prose(choose, 20)} ann{i}@example.com {prose(choose, 9)} +{digits(11)} {prose(choose, 5)}") for i in range(300)]
+    rows += [(3000 + i, f"{prose(choose, 20)} {digits(10)} {prose(choose, 5)}") for i in range(300)]
+    text = dict(rows)
+    got = {r.doc_id: set(filter(None, r.spans.split(","))) for r in pii.per_document(pii.spans(docs_of(rows))).collect()}
+    for low in (0, 1000):
+        there = [f"{k}:{text[i].index(m)}:{text[i].index(m) + len(m)}" in got[i] for i, (k, m) in said.items() if low <= i < low + 1000]
+        assert sum(there) >= 0.95 * len(there), low
+    assert all(got[i] == set(plain_spans(t)) for i, t in rows if i >= 3000)

@@ -70,6 +70,81 @@ SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20
 """
 
 
+_LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+OP11 = rf"""
+WITH docs AS (
+  SELECT row_number() OVER () AS d, coalesce(lang, 'und') AS lang, string_split_regex({_LOWERED}, '[.,;:!?\x0A-\x0D]') AS pieces FROM documents
+), pieces AS (
+  SELECT lang, list_filter(string_split_regex(piece, '[\x20\x09]+'), lambda w: w <> '') AS words FROM (SELECT lang, unnest(pieces) AS piece FROM docs)
+), runs AS (
+  SELECT lang, k, list_slice(words, i, i + k - 1) AS phrase
+  FROM (SELECT lang, words, k, unnest(range(1, len(words) - k + 2)) AS i FROM pieces, (SELECT unnest([1, 2, 3]) AS k))
+), counts AS (SELECT lang, phrase, any_value(k) AS k, count(*) AS f FROM runs GROUP BY lang, phrase),
+totals AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM counts WHERE k = 1 GROUP BY lang),
+candidates AS (SELECT * FROM counts WHERE k > 1 AND f >= 10),
+cuts AS (
+  SELECT c.lang, c.phrase, c.k, c.f AS a, first_words, l.f AS l, r.f AS r,
+    (1000000 * CAST(c.f AS HUGEINT) * c.f) // (CAST(l.f AS HUGEINT) * r.f) AS score
+  FROM (SELECT *, unnest(range(1, k)) AS first_words FROM candidates) c
+  JOIN counts l ON l.lang = c.lang AND l.phrase = list_slice(c.phrase, 1, first_words)
+  JOIN counts r ON r.lang = c.lang AND r.phrase = list_slice(c.phrase, first_words + 1, c.k)
+), best AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, first_words) = 1),
+longer AS (
+  SELECT lang, phrase, max(f) AS f FROM (
+    SELECT lang, f, unnest([list_slice(phrase, 1, 2), list_slice(phrase, 2, 3)]) AS phrase FROM candidates WHERE k = 3
+  ) GROUP BY lang, phrase
+), kept AS (
+  SELECT b.lang, array_to_string(b.phrase, ' ') AS phrase, a, l, r, score FROM best b
+  LEFT JOIN longer o ON o.lang = b.lang AND o.phrase = b.phrase AND b.k = 2
+  WHERE o.f IS NULL OR 100 * o.f < 50 * a
+)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, CAST(score AS BIGINT) AS score
+FROM kept JOIN totals USING (lang) QUALIFY rank <= 2000
+"""
+
+#: crc32 byte by byte, with a table of 256 numbers made by its rule.
+_CRC = """
+list_reduce(
+  list_transform(range(0, octet_length(encode(feature))), lambda i: CAST(('0x' || substr(hex(encode(feature)), 2 * i + 1, 2)) AS BIGINT)),
+  lambda c, b: xor(c >> 8, codes[xor(c & 255, b) + 1]), 4294967295)
+"""
+
+OP13 = rf"""
+WITH table_of AS (
+  SELECT list_transform(range(256), lambda b: list_reduce(range(8), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, b)) AS codes
+), texts AS (
+  SELECT 'corpus' AS side, row_number() OVER () AS d, doc_id, {_LOWERED} AS text FROM documents
+  UNION ALL SELECT 'target', row_number() OVER (), NULL, {_LOWERED} FROM benchmark
+), docs AS (
+  SELECT side, d, doc_id, list_filter(string_split_regex(text, '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '') AS words FROM texts
+), features AS (
+  SELECT side, d, array_to_string(list_slice(words, i, i + k - 1), ' ') AS feature
+  FROM (SELECT side, d, words, k, unnest(range(1, len(words) - k + 2)) AS i FROM docs, (SELECT unnest([1, 2]) AS k))
+), counted AS (SELECT side, d, feature, count(*) AS n FROM features GROUP BY side, d, feature),
+hashed AS (SELECT feature, xor({_CRC}, 4294967295) % 10000 AS bucket FROM (SELECT DISTINCT feature FROM counted), table_of),
+bucketed AS (SELECT side, d, bucket, CAST(sum(n) AS BIGINT) AS n FROM counted JOIN hashed USING (feature) GROUP BY side, d, bucket),
+buckets AS (
+  SELECT b AS bucket, coalesce(sum(n) FILTER (WHERE side = 'corpus'), 0) AS s, coalesce(sum(n) FILTER (WHERE side = 'target'), 0) AS t
+  FROM (SELECT unnest(range(10000)) AS b) LEFT JOIN bucketed ON bucket = b GROUP BY b
+), gains AS (
+  SELECT bucket, CAST(floor(1000 * ln(CAST((t + 1) * (sum(s) OVER () + 10000) AS DOUBLE) / CAST((s + 1) * (sum(t) OVER () + 10000) AS DOUBLE))) AS BIGINT) AS gain FROM buckets
+), weights AS (
+  SELECT d, CAST(sum(n) AS BIGINT) AS n_features, CAST(sum(n * gain) AS BIGINT) AS total FROM bucketed JOIN gains USING (bucket) WHERE side = 'corpus' GROUP BY d
+), scored AS (
+  SELECT d, doc_id, len(words) AS n_words, coalesce(n_features, 0) AS n_features,
+    CASE WHEN n_features IS NULL THEN 0 ELSE (total - ((total % n_features) + n_features) % n_features) // n_features END AS weight,
+    CAST(('0x' || substr(sha256('7:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8)) AS BIGINT) AS h
+  FROM docs LEFT JOIN weights USING (d) WHERE side = 'corpus'
+), totals AS (
+  SELECT *, weight + CAST(floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296))) AS BIGINT) AS score FROM scored
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY n_words >= 20 ORDER BY score DESC, doc_id NULLS FIRST) AS place,
+    count(*) FILTER (WHERE n_words >= 20) OVER () AS able FROM totals
+)
+SELECT doc_id, n_features, weight, score, CASE WHEN n_words >= 20 AND place <= 25 * able // 100 THEN place END AS rank FROM ranked
+"""
+
 
 def _slots(key: int, length: int, shard_bytes: int, walks: int = 12) -> str:
     """Slots of all sequences: six keyed half rounds, walked on while the number is beyond the last."""
@@ -102,7 +177,7 @@ def _slots(key: int, length: int, shard_bytes: int, walks: int = 12) -> str:
     )
 
 
-ORACLES: dict[str, str] = {"op3_token_output": _slots(ORDER_KEY, LENGTH, SHARD_BYTES), "op2_topk": OP2, "op7_decontaminate": OP7, "op5_chat_format": OP5}
+ORACLES: dict[str, str] = {"op3_token_output": _slots(ORDER_KEY, LENGTH, SHARD_BYTES), "op2_topk": OP2, "op7_decontaminate": OP7, "op5_chat_format": OP5, "op11_phrases": OP11, "op13_resample": OP13}
 
 
 def llm_oracles() -> dict[str, str]:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sitewright.llm import bpe, chat, decontaminate, line_dedup, lm, ngram_join, pii, quality, token_output, topk
+from sitewright.llm import bpe, chat, chunk_bpe, decontaminate, line_dedup, lm, ngram_join, phrases, pii, quality, resample, token_output, topk
 from sitewright.llm.common import documents, remainder, table
 from sitewright.session import work_path
 
@@ -96,6 +96,25 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.per_document(pii.spans(documents(spark, sf_dir)))
 
 
+def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(documents(spark, sf_dir), longest=3, at_least=10, percent=50, top=2000)
+
+
+TOKENIZER = "byte_bpe_50k.json"
+
+
+def op12_chunk_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    vocabulary = chunk_bpe.Vocabulary(public_tokenizers.path(TOKENIZER), public_tokenizers.PATTERN)
+    return chunk_bpe.round_trip(documents(spark, sf_dir), vocabulary)
+
+
+def op13_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    drawn = resample.resample(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"), percent=25, least_words=20)
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_topk": op2_topk,
@@ -107,6 +126,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality": op8_quality,
     "op9_ngram_join": op9_ngram_join,
     "op10_pii": op10_pii,
+    "op11_phrases": op11_phrases,
+    "op12_chunk_bpe": op12_chunk_bpe,
+    "op13_resample": op13_resample,
 }
 
 

@@ -2,7 +2,7 @@
 
 These are not an HTML5 parser, but tags and attributes are read as one does: a tag
 ends at the first ``>`` outside a quoted value, attributes are taken from left to
-right, and the first of a name counts. Comments, ``<script>`` and ``<style>`` are
+right, and the first of a name counts. Containers are found in the token tree (``tree``). Comments, ``<script>`` and ``<style>`` are
 dropped first. Quantifiers are possessive, so that no page is scanned again and again.
 """
 
@@ -14,6 +14,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..rules import PAGINATION_WORDS, SCRIPT_URL_PATTERNS
+from .tree import INSIDE, contents, start_tags, tokens
 from .url import _col, let
 
 NOISE = r"(?is)<(?:!--.*?-->|script\b.*?</script\s*>|style\b.*?</style\s*>)"
@@ -26,8 +27,6 @@ NON_LINK_PREFIXES = ("#", "javascript:", "mailto:", "tel:")
 ENTITY = r"&(?:#[0-9]{1,12}|#[xX][0-9a-fA-F]{1,10}|[A-Za-z][A-Za-z0-9]{1,31});"
 #: Every named entity of HTML with its characters, as one text for ``str_to_map``.
 NAMED = "\x01".join(f"&{name}\x02{chars}" for name, chars in sorted(html5.items()) if name.endswith(";"))
-#: What stands between a tag's name and its end: quoted values may hold ``>``.
-INSIDE = r"""(?:[^>=]++|=\s*+(?:"[^"]*+"|'[^']*+')|=)*+"""
 #: One attribute: name, and value if there is one.
 _VALUE = r"""(?:"[^"]*+"|'[^']*+'|[^\s>]*+)"""
 
@@ -202,43 +201,41 @@ def script_urls(html: Column) -> Column:
     return F.filter(found, lambda u: u.startswith("http") | u.startswith("/"))
 
 
-def _class_container(name: str) -> str:
-    return (
-        r"(?is)<(?:nav|div|ul|ol|section)\s[^>]*class\s*=\s*[\"'](?:[^\"'>]*\s)?"
-        + name
-        + r"(?:\s[^\"'>]*)?[\"'][^>]*>.*?</(?:nav|div|ul|ol|section)\s*>"
-    )
+def _has_token(tag: Column, name: str, *words: str) -> Column:
+    """Whether an attribute of white-space separated words holds one of them."""
+    wanted = F.array(*(F.lit(w) for w in words))
+    return tag.rlike("|".join(words)) & F.arrays_overlap(F.split(attribute(tag, name), r"\s+"), wanted)
 
 
-def _anchors_in(markup: Column, container: str) -> Column:
-    return F.flatten(
-        F.transform(find_all(markup, _class_container(container)), lambda b: tags(b, "a"))
-    )
+def _anchors_in(page: Column, css_class: str) -> Column:
+    """Anchors inside elements of the class, wherever these end."""
+    inside = F.flatten(contents(page, lambda t: _has_token(t, "class", css_class)))
+    likely = F.exists(page, lambda t: F.contains(t, F.lit(css_class)))
+    return start_tags(F.when(likely, inside).otherwise(F.array().cast("array<string>")), "a")
 
 
-def _rel_next_anchors(markup: Column) -> Column:
-    return F.filter(tags(markup, "a"), lambda t: attribute(t, "rel") == "next")
+def _rel_next_anchors(page: Column) -> Column:
+    return F.filter(start_tags(page, "a"), lambda t: F.contains(t, F.lit("next")) & (attribute(t, "rel") == "next"))
 
 
 def pagination_hrefs(markup: Column) -> Column:
     """Hrefs under pagination selectors, and of anchors that read like page links."""
-    next_page = F.filter(
-        tags_with(markup, "class"),
-        lambda t: F.array_contains(F.split(attribute(t, "class"), r"\s+"), "next-page"),
-    )
-    selected = F.concat(
-        _anchors_in(markup, "pagination"),
-        _anchors_in(markup, "pager"),
-        _rel_next_anchors(markup),
-        next_page,
-        tags_with(markup, "data-page"),
-    )
+
+    def selected(page: Column) -> Column:
+        return F.concat(
+            _anchors_in(page, "pagination"),
+            _anchors_in(page, "pager"),
+            _rel_next_anchors(page),
+            F.filter(start_tags(page), lambda t: _has_token(t, "class", "next-page")),
+            F.filter(start_tags(page), lambda t: t.rlike("(?i)data-page") & has_attribute(t, "data-page")),
+        )
+
     numbered = F.transform(
         F.filter(elements(markup, "a"), lambda e: _reads_like_page_link(inner_text(e))),
         lambda e: F.regexp_extract(e, rf"(?is)^<a{INSIDE}>", 0),
     )
     return F.array_distinct(
-        F.filter(_attributes(F.concat(selected, numbered), "href"), lambda h: h != "")
+        F.filter(_attributes(F.concat(let(tokens(markup), selected), numbered), "href"), lambda h: h != "")
     )
 
 
@@ -254,13 +251,14 @@ def pagination_top(markup: Column, per_selector: int = 5) -> Column:
             _attributes(F.slice(found, 1, per_selector), "href"), lambda h: h != ""
         )
 
-    return F.array_distinct(
-        F.concat(
-            first(_anchors_in(markup, "pagination")),
-            first(_anchors_in(markup, "pager")),
-            first(_rel_next_anchors(markup)),
+    def selected(page: Column) -> Column:
+        return F.concat(
+            first(_anchors_in(page, "pagination")),
+            first(_anchors_in(page, "pager")),
+            first(_rel_next_anchors(page)),
         )
-    )
+
+    return F.array_distinct(let(tokens(markup), selected))
 
 
 def inner_text(element: Column) -> Column:
@@ -329,20 +327,17 @@ def page_canonical(markup: Column) -> Column:
     return F.coalesce(F.get(_attributes(found, "href"), F.lit(0)), F.lit(""))
 
 
-MAIN_CONTENT = (
-    r"(?is)<main\b[^>]*>.*?</main\s*>"
-    r"|<(?:div|section|article)\b[^>]*\sclass\s*=\s*[\"'](?:[^\"'>]*\s)?(?:main|content)"
-    r"(?:\s[^\"'>]*)?[\"'][^>]*>.*?</(?:div|section|article)\s*>"
-    r"|<(?:div|section|article)\b[^>]*\sid\s*=\s*[\"']?(?:main|content)[\"'\s>].*?"
-    r"</(?:div|section|article)\s*>"
-)
+def _is_main(tag: Column) -> Column:
+    return tag.rlike(r"(?i)^<main[\s/>]") | (
+        F.contains(tag, F.lit("main")) | F.contains(tag, F.lit("content"))
+    ) & (_has_token(tag, "class", "main", "content") | attribute(tag, "id").isin("main", "content"))
 
 
 def page_text(markup: Column) -> Column:
-    """Text of the first main-content element, else of the body."""
-    main = F.regexp_extract(markup, MAIN_CONTENT, 0)
-    body = F.regexp_extract(markup, r"(?is)<body\b[^>]*>(.*?)(?:</body\s*>|\z)", 1)
-    return inner_text(let(main, lambda m: F.when(m != "", m).otherwise(body)))
+    """Text of the first main-content element, whole, else of the body."""
+    body = F.regexp_extract(markup, rf"(?is)<body(?=[\s/>]){INSIDE}>(.*?)(?:</body\s*>|\z)", 1)
+    main = let(tokens(markup), lambda page: F.get(contents(page, _is_main), F.lit(0)))
+    return inner_text(let(main, lambda m: F.when(m.isNotNull(), F.array_join(m, "")).otherwise(body)))
 
 
 def link_count(markup: Column) -> Column:

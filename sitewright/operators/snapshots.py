@@ -62,8 +62,8 @@ def snapshot_delta(
 def extract_links_rendered(snapshots: DataFrame, rules: Rules = STANDARD) -> DataFrame:
     """All candidate URLs of rendered pages: ``(src_url, dst_url)``, distinct.
 
-    First and last snapshot, what the steps between added, pagination and filter
-    options; then the filters of the static extraction.
+    Every snapshot counts in full: anchors, areas, ``data-*`` URLs, pagination and filter
+    options, at whatever step they appear; then the filters of the static extraction.
     """
     staged = snapshots.select(
         F.col("url").alias("src_url"),
@@ -72,12 +72,15 @@ def extract_links_rendered(snapshots: DataFrame, rules: Rules = STANDARD) -> Dat
         H.strip_noise("html").alias("markup"),
     ).withColumn("own", own_url(rules))
     markup = F.col("markup")
-    # Pagination and filters are read once per page; anchors of every step.
-    once = F.when(
-        F.col("step") == 0,
-        F.concat(H.pagination_hrefs(markup), option_paths(markup, "rendered")),
-    ).otherwise(F.array().cast("array<string>"))
-    raws = F.array_distinct(F.concat(H.hrefs_of(markup, "a"), H.hrefs_of(markup, "area"), once))
+    raws = F.array_distinct(
+        F.concat(
+            H.hrefs_of(markup, "a"),
+            H.hrefs_of(markup, "area"),
+            H.data_urls(markup),
+            H.pagination_hrefs(markup),
+            option_paths(markup, "rendered"),
+        )
+    )
     return staged.select(
         "src_url",
         F.explode(normalized_links(raws, F.col("base"), F.col("own"), rules)).alias("dst_url"),

@@ -57,9 +57,10 @@ MARKUP = (
     "<div data-href=\"/dh/" + _s("page_id % 3") + "\" data-location=\" old-town \">t</div>"
     "<a href=''?b=2&amp;a=1''>q</a><a href=\"../up/./x/\">u</a><a href=\"mailto:a@b.c\">m</a>"
     "<a rel=\"next\" href=\"/page/" + _s("page_id") + "/\">2</a>"
-    "<nav class=\"pagination big\"><a href=\"/l?page=1\">1</a><a href=\"/l?page=2\">2</a>"
-    "<a href=\"/l?page=3\">3</a><a href=\"/l?page=4\">4</a><a>5</a><a href=\"/l?page=6\">6</a></nav>"
-    "<div class=\"pager\"><a href=\"/older/" + _s("page_id % 6") + "\">Older</a></div>"
+    "<nav class=\"pagination big\"><ul><li><a href=\"/l?page=1\">1</a></li></ul><div><div><a href=\"/l?page=2\">2</a>"
+    "</div></div><a href=\"/l?page=3\">3</a><section><a href=\"/l?page=4\">go</a></section><a>5</a>"
+    "<a href=\"/l?page=6\">further</a></nav><a href=\"/l?page=7\">outside</a>"
+    "<span class=\"pager\"><i><a href=\"/older/" + _s("page_id % 6") + "\">Older</a></i><a href=\"/oldest\">Oldest</a></span>"
     "<a class=\"btn next-page\" href=\"/np/" + _s("page_id") + "\">more</a>"
     "<span data-page=\"3\" href=\"/dp/3\">3</span><a href=\"/n" + _s("page_id % 4") + "\"> NEXT </a>"
     "<a href=\"/company/" + _s("page_id % 20") + "\">City <b>x</b> Bank</a>"
@@ -72,9 +73,21 @@ MARKUP = (
     "<a href=\"' || " + site_url("(2 * page_id + 1)") + " || '\">n1</a>"
     "<a href=\"' || " + site_url("(2 * page_id + 2)") + " || '\">n2</a>"
     "<a href=\"' || " + site_url("((3 * page_id + 7) % {n})") + " || '\">n3</a>'"
-    " || CASE page_id % 3 WHEN 0 THEN '<main class=\"x\">Main <i>text</i> "
-    + _s("page_id") + "</main>' WHEN 1 THEN '<div class=\"content wide\">Content &amp; more "
-    + _s("page_id") + "</div>' ELSE '' END"
+    " || CASE page_id % 3 WHEN 0 THEN '<main class=\"x\">Main <div>one <div>two</div></div>"
+    "<section>three</section> <i>text</i> " + _s("page_id") + "</main>' WHEN 1 THEN '<div class=\"content wide\">"
+    "Content &amp; more <div>deep</div><section>er</section> " + _s("page_id") + "</div>' ELSE '' END"
+)
+
+#: Start tags of the anchors inside the containers of MARKUP, as SQL lists.
+CONTAINED = {
+    "pagination": "['<a href=\"/l?page=1\">', '<a href=\"/l?page=2\">', '<a href=\"/l?page=3\">', '<a href=\"/l?page=4\">', "
+    "'<a>', '<a href=\"/l?page=6\">']",
+    "pager": "['<a href=\"/older/" + _s("page_id % 6") + "\">', '<a href=\"/oldest\">']",
+}
+#: Text of the main container of MARKUP.
+MAIN_TEXT = (
+    "CASE page_id % 3 WHEN 0 THEN 'Main one twothree text " + _s("page_id") + "' "
+    "WHEN 1 THEN 'Content & more deeper " + _s("page_id") + "' END"
 )
 
 SITE_PAGES = (
@@ -113,8 +126,7 @@ REGISTRY = (
     "CASE WHEN s IN ('success', 'error') THEN CAST(page_id AS DOUBLE) / 100 END AS response_time, "
     "CASE WHEN s <> 'pending' THEN TIMESTAMP '2024-02-01 00:00:00' END AS updated_at "
     "FROM (SELECT page_id, CASE WHEN page_id % 10 = 7 THEN 'skipped' WHEN page_id % 10 = 9 THEN 'pending' "
-    "WHEN page_id % 8 IN (5, 6, 7) THEN 'error' ELSE 'success' END AS s FROM {pages}) p "
-    "WHERE page_id % 4 <> 3"
+    "WHEN page_id % 8 IN (5, 6, 7) THEN 'error' ELSE 'success' END AS s FROM {pages}) p"
 )
 
 FRONTIER = (
@@ -124,8 +136,9 @@ FRONTIER = (
     "WHERE crawl_status = 'pending' OR page_id % 5 <> 1"
 )
 
+# Of the pages found, every other one is numbered beyond the given pages, so no registry row has it.
 FOUND = (
-    "SELECT 3 * page_id AS pos, " + site_url("page_id") + " || CASE WHEN page_id % 6 = 0 THEN '#f' "
+    "SELECT 3 * page_id AS pos, " + site_url("(page_id + page_id % 2 * {n})") + " || CASE WHEN page_id % 6 = 0 THEN '#f' "
     "ELSE '' END AS url, " + site_url("(page_id % 10)", True) + " AS parent_url, "
     "CAST(page_id % 5 AS INT) AS depth, (page_id % 2 = 0) AS is_dynamic, "
     "CAST(100 - 10 * (page_id % 5) AS INT) AS priority, "
@@ -176,6 +189,9 @@ SNAPSHOTS = (
     "|| CASE WHEN step >= 2 AND page_id % 4 >= 2 THEN '<a href=\"/n/" + _s("page_id") + "/2\">x</a>' ELSE '' END "
     "|| CASE WHEN step >= 3 AND page_id % 4 >= 3 THEN '<a href=\"/n/" + _s("page_id") + "/3\">x</a>' ELSE '' END "
     "|| CASE WHEN step >= 4 THEN '<a href=\"/late/" + _s("page_id") + "\">x</a>' ELSE '' END "
+    "|| CASE WHEN step >= 2 THEN '<span data-page=\"2\" href=\"/turn/" + _s("page_id") + "\">2</span>' ELSE '' END "
+    "|| CASE WHEN step = 3 THEN '<i data-link=\"/data/" + _s("page_id") + "\"></i>' ELSE '' END "
+    "|| CASE WHEN step = 1 THEN '<select name=\"sector\"><option value=\"late\">l</option></select>' ELSE '' END "
     "|| CASE WHEN step = 0 THEN '<select name=\"city\"><option value=\"los-angeles\">l</option></select>' ELSE '' END "
     "AS html FROM (SELECT page_id, " + site_url("page_id") + " AS url, {steps} AS step FROM {pages}) p"
 )

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from .. import rules as R
 from ..rules import FAST, FINAL, STANDARD
-from .derived import duckdb_with
+from .derived import CONTAINED, MAIN_TEXT, duckdb_with
 from .queries import BASE, NOW, PER_FILE
 
 NOW_ISO = NOW.replace(" ", "T") + "+00:00"
@@ -318,17 +318,6 @@ def script_urls(html: str) -> str:
     )
 
 
-def container(name: str) -> str:
-    return q(
-        r"(?is)<(?:nav|div|ul|ol|section)\s[^>]*class\s*=\s*[\"'](?:[^\"'>]*\s)?" + name
-        + r"(?:\s[^\"'>]*)?[\"'][^>]*>.*?</(?:nav|div|ul|ol|section)\s*>"
-    )
-
-
-def anchors_in(m: str, name: str) -> str:
-    return f"flatten(list_transform(regexp_extract_all({m}, {container(name)}), lambda b: {tags('b', 'a')}))"
-
-
 def rel_next(m: str) -> str:
     return f"list_filter({tags(m, 'a')}, lambda t: {attr('t', 'rel')} = 'next')"
 
@@ -337,7 +326,10 @@ def inner_text(e: str) -> str:
     return ws(unescape(f"regexp_replace({e}, '(?s)<[^>]*>', '', 'g')"))
 
 
-def pagination(m: str) -> str:
+NO_ANCHORS = {"pagination": "[]", "pager": "[]"}
+
+
+def pagination(m: str, contained: dict[str, str] = CONTAINED) -> str:
     words = ", ".join(q(w) for w in R.PAGINATION_WORDS)
     next_page = (
         rf"list_filter(regexp_extract_all({m}, '(?is)<[a-z][^>]*\sclass\s*=[^>]*>'), "
@@ -349,7 +341,7 @@ def pagination(m: str) -> str:
         rf"OR lower({inner_text('e')}) IN ({words})), lambda e: regexp_extract(e, '(?is)^<a\b[^>]*>'))"
     )
     found = (
-        f"flatten([{anchors_in(m, 'pagination')}, {anchors_in(m, 'pager')}, {rel_next(m)}, "
+        f"flatten([{contained['pagination']}, {contained['pager']}, {rel_next(m)}, "
         f"{next_page}, {data_page}, {numbered}])"
     )
     return f"list_distinct({each(found, attr('t', 'href'))})"
@@ -358,7 +350,7 @@ def pagination(m: str) -> str:
 def pagination_top(m: str) -> str:
     found = ", ".join(
         f"list_slice({x}, 1, 5)"
-        for x in (anchors_in(m, "pagination"), anchors_in(m, "pager"), rel_next(m))
+        for x in (*CONTAINED.values(), rel_next(m))
     )
     return f"list_distinct({each(f'flatten([{found}])', attr('t', 'href'))})"
 
@@ -666,13 +658,6 @@ SNAP_LINKS = (
 )
 
 SECONDS = "(CAST(epoch_us(max({0})) - epoch_us(min({0})) AS DOUBLE) / 1000000)"
-TEXT_MAIN = q(
-    r"(?is)<main\b[^>]*>.*?</main\s*>"
-    r"|<(?:div|section|article)\b[^>]*\sclass\s*=\s*[\"'](?:[^\"'>]*\s)?(?:main|content)"
-    r"(?:\s[^\"'>]*)?[\"'][^>]*>.*?</(?:div|section|article)\s*>"
-    r"|<(?:div|section|article)\b[^>]*\sid\s*=\s*[\"']?(?:main|content)[\"'\s>].*?"
-    r"</(?:div|section|article)\s*>"
-)
 
 
 def all_oracles() -> dict[str, str]:
@@ -826,9 +811,10 @@ def all_oracles() -> dict[str, str]:
         "LEFT JOIN stops s ON d.url = s.url WHERE s.stop IS NULL OR d.step < s.stop"
     )
     o["snapshot_delta_clicks"] = w("snapshots", extra=SNAP_LINKS) + "SELECT url, step, dst_url FROM delta"
+    # All anchors of a container are anchors of the page: the lists of containers add nothing here.
     rendered = (
-        f"flatten([{hrefs('markup', 'a')}, {hrefs('markup', 'area')}, CASE WHEN step = 0 THEN list_concat("
-        f"{pagination('markup')}, {option_paths('markup', 'rendered')}) ELSE CAST([] AS VARCHAR[]) END])"
+        f"flatten([{hrefs('markup', 'a')}, {hrefs('markup', 'area')}, {data_urls('markup')}, "
+        f"{pagination('markup', NO_ANCHORS)}, {option_paths('markup', 'rendered')}])"
     )
     o["extract_links_rendered"] = w(
         "snapshots", extra=f"m AS (SELECT url AS src_url, step, {stripped()} AS markup FROM snapshots)"
@@ -851,10 +837,7 @@ def all_oracles() -> dict[str, str]:
         f"{attr(html_tag, 'lang')} AS language, {meta('last-modified')} AS last_modified FROM m"
     )
     body = r"regexp_extract(markup, '(?is)<body\b[^>]*>(.*?)(?:</body\s*>|\z)', 1)"
-    picked = (
-        f"CASE WHEN regexp_extract(markup, {TEXT_MAIN}) <> '' THEN regexp_extract(markup, {TEXT_MAIN}) ELSE {body} END"
-    )
-    o["page_text"] = f"{pages_cte()} SELECT page_id, src_url AS url, {inner_text(picked)} AS content FROM m"
+    o["page_text"] = f"{pages_cte()} SELECT page_id, src_url AS url, coalesce({MAIN_TEXT}, {inner_text(body)}) AS content FROM m"
     o["link_density"] = f"{pages_cte()} " + (
         f"SELECT page_id, src_url AS url, len(list_filter({tags('markup', 'a')}, lambda t: {has_attr('t', 'href')})) "
         "/ greatest(length(html) / CAST(1024.0 AS DOUBLE), CAST(1.0 AS DOUBLE)) AS link_density FROM m"

@@ -83,6 +83,37 @@ def test_pagination(spark):
     assert raws(L.links_pagination_top(p)) == sorted([f"/l?page={i}" for i in range(1, 6)] + ["/nx"])
 
 
+def test_containers_end_at_their_own_tag(spark):
+    html = [
+        "<div class='content'><div>one</div>two</div>three",
+        "<section id=content><p>a<div>b</section>c",
+        "<main/>x<body>y</body>",
+        "<div class='a content-x'><b>n</b></div><body>z</body>",
+        "<title><div class=main></title><body>q <div class='x main'>w<br>v<img src='a>b'></b>u",
+        "<div class='main' title='</div>'>in</div>out",
+        "<p><div class=content>left <div>open</p> end",
+        "<main></main><body>not this</body>",
+    ]
+    text = {r.page_id: r.content for r in L.page_text(pages(spark, *html)).collect()}
+    assert [text[i] for i in range(len(html))] == ["onetwo", "ab", "y", "z", "wvu", "in", "left open", ""]
+    html = (
+        "<div class='pagination'><ul><li><a href=/1>x</a></li></ul><div class=pager><a href=/2>y</a></div><a href=/3>y</a></div>"
+        "<a href=/no>z</a><span class='pager'><i><a href=/4>w</a></i></span><a href=/not>k</a>"
+        "<ul class='x pagination'><li><a href=/5>q</a><li><a href=/6>q</a></ul><a href=/nor>r</a>"
+    )
+    assert raws(L.links_pagination(pages(spark, html))) == [f"/{i}" for i in range(1, 7)]
+    assert raws(L.links_pagination_top(pages(spark, html))) == [f"/{i}" for i in range(1, 7)]
+
+
+def test_tokens_are_the_page(spark):
+    from pyspark.sql import functions as F
+    from sitewright.functions import tree
+
+    html = ["a<b", "<div class='x", "<!doctype html><p>1 < 2 <3</p>", "<textarea><p></textarea>", "", "</x></ y>", "<a href='>'>t</a>"]
+    rows = pages(spark, *html).select("html", tree.tokens(F.col("html")).alias("t")).collect()
+    assert all("".join(r.t) == r.html for r in rows)
+
+
 def test_company(spark):
     html = (
         "<a href='/company/1'>Big Bank</a><a href='/company/2'><b>Bank</b></a>"

@@ -25,8 +25,10 @@ from __future__ import annotations
 import hashlib
 import heapq
 import json
-from collections.abc import Iterator
+import re
+from collections.abc import Iterable, Iterator
 from functools import partial
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -47,6 +49,8 @@ GROUP, BUCKETS = 1024, 64
 CHUNK, LONGEST = 1024, 1 << 16
 #: Bytes of encoded chunks, and of words, that a task remembers.
 REMEMBERED, WORD_BYTES = 64 << 20, 16 << 20
+#: Bytes of text whose chunks are encoded together.
+LOT = 1 << 20
 #: Up to this many bytes a word is scanned for its lowest pair; longer ones use a heap.
 SCANNED = 64
 _LEVEL = 6
@@ -94,30 +98,124 @@ class Vocabulary:
         return own
 
 
+def _narrow(pattern: str) -> str:
+    """The split pattern for texts whose characters are all below 256, for the faster ``re``."""
+    import unicodedata
+
+    def members(kind: str) -> str:
+        return "".join(f"\\x{c:02x}" for c in range(256) if unicodedata.category(chr(c))[0] == kind)
+
+    space = "".join(f"\\x{c:02x}" for c in (9, 10, 11, 12, 13, 32, 0x85, 0xA0))
+    letters, numbers = members("L"), members("N")
+    both = pattern.replace(r"[^\s\p{L}\p{N}]", f"[^{space}{letters}{numbers}]")
+    return both.replace(r"\p{L}", f"[{letters}]").replace(r"\p{N}", f"[{numbers}]").replace(r"\s", f"[{space}]").replace(r"\S", f"[^{space}]")
+
+
+class Words(dict):
+    """Ids of words as bytes. Words of a text that are new are folded together; a single one when it is asked for."""
+
+    def __init__(self, fold):
+        self.fold, self.held = fold, 0
+
+    def __missing__(self, word: str) -> bytes:
+        self.learn([word])
+        return self[word]
+
+    def learn(self, found: Iterable[str]) -> None:
+        if self.held > WORD_BYTES:
+            self.clear()
+            self.held = 0
+        new = [w for w in set(found) if w not in self]
+        for word, ids in zip(new, self.fold([w.encode() for w in new])):
+            self[word] = ids
+            self.held += len(word) + len(ids) + 120
+
+
 class Encoder:
     """Words and their ids."""
 
     def __init__(self, known: Vocabulary):
-        self.v, self.words, self.held = known, {}, 0
+        self.v = known
+        self.wide = np.dtype(np.uint32 if known.size > 1 << 16 else np.uint16)
         newer = "".join("-".join(rf"\U{int(x, 16):08X}" for x in r.split("-")) for r in _NEWER.split())
         self.newer = regex.compile(f"[{newer}]")
         exact = known.pattern.replace(r"[^\s\p{L}\p{N}]", rf"(?:[^\s\p{{L}}\p{{N}}]|[{newer}])")
         for kind in (r" ?\p{L}+", r" ?\p{N}+"):
             exact = exact.replace(kind, rf" ?[{kind[2:-1]}--[{newer}]]+")
         self.plain, self.exact = regex.compile(known.pattern), regex.compile(exact, regex.V1)
+        self.narrow = re.compile(_narrow(known.pattern))
+        order = np.argsort(np.fromiter(known.merges, np.int64, len(known.merges)))
+        self.pairs = np.fromiter(known.merges, np.int64, len(known.merges))[order]
+        self.values = np.fromiter(known.merges.values(), np.int64, len(known.merges))[order]
+        self.single = np.array(known.single, np.int64)
+        self.words = Words(self.fold_all)
 
     def splitter(self, text: str):
         """The split pattern for this text, by the library's tables."""
-        return self.exact if not text.isascii() and self.newer.search(text) else self.plain
+        if text.isascii() or len(text.encode("latin-1", "ignore")) == len(text):
+            return self.narrow
+        return self.exact if self.newer.search(text) else self.plain
+
+    def ids_of(self, word: str) -> np.ndarray:
+        return np.frombuffer(self.words[word], self.wide)
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text, as bytes."""
+        found = [self.splitter(t).findall(t) for t in texts]
+        self.words.learn(chain.from_iterable(found))
+        return [b"".join(map(self.words.__getitem__, f)) for f in found]
+
+    def fold_all(self, words: list[bytes]) -> list[bytes]:
+        """Ids of each word: words of up to ``SCANNED`` bytes are folded side by side, as rows of arrays."""
+        out: list[bytes] = [b""] * len(words)
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        for low, high in zip((0, 8, 16, 32), (8, 16, 32, SCANNED)):
+            rows = np.flatnonzero((sizes > low) & (sizes <= high))
+            if len(rows) < 64:
+                for i in rows.tolist():
+                    out[i] = np.array(self.fold(words[i]), self.wide).tobytes()
+            else:
+                for i, ids in zip(rows.tolist(), self._fold_rows([words[i] for i in rows.tolist()], sizes[rows], high)):
+                    out[i] = ids
+        for i in np.flatnonzero(sizes > SCANNED).tolist():
+            out[i] = np.array(self._fold_long(words[i]), self.wide).tobytes()
+        return out
 
-    def ids_of(self, word: str) -> list[int]:
-        found = self.words.get(word)
-        if found is None:
-            if self.held > WORD_BYTES:
-                self.words, self.held = {}, 0
-            found = self.words[word] = self.fold(word.encode())
-            self.held += len(word) + 24 * len(found) + 100
-        return found
+    def _ranks(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        key = a * self.v.size + b
+        at = np.minimum(np.searchsorted(self.pairs, key), len(self.pairs) - 1)
+        return np.where((self.pairs[at] == key) & (a >= 0) & (b >= 0), self.values[at], _NEVER)
+
+    def _fold_rows(self, words: list[bytes], sizes: np.ndarray, width: int) -> list[bytes]:
+        """In every row the lowest pair is merged, the leftmost of them first; rows without a pair are done."""
+        raw = np.frombuffer(b"".join(w.ljust(width, b"\0") for w in words), np.uint8).reshape(len(words), width)
+        column = np.arange(width + 1)
+        ids = np.full((len(words), width + 1), -1, np.int64)
+        ids[:, :width] = np.where(column[:width] < sizes[:, None], self.single[raw], -1)
+        found = np.full((len(words), width + 1), _NEVER, np.int64)
+        found[:, : width - 1] = self._ranks(ids[:, : width - 1], ids[:, 1:width])
+        done, left = [b""] * len(words), np.arange(len(words))
+        while len(left):
+            at = found.argmin(1)
+            row = np.arange(len(left))
+            best = found[row, at]
+            over = best == _NEVER
+            if over.any():
+                for i, own in zip(left[over].tolist(), ids[over]):
+                    done[i] = own[own >= 0].astype(self.wide).tobytes()
+                keep = ~over
+                left, ids, found, at, best = left[keep], ids[keep], found[keep], at[keep], best[keep]
+                row = np.arange(len(left))
+            if not len(left):
+                break
+            after = np.minimum(column + (column > at[:, None]), width)
+            ids, found = np.take_along_axis(ids, after, 1), np.take_along_axis(found, after, 1)
+            own = best % self.v.size
+            ids[row, at] = own
+            found[row, at] = self._ranks(own, ids[row, at + 1])
+            has = at > 0
+            found[row[has], at[has] - 1] = self._ranks(ids[row[has], at[has] - 1], own[has])
+        return done
 
     def fold(self, word: bytes) -> list[int]:
         """The pair of lowest rank is merged, the leftmost of them first, until no pair has a rank."""
@@ -196,6 +294,7 @@ def _unpack(data: bytes) -> bytes:
     return zstandard.ZstdDecompressor().decompress(data)
 
 
+_NAMES = ["window", "bucket", "numbers", "lengths", "data"]
 _CUT = "window long, bucket long, numbers binary, lengths binary, data binary"
 
 
@@ -228,7 +327,7 @@ def _window_rows(ids: list, docs: list[str], window: int, added: dict[str, int])
     manifest = (window, -1, has.tobytes() + keys.tobytes(), np.array(sizes, np.uint32).tobytes(), _pack(np.array(listed, np.int32).tobytes()))
     columns = list(zip(*rows, manifest))
     kinds = [pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["window", "bucket", "numbers", "lengths", "data"])
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], _NAMES)
 
 
 def _cut(batches: Iterator[pa.RecordBatch], added: dict[str, int], window_bytes: int) -> Iterator[pa.RecordBatch]:
@@ -258,72 +357,84 @@ def _encode(batches: Iterator[pa.RecordBatch], vocabulary) -> Iterator[pa.Record
     """Chunks to their ids and the number of ids of each; every distinct chunk of a bucket is encoded once."""
     encoder = Encoder(Vocabulary.of(vocabulary.value))
     known: dict[bytes, bytes] = {}
-    last, held = None, 0
+    held, last, lot, size = 0, None, [], 0
+
+    def rows() -> pa.RecordBatch:
+        """The parcels of a lot, their new chunks encoded together."""
+        nonlocal held
+        chunks, out = [], []
+        for _, _, _, lengths, data in lot:
+            raw, ends = _unpack(data), np.cumsum(np.frombuffer(lengths, np.uint32)).tolist()
+            chunks.append([raw[a:b] for a, b in zip([0, *ends], ends)])
+        keys = [[hashlib.blake2b(c, digest_size=16).digest() for c in parcel] for parcel in chunks]
+        new = {k: c for own, parcel in zip(keys, chunks) for k, c in zip(own, parcel) if k not in known}
+        for key, ids in zip(new, encoder.encode([c.decode() for c in new.values()])):
+            known[key] = ids
+            held += len(ids) + 150
+        for (window, bucket, numbers, _, _), own in zip(lot, keys):
+            found = [known[k] for k in own]
+            counts = np.array([len(i) // encoder.wide.itemsize for i in found], np.uint32)
+            out.append((window, bucket, numbers, counts.tobytes(), _pack(b"".join(found))))
+        kinds = [pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], _NAMES)
+
     for batch in batches:
         for row in range(batch.num_rows):
-            window, bucket, numbers, lengths, data = (c[row].as_py() for c in batch.columns)
-            if bucket < 0:
+            if batch.column(1)[row].as_py() < 0:
                 yield batch.slice(row, 1)
                 continue
-            if bucket != last or held > REMEMBERED:
-                known, last, held = {}, bucket, 0
-            raw, found, at = _unpack(data), [], 0
-            for n in np.frombuffer(lengths, np.uint32).tolist():
-                chunk = raw[at : at + n]
-                at += n
-                key = hashlib.blake2b(chunk, digest_size=16).digest()
-                ids = known.get(key)
-                if ids is None:
-                    text = chunk.decode()
-                    own = [i for word in encoder.splitter(text).findall(text) for i in encoder.ids_of(word)]
-                    ids = known[key] = np.array(own, np.uint32).tobytes() if encoder.v.size > 1 << 16 else np.array(own, np.uint16).tobytes()
-                    held += len(ids) + 150
-                found.append(ids)
-            counts = np.array([len(i) for i in found], np.uint32)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([x], k) for x, k in zip((window, bucket, numbers, counts.tobytes(), _pack(b"".join(found))), (c.type for c in batch.columns))], batch.schema.names
-            )
+            parcel = tuple(c[row].as_py() for c in batch.columns)
+            if lot and (parcel[1] != last or size > LOT):
+                yield rows()
+                lot, size = [], 0
+            if parcel[1] != last or held > REMEMBERED:
+                known, held = {}, 0
+            last = parcel[1]
+            lot.append(parcel)
+            size += int(np.frombuffer(parcel[3], np.uint32).sum())
+    if lot:
+        yield rows()
 
 
 # --- repair ------------------------------------------------------------------
 
 
 class Chunk:
-    """An encoded chunk: its ids, its text, and the words it begins with."""
+    """An encoded chunk: its ids, its text, and where each id ends in its bytes."""
 
-    def __init__(self, ids: np.ndarray, pieces: dict[int, bytes]):
+    def __init__(self, ids: np.ndarray, pieces: list[bytes], sizes: np.ndarray):
         self.ids = ids
-        parts = [pieces[i] for i in ids.tolist()]
-        self.text = b"".join(parts).decode()
-        self.ends = np.cumsum([len(p) for p in parts])
+        self.text = b"".join(map(pieces.__getitem__, ids.tolist())).decode()
+        self.ends = np.cumsum(sizes[ids])
 
 
 def joined(chunks: list[Chunk], encoder: Encoder) -> list[np.ndarray]:
     """Ids of the text that the chunks make up, as if it had been encoded whole."""
     if not chunks:
         return []
-    text = "".join(c.text for c in chunks)
     if len(chunks) == 1:
         return [chunks[0].ids]
+    text = "".join(c.text for c in chunks)
+    # One pattern serves a document and its chunks: patterns agree where a text does not need the wider one.
     whole, out = encoder.splitter(text), []
     at, begin = 0, 0  # the text is encoded up to ``at``, a word border; the chunk begins at ``begin``
     for number, chunk in enumerate(chunks):
-        end, own = begin + len(chunk.text), Borders(chunk, encoder)
+        end, own = begin + len(chunk.text), Borders(chunk, whole)
         while at < end:
             border = at - begin
             if border and border not in own:
                 found = whole.match(text, at)  # a word across the join
-                out.append(np.array(encoder.ids_of(found.group()), chunk.ids.dtype))
+                out.append(encoder.ids_of(found.group()))
                 at = found.end()
                 continue
             # Agreement: from here on the words are the chunk's own, up to those that its end may have cut.
-            stop = len(chunk.text) if number == len(chunks) - 1 else _sure(chunk.text, border, encoder)
+            stop = len(chunk.text) if number == len(chunks) - 1 else _sure(chunk.text, border, whole)
             if stop > border:
                 out.append(chunk.ids[_place(chunk, border) : _place(chunk, stop)])
                 at = begin + stop
             if at < end:
                 found = whole.match(text, at)
-                out.append(np.array(encoder.ids_of(found.group()), chunk.ids.dtype))
+                out.append(encoder.ids_of(found.group()))
                 at = found.end()
         begin = end
     return out
@@ -341,8 +452,8 @@ def _place(chunk: Chunk, border: int) -> int:
 class Borders:
     """Word borders of a chunk as it was encoded by itself, asked for from left to right."""
 
-    def __init__(self, chunk: Chunk, encoder: Encoder):
-        self.starts = (m.start() for m in encoder.splitter(chunk.text).finditer(chunk.text))
+    def __init__(self, chunk: Chunk, split):
+        self.starts = (m.start() for m in split.finditer(chunk.text))
         self.now = 0
 
     def __contains__(self, border: int) -> bool:
@@ -351,20 +462,16 @@ class Borders:
         return self.now == border
 
 
-def _sure(text: str, border: int, encoder: Encoder) -> int:
+def _sure(text: str, border: int, split) -> int:
     """The end of the chunk's words that do not change whatever text follows.
 
     A word is sure if it ends before the text does and the pattern's longest contraction, of three characters, fits
     behind its begin. Near the end words are found from a sure border: one between a letter and a blank.
     """
-    split, n = encoder.splitter(text), len(text)
-    reach = 64
+    n, reach = len(text), 48
     while True:
-        start = border
-        for i in range(max(border + 1, n - reach), n):
-            if text[i] == " " and text[i - 1].isalpha() and not encoder.newer.match(text[i - 1]):
-                start = i
-                break
+        # Python's letters are letters of the pattern too.
+        start = next((i for i in range(max(border + 1, n - reach), n) if text[i] == " " and text[i - 1].isalpha()), border)
         if start > border or n - reach <= border:
             break
         reach *= 4
@@ -379,7 +486,9 @@ def _sure(text: str, border: int, encoder: Encoder) -> int:
 def _assemble(batches: Iterator[pa.RecordBatch], vocabulary, digests: bool) -> Iterator[pa.RecordBatch]:
     """Rows sorted by window, its list of documents first, to tokens of its documents."""
     encoder = Encoder(Vocabulary.of(vocabulary.value))
-    pieces, wide = encoder.v.pieces, np.uint32 if encoder.v.size > 1 << 16 else np.uint16
+    wide = encoder.wide
+    pieces = [encoder.v.pieces.get(i, b"") for i in range(encoder.v.size)]
+    lengths = np.fromiter(map(len, pieces), np.int64, len(pieces))
     spelled = [str(i) for i in range(encoder.v.size)] if digests else []
     window, listing, found = None, None, {}
 
@@ -392,7 +501,7 @@ def _assemble(batches: Iterator[pa.RecordBatch], vocabulary, digests: bool) -> I
             parts, run = [], []
             for number in numbers[at : at + size]:
                 if number >= 0:
-                    run.append(Chunk(np.frombuffer(found[number], wide), pieces))
+                    run.append(Chunk(np.frombuffer(found[number], wide), pieces, lengths))
                 else:
                     parts += joined(run, encoder) + [np.array([-1 - number], wide)]
                     run = []
@@ -417,18 +526,18 @@ def _assemble(batches: Iterator[pa.RecordBatch], vocabulary, digests: bool) -> I
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names)
 
     for batch in batches:
-        for own, bucket, numbers, lengths, data in zip(*(c.to_pylist() for c in batch.columns)):
+        for own, bucket, numbers, counts, data in zip(*(c.to_pylist() for c in batch.columns)):
             if own != window:
                 if window is not None:
                     yield from rows()
                 window, found = own, {}
             if bucket < 0:
-                listing = (numbers, lengths, data)
+                listing = (numbers, counts, data)
                 continue
             raw, at = _unpack(data), 0
-            for number, size in zip(np.frombuffer(numbers, np.uint32).tolist(), np.frombuffer(lengths, np.uint32).tolist()):
-                found[number] = raw[at : at + size]
-                at += size
+            for number, n in zip(np.frombuffer(numbers, np.uint32).tolist(), np.frombuffer(counts, np.uint32).tolist()):
+                found[number] = raw[at : at + n * wide.itemsize]
+                at += n * wide.itemsize
     if window is not None:
         yield from rows()
 

@@ -13,7 +13,7 @@ A phrase is a run of words of one piece; all its occurrences count, overlapping
    merged in sorted order. A phrase that fills the corpus is one entry a filter.
 3. *Cuts and scores.* Parts of a phrase are frequent too, so their counts are joined by ids, and scores are worked
    out in whole numbers (decimals of 38 digits). Phrases inside a longer one of enough occurrences go. The first ``top``
-   of a language are cut by a window that keeps ``top`` rows a task before the exchange.
+   of a language are found in ``SHARES`` shares first, then among those.
 
 Null texts count as empty, a null lang as ``und``. Empty texts have no words. Repeated rows count again. Ties: score, then
 count, then bytes of the phrase; of equal cuts the shortest first part. An empty table gives no rows. Very long texts are one value of
@@ -44,6 +44,8 @@ BLOCK_BITS = 1 << 15
 WORDS, WORD_BYTES = 300_000, 1 << 24
 #: Runs that a task gathers before it makes a filter of them.
 RUNS = 1_500_000
+#: Shares of a language that are ranked by themselves.
+SHARES = 32
 #: Entries of a shard that wait to be merged.
 WAITING = 1 << 20
 _BREAK = b"\xff"  # a byte that is in no text
@@ -328,8 +330,14 @@ def collocations(
         .agg(F.concat_ws(" ", F.transform(F.array_sort(F.collect_list(F.struct("place", "word"))), lambda s: s.word)).alias("phrase"))
     )
     totals = vocab.groupBy("lang").agg(F.sum("n").alias("n"))
-    order = Window.partitionBy("lang").orderBy(F.col("score").desc(), F.col("a").desc(), F.col("phrase"))
-    first = kept.join(texts, "ids").withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= top)
+
+    def first_of(rows: DataFrame, *group: str) -> DataFrame:
+        order = Window.partitionBy(*group).orderBy(F.col("score").desc(), F.col("a").desc(), F.col("phrase"))
+        return rows.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= top)
+
+    # A language's phrases are first ranked in shares, so that its last task sees ``SHARES * top`` rows at most.
+    shares = kept.join(texts, "ids").withColumn("share", F.pmod(F.xxhash64("ids"), F.lit(SHARES)))
+    first = first_of(first_of(shares, "lang", "share").drop("rank"), "lang")
     return first.join(totals, "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
 
 

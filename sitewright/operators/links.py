@@ -257,9 +257,15 @@ def _generated_links(pages: DataFrame, rules: Rules, dimensions: Dimensions) ->
     return urls.filter(F.col("url") != own_url(rules)).select("src_url", F.col("url").alias("dst_url"))
 
 
+def base_pages(pages: DataFrame) -> DataFrame:
+    """Pages at the root of their origin."""
+    parts = U.url_split("url")
+    return pages.filter(U.let(parts, lambda u: u.path.isin("", "/") & (u.query == "")))
+
+
 def homepage_links(pages: DataFrame) -> DataFrame:
-    """Anchors, script URLs, forms of any method and ``data-url``, same site only."""
-    staged = pages.select(
+    """Links of base pages: anchors, script URLs, forms of any method and ``data-url``, same site only."""
+    staged = base_pages(pages).select(
         F.col("url").alias("src_url"),
         U.url_split("url").alias("base"),
         F.col("html"),

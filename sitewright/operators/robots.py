@@ -159,10 +159,18 @@ def robots_path(url: Column | str) -> Column:
 
 
 def robots_allowed(
-    urls: DataFrame, tables: RobotsTables, user_agent: str, hot_rows: int = HOT_ROWS
+    urls: DataFrame,
+    tables: RobotsTables,
+    user_agent: str,
+    hot_rows: int = HOT_ROWS,
+    fetches: DataFrame | None = None,
 ) -> DataFrame:
     """``(url, allowed)``: the first rule in file order whose path is a prefix decides.
 
+    ``fetches(host, status_code)``, one row a host, says how its robots.txt was answered. A host
+    that refused it or failed is closed, one that has none or did not answer is open, whatever
+    rules are on file; hosts without such a row go by their rules.
+
     Instead of comparing every URL with every rule of its host, a URL is cut at the
     path lengths its host's rules have, and the pieces are looked up as keys. A
     host's lengths are a set of small integers whatever the number of its rules.
@@ -181,14 +189,21 @@ def robots_allowed(
     keyed = urls.select("url").distinct().select(
         "url", U.url_domain("url").alias("host"), robots_path("url").alias("_path")
     )
+    if fetches is None:
+        keyed = keyed.withColumn("_policy", F.lit("rules"))
+    else:
+        policies = fetches.select(
+            F.col("host").alias("_fetched"), robots_fetch_policy("status_code").alias("_policy")
+        )
+        keyed = lookup_join(keyed, policies, "host", "_fetched", "left", ["url"], hot_rows).drop("_fetched")
+    by_rules = F.coalesce("_policy", F.lit("rules")) == "rules"
+    cuts = F.when(by_rules, F.filter("_lengths", lambda n: n <= F.length("_path")))
     pieces = (
         lookup_join(keyed, lengths, "host", "_host", "left", ["url"], hot_rows)
-        .withColumn(
-            "_cut",
-            F.explode_outer(F.filter("_lengths", lambda n: n <= F.length("_path"))),
-        )
+        .withColumn("_cut", F.explode_outer(cuts))
         .select(
             "url",
+            (F.col("_policy") == "none").alias("_closed"),
             F.col("host").alias("_h"),
             F.substring("_path", F.lit(1), F.col("_cut")).alias("_piece"),
         )
@@ -198,7 +213,10 @@ def robots_allowed(
     keyed_pieces = pieces.withColumn("_key", F.concat_ws("\x00", "_h", F.coalesce("_piece", F.lit("\x00"))))
     matched = lookup_join(keyed_pieces, by_piece, "_key", "_rule_key", "left", ["url"], hot_rows)
     return matched.groupBy("url").agg(
-        F.coalesce(F.min_by("_rule.allow", "_rule.rule_no"), F.lit(True)).alias("allowed")
+        (
+            F.coalesce(F.min_by("_rule.allow", "_rule.rule_no"), F.lit(True))
+            & ~F.coalesce(F.max("_closed"), F.lit(False))
+        ).alias("allowed")
     )
 
 

@@ -51,7 +51,7 @@ def type_lookup(urls: DataFrame, rules: Rules = STANDARD) -> DataFrame:
 def chunk_sitemaps(entries: DataFrame, per_file: int = MAX_URLS_PER_SITEMAP) -> DataFrame:
     """Number the sitemap of each entry: blocks of ``per_file`` in URL order, from 1."""
     return ranked(entries, [F.asc("loc")]).select(
-        *entries.columns, (F.floor((F.col("rn") - 1) / per_file) + 1).alias("sitemap_no")
+        *entries.columns, block_of("rn", per_file).alias("sitemap_no")
     )
 
 
@@ -85,20 +85,28 @@ def sitemap_index(files: DataFrame, base_url: str, now: Column) -> DataFrame:
     )
 
 
-def robots_txt(files: DataFrame, base_url: str) -> DataFrame:
-    """robots.txt as ``(line_no, line)``: the lone sitemap or the index."""
-    target = files.agg(
-        F.when(F.count(F.lit(1)) == 1, F.concat(F.lit("sitemap/"), F.max("filename")))
-        .otherwise("sitemap/sitemap_index.xml")
-        .alias("target")
+def block_of(rank: str, per_file: int) -> Column:
+    return F.floor((F.col(rank) - 1) / per_file) + 1
+
+
+def index_name(no: str | Column, last: Column) -> Column:
+    """File name of an index: a lone one carries no number."""
+    return F.when(last == 1, "sitemap_index.xml").otherwise(F.format_string("sitemap_index_%03d.xml", no))
+
+
+def robots_txt(files: DataFrame, base_url: str, per_index: int = MAX_URLS_PER_SITEMAP) -> DataFrame:
+    """robots.txt as ``(line_no, line)``: the lone sitemap, or a line for each index."""
+    counted = files.agg(F.count(F.lit(1)).alias("n"), F.max("filename").alias("only")).withColumn(
+        "last", F.ceil(F.col("n") / per_index)
     )
-    lines = F.array(
-        F.lit("User-agent: *"),
-        F.lit("Allow: /"),
-        F.lit(""),
-        F.concat(F.lit("Sitemap: "), _under(base_url, F.col("target"))),
+    names = F.when(F.col("n") == 1, F.array("only")).otherwise(
+        F.transform(F.sequence(F.lit(1), F.greatest("last", F.lit(1))), lambda i: index_name(i, F.greatest("last", F.lit(1))))
+    )
+    targets = F.transform(
+        names, lambda name: F.concat(F.lit("Sitemap: "), _under(base_url, F.concat(F.lit("sitemap/"), name)))
     )
-    return target.select(F.posexplode(lines).alias("line_no", "line"))
+    head = F.array(F.lit("User-agent: *"), F.lit("Allow: /"), F.lit(""))
+    return counted.select(F.posexplode(F.concat(head, targets)).alias("line_no", "line"))
 
 
 def robots_txt_final(files: DataFrame, base_url: str) -> DataFrame:
@@ -129,15 +137,3 @@ def value_distribution(rows: DataFrame, field: str, key: str = "sitemap_no") ->
         .groupBy(key, field)
         .agg(F.count(F.lit(1)).alias("urls"))
     )
-
-
-def validate_rows(
-    rows: DataFrame, key: str = "file", per_file: int = MAX_URLS_PER_SITEMAP
-) -> DataFrame:
-    """Per sitemap: not too many URLs, each with an http(s) location."""
-    good = F.coalesce(F.col("loc").startswith("http://") | F.col("loc").startswith("https://"), F.lit(False))
-    return (
-        rows.groupBy(key)
-        .agg(F.count(F.lit(1)).alias("urls"), F.bool_and(good).alias("locs_ok"))
-        .withColumn("valid", F.col("locs_ok") & (F.col("urls") <= per_file))
-    )

@@ -211,6 +211,32 @@ ROBOTS_LINES = (
     "ELSE 'Disallow: /p' END AS line FROM {pages}"
 )
 
+ROBOTS_FETCHES = (
+    "SELECT DISTINCT CASE page_id % 6 WHEN 0 THEN 'www.example.com' WHEN 1 THEN 'example.com' "
+    "WHEN 2 THEN 'www.example.org' WHEN 3 THEN 'example.org' WHEN 4 THEN 'blog.example.net' ELSE 'other.example.net' END AS host, "
+    "CASE page_id % 6 WHEN 2 THEN 403 WHEN 3 THEN 404 WHEN 4 THEN 503 WHEN 5 THEN 0 ELSE 200 END AS status_code FROM {pages}"
+)
+
+# Files of sitemaps as they lie below a folder of hosts: at the usual place, in an index of an index, where
+# robots lines may say, and where nothing leads to.
+SITE_MAPS = (
+    "SELECT CASE page_id % 4 WHEN 0 THEN host || '/sitemap.xml' WHEN 1 THEN host || '/maps/a' || CAST(page_id % 3 AS STRING) || '.xml' "
+    "WHEN 2 THEN 'www.example.com/sm' || CAST(page_id AS STRING) || '.xml' ELSE host || '/hidden.xml' END AS file, url AS loc "
+    "FROM (SELECT page_id, url, CASE page_id % 5 WHEN 0 THEN 'www.example.com' WHEN 1 THEN 'example.com' WHEN 2 THEN 'www.example.org' "
+    "WHEN 3 THEN 'example.org' ELSE 'blog.example.net' END AS host FROM {registry} WHERE crawl_status = 'success') r"
+)
+SITE_INDEXES = (
+    "SELECT DISTINCT substr(file, 1, position('/' IN file)) || CASE page_id % 2 WHEN 0 THEN 'wp-sitemap.xml' ELSE 'maps/all.xml' END AS file, "
+    "'https://' || substr(file, 1, position('/' IN file)) || 'maps/' || CASE WHEN page_id % 2 = 0 THEN 'all' "
+    "ELSE 'a' || CAST(page_id % 3 AS STRING) END || '.xml' AS loc "
+    "FROM {site_maps} m CROSS JOIN (SELECT 0 AS page_id UNION ALL SELECT 1 UNION ALL SELECT 3 UNION ALL SELECT 5) k "
+    "WHERE file LIKE '%/sitemap.xml'"
+)
+HOME_PAGES = (
+    "SELECT page_id, 'https://h' || CAST(page_id AS STRING) || '.example.net' || CASE page_id % 4 "
+    "WHEN 0 THEN '' WHEN 1 THEN '/' WHEN 2 THEN '/?q=1' ELSE '/about' END AS url, html FROM {site_pages}"
+)
+
 API_PROBES = (
     "SELECT url || CASE page_id % 4 WHEN 0 THEN '/api/jobs' WHEN 1 THEN '/api/search' "
     "WHEN 2 THEN '/ajax/jobs' ELSE '/api/other' END AS url, "
@@ -243,6 +269,10 @@ TEXTS = {
     "link_edges": LINK_EDGES,
     "snapshots": SNAPSHOTS,
     "robots_lines": ROBOTS_LINES,
+    "robots_fetches": ROBOTS_FETCHES,
+    "site_maps": SITE_MAPS,
+    "site_indexes": SITE_INDEXES,
+    "home_pages": HOME_PAGES,
     "api_probes": API_PROBES,
     "search_pages": SEARCH_PAGES,
     "locations": LOCATIONS,

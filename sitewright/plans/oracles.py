@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .. import rules as R
 from ..rules import FAST, FINAL, STANDARD
+from ..sources import sitemap_files as X
 from .derived import CONTAINED, MAIN_TEXT, duckdb_with
 from .queries import BASE, NOW, PER_FILE
 
@@ -635,18 +636,25 @@ NEW_STATUS = (
     "ELSE r.crawl_status END AS crawl_status"
 )
 
+AT_ROOT = "regexp_matches(src_url, '^[a-z]+://[^/?#]*/?$')"
+HOME = f"m AS (SELECT url AS src_url, html, {stripped()} AS markup FROM home_pages)"
+DECLARED = (
+    f"{ROBOTS_URLS}, declared AS (SELECT file, loc FROM site_maps WHERE {same_site('loc', chr(39) + 'https://' + chr(39) + ' || split_part(file, chr(47), 1)')} "
+    "AND (file LIKE '%/sitemap.xml' OR file LIKE '%/maps/a%' OR 'https://' || file IN (SELECT u.url FROM robots_urls u "
+    "JOIN robots_fetches f ON f.host = u.host AND f.status_code = 200 WHERE u.kind = 'sitemap')))"
+)
 STRATEGY_CTES = (
-    f"{VALID}, {ROBOTS_URLS}, m AS (SELECT url AS src_url, html, {stripped()} AS markup FROM site_pages), "
-    f"hr AS (SELECT DISTINCT src_url, unnest({HOME_RAWS}) AS raw FROM m), "
+    f"{DECLARED}, {HOME}, "
+    f"hr AS (SELECT DISTINCT src_url, unnest({HOME_RAWS}) AS raw FROM m WHERE {AT_ROOT}), "
     f"hl AS (SELECT DISTINCT url FROM (SELECT src_url, {resolve('raw', 'src_url')} AS url FROM hr) z "
     f"WHERE {same_site('url', 'src_url')}), "
-    "strategies AS (SELECT 'sitemaps' AS strategy, url FROM valid "
+    "strategies AS (SELECT 'sitemaps' AS strategy, loc AS url FROM declared "
     "UNION SELECT 'robots', url FROM robots_urls WHERE kind = 'path' UNION SELECT 'homepage', url FROM hl "
     f"UNION SELECT 'patterns', {norm_fast('origin || path')} FROM ({ORIGINS}) o CROSS JOIN ({GEN_PATTERNS}) g "
     f"UNION SELECT 'search', dst_url FROM ({SEARCH_SQL}) s UNION SELECT 'api', url FROM ({API_SQL}) a)"
 )
 STRATEGY_TABLES = (
-    "registry", "robots_lines", "site_pages", "search_pages", "api_probes", "locations", "categories",
+    "site_maps", "robots_lines", "robots_fetches", "home_pages", "search_pages", "api_probes", "locations", "categories",
 )
 
 SNAP_LINKS = (
@@ -680,6 +688,7 @@ def all_oracles() -> dict[str, str]:
         f"SELECT origin, origin || value AS url FROM ({ORIGINS}) o CROSS JOIN {values_of(R.SITEMAP_PATHS)}"
     )
     o["read_robots"] = w("robots_lines", extra=ROBOTS_URLS) + "SELECT host, kind, url FROM robots_urls"
+    o["declared_sitemaps"] = w("site_maps", "robots_lines", "robots_fetches", extra=DECLARED) + "SELECT file, loc FROM declared"
     o["write_sitemap"] = w("registry", extra=CHUNKS) + "SELECT file, urls, first_loc, last_loc FROM files"
     o["write_sitemap_final"] = w("crawl_log", extra=LATEST) + (
         f"SELECT url AS loc, '{NOW_ISO}' AS lastmod, {changefreq_final('url')} AS changefreq, "
@@ -843,7 +852,7 @@ def all_oracles() -> dict[str, str]:
         "/ greatest(length(html) / CAST(1024.0 AS DOUBLE), CAST(1.0 AS DOUBLE)) AS link_density FROM m"
     )
     o["homepage_links"] = (
-        f"{pages_cte()}, hr AS (SELECT DISTINCT src_url, unnest({HOME_RAWS}) AS raw FROM m), "
+        f"{w('home_pages', extra=HOME)}, hr AS (SELECT DISTINCT src_url, unnest({HOME_RAWS}) AS raw FROM m WHERE {AT_ROOT}), "
         f"hl AS (SELECT DISTINCT src_url, {resolve('raw', 'src_url')} AS dst_url FROM hr) "
         f"SELECT src_url, dst_url FROM hl WHERE {same_site('dst_url', 'src_url')}"
     )
@@ -868,9 +877,13 @@ def all_oracles() -> dict[str, str]:
         "SELECT host, CAST(group_no AS BIGINT) AS group_no, lower(value) AS agent FROM rg WHERE kind = 'agent'"
     )
     o["robots_allowed"] = w(
-        "robots_lines", "site_pages", "job_urls",
+        "robots_lines", "robots_fetches", "site_pages", "job_urls",
         extra=robots_verdict("sitebot", "SELECT url FROM site_pages UNION ALL SELECT url FROM job_urls"),
-    ) + "SELECT url, allowed FROM verdicts"
+    ) + (
+        "SELECT url, CASE WHEN f.status_code IN (401, 403) OR f.status_code >= 500 THEN FALSE "
+        "WHEN f.status_code BETWEEN 400 AND 499 OR f.status_code = 0 THEN TRUE ELSE allowed END AS allowed "
+        f"FROM verdicts v LEFT JOIN robots_fetches f ON f.host = {domain('v.url')}"
+    )
     o["robots_blocked"] = w(
         "robots_lines", "site_pages", extra=robots_verdict("otherbot", "SELECT url FROM site_pages")
     ) + "SELECT url, 403 AS status_code, 'Disallowed by robots.txt' AS error_message FROM verdicts WHERE NOT allowed"
@@ -952,16 +965,31 @@ def all_oracles() -> dict[str, str]:
     o["pattern_counts"] = jobs + f"SELECT {pattern('url')} AS pattern, count(*) AS urls FROM job_urls GROUP BY 1"
     fields = "count(*) AS total_urls, count(lastmod) AS has_lastmod, count(changefreq) AS has_changefreq, count(priority) AS has_priority"
     o["sitemap_stats"] = w("registry", extra=CHUNKS) + f"SELECT sitemap_no, {fields} FROM chunks GROUP BY sitemap_no"
+    # What the writer puts around the values: a declaration, the root, four and eight blanks before tags.
+    def line(name: str, value: str) -> str:
+        escaped = f"replace({value}, '&', '&amp;')"
+        return f"coalesce(9 + {2 * len(name) + 5} + strlen({escaped}), 0)"
+
+    per_row = (
+        f"10 + 11 + {line('loc', 'loc')} + {line('lastmod', 'lastmod')} + {line('changefreq', 'changefreq')} "
+        f"+ {line('priority', 'CAST(CAST(priority AS DECIMAL(3,1)) AS VARCHAR)')}"
+    )
+    around = len(f'<?xml {X.XML_DECLARATION}?>\n<urlset xmlns="{R.SITEMAP_NAMESPACE}">') + len("\n</urlset>")
+    size = f"({around} + sum({per_row})) / 1048576.0"
     o["sitemap_file_stats"] = w("registry", extra=CHUNKS) + (
-        f"SELECT file, {fields} FROM chunks JOIN files USING (sitemap_no) GROUP BY file"
+        f"SELECT file, {fields}, CAST({size} AS DOUBLE) AS file_size_mb FROM chunks JOIN files USING (sitemap_no) GROUP BY file"
     )
     for name in ("priority", "changefreq"):
         o[f"{name}_dist"] = w("registry", extra=CHUNKS) + (
             f"SELECT sitemap_no, {name}, count(*) AS urls FROM chunks GROUP BY sitemap_no, {name}"
         )
+    index_row = f"14 + 15 + {line('loc', 'loc')} + {line('lastmod', q(NOW_ISO))}"
+    index_around = len(f'<?xml {X.XML_DECLARATION}?>\n<sitemapindex xmlns="{R.SITEMAP_NAMESPACE}">') + len("\n</sitemapindex>")
     o["validate_sitemap"] = w("registry", extra=CHUNKS) + (
-        "SELECT file, 'urlset' AS kind, urls, TRUE AS valid FROM files UNION ALL "
-        "SELECT 'sitemap_index.xml', 'index', count(*), TRUE FROM files HAVING count(*) > 1"
+        f"SELECT file, 'urlset' AS kind, count(*) AS urls, TRUE AS valid, CAST({size} AS DOUBLE) AS file_size_mb "
+        "FROM chunks JOIN files USING (sitemap_no) GROUP BY file UNION ALL "
+        f"SELECT 'sitemap_index.xml', 'index', count(*), TRUE, CAST(({index_around} + sum({index_row})) / 1048576.0 AS DOUBLE) "
+        f"FROM (SELECT '{BASE}/sitemap/' || file AS loc FROM files) z HAVING count(*) > 1"
     )
     o["link_union_per_page"] = (
         f"{pages_cte()}, {link_ctes(STANDARD, STANDARD_RAWS)} SELECT m.src_url, CAST(count(l.dst_url) AS INTEGER) "

@@ -90,8 +90,9 @@ def scan_crawl_log(t):
 
 @query
 def scan_registry(t):
-    stored = materialize(registry_of(t), "registry")
-    return t.spark.read.schema(tables.URL_REGISTRY).parquet(*stored.inputFiles())
+    path = work_path(t.spark, "registry")
+    registry_of(t).write.parquet(path)
+    return tables.scan(t.spark, path, tables.URL_REGISTRY)
 
 
 def _written(t, per_file: int, gzip: bool = False) -> str:
@@ -124,9 +125,31 @@ def probe_sitemap_paths(t):
     return G.probe_sitemap_paths(origins_of(t))
 
 
+def _robots_lines(t) -> DataFrame:
+    """Lines of the robots.txt files of all hosts, written and read as files."""
+    folder = work_path(t.spark, "robots")
+    X.write_robots_files(t.robots_lines, folder)
+    return X.read_robots_lines(t.spark, folder)
+
+
 @query
 def read_robots(t):
-    return robots.robots_urls(t.robots_lines)
+    return robots.robots_urls(_robots_lines(t))
+
+
+def _declared(t) -> DataFrame:
+    """The usual places on every origin, and what answered robots.txt files name."""
+    answered = t.robots_fetches.filter("status_code = 200").select("host")
+    named = robots.robots_urls(_robots_lines(t)).filter("kind = 'sitemap'").join(answered, "host", "left_semi")
+    return G.probe_sitemap_paths(G.site_origins(t.site_pages)).select("url").unionByName(named.select("url"))
+
+
+@query
+def declared_sitemaps(t):
+    folder = work_path(t.spark, "hosts")
+    X.write_files(t.site_maps, folder, "url", "urlset")
+    X.write_files(t.site_indexes, folder, "sitemap", "sitemapindex")
+    return X.read_declared_sitemaps(t.spark, folder, _declared(t)).select(F.col("name").alias("file"), "loc")
 
 
 @query
@@ -496,7 +519,7 @@ def link_density(t):
 
 @query
 def homepage_links(t):
-    return L.homepage_links(t.site_pages)
+    return L.homepage_links(t.home_pages)
 
 
 # --- Filters ------------------------------------------------------------------
@@ -523,7 +546,8 @@ def valid_urls_final(t):
 @query
 def robots_allowed(t):
     urls = t.site_pages.select("url").unionByName(t.job_urls.select("url"))
-    return robots.robots_allowed(urls, robots.parse_robots(t.robots_lines), AGENT)
+    tables_ = robots.parse_robots(_robots_lines(t))
+    return robots.robots_allowed(urls, tables_, AGENT, fetches=t.robots_fetches)
 
 
 @query
@@ -664,8 +688,7 @@ def sitemap_stats(t):
 
 @query
 def sitemap_file_stats(t):
-    rows = X.read_sitemap(t.spark, _written(t, PER_FILE) + X.SITEMAP_FILES)
-    return S.sitemap_stats(rows.withColumn("file", _file_name("file")), "file")
+    return X.sitemap_file_stats(t.spark, _written(t, PER_FILE) + X.SITEMAP_FILES)
 
 
 @query
@@ -692,9 +715,9 @@ def _strategies(t) -> dict[str, DataFrame]:
     d = dimensions_of(t)
     origins = origins_of(t)
     return {
-        "sitemaps": filters.valid_urls(registry_of(t)).select("url"),
+        "sitemaps": declared_sitemaps(t).select(F.col("loc").alias("url")),
         "robots": robots.robots_urls(t.robots_lines).filter("kind = 'path'").select("url"),
-        "homepage": L.homepage_links(t.site_pages).select(F.col("dst_url").alias("url")),
+        "homepage": L.homepage_links(t.home_pages).select(F.col("dst_url").alias("url")),
         "patterns": G.candidates(origins, d, G.pattern_paths).select("url"),
         "search": L.search_option_urls(t.search_pages).select(F.col("dst_url").alias("url")),
         "api": G.api_candidates(t.api_probes, d).select("url"),

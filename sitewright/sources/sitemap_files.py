@@ -4,14 +4,17 @@ from __future__ import annotations
 
 import re
 import uuid
+from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import url as U
-from ..functions.html import strip_ws
+from ..functions.html import strip_ws, unescape
 from ..operators import sitemap as S
+from ..operators.skew import ranked
 from ..rules import MAX_URLS_PER_SITEMAP, SITEMAP_NAMESPACE
 from ..session import materialize, shuffle_partitions
 
@@ -116,17 +119,16 @@ def _write_single(df: DataFrame, target: str, fmt: str, **options: str) -> None:
     _drop(spark, staging)
 
 
-def write_sitemap_index(index: DataFrame, out_dir: str) -> str:
-    target = f"{out_dir}/sitemap_index.xml"
-    _write_single(
-        index.orderBy(F.length("loc"), "loc"),  # the order of the numbers in the names
-        target,
-        "xml",
-        rowTag="sitemap",
-        rootTag=f'sitemapindex xmlns="{SITEMAP_NAMESPACE}"',
-        declaration=XML_DECLARATION,
-    )
-    return target
+def write_sitemap_index(index: DataFrame, out_dir: str, per_file: int = MAX_URLS_PER_SITEMAP) -> list[str]:
+    """Index files of at most ``per_file`` rows each, written in parallel; returns their names.
+
+    One index is ``sitemap_index.xml``, several carry numbers.
+    """
+    # Length first: the order of the numbers in the names.
+    numbered = ranked(index, [F.length("loc").asc(), F.asc("loc")]).withColumn("no", S.block_of("rn", per_file))
+    last = numbered.agg(F.max("no").alias("m")).scalar()
+    rows = numbered.select(S.index_name("no", last).alias("file"), "loc", "lastmod")
+    return write_files(rows, out_dir, "sitemap", "sitemapindex")
 
 
 def write_robots(lines: DataFrame, out_dir: str) -> str:
@@ -209,121 +211,244 @@ def _below(path: Column, folder: str) -> Column:
     return F.substring(F.regexp_replace(path, plain, "/"), len(root) + 2, 1 << 30)
 
 
+def _follow(spark: SparkSession, folder: str, starts: DataFrame, child: Column) -> DataFrame:
+    """Documents of the files that ``starts(name)`` names, and of those that indexes among them list, level by level.
+
+    The names of a level meet the folder's listing first, and only files that are there and new are opened, each
+    once. Their paths pass through the driver, as the file index of any scan does. ``child`` is the name
+    that a listed location stands for.
+    """
+    files = materialize(listing(spark, folder).select("path", "name"), "listing")
+    level, levels, seen = starts.select("name").distinct(), [], None
+    while True:
+        fresh = files.join(level, "name", "left_semi")
+        if seen is not None:
+            fresh = fresh.join(seen, "name", "left_anti")
+        fresh = materialize(fresh, "level")
+        paths = [r["path"] for r in fresh.toLocalIterator()]
+        if not paths:
+            break
+        found = materialize(sitemap_documents(spark, paths).withColumn("name", _below(F.col("file"), folder)), "documents")
+        levels.append(found)
+        seen = fresh.select("name") if seen is None else seen.union(fresh.select("name"))
+        listed = found.select(F.explode("sitemaps.loc").alias("loc"))
+        level = listed.select(child.alias("name")).filter(F.col("name").isNotNull()).distinct()
+    if not levels:
+        return sitemap_documents(spark, []).withColumn("name", F.lit(""))
+    out = levels[0]
+    for more in levels[1:]:
+        out = out.unionByName(more)
+    return out
+
+
+def _rows_of(documents: DataFrame) -> DataFrame:
+    return documents.select("file", "name", "malformed", F.explode("urls").alias("u")).select(
+        "file", "name", strip_ws(F.col("u.loc")).alias("loc"), "u.lastmod", "u.changefreq", "u.priority", "malformed"
+    )
+
+
 def read_indexed_sitemaps(
     spark: SparkSession, index_path: str, folder: str, base_url: str
 ) -> DataFrame:
     """Rows of the sitemaps that an index lists, directly or by further indexes.
 
     ``folder`` holds what lies below ``base_url``, whatever the files are called,
-    gzipped ones too. Indexes are followed by joins, level by level, until none is new.
+    gzipped ones too; files that no index lists stay unread.
     """
-    def scan(tag: str, schema: str) -> DataFrame:
-        return (
-            spark.read.format("xml")
-            .option("rowTag", tag)
-            .option("recursiveFileLookup", True)
-            .option("pathGlobFilter", "*.xml{,.gz}")
-            .option("mode", "PERMISSIVE")
-            .option("columnNameOfCorruptRecord", "_corrupt")
-            .schema(schema)
-            .load(folder)
-        )
-
-    path = F.col("_metadata.file_path")
     base = base_url.rstrip("/") + "/"
-    listed = scan("sitemap", INDEX_ROWS).select(
-        _below(path, folder).alias("_parent"), strip_ws(F.col("loc")).alias("_loc")
+    loc = strip_ws(F.col("loc"))
+    child = F.when(loc.startswith(base), F.substring(loc, len(base) + 1, 1 << 30))
+    start = spark.range(1).select(_below(F.lit(index_path), folder).alias("name"))
+    documents = _follow(spark, folder, start, child)
+    return _rows_of(documents.filter(F.col("kind") == "urlset")).drop("name")
+
+
+def _host_path(url: Column) -> Column:
+    """Where the file of a URL lies in a folder of hosts."""
+    return U.let(
+        U.url_split(url),
+        lambda u: F.when(u.scheme.isin("http", "https"), F.concat(F.lower(u.netloc), F.when(u.path == "", "/").otherwise(u.path))),
     )
-    children = materialize(
-        listed.filter(F.col("_loc").startswith(base))
-        .select("_parent", F.substring("_loc", len(base) + 1, 1 << 30).alias("_name"))
-        .distinct(),
-        "indexes",
-    )
-    level = reached = spark.range(1).select(_below(F.lit(index_path), folder).alias("_name"))
-    while True:
-        found = children.join(level.withColumnRenamed("_name", "_parent"), "_parent").select("_name")
-        level = materialize(found.distinct().join(reached, "_name", "left_anti"), "listed")
-        if level.isEmpty():
-            break
-        reached = reached.union(level)
-    rows = _sitemap_rows(scan("url", URL_ROWS)).withColumn("_name", _below(F.col("file"), folder))
-    return rows.join(reached, "_name", "left_semi").drop("_name")
 
 
-def read_robots_lines(spark: SparkSession, path: str, host: str) -> DataFrame:
-    """A robots.txt file as ``(host, line_no, line)``; read whole, as one record."""
+def read_declared_sitemaps(spark: SparkSession, folder: str, declared: DataFrame) -> DataFrame:
+    """Rows ``(file, host, loc, ...)`` of all sitemaps that ``declared(url)`` names, indexes followed to the end.
+
+    ``folder`` holds fetched files as ``host/path``. Declared URLs are lines of robots.txt, the usual
+    places, or any other; those that were not fetched are passed over. Locations count if they belong to the
+    site of their file.
+    """
+    starts = declared.select(_host_path(F.col("url")).alias("name")).filter(F.col("name").isNotNull())
+    rows = _rows_of(_follow(spark, folder, starts, _host_path(strip_ws(F.col("loc")))))
+    host = F.substring_index("name", "/", 1)
+    return rows.withColumn("host", host).filter(U.is_same_site("loc", F.concat(F.lit("https://"), "host")))
+
+
+def read_robots_lines(spark: SparkSession, folder: str) -> DataFrame:
+    """robots.txt files of all hosts, ``folder/host/robots.txt``, as ``(host, line_no, line)``.
+
+    One scan; a file is read whole, as one record, and its host is the name of its folder.
+    """
     return (
-        spark.read.text(path, wholetext=True)
-        .select(F.posexplode(F.split("value", r"\r?\n", -1)).alias("line_no", "line"))
-        .select(F.lit(host).alias("host"), "line_no", "line")
+        spark.read.option("recursiveFileLookup", True)
+        .option("pathGlobFilter", "robots.txt")
+        .text(folder, wholetext=True)
+        .select(
+            F.element_at(F.split("_metadata.file_path", "/"), -2).alias("host"),
+            F.posexplode(F.split("value", r"\r\n|\r|\n", -1)).alias("line_no", "line"),
+        )
     )
 
 
-def sitemap_roots(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """Per file its kind, by the root element, and whether the root is closed."""
-    # A file is one record (50 MB by the protocol): a root tag may span lines.
-    files = spark.read.text(paths, wholetext=True)
-    lines = files.select(F.col("_metadata.file_path").alias("file"), "value")
+def write_files(rows: DataFrame, out_dir: str, row_tag: str, root_tag: str) -> list[str]:
+    """XML rows to the files that their column ``file`` names, below ``out_dir``; returns the names.
+
+    A file is one task's work; renaming is a metadata step per file.
+    """
+    spark = rows.sparkSession
+    staging = f"{out_dir}/_staging-{uuid.uuid4().hex}"
+    (
+        rows.repartition(shuffle_partitions(spark), "file")
+        .sortWithinPartitions("file", F.length("loc"), "loc")
+        .write.partitionBy("file")
+        .format("xml")
+        .option("rowTag", row_tag)
+        .option("rootTag", f'{root_tag} xmlns="{SITEMAP_NAMESPACE}"')
+        .option("declaration", XML_DECLARATION)
+        .save(staging)
+    )
+    return _place(spark, staging, out_dir, lambda name: name)
+
+
+def write_robots_files(lines: DataFrame, out_dir: str) -> list[str]:
+    """Lines ``(host, line_no, line)`` to ``out_dir/host/robots.txt``."""
+    spark = lines.sparkSession
+    staging = f"{out_dir}/_staging-{uuid.uuid4().hex}"
+    (
+        lines.repartition(shuffle_partitions(spark), "host")
+        .sortWithinPartitions("host", "line_no")
+        .select("host", "line")
+        .write.partitionBy("host")
+        .text(staging)
+    )
+    return _place(spark, staging, out_dir, lambda host: f"{host}/robots.txt")
+
+
+def _place(spark: SparkSession, staging: str, out_dir: str, name_of: Callable[[str], str]) -> list[str]:
+    """Move the one data file of each value folder to the name of the value."""
+    fs, _ = _hadoop(spark, out_dir)
+    names = [(name_of(unquote(folder.split("=", 1)[1])), path) for folder, path in _part_files(spark, staging, 2)]
+    for parent in {name.rpartition("/")[0] for name, _ in names}:
+        fs.mkdirs(_hadoop(spark, f"{out_dir}/{parent}")[1])
+    with ThreadPoolExecutor(MOVE_THREADS) as pool:
+        for move in [pool.submit(_move, spark, path, f"{out_dir}/{name}") for name, path in names]:
+            move.result()
+    _drop(spark, staging)
+    return sorted(name for name, _ in names)
+
+
+DOCUMENT = (
+    "url array<struct<loc:string,lastmod:string,changefreq:string,priority:string>>, "
+    "sitemap array<struct<loc:string,lastmod:string>>, _corrupt string"
+)
+
+
+def sitemap_documents(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """Files of both kinds in one scan: ``(file, bytes, kind, malformed, urls, sitemaps)``.
+
+    A file is one record (50 MB by the protocol) and is opened once, plain or gzipped. ``kind`` is that of the root
+    element in the sitemap namespace, else ``other``. Of a malformed file the rows that
+    are whole are kept.
+    """
     space = SITEMAP_NAMESPACE.replace(".", r"\.")
 
-    def seen(pattern: str) -> Column:
-        return F.col("value").rlike(pattern)
+    def root(name: str) -> Column:
+        return F.col("value").rlike(rf"""(?s)^[^<]*+(?:<\?.*?\?>\s*+|<!--.*?-->\s*+|<![^>]*+>\s*+)*+<(?:\w+:)?{name}\b[^>]*xmlns(?::\w+)?\s*=\s*["']{space}["']""")
 
-    flags = lines.select(
-        "file",
-        seen(rf"""<urlset\b[^>]*xmlns\s*=\s*["']{space}["']""").alias("urlset"),
-        seen("</urlset>|<urlset[^>]*/>").alias("urlset_closed"),
-        seen(rf"""<sitemapindex\b[^>]*xmlns\s*=\s*["']{space}["']""").alias("index"),
-        seen("</sitemapindex>|<sitemapindex[^>]*/>").alias("index_closed"),
+    def whole(name: str) -> Column:
+        return F.regexp_extract_all("value", F.lit(rf"(?s)<((?:\w+:)?){name}(?=[\s>])[^>]*>.*?</\1{name}\s*>"), F.lit(0))
+
+    def field(block: Column, name: str) -> Column:
+        found = F.regexp_extract(block, rf"(?s)<(?:\w+:)?{name}(?=[\s>])[^>]*>(.*?)</", 1)
+        return F.nullif(strip_ws(unescape(F.regexp_replace(found, r"<!\[CDATA\[|\]\]>", ""))), F.lit("")).alias(name)
+
+    def rescued(name: str, *fields: str) -> Column:
+        return F.transform(whole(name), lambda b: F.struct(*(field(b, f) for f in fields)))
+
+    parsed = F.from_xml("value", DOCUMENT, {"columnNameOfCorruptRecord": "_corrupt", "ignoreNamespace": "true"})
+    files = spark.read.text(paths, wholetext=True).select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_size").alias("bytes"), "value", parsed.alias("x")
     )
-    return flags.select(
+    bad = F.col("x._corrupt").isNotNull()
+    rows = F.when(bad, rescued("url", "loc", "lastmod", "changefreq", "priority")).otherwise(F.col("x.url"))
+    listed = F.when(bad, rescued("sitemap", "loc", "lastmod")).otherwise(F.col("x.sitemap"))
+    return files.select(
         "file",
-        F.when(F.col("urlset"), "urlset").when(F.col("index"), "index").otherwise("other").alias("kind"),
-        (
-            (F.col("urlset") & F.col("urlset_closed")) | (F.col("index") & F.col("index_closed"))
-        ).alias("closed"),
+        "bytes",
+        F.when(root("urlset"), "urlset").when(root("sitemapindex"), "index").otherwise("other").alias("kind"),
+        bad.alias("malformed"),
+        F.coalesce(rows, F.array().cast("array<struct<loc:string,lastmod:string,changefreq:string,priority:string>>")).alias("urls"),
+        F.coalesce(listed, F.array().cast("array<struct<loc:string,lastmod:string>>")).alias("sitemaps"),
     )
 
 
+def _name(file: str = "file") -> Column:
+    return F.element_at(F.split(file, "/"), -1)
+
+
+def _megabytes() -> Column:
+    return (F.col("bytes") / F.lit(1048576.0)).alias("file_size_mb")
+
+
 def validate_sitemaps(
     spark: SparkSession, paths: str | list[str], per_file: int = MAX_URLS_PER_SITEMAP
 ) -> DataFrame:
-    """``(file, kind, urls, valid)``: each file judged by its kind."""
-    roots = sitemap_roots(spark, paths)
-    urls = read_sitemap(spark, paths).select("file", "loc", "malformed")
-    index = (
-        spark.read.format("xml")
-        .option("rowTag", "sitemap")
-        .schema(INDEX_ROWS)
-        .load(paths)
-        .select(F.col("_metadata.file_path").alias("file"), "loc", F.lit(False).alias("malformed"))
-    )
-    rows = urls.unionByName(index).withColumn(
-        "loc", F.when(~F.col("malformed"), F.col("loc"))
+    """``(file, kind, urls, valid, file_size_mb)``: each file judged by its kind, within its own row."""
+
+    def located(rows: str) -> Column:
+        return F.forall(rows, lambda r: F.coalesce(r["loc"].rlike("^https?://"), F.lit(False)))
+
+    valid = F.when(F.col("kind") == "urlset", (F.size("urls") <= per_file) & located("urls")).otherwise(
+        (F.col("kind") == "index") & located("sitemaps")
     )
-    checked = S.validate_rows(rows, "file")
-    within = (F.col("kind") != "urlset") | (F.coalesce("urls", F.lit(0)) <= per_file)
-    return roots.join(checked, "file", "left").select(
-        F.element_at(F.split("file", "/"), -1).alias("file"),
+    return sitemap_documents(spark, paths).select(
+        _name().alias("file"),
         "kind",
-        F.coalesce("urls", F.lit(0)).alias("urls"),
-        (
-            F.col("closed")
-            & F.coalesce("valid", F.lit(True))
-            & within
-            & (F.col("kind") != "other")
-        ).alias("valid"),
+        (F.size("urls") + F.size("sitemaps")).cast("long").alias("urls"),
+        (~F.col("malformed") & valid).alias("valid"),
+        _megabytes(),
     )
 
 
-def file_sizes(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """Size per file in MB, from the listing alone."""
+def sitemap_file_stats(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """Per file: size, URLs, and how many carry each optional field; no shuffle."""
+
+    def having(name: str) -> Column:
+        return F.size(F.filter("urls", lambda u: u[name].isNotNull())).cast("long").alias(f"has_{name}")
+
+    return sitemap_documents(spark, paths).select(
+        _name().alias("file"),
+        F.size("urls").cast("long").alias("total_urls"),
+        _megabytes(),
+        having("lastmod"),
+        having("changefreq"),
+        having("priority"),
+    )
+
+
+def listing(spark: SparkSession, folder: str, glob: str = "*") -> DataFrame:
+    """``(path, name, bytes)`` of the files below a folder, from the listing alone: no file is opened."""
     return (
         spark.read.format("binaryFile")
-        .load(paths)
-        .select(
-            F.element_at(F.split("path", "/"), -1).alias("file"),
-            (F.col("length") / F.lit(1048576.0)).alias("file_size_mb"),
-        )
+        .option("recursiveFileLookup", True)
+        .option("pathGlobFilter", glob)
+        .load(folder)
+        .select("path", _below(F.col("path"), folder).alias("name"), F.col("length").alias("bytes"))
+    )
+
+
+def file_sizes(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """Size per file in MB, from the listing alone."""
+    return spark.read.format("binaryFile").load(paths).select(
+        _name("path").alias("file"), (F.col("length") / F.lit(1048576.0)).alias("file_size_mb")
     )

@@ -81,11 +81,26 @@ def test_fetch_policy(spark):
     assert got == ["rules", "none", "none", "all", "none", "all"]
 
 
+def test_fetch_policy_decides_before_rules(spark, tmp_path):
+    hosts = {"ok.com": 200, "shut.com": 403, "login.com": 401, "none.com": 404, "down.com": 503, "away.com": 0, "unknown.com": None}
+    text = lines(spark, {h: "User-agent: *\nDisallow: /no" for h in hosts})
+    assert X.write_robots_files(text, str(tmp_path)) == sorted(f"{h}/robots.txt" for h in hosts)
+    read = X.read_robots_lines(spark, str(tmp_path))
+    fetches = spark.createDataFrame([(h, c) for h, c in hosts.items() if c is not None], "host string, status_code int")
+    urls = spark.createDataFrame([(f"http://{h}/{p}",) for h in [*hosts, "other.com"] for p in ("yes", "no")], "url string")
+    for hot_rows in (500_000, 2):
+        got = B.robots_allowed(urls, B.parse_robots(read), "x", hot_rows, fetches).collect()
+        closed = {r.url for r in got if not r.allowed}
+        assert len(got) == 16 and closed == {
+            "http://ok.com/no", "http://unknown.com/no", *(f"http://{h}/{p}" for h in ("shut.com", "login.com", "down.com") for p in ("yes", "no"))}
+
+
 def test_urls_from_file(spark, tmp_path):
-    (tmp_path / "robots.txt").write_text(
+    (tmp_path / "www.example.com").mkdir()
+    (tmp_path / "www.example.com" / "robots.txt").write_text(
         "User-agent: *\r\nDisallow: /private/\nallow: rel/x\nDisallow: /\nDisallow: *.pdf\nDisallow: /d.pdf\n"
         "Sitemap: https://cdn.net/s.xml \nDisallow:\n")
-    got = B.robots_urls(X.read_robots_lines(spark, str(tmp_path / "robots.txt"), "www.example.com"))
+    got = B.robots_urls(X.read_robots_lines(spark, str(tmp_path)))
     assert sorted((r.kind, r.url) for r in got.collect()) == [
         ("path", "https://www.example.com/private/"), ("path", "https://www.example.com/rel/x"),
         ("sitemap", "https://cdn.net/s.xml")]

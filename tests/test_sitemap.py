@@ -161,6 +161,62 @@ def test_root_tag_over_several_lines(spark, tmp_path):
     assert got == {"a.xml": ("urlset", True), "b.xml": ("urlset", False)}
 
 
+def test_validation_opens_each_file_once(spark, tmp_path):
+    (tmp_path / "a.xml").write_text(FILES["good.xml"])
+    with gzip.open(tmp_path / "b.xml.gz", "wt") as f:
+        f.write("<!-- > --><?x y?>" + FILES["good.xml"].split("?>\n")[1])
+    (tmp_path / "c.xml").write_text(FILES["cut.xml"])
+    report = X.validate_sitemaps(spark, str(tmp_path))
+    plan = report._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1 and "Exchange" not in plan
+    got = {r.file: (r.urls, r.valid, r.file_size_mb) for r in report.collect()}
+    size = lambda n: os.path.getsize(tmp_path / n) / 1048576
+    assert got == {"a.xml": (1, True, size("a.xml")), "b.xml.gz": (1, True, size("b.xml.gz")), "c.xml": (1, False, size("c.xml"))}
+    stats = {r.file: r.total_urls for r in X.sitemap_file_stats(spark, str(tmp_path)).collect()}
+    assert stats == {"a.xml": 1, "b.xml.gz": 1, "c.xml": 1}
+
+
+def test_unlisted_files_stay_unread(spark, tmp_path):
+    space = "http://www.sitemaps.org/schemas/sitemap/0.9"
+    (tmp_path / "index.xml").write_text(f'<sitemapindex xmlns="{space}"><sitemap><loc>{SITE}/a.xml</loc></sitemap></sitemapindex>')
+    (tmp_path / "a.xml").write_text(f'<urlset xmlns="{space}"><url><loc>{SITE}/1</loc></url></urlset>')
+    (tmp_path / "unlisted.xml").write_text("x")
+    os.chmod(tmp_path / "unlisted.xml", 0)
+    scans = []
+    read = X.sitemap_documents
+    try:
+        X.sitemap_documents = lambda s, paths: scans.append([os.path.basename(p) for p in paths]) or read(s, paths)
+        rows = X.read_indexed_sitemaps(spark, str(tmp_path / "index.xml"), str(tmp_path), SITE)
+        assert [r["loc"] for r in rows.collect()] == [SITE + "/1"]
+    finally:
+        X.sitemap_documents = read
+    assert scans == [["index.xml"], ["a.xml"]]
+
+
+def test_declared_sitemaps_of_many_hosts(spark, tmp_path):
+    rows = [("a.com/sitemap.xml", "https://a.com/1"), ("a.com/sitemap.xml", "https://b.com/not-own"), ("b.com/m/x.xml", "https://b.com/2"),
+            ("b.com/lost.xml", "https://b.com/3"), ("c.com/sm.xml", "https://c.com/4")]
+    X.write_files(spark.createDataFrame(rows, "file string, loc string"), str(tmp_path), "url", "urlset")
+    index = [("b.com/i.xml", "https://b.com/m/x.xml"), ("b.com/i.xml", "https://b.com/missing.xml"), ("c.com/j.xml", "https://b.com/i.xml")]
+    X.write_files(spark.createDataFrame(index, "file string, loc string"), str(tmp_path), "sitemap", "sitemapindex")
+    urls = ["https://a.com/sitemap.xml", "https://C.com/j.xml", "https://nobody.com/sitemap.xml", "ftp://c.com/sm.xml", None]
+    got = X.read_declared_sitemaps(spark, str(tmp_path), spark.createDataFrame([(u,) for u in urls], "url string"))
+    assert sorted((r["name"], r["host"], r["loc"]) for r in got.collect()) == [
+        ("a.com/sitemap.xml", "a.com", "https://a.com/1"), ("b.com/m/x.xml", "b.com", "https://b.com/2")]
+    none = X.read_declared_sitemaps(spark, str(tmp_path), spark.createDataFrame([("https://z.com/",)], "url string"))
+    assert none.collect() == []
+
+
+def test_index_of_many_sitemaps(spark, tmp_path):
+    files = spark.range(1, 121).selectExpr("id AS sitemap_no", "format_string('sitemap_%03d.xml', id) AS filename", "1L AS urls")
+    names = X.write_sitemap_index(S.sitemap_index(files, SITE, now()), str(tmp_path), 50)
+    assert names == [f"sitemap_index_{i:03d}.xml" for i in (1, 2, 3)]
+    listed = [u.find(NS + "loc").text for n in names for u in ET.parse(tmp_path / n).getroot()]
+    assert listed == [f"{SITE}/sitemap/sitemap_{i:03d}.xml" for i in range(1, 121)]
+    lines = [r.line for r in S.robots_txt(files, SITE, 50).orderBy("line_no").collect()]
+    assert lines[3:] == [f"Sitemap: {SITE}/sitemap/{n}" for n in names]
+
+
 def test_runs_leave_no_files_of_earlier_ones(spark, tmp_path):
     out = str(tmp_path)
     for _ in range(2):

@@ -9,16 +9,18 @@ excluded. Below order 0 the bytes not yet excluded are equally likely. A text st
 ``ORDER`` start marks and pays for an end mark. Scores are log10 probabilities of whole texts,
 from the pretrained trie.
 
-Every node that was counted takes part in scoring, whatever their number. The nodes stay in a written table and
+Every node that was counted takes part in scoring, whatever their number; all counts are whole numbers of 64 bits. The nodes
 are dealt by the youngest two bytes of the context, so that a part holds all that orders 2 and up of its
-contexts need; orders 0 and 1 have at most 65,536 nodes and go to every part. Documents are taken in chunks of about
+contexts need; orders 0 and 1 have at most 65,536 nodes and go to every part. Tasks count into sorted arrays and hand on
+one compressed parcel for each part. Documents are taken in chunks of about
 ``CHUNK`` bytes: a chunk asks each part once for every distinct byte in its context, and the answers meet the
-chunk's texts by its number. A part has about ``PART`` nodes, more only if one pair of bytes has more.
-``train`` with ``nodes`` gives a bounded model on request; scoring does not use it.
+chunk's texts by its number. There is a part for each ``PART`` bytes of training text; a part has more nodes only if one pair of
+bytes has more.
 
 The base is the word unigram model with one added to every count. Words that make up at least
 1 / ``HEAVY`` of the training tokens, hence at most ``HEAVY`` of them, are looked up where the
-documents are; the others meet their counts in a join by word, which no hot word can burden.
+documents are; for the others a chunk asks parts of the word counts, once for each distinct word, by a hash of 64 bits
+under a salt for which no two words of the training documents have the same.
 
 Null and empty texts consist of the end mark. Without training documents the base is 0
 and every byte has probability 1 / 256. Rows are scored one by one, repeated ones too;
@@ -35,6 +37,7 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -42,7 +45,9 @@ from sitewright.llm.common import UPPER, ship, texts
 from sitewright.session import materialize
 
 ORDER = 6
-PART = 1 << 18
+PART = 16 << 20
+#: Distinct words of a part of the word counts.
+WORDS = 1 << 18
 CHUNK = 6_000_000
 HEAVY = 1 << 16
 START, END = b"\xfe", b"\xff"  # bytes that UTF-8 never has
@@ -93,7 +98,8 @@ def _inside(begins: np.ndarray, n: int, order: int) -> np.ndarray:
     return keep
 
 
-def _gram_counts(batches: Iterator[pa.RecordBatch], order: int) -> Iterator[pa.RecordBatch]:
+def _gram_counts(batches: Iterator[pa.RecordBatch], order: int, parts: int) -> Iterator[pa.RecordBatch]:
+    """Parcels (part, data) of the full-order nodes of texts."""
     held: list[np.ndarray] = []
     keys = counts = None
 
@@ -102,11 +108,13 @@ def _gram_counts(batches: Iterator[pa.RecordBatch], order: int) -> Iterator[pa.R
         held.clear()
         if keys is None:
             return new, n
-        every, at = np.unique(np.concatenate([keys, new]), return_inverse=True)
-        return every, np.bincount(at, np.concatenate([counts, n])).astype(np.int64)
+        return _sums(np.concatenate([keys, new]), np.concatenate([counts, n]))
 
     def flushed() -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(keys.astype(np.int64)), pa.array(counts.astype(np.int64))], ["gram", "n"])
+        part = _place(keys, parts).astype(np.int32)
+        order = np.argsort(part, kind="stable")
+        begins = np.searchsorted(part[order], np.arange(parts + 1))
+        return _parcels([(p, keys[order[a:b]], counts[order[a:b]]) for p, (a, b) in enumerate(zip(begins, begins[1:])) if a < b])
 
     size = 0
     for batch in batches:
@@ -126,6 +134,16 @@ def _gram_counts(batches: Iterator[pa.RecordBatch], order: int) -> Iterator[pa.R
         yield flushed()
 
 
+def _sums(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys in order, and their summed counts, in whole numbers."""
+    if not len(keys):
+        return keys, counts
+    order = np.argsort(keys, kind="stable")
+    keys = keys[order]
+    first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+    return keys[first], np.add.reduceat(counts[order], first)
+
+
 class Trie:
     """Counts of bytes behind contexts of 0 to ``order`` bytes, with what scoring needs of them."""
 
@@ -135,15 +153,14 @@ class Trie:
         self.nodes, self.contexts = [], []
         for k in range(order, -1, -1):
             if k < order:
-                keys, at = np.unique(keys & np.uint64((1 << 8 * (k + 1)) - 1), return_inverse=True)
-                counts = np.bincount(at, counts, len(keys)).astype(np.int64)
+                keys, counts = _sums(keys & np.uint64((1 << 8 * (k + 1)) - 1), counts)
             if k == 1 and low is not None:
                 keys, counts = low
             above, first = np.unique(keys >> np.uint64(8), return_index=True)
             total = np.add.reduceat(counts, first) if len(first) else np.zeros(0, np.int64)
             kinds = np.diff(np.append(first, len(keys)))
-            self.nodes.insert(0, (keys, counts.astype(np.float32)))
-            self.contexts.insert(0, [above, total.astype(np.float32), kinds.astype(np.float32), None])
+            self.nodes.insert(0, (keys, counts))
+            self.contexts.insert(0, [above, total, kinds, None])
         for k in range(1, order + 1):
             # What is excluded one context down: the counts there of the followers here.
             keys, _ = self.nodes[k]
@@ -151,7 +168,7 @@ class Trie:
             there = n[np.searchsorted(lower, keys & np.uint64((1 << 8 * k) - 1))]
             above = self.contexts[k][0]
             first = np.searchsorted(keys >> np.uint64(8), above)
-            self.contexts[k][3] = np.add.reduceat(there, first).astype(np.float32) if len(first) else there
+            self.contexts[k][3] = np.add.reduceat(there, first) if len(first) else there
 
     def index(self) -> None:
         """Lay full-order nodes out for direct probes; those that meet another one go to a sorted rest."""
@@ -192,7 +209,7 @@ class Trie:
         keys, back = np.unique(keys, return_inverse=True)
         out = np.zeros(len(keys))
         left = np.arange(len(keys))
-        cut_total, cut_kinds = np.zeros(len(keys)), np.zeros(len(keys))  # excluded by the context before
+        cut_total, cut_kinds = np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int64)  # excluded by the context before
         for k in range(self.order, -1, -1):
             asked = keys[left] & np.uint64((1 << 8 * (k + 1)) - 1)
             above, total, kinds, excluded = self.contexts[k]
@@ -272,66 +289,162 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield flushed()
 
 
-def _asked(batches: Iterator[pa.RecordBatch], order: int, parts: int) -> Iterator[pa.RecordBatch]:
-    """The keys that each part is asked for by a chunk, as steps from one to the next."""
+def _asked(batches: Iterator[pa.RecordBatch], order: int, parts: int, word_parts: int, salt: str, heavy) -> Iterator[pa.RecordBatch]:
+    """The keys and the hashes of words that each part is asked for by a chunk, as steps from one to the next."""
     for batch in batches:
         for chunk, docs in zip(batch.column(0), batch.column(1)):
-            keys, begins = _by_part(_unpacked(docs.as_py(), "texts").to_pylist(), order, parts)
-            for p in np.flatnonzero(np.diff(begins)):
-                steps = np.diff(keys[begins[p] : begins[p + 1]], prepend=np.uint64(0))
-                row = [pa.array([chunk.as_py()], pa.int64()), pa.array([p], pa.int64()), pa.array([_packed(steps=pa.array(steps))], pa.binary())]
-                yield pa.RecordBatch.from_arrays(row, ["chunk", "part", "keys"])
+            listed = _unpacked(docs.as_py(), "texts").to_pylist()
+            keys, begins = _by_part(listed, order, parts)
+            wanted = [(p, keys[begins[p] : begins[p + 1]]) for p in np.flatnonzero(np.diff(begins)).tolist()]
+            wanted += _by_word_part(_rare(listed, heavy.value, _word_hash(salt)), parts, word_parts)
+            for p, own in wanted:
+                steps = _packed(steps=pa.array(np.diff(own, prepend=np.uint64(0))))
+                row = [pa.array([p], pa.int64()), pa.array([chunk.as_py()], pa.int64()), pa.array([steps], pa.binary())]
+                yield pa.RecordBatch.from_arrays(row, ["part", "chunk", "data"])
+
+
+def _parcels(found: list[tuple[int, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+    """(part, sorted keys, counts) as rows (part, data)."""
+    data = [_packed(steps=pa.array(np.diff(k, prepend=np.uint64(0))), n=pa.array(n)) for _, k, n in found]
+    return pa.RecordBatch.from_arrays([pa.array([p for p, _, _ in found], pa.int64()), pa.array(data, pa.binary())], ["part", "data"])
+
 
+def _opened(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    return np.cumsum(_unpacked(data, "steps").to_numpy()), _unpacked(data, "n").to_numpy()
+
+
+def _merged_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Parcels sorted by part to parcels of at most ``_FLUSH`` nodes, each node of a part in one of them."""
+    part, held, waiting = None, [], 0
+
+    def rows() -> pa.RecordBatch:
+        keys, counts = _sums(*(np.concatenate(x) for x in zip(*held)))
+        return _parcels([(part, keys[a : a + _FLUSH], counts[a : a + _FLUSH]) for a in range(0, len(keys), _FLUSH)])
 
-def _dealt(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordBatch]:
-    """Counted nodes with their part."""
     for batch in batches:
-        place = _place(batch.column(0).to_numpy().astype(np.uint64), parts)
-        yield pa.RecordBatch.from_arrays([pa.array(place.astype(np.int64)), batch.column(0), batch.column(1)], ["part", "gram", "n"])
+        for own, data in zip(batch.column(0).to_pylist(), batch.column(1)):
+            if own != part:
+                if held:
+                    yield rows()
+                part, held, waiting = own, [], 0
+            held.append(_opened(data.as_py()))
+            waiting += len(held[-1][0])
+            if waiting > max(_FLUSH, 2 * len(held[0][0])):
+                held = [_sums(*(np.concatenate(x) for x in zip(*held)))]
+                waiting = len(held[0][0])
+    if held:
+        yield rows()
+
+
+def _low_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(k, n): nodes of order 1."""
+    low = np.zeros(1 << 16, np.int64)
+    for batch in batches:
+        for data in batch.column(1):
+            keys, counts = _opened(data.as_py())
+            np.add.at(low, (keys & np.uint64(0xFFFF)).astype(np.int64), counts)
+    there = np.flatnonzero(low)
+    yield pa.RecordBatch.from_arrays([pa.array(there), pa.array(low[there])], ["k", "n"])
+
+
+def _word_hash(salt: str):
+    """The hash of a word as Spark's ``xxhash64(salt, word)`` works it out, without its sign."""
+    seed = xxhash.xxh64_intdigest(salt.encode(), 42)
+    return lambda word: xxhash.xxh64_intdigest(word, seed)
+
+
+def _word_part(keys: np.ndarray, parts: int, word_parts: int) -> np.ndarray:
+    """Word parts are numbered behind the parts of nodes; they are ranges of hashes."""
+    return parts + (((keys >> np.uint64(32)) * np.uint64(word_parts)) >> np.uint64(32)).astype(np.int64)
+
 
+def _by_word_part(found: list[tuple[int, bytes]], parts: int, word_parts: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Sorted hashes by part."""
+    keys = np.array([h for h, _ in found], np.uint64)
+    own = _word_part(keys, parts, word_parts)
+    begins = np.searchsorted(own, np.arange(parts, parts + word_parts + 1))
+    yield from ((parts + p, keys[a:b]) for p, (a, b) in enumerate(zip(begins, begins[1:])) if a < b)
 
-def _answered(batches: Iterator[pa.RecordBatch], order: int, low) -> Iterator[pa.RecordBatch]:
-    """Sorted rows (part, kind, gram, n, chunk, keys): a part's nodes, then what it is asked for."""
+
+def _word_parcels(batches: Iterator[pa.RecordBatch], parts: int, word_parts: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        if batch.num_rows:
+            keys, counts = _sums(batch.column(0).to_numpy().view(np.uint64), batch.column(1).to_numpy())
+            own = _word_part(keys, parts, word_parts)
+            begins = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
+            ends = [*begins[1:].tolist(), len(own)]
+            yield _parcels([(int(own[a]), keys[a:b], counts[a:b]) for a, b in zip(begins.tolist(), ends)])
+
+
+def _rare(listed: list[str], known: dict, hash_of) -> list[tuple[int, bytes]]:
+    """The distinct words of texts that are not heavy, by their hash."""
+    found: set[bytes] = set()
+    for text in listed:
+        found.update(split_words(text))
+    found.add(b"")
+    return sorted((hash_of(w), w) for w in found if w not in known)
+
+
+def _counts_of(held: list[tuple[np.ndarray, np.ndarray]], asked: np.ndarray) -> np.ndarray:
+    """Counts of hashes of words; 0 for words that no training document has."""
+    keys, counts = held[0] if held else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+    if not len(keys):
+        return np.zeros(len(asked), np.int64)
+    at = np.minimum(np.searchsorted(keys, asked), len(keys) - 1)
+    return np.where(keys[at] == asked, counts[at], 0)
+
+
+def _answered(batches: Iterator[pa.RecordBatch], order: int, parts: int, low) -> Iterator[pa.RecordBatch]:
+    """Rows (part, chunk, data) sorted by part and chunk: a part's nodes or word counts (chunk null), then what it is asked for."""
     part, held, trie = None, [], None
     for batch in batches:
-        parts, kinds, grams_, counts = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(4))
-        borders = np.flatnonzero(np.r_[True, (parts[1:] != parts[:-1]) | (kinds[1:] != kinds[:-1])])
-        for a, b in zip(borders, np.append(borders[1:], len(parts))):
-            if parts[a] != part:
-                part, held, trie = parts[a], [], None
-            if kinds[a] == 0:
-                held.append((grams_[a:b].astype(np.uint64), counts[a:b].astype(np.int64)))
+        for p, chunk, data in zip(*(batch.column(i) for i in range(3))):
+            p, chunk, data = p.as_py(), chunk.as_py(), data.as_py()
+            if p != part:
+                part, held, trie = p, [], None
+            if chunk is None:
+                held.append(_opened(data))
                 continue
-            if trie is None:
-                keys, n = (np.concatenate(x) for x in zip(*held)) if held else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-                by_key = np.argsort(keys)
-                trie, held = Trie(keys[by_key], n[by_key], order, low.value), []
-                trie.index()
-            for i in range(a, b):
-                logs = trie.log10(np.cumsum(_unpacked(batch.column(5)[i].as_py(), "steps").to_numpy()))
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(4).slice(i, 1), batch.column(0).slice(i, 1), pa.array([logs.astype(np.float32).tobytes()], pa.binary())], ["chunk", "part", "logs"]
-                )
-
-
-def _scored(batches: Iterator[pa.RecordBatch], order: int, parts: int, heavy) -> Iterator[pa.RecordBatch]:
+            if len(held) > 1:
+                held = [_sums(*(np.concatenate(x) for x in zip(*held)))]
+            asked = np.cumsum(_unpacked(data, "steps").to_numpy())
+            if p >= parts:
+                answer = _packed(n=pa.array(_counts_of(held, asked)))
+            else:
+                if trie is None:
+                    trie = Trie(*(held[0] if held else (np.zeros(0, np.uint64), np.zeros(0, np.int64))), order, low.value)
+                    trie.index()
+                    held = []
+                answer = trie.log10(asked).astype(np.float32).tobytes()
+            row = [pa.array([chunk], pa.int64()), pa.array([p], pa.int64()), pa.array([answer], pa.binary())]
+            yield pa.RecordBatch.from_arrays(row, ["chunk", "part", "data"])
+
+
+def _scored(batches: Iterator[pa.RecordBatch], order: int, parts: int, salt: str, heavy) -> Iterator[pa.RecordBatch]:
     """Sorted rows (chunk, part, data): a chunk's documents, then the answers to it by part."""
-    known, chunk, ids, listed, logs = heavy.value, None, [], [], []
+    known, chunk, ids, listed, logs, counts = heavy.value, None, [], [], [], []
     for batch in batches:
         for i in range(batch.num_rows):
+            data = batch.column(2)[i].as_py()
             if batch.column(0)[i].as_py() != chunk:
                 if ids:
-                    yield from _summed(ids, listed, logs, order, parts, known)
-                chunk, logs = batch.column(0)[i].as_py(), []
-                ids, listed = (_unpacked(batch.column(2)[i].as_py(), c).to_pylist() for c in ("ids", "texts"))
+                    yield from _summed(ids, listed, logs, counts, order, parts, salt, known)
+                chunk, logs, counts = batch.column(0)[i].as_py(), [], []
+                ids, listed = (_unpacked(data, c).to_pylist() for c in ("ids", "texts"))
+            elif batch.column(1)[i].as_py() < parts:
+                logs.append(np.frombuffer(data, np.float32))
             else:
-                logs.append(np.frombuffer(batch.column(2)[i].as_py(), np.float32))
+                counts.append(_unpacked(data, "n").to_numpy())
     if ids:
-        yield from _summed(ids, listed, logs, order, parts, known)
+        yield from _summed(ids, listed, logs, counts, order, parts, salt, known)
 
 
-def _summed(ids: list, listed: list[str], logs: list[np.ndarray], order: int, parts: int, known: dict) -> Iterator[pa.RecordBatch]:
-    # The keys are found again, in the order in which they were asked for.
+def _summed(
+    ids: list, listed: list[str], logs: list[np.ndarray], counts: list[np.ndarray], order: int, parts: int, salt: str, known: dict
+) -> Iterator[pa.RecordBatch]:
+    # Words and keys are found again, in the order in which they were asked for.
+    rare = [w for _, w in _rare(listed, known, _word_hash(salt))]
+    more = dict(zip(rare, (np.concatenate(counts) if counts else np.zeros(0, np.int64)).tolist(), strict=True))
     asked, _ = _by_part(listed, order, parts)
     answers = np.concatenate(logs)
     by_key = np.argsort(asked)
@@ -346,104 +459,76 @@ def _summed(ids: list, listed: list[str], logs: list[np.ndarray], order: int, pa
         sums = np.add.reduceat(values, begins[:-1])
         rows = []
         for text in part:
-            counts = Counter(split_words(text))
-            counts[b""] += 1
-            rare = {w: n for w, n in counts.items() if w not in known}
-            common = [(n, known[w]) for w, n in counts.items() if w in known]
-            rows.append((sum(counts.values()), sum(n for n, _ in common), sum(n * c for n, c in common), list(rare), list(rare.values())))
-        kinds = [pa.int64(), pa.int64(), pa.float64(), pa.list_(pa.binary()), pa.list_(pa.int64())]
-        columns = [pa.array(x, kind) for x, kind in zip(zip(*rows), kinds)]
-        names = ["doc_id", "n_tokens", "n_known", "base", "rare", "rare_n", "score"]
+            words = Counter(split_words(text))
+            words[b""] += 1
+            base, there = 0.0, 0
+            for w, n in words.items():
+                log = known.get(w)
+                if log is None:
+                    c = more[w]
+                    log = math.log10(c + 1) if c else 0.0
+                    there += n if c else 0
+                else:
+                    there += n
+                base += n * log
+            rows.append((sum(words.values()), there, base))
+        columns = [pa.array(x, kind) for x, kind in zip(zip(*rows), (pa.int64(), pa.int64(), pa.float64()))]
+        names = ["doc_id", "n_tokens", "n_known", "base", "score"]
         yield pa.RecordBatch.from_arrays([pa.array(ids[at : at + 256], pa.int64()), *columns, pa.array(sums)], names)
 
 
-def counted_nodes(docs: DataFrame, order: int = ORDER) -> DataFrame:
-    """(gram, n): all full-order nodes of the training documents, written once."""
-    text = texts(docs).select("text")
-    return materialize(
-        text.mapInArrow(partial(_gram_counts, order=order), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")), "grams"
-    )
-
-
-def log_scores(docs: DataFrame, counted: DataFrame, order: int, heavy, part: int = PART) -> DataFrame:
-    """Rows of ``_scored`` for every document, from all nodes of ``counted``."""
-    spark = docs.sparkSession
-    parts = max(1, -(-counted.count() // part))
-    low = counted.groupBy(F.col("gram").bitwiseAND(0xFFFF).alias("k")).agg(F.sum("n").alias("n")).toArrow()  # at most 65,536 rows
-    by_key = np.argsort(low["k"].to_numpy())
-    low = spark.sparkContext.broadcast((low["k"].to_numpy().astype(np.uint64)[by_key], low["n"].to_numpy()[by_key]))
-    chunks = materialize(texts(docs).mapInArrow(_chunks, "chunk long, docs binary"), "chunks")
-    none = F.lit(None)
-    nodes = counted.mapInArrow(partial(_dealt, parts=parts), "part long, gram long, n long").select(
-        "part", F.lit(0).alias("kind"), "gram", "n", none.cast("long").alias("chunk"), none.cast("binary").alias("keys")
-    )
-    asked = chunks.mapInArrow(partial(_asked, order=order, parts=parts), "chunk long, part long, keys binary").select(
-        "part", F.lit(1).alias("kind"), F.lit(0).cast("long").alias("gram"), F.lit(0).cast("long").alias("n"), "chunk", "keys"
-    )
-    dealt = nodes.union(asked).repartition(min(parts, 100_000), "part").sortWithinPartitions("part", "kind")
-    answers = dealt.mapInArrow(partial(_answered, order=order, low=low), "chunk long, part long, logs binary")
-    held = chunks.select("chunk", F.lit(-1).cast("long").alias("part"), F.col("docs").alias("data"))
-    met = held.union(answers.select("chunk", "part", "logs")).repartition("chunk").sortWithinPartitions("chunk", "part")
-    return met.mapInArrow(
-        partial(_scored, order=order, parts=parts, heavy=heavy),
-        "doc_id long, n_tokens long, n_known long, base double, rare array<binary>, rare_n array<long>, score double",
-    )
+def counted_nodes(docs: DataFrame, order: int, parts: int) -> DataFrame:
+    """(part, data): all full-order nodes of the training documents, written once."""
+    counted = texts(docs).select("text").mapInArrow(partial(_gram_counts, order=order, parts=parts), "part long, data binary")
+    own = counted.repartitionById(parts, F.col("part").cast("int")).sortWithinPartitions("part")
+    return materialize(own.mapInArrow(_merged_parts, "part long, data binary"), "grams")
 
 
-def train(docs: DataFrame, order: int, nodes: int) -> tuple[np.ndarray, np.ndarray, int]:
-    """At most ``nodes`` full-order nodes, the most frequent ones, by key, and their counts."""
-    counted = counted_nodes(docs, order)
-    # A histogram by powers of two, then by count within the one that crosses the bound: a few hundred rows at most.
-    by_power = {r.p: r.k for r in counted.groupBy(F.floor(F.log2("n")).alias("p")).agg(F.count("*").alias("k")).collect()}
-    room, least = nodes, 1
-    for p in sorted(by_power, reverse=True):
-        if by_power[p] > room:
-            least = _least(counted, 1 << p, room)
-            break
-        room -= by_power[p]
-    kept = counted.where(F.col("n") >= least).toArrow()  # columns of numbers, 16 bytes a node
-    keys, counts = kept["gram"].to_numpy().astype(np.uint64), kept["n"].to_numpy()
-    by_key = np.argsort(keys)
-    return keys[by_key], counts[by_key], order
-
-
-def _least(counted: DataFrame, low: int, room: int) -> int:
-    """The lowest count from ``low`` up to twice that, so that at most ``room`` nodes have it or more."""
-    step = max(1, low // 256)
-    bands = counted.where((F.col("n") >= low) & (F.col("n") < 2 * low)).groupBy(F.floor((F.col("n") - low) / step).alias("b")).agg(F.count("*").alias("k")).collect()
-    for band in sorted(bands, key=lambda r: -r.b):
-        if band.k > room:
-            return low + (band.b + 1) * step
-        room -= band.k
-    return low
+def word_counts(docs: DataFrame) -> tuple[DataFrame, str]:
+    """(word, c, h) of all words of the training documents, and the salt under which no two words share the hash h."""
+    counts = texts(docs).select("text").mapInArrow(_word_counts, "word binary, n long").groupBy("word").agg(F.sum("n").alias("c"))
+    counts, salt = materialize(counts, "words"), 0
+    while True:
+        hashed = counts.withColumn("h", F.xxhash64(F.lit(str(salt)), "word"))
+        if hashed.groupBy("h").count().where("count > 1").isEmpty():
+            return hashed, str(salt)
+        salt += 1
 
 
 def score(docs: DataFrame, learn: Column, order: int = ORDER, part: int = PART) -> DataFrame:
     """(doc_id, n_tokens, n_known, train_tokens, base_score, score) of every row; ``learn`` says which ids train."""
     spark = docs.sparkSession
     learned = docs.where(learn)
-    counts = materialize(
-        texts(learned).select("text").mapInArrow(_word_counts, "word binary, n long").groupBy("word").agg(F.sum("n").alias("c")), "words"
-    )
-    total = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
-    often = counts.where(F.col("c") * HEAVY >= total.n).collect()  # at most HEAVY rows
+    words, salt = word_counts(learned)
+    total = words.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
+    often = words.where(F.col("c") * HEAVY >= total.n).collect()  # at most HEAVY rows
     heavy = spark.sparkContext.broadcast({bytes(r.word): math.log10(r.c + 1) for r in often})
-    rows = log_scores(docs, counted_nodes(learned, order), order, heavy, part)
-    rows = materialize(rows.withColumn("row", F.monotonically_increasing_id()), "scored")
-    rest = (
-        rows.select("row", F.explode(F.arrays_zip("rare", "rare_n")).alias("w"))
-        .select("row", F.col("w.rare").alias("word"), F.col("w.rare_n").alias("n"))
-        .join(counts, "word")
-        .groupBy("row")
-        .agg(F.sum("n").alias("more"), F.sum(F.col("n") * F.log10(F.col("c") + 1)).alias("more_base"))
+    size = learned.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first().n
+    parts, word_parts = max(1, -(-size // part)), max(1, -(-total.v // WORDS))
+    counted = counted_nodes(learned, order, parts)
+    low = counted.mapInArrow(_low_counts, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).orderBy("k").toArrow()  # at most 65,536 rows
+    low = spark.sparkContext.broadcast((low["k"].to_numpy().astype(np.uint64), low["n"].to_numpy()))
+    chunks = materialize(texts(docs).mapInArrow(_chunks, "chunk long, docs binary"), "chunks")
+    held = counted.unionByName(words.select("h", "c").mapInArrow(partial(_word_parcels, parts=parts, word_parts=word_parts), "part long, data binary"))
+    asked = chunks.mapInArrow(
+        partial(_asked, order=order, parts=parts, word_parts=word_parts, salt=salt, heavy=heavy), "part long, chunk long, data binary"
+    )
+    rows = held.select("part", F.lit(None).cast("long").alias("chunk"), "data").unionByName(asked)
+    tasks = min(parts + word_parts, 100_000)
+    dealt = rows.repartitionById(tasks, F.pmod("part", F.lit(tasks)).cast("int")).sortWithinPartitions("part", F.asc_nulls_first("chunk"))
+    answers = dealt.mapInArrow(partial(_answered, order=order, parts=parts, low=low), "chunk long, part long, data binary")
+    texts_of = chunks.select("chunk", F.lit(-1).cast("long").alias("part"), F.col("docs").alias("data"))
+    met = texts_of.unionByName(answers).repartition("chunk").sortWithinPartitions("chunk", "part")
+    done = met.mapInArrow(
+        partial(_scored, order=order, parts=parts, salt=salt, heavy=heavy), "doc_id long, n_tokens long, n_known long, base double, score double"
     )
     each = F.lit(math.log10(total.n + total.v + 1))
-    return rows.join(rest, "row", "left").select(
+    return done.select(
         "doc_id",
         "n_tokens",
-        (F.col("n_known") + F.coalesce("more", F.lit(0))).alias("n_known"),
+        "n_known",
         F.lit(total.n).cast("long").alias("train_tokens"),
-        (F.col("base") + F.coalesce("more_base", F.lit(0.0)) - F.col("n_tokens") * each).alias("base_score"),
+        (F.col("base") - F.col("n_tokens") * each).alias("base_score"),
         "score",
     )
 

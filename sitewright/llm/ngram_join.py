@@ -7,8 +7,8 @@ of its distinct ``width``-word shingles; the whole sequence where it has fewer w
 2. Two sets with coefficient t or more differ in few shingles for their sizes, d at most. A set is cut
    by hash into somewhat more than d + 1 segments, so some of them are equal in linked sets; the sum of each non-empty
    segment is a key under which classes meet. Sizes fall in classes of ratio t; a set is cut for its size class and
-   for the one below. Shingles that more than ``HOT`` of the documents share (a list bounded by the mean set
-   size over ``HOT``) are left out before cutting, in all sets alike, which only lowers the difference; sets with too few others are
+   for the one below. The most frequent shingles, as many as are at
+   least 16 times in some task's documents and ``HOT`` of them at most, are left out before cutting, in all sets alike, which only lowers the difference; sets with too few others are
    cut with them, and sets near that border both ways. Sets with more empty segments than the surplus list those
    too. No linked pair is lost. A task hands on one set for each key and links the others it holds to that one, so a key of
    very many sets is a few rows.
@@ -17,7 +17,8 @@ of its distinct ``width``-word shingles; the whole sequence where it has fewer w
    million), lists are worked off by pivots: in each list one pivot is compared with the members of other
    components, then, after these fell together, eight times as many in each round, until every pair of a list is in one component or compared.
 4. A look-up is a T-occurrence search in an inverted index of a block, by DivideSkip: short lists are merged and
-   counted, sets that may still reach the overlap are looked up in the long lists by binary search.
+   counted, sets that may still reach the overlap are looked up in the long lists by binary search. A unit hands on
+   a spanning forest of its links, not all of them: n near copies give n - 1 links.
 
 Blocks hold about ``BLOCK`` sets, more in clusters of over ``BLOCKS`` blocks (700 at most); one task streams over its units and holds
 one at a time.
@@ -50,7 +51,7 @@ CLUSTER = 16_384
 HOT = 1 << 21
 CUTS = 6
 #: Keys that a task gathers before it hands them on.
-HELD = 1_000_000
+HELD = 500_000
 #: Rows of about 70 bytes that may be broadcast: 35 MB.
 SMALL = 500_000
 _LOWER = bytes.maketrans(UPPER.encode(), UPPER.lower().encode())
@@ -296,12 +297,20 @@ def _linked(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Reco
     unit, probes, members = None, [], []
 
     def found() -> list[tuple[int, int]]:
+        """Links that hold the unit's components together, fewer than it has sets: a link between connected ones is left out."""
         if not members:
             return []
         index, out = Index([m for _, m in members], percent), []
+        label = np.arange(len(members))
         for n, (own, data) in enumerate(probes or members):
             hits = index.search(data)
-            out += [(own, members[i][0]) for i in (hits if probes else hits[hits > n])]
+            hits = hits if probes else hits[hits > n]
+            others, at = np.unique(label[hits], return_index=True)
+            own_label = label[n] if not probes else others[0] if len(others) else -1
+            for other, hit in zip(others.tolist(), hits[at].tolist()):
+                if probes or other != own_label:
+                    out.append((own, members[hit][0]))
+                    label[label == other] = own_label
         return out
 
     def batch_of(pairs: list[tuple[int, int]]) -> pa.RecordBatch:

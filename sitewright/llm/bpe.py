@@ -6,8 +6,8 @@ of a task are folded; their ids are looked up for every further occurrence. Deco
 concatenates the binary piece of every id.
 
 The work is one narrow stage of Arrow batches: no shuffle, and a lost executor costs the
-partitions it held. A task's memory is the ranks, one batch and a table of at most
-``CACHED`` words, which is emptied when it is full.
+partitions it held. The ranks are read by the driver and broadcast, so executors need no file. A task's memory is
+the ranks, one batch and a table of words of about ``CACHED`` bytes, which is emptied when it is full.
 
 Null and empty texts give no ids. Ids of documents that occur repeatedly are returned
 once per row. White space, control strings such as ``<|endoftext|>`` and any other text
@@ -24,11 +24,15 @@ from functools import partial
 from itertools import chain
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from sitewright.llm.common import ship, texts
 
-CACHED = 400_000
+#: Bytes of words, their ids and what Python needs to hold them that a task remembers.
+CACHED = 40 << 20
+#: Texts and ids are handed on in lots of about this many characters or ids.
+LOT = 1 << 20
 #: Up to this many bytes a word is scanned for its lowest pair; longer ones use a heap.
 SCANNED = 48
 NEVER = 1 << 30
@@ -93,71 +97,95 @@ def _fold_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     return out
 
 
+def pieces_of(ranks: dict[bytes, int]) -> list[bytes]:
+    """Pieces by id."""
+    out = [b""] * (max(ranks.values(), default=-1) + 1)
+    for piece, i in ranks.items():
+        out[i] = piece
+    return out
+
+
 class Tokenizer:
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         import regex
 
         self.ranks = ranks
         self.matches = regex.compile(pattern).findall
-        self.pieces = {i: piece for piece, i in ranks.items()}
+        self.pieces = pieces_of(ranks)
         self.known: dict[str, list[int]] = {}
+        self.held = 0
 
     def encode(self, text: str) -> list[int]:
         found = self.matches(text)
         known = self.known
+        if self.held > CACHED:
+            self.held, known = 0, {}
+            self.known = known
         for word in set(found).difference(known):
-            if len(known) >= CACHED:
-                known = self.known = {w: known[w] for w in set(found) if w in known}
-            known[word] = fold(word.encode(), self.ranks)
+            ids = known[word] = fold(word.encode(), self.ranks)
+            self.held += 200 + len(word) + 8 * len(ids)
         return list(chain.from_iterable(map(known.__getitem__, found)))
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.pieces.__getitem__, ids))
 
 
-def _each(batches: Iterator[pa.RecordBatch], path: str, pattern: str, digests: bool) -> Iterator[pa.RecordBatch]:
-    own = Tokenizer(read_ranks(path), pattern)
-    spelled = {i: str(i) for i in own.pieces}
+def _lots(column: pa.Array) -> Iterator[tuple[int, int]]:
+    """Begin and end of runs of rows, of about ``LOT`` characters or ids each."""
+    begin, size = 0, 0
+    for i, n in enumerate(pc.coalesce(pc.list_value_length(column) if pa.types.is_list(column.type) else pc.binary_length(column), 0).to_pylist()):
+        size += n
+        if size > LOT:
+            yield begin, i + 1
+            begin, size = i + 1, 0
+    if begin < len(column):
+        yield begin, len(column)
+
+
+def _each(batches: Iterator[pa.RecordBatch], ranks, pattern: str, digests: bool) -> Iterator[pa.RecordBatch]:
+    own = Tokenizer(ranks.value, pattern)
+    spelled = [str(i) for i in range(len(own.pieces))] if digests else []
+    kinds = [pa.int64(), pa.string(), pa.string()] if digests else [pa.int64(), pa.list_(pa.int32())]
+    names = ["doc_id", "n_tokens", *(["ids_sha256", "decoded_sha256"] if digests else ["ids"])]
     for batch in batches:
-        for at in range(0, batch.num_rows, 256):
-            part = batch.slice(at, 256)
+        for begin, end in _lots(batch.column(1)):
             rows = []
-            for text in part.column(1):
+            for text in batch.column(1).slice(begin, end - begin):
                 ids = own.encode(text.as_py())
                 if digests:
                     listed = " ".join(map(spelled.__getitem__, ids)).encode()
                     rows.append((len(ids), hashlib.sha256(listed).hexdigest(), hashlib.sha256(own.decode(ids)).hexdigest()))
                 else:
                     rows.append((len(ids), ids))
-            columns = list(zip(*rows)) or [(), (), ()][: 3 if digests else 2]
-            kinds = [pa.int64(), pa.string(), pa.string()] if digests else [pa.int64(), pa.list_(pa.int32())]
-            names = ["doc_id", "n_tokens", *(["ids_sha256", "decoded_sha256"] if digests else ["ids"])]
-            yield pa.RecordBatch.from_arrays([part.column(0), *map(pa.array, columns, kinds)], names)
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(begin, end - begin), *map(pa.array, zip(*rows), kinds)], names)
 
 
-def _back(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
-    pieces = {i: piece for piece, i in read_ranks(path).items()}
+def _back(batches: Iterator[pa.RecordBatch], ranks) -> Iterator[pa.RecordBatch]:
+    pieces = pieces_of(ranks.value)
     for batch in batches:
-        for at in range(0, batch.num_rows, 256):
-            part = batch.slice(at, 256)
-            data = [b"".join(map(pieces.__getitem__, ids.as_py() or ())) for ids in part.column(1)]
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(data, pa.binary())], ["doc_id", "bytes"])
+        for begin, end in _lots(batch.column(1)):
+            data = [b"".join(map(pieces.__getitem__, ids.as_py() or ())) for ids in batch.column(1).slice(begin, end - begin)]
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(begin, end - begin), pa.array(data, pa.binary())], ["doc_id", "bytes"])
+
+
+def _shipped(docs: DataFrame, path: str):
+    return docs.sparkSession.sparkContext.broadcast(read_ranks(path))
 
 
 def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """(doc_id, n_tokens, ids) of every row."""
-    run = partial(_each, path=path, pattern=pattern, digests=False)
+    run = partial(_each, ranks=_shipped(docs, path), pattern=pattern, digests=False)
     return texts(docs).mapInArrow(run, "doc_id long, n_tokens long, ids array<int>")
 
 
 def decode(tokens: DataFrame, path: str) -> DataFrame:
     """(doc_id, bytes) of every row of (doc_id, ids); null ids give no bytes."""
-    return tokens.select("doc_id", "ids").mapInArrow(partial(_back, path=path), "doc_id long, bytes binary")
+    return tokens.select("doc_id", "ids").mapInArrow(partial(_back, ranks=_shipped(tokens, path)), "doc_id long, bytes binary")
 
 
 def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256): encoded, listed in decimal, decoded, digested in one pass."""
-    run = partial(_each, path=path, pattern=pattern, digests=True)
+    run = partial(_each, ranks=_shipped(docs, path), pattern=pattern, digests=True)
     return texts(docs).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 

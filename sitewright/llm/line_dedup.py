@@ -7,17 +7,17 @@ borders until it has ``LONG`` words or ``FINE`` lines, so that short passages ar
 chunks of a passage are the same wherever it stands, whatever surrounds it.
 
 Chunks of several lines, and long lines, that occur again are compared byte by byte (they
-are grouped by their text) and all but the first, by id, version and place, are removed. Chunks may overlap: what any of them
+are grouped by their text where texts of one hash differ) and all but the first, by id, version and place, are removed. Chunks may overlap: what any of them
 covers goes. A line whose chunk is removed stands in the earlier occurrence, so no line is lost altogether.
 
 Chunks are first told apart by hashes of their line hashes, a few numbers each. Texts are taken only of chunks whose hash repeats; a chunk that very many documents hold is reduced before the
-shuffle, and its occurrences meet their first one in a join that Spark splits. Ranges to
-remove are a few numbers a document.
+shuffle, and its occurrences, without their text, meet the first one in a join that splits hot chunks. Ranges to
+remove are a few numbers a document. A text of n lines costs time in proportion to n; it is one value of one task.
 
 Every row stays, in its place. A text with nothing to remove is returned as it is; a null text stays null. A text all of whose lines
 repeat becomes empty. Rows with one id and different texts are documents of their own (told apart
 by a hash of the text); equal rows are one document and are treated alike. All columns pass
-through.
+through, but for the names ``__id``, ``__version``, ``__gaps``, ``__last`` and ``__left``, which are used inside.
 """
 
 from __future__ import annotations
@@ -25,6 +25,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from sitewright.operators.skew import lookup_join
 from sitewright.session import materialize
 
 WINDOW = 2
@@ -46,7 +47,7 @@ def chunks(docs: DataFrame) -> DataFrame:
             "doc_id",
             "version",
             F.transform("lines", lambda x: F.xxhash64(x)).alias("hashes"),
-            F.transform("lines", lambda x: F.length(x) - F.length(F.replace(x, F.lit(" "), F.lit(""))) + 1).alias("words"),
+            F.transform("lines", lambda x: F.length(x) - F.length(F.translate(x, " \t", "")) + 1).alias("words"),
         )
         .withColumn("long", F.transform("words", lambda n: n >= LONG))
     )
@@ -65,7 +66,12 @@ def chunks(docs: DataFrame) -> DataFrame:
         f"""transform(filter(sequence(0, size(hashes) - 1), i -> not long[i] and i < size(hashes) - 1),
             i -> named_struct('start', i, 'stop', least(size(hashes), i + case {size} else {FINE} end)))"""
     )
-    every = F.array_distinct(F.concat(*[F.col(f"cut{r}") for r in REMAINDERS], fine))
+    # One number a chunk: Spark tells distinct numbers apart by hashing, structs only pair by pair.
+    coded = F.transform(F.concat(*[F.col(f"cut{r}") for r in REMAINDERS], fine), lambda c: c["start"].cast("long") * (1 << 31) + c["stop"])
+    every = F.transform(
+        F.array_distinct(coded),
+        lambda c: F.struct(F.shiftright(c, 31).cast("int").alias("start"), c.bitwiseAND((1 << 31) - 1).cast("int").alias("stop")),
+    )
     taken = F.expr(
         """transform(filter(cut, c -> c.stop - c.start > 1 or long[c.start]),
             c -> named_struct('start', c.start, 'n', c.stop - c.start, 'hash', xxhash64(slice(hashes, c.start + 1, c.stop - c.start))))"""
@@ -105,8 +111,17 @@ def repeats(docs: DataFrame) -> DataFrame:
         each.select("hash", place.alias("p")).groupBy("hash").agg(F.min("p").alias("a"), F.max("p").alias("b")).where("not (a <=> b)").select("hash")
     )
     again = materialize(_with_text(docs, each.join(shared, "hash").distinct()), "chunks")
-    first = again.groupBy("hash", "text").agg(F.min("place").alias("first")).select("hash", F.col("text").alias("first_text"), "first")
-    met = again.join(first, "hash").where("text = first_text and place <> first")
+    # Chunks of one hash have one text, but for collisions: then places meet the first one without any text.
+    heads = materialize(
+        again.groupBy("hash").agg((F.min("text") == F.max("text")).alias("one"), F.min("place").alias("first")).withColumnRenamed("hash", "__hash"), "heads"
+    )
+    met = lookup_join(again.select("hash", "place", "n"), heads.where("one").drop("one"), "hash", "__hash", "inner", ["place"]).drop("__hash")
+    collided = heads.where("not one").select(F.col("__hash").alias("hash"))
+    if not collided.isEmpty():
+        mixed = again.join(collided, "hash")
+        first = mixed.groupBy("hash", "text").agg(F.min("place").alias("first"))
+        met = met.unionByName(mixed.join(first, ["hash", "text"]).select("hash", "place", "n", "first"))
+    met = met.where("place <> first")
     return met.select("place.doc_id", "place.version", "place.start", (F.col("place.start") + F.col("n")).alias("stop")).distinct()
 
 

@@ -15,7 +15,7 @@ All candidates are counted, in all documents; the counts go to the driver as a t
 ``LARGEST`` rows (the product of the feature ranges). Positions are sums of the lengths of pieces, so texts are scanned and never
 shuffled: only spans and one row per document are. All is DataFrame code.
 
-Positions are code points, ends exclusive. A null or empty text has no spans; every row is
+Very long texts and matches are scanned once, without recursion; no pattern has a length limit. Positions are code points, ends exclusive. A null or empty text has no spans; every row is
 returned, repeated ones too; other columns are left out.
 """
 
@@ -30,15 +30,16 @@ from sitewright.session import materialize
 
 KINDS = ["email", "ip", "card", "phone", "mail", "number", "secret"]
 BASE = KINDS[:4]
-# The guards and possessive quantifiers change no match; they keep long runs from being scanned again and again.
+# The guards and possessive quantifiers change no match; they keep long runs from being scanned again and again, and
+# repeated groups from being matched by recursion, which a very long match would not survive.
 PATTERNS = {
-    "email": r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
+    "email": r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
     "ip": r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
-    "mail": r"(?i)(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]{1,64}+ ?(?:@|[(\[{] ?at ?[)\]}]) ?[\p{L}\p{N}-]{1,63}+(?: ?(?:\.|[(\[{] ?dot ?[)\]}]) ?[\p{L}\p{N}-]{1,63}+)+",
+    "mail": r"(?i)(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++ ?(?:@|[(\[{] ?at ?[)\]}]) ?[\p{L}\p{N}-]++(?: ?(?:\.|[(\[{] ?dot ?[)\]}]) ?[\p{L}\p{N}-]++)++",
     "number": r"(?<![\p{L}\p{N}])[+(]{0,2}[0-9](?:[\x20().:/_-]{0,2}[0-9]){6,}+(?![\p{L}\p{N}])",
-    "secret": r"(?<![A-Za-z0-9_+/-])(?=[A-Za-z_+/-]{0,64}+[0-9])[A-Za-z0-9_+/-]{16,}+",
+    "secret": r"(?<![A-Za-z0-9_+/-])(?=[A-Za-z_+/-]*+[0-9])[A-Za-z0-9_+/-]{16,}+",
 }
 _PART = "0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]{1,2})"
 SECRET_CUE = r"(?i)(?:password|passwd|pwd|token|secret|api[_-]?key)[\x20\x22'=:]*$"
@@ -201,6 +202,8 @@ def per_document(found: DataFrame) -> DataFrame:
         found.groupBy("row", "doc_id")
         .agg(
             *[F.count(F.when(F.col("base") & (F.col("kind") == k), 1)).alias(f"n_{k}") for k in BASE],
+            F.count("kind").alias("n_spans"),
+            F.count(F.when(~F.col("base"), 1)).alias("n_added"),
             F.sha2(listed(F.when(F.col("base"), span)), 256).alias("base_sha256"),
             listed(F.when(F.col("kind").isNotNull(), span)).alias("spans"),
         )

@@ -129,6 +129,20 @@ def frontier_rows(found: DataFrame) -> DataFrame:
     )
 
 
+@dataclass(frozen=True)
+class Round:
+    """What a round brings, one row per URL, written once: latest results and URLs found."""
+
+    latest: DataFrame
+    batch: DataFrame
+
+
+def round_tables(found: DataFrame, crawl_log: DataFrame) -> Round:
+    latest = latest_result(crawl_log.withColumn("url", U.url_normalize("url")))
+    batch = first_per_key(found.withColumn("url", U.url_normalize("url")), "url", ["pos"])
+    return Round(materialize(latest, "latest"), materialize(batch, "batch"))
+
+
 def new_urls(found: DataFrame, registry: DataFrame) -> DataFrame:
     """URLs of a batch that the registry lacks: normalised, first position wins.
 

@@ -232,6 +232,13 @@ SITE_INDEXES = (
     "FROM {site_maps} m CROSS JOIN (SELECT 0 AS page_id UNION ALL SELECT 1 UNION ALL SELECT 3 UNION ALL SELECT 5) k "
     "WHERE file LIKE '%/sitemap.xml'"
 )
+# Every host of the corpus, one site a registered name, under one of two rule sets.
+SITES = (
+    "SELECT host, regexp_replace(host, '^(www|m|blog|shop)[.]', '') AS site, "
+    "CASE WHEN length(regexp_replace(host, '^(www|m|blog|shop)[.]', '')) % 2 = 0 THEN 'standard' ELSE 'fast' END AS rules FROM ("
+    "SELECT DISTINCT lower(regexp_extract(url, '^[A-Za-z]+://([^/?#]*)', 1)) AS host FROM {pages} "
+    "UNION SELECT DISTINCT lower(regexp_extract(url, '^[A-Za-z]+://([^/?#]*)', 1)) FROM {site_pages}) h"
+)
 HOME_PAGES = (
     "SELECT page_id, 'https://h' || CAST(page_id AS STRING) || '.example.net' || CASE page_id % 4 "
     "WHEN 0 THEN '' WHEN 1 THEN '/' WHEN 2 THEN '/?q=1' ELSE '/about' END AS url, html FROM {site_pages}"
@@ -273,6 +280,7 @@ TEXTS = {
     "site_maps": SITE_MAPS,
     "site_indexes": SITE_INDEXES,
     "home_pages": HOME_PAGES,
+    "sites": SITES,
     "api_probes": API_PROBES,
     "search_pages": SEARCH_PAGES,
     "locations": LOCATIONS,

@@ -864,6 +864,23 @@ def all_oracles() -> dict[str, str]:
         f"n AS (SELECT src_url, {norm('a')} AS dst_url FROM j) SELECT src_url, dst_url FROM n "
         f"WHERE {target('dst_url', STANDARD)} AND NOT {any_of('dst_url', STANDARD.skip)} AND dst_url <> {norm('src_url')}"
     )
+    skips = (
+        f"CASE d.rules WHEN 'standard' THEN {any_of('dst_url', STANDARD.skip)} OR dst_url = {norm('src_url')} "
+        f"ELSE {any_of('dst_url', FAST.skip)} OR dst_url = {norm_fast('src_url')} END"
+    )
+    o["filter_candidates_sites"] = (
+        f"WITH {duckdb_with('sites', 'site_pages')}, "
+        f"m AS (SELECT url AS src_url, {stripped()} AS markup FROM (SELECT url, html FROM pages UNION ALL SELECT url, html FROM site_pages) p), "
+        f"raws AS (SELECT src_url, unnest({hrefs('markup', 'a')}) AS raw FROM m), "
+        f"j AS (SELECT src_url, {resolve('raw', 'src_url')} AS a FROM raws), "
+        f"n AS (SELECT DISTINCT src_url, {norm('a')} AS dst_url FROM j) SELECT src_url, dst_url, d.site, d.rules FROM n "
+        f"JOIN sites s ON s.host = {domain('src_url')} JOIN sites d ON d.host = {domain('dst_url')} AND d.site = s.site WHERE NOT ({skips})"
+    )
+    o["route_sites"] = (
+        f"WITH {duckdb_with('sites', 'job_urls')} SELECT url, site, rules, CASE WHEN CASE rules WHEN 'standard' THEN "
+        f"{any_of('url', STANDARD.dynamic)} ELSE {any_of('url', FAST.dynamic)} END THEN 'dynamic' ELSE 'static' END AS route "
+        f"FROM (SELECT url FROM pages UNION ALL SELECT url FROM job_urls) u JOIN sites s ON s.host = {domain('url')}"
+    )
     o["valid_urls"] = w("registry", extra=VALID) + "SELECT url, status_code, depth FROM valid"
     o["valid_urls_final"] = w("crawl_log", extra=LATEST) + (
         "SELECT url, status_code FROM latest WHERE status_code = 200 AND coalesce(error_message, '') = ''"
@@ -1101,8 +1118,8 @@ def all_oracles() -> dict[str, str]:
         "AS is_processing FROM frontier"
     )
     o["registry_clear_processing"] = w("frontier") + "SELECT url, FALSE AS is_processing FROM frontier"
-    o["process_results"] = (
-        f"{pages_cte('registry', 'crawl_log')}, "
+    a_round = (
+        f"{pages_cte('registry', 'crawl_log', 'frontier')}, "
         f"{LATEST}, {link_ctes(STANDARD, STANDARD_RAWS)}, "
         "res AS (SELECT l.*, CAST(p.page_id % 6 AS INTEGER) AS depth FROM latest l JOIN site_pages p ON p.url = l.url), "
         f"cand AS (SELECT k.dst_url AS url, r.url AS parent_url, r.depth + 1 AS depth, r.fetched_at AS added_at, "
@@ -1111,10 +1128,16 @@ def all_oracles() -> dict[str, str]:
         "WHERE rn = 1 AND url NOT IN (SELECT url FROM registry)), "
         f"marks AS (SELECT * EXCLUDE (rn2) FROM (SELECT {norm('url')} AS url, status_code, error_message, row_number() OVER "
         f"(PARTITION BY {norm('url')} ORDER BY fetched_at DESC, attempt_id DESC) AS rn2 FROM res) z WHERE rn2 = 1) "
+    )
+    o["process_results"] = a_round + (
         f"SELECT r.url, r.depth, r.parent_url, {NEW_STATUS}, {applied('status_code')}, r.is_dynamic "
         "FROM registry r LEFT JOIN marks l ON l.url = r.url UNION ALL "
         "SELECT url, depth, parent_url, 'pending', NULL, is_dynamic FROM fresh"
     )
+    o["process_results_frontier"] = a_round + (
+        "SELECT url, priority FROM frontier WHERE url NOT IN (SELECT url FROM marks) UNION ALL "
+        "SELECT url, CAST(greatest(0, 100 - 10 * (depth - 1)) AS INTEGER) FROM fresh"
+    )
     o["crawl_run"] = (
         f"WITH RECURSIVE {duckdb_with('site_pages', 'registry', 'crawl_log')}, {LATEST_NORM}, "
         f"m AS (SELECT url AS src_url, {stripped()} AS markup FROM site_pages), "
@@ -1161,4 +1184,10 @@ def all_oracles() -> dict[str, str]:
         f"SELECT date_trunc('hour', fetched_at) AS h, count(*) AS crawled, count(*) FILTER (WHERE {status('status_code', 'error_message')} "
         "= 'success') AS succeeded FROM crawl_log GROUP BY 1) z"
     )
+    o["stream_progress_closed"] = w("crawl_log") + (
+        f"SELECT {iso('h')} AS window_start, crawled, succeeded FROM ("
+        f"SELECT date_trunc('hour', fetched_at) AS h, count(*) AS crawled, count(*) FILTER (WHERE {status('status_code', 'error_message')} "
+        "= 'success') AS succeeded FROM crawl_log GROUP BY 1) z "
+        "WHERE h + INTERVAL 1 HOUR <= (SELECT max(fetched_at) FROM crawl_log) - INTERVAL 1 HOUR"
+    )
     return o

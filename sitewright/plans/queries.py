@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 from ..functions import classify as C
 from ..functions import html as H
 from ..functions import url as U
-from ..operators import filters, generate as G, graph, links as L, registry as R
-from ..operators import robots, schedule, sitemap as S, snapshots as N, stats
+from ..operators import filters, generate as G, graph, keyed, links as L, registry as R
+from ..operators import robots, schedule, sitemap as S, sites, snapshots as N, stats
 from ..operators.registry import CrawlState
 from ..rules import FAST, FINAL, STANDARD
 from ..session import materialize, work_path
@@ -533,6 +533,19 @@ def filter_candidates(t):
     return filters.filter_candidates(links)
 
 
+@query
+def filter_candidates_sites(t):
+    links = L.links_anchor(t.pages).select("src_url", U.url_normalize("dst_url").alias("dst_url"))
+    own = L.links_anchor(t.site_pages).select("src_url", U.url_normalize("dst_url").alias("dst_url"))
+    return sites.filter_candidates(links.unionByName(own).distinct(), t.sites)
+
+
+@query
+def route_sites(t):
+    urls = t.pages.select("url").unionByName(t.job_urls.select("url"))
+    return sites.route(urls, t.sites).select("url", "site", "rules", "route")
+
+
 @query
 def valid_urls(t):
     return filters.valid_urls(registry_of(t)).select("url", "status_code", "depth").orderBy("url")
@@ -942,12 +955,20 @@ def _results(t) -> DataFrame:
 
 @query
 def process_results(t):
-    state = R.process_results(state_of(t), _results(t))
-    return state.registry.select(
+    state = keyed.KeyedState.of(state_of(t))
+    keyed.process_results(state, _results(t))
+    return state.registry.current().select(
         "url", "depth", "parent_url", "crawl_status", "status_code", "is_dynamic"
     )
 
 
+@query
+def process_results_frontier(t):
+    state = keyed.KeyedState.of(state_of(t))
+    keyed.process_results(state, _results(t))
+    return state.frontier.current().select("url", "priority")
+
+
 @query
 def crawl_run(t):
     seeds = t.registry.filter("parent_url IS NULL").select("url")
@@ -1004,6 +1025,7 @@ def stream_registry(t):
 def stream_new_urls(t):
     stream = jobs.FirstSeenStream(t.spark, work_path(t.spark, "stream"))
     stream.start(_log_stream(t)).awaitTermination()
+    stream.fold()
     return stream.urls().select("url")
 
 
@@ -1021,3 +1043,28 @@ def stream_progress(t):
     return stream.windows().select(
         C.iso_lastmod("window_start").alias("window_start"), "crawled", "succeeded", "success_rate"
     )
+
+
+def _timed_files(t, parts: int = 4) -> str:
+    """The fetch log as files in the order of their times, as a fetcher leaves them."""
+    folder = work_path(t.spark, "log")
+    at = F.col("fetched_at").cast("timestamp")
+    log = materialize(t.crawl_log.withColumn("fetched_at", at), "log")
+    first, last = log.agg(F.min(F.unix_micros("fetched_at")), F.max(F.unix_micros("fetched_at"))).first()
+    if first is None:
+        log.write.mode("append").parquet(folder)
+        return folder
+    own = F.least(F.floor((F.unix_micros("fetched_at") - first) * parts / (last - first + 1)), F.lit(parts - 1))
+    for k in range(parts):
+        log.filter(own == k).write.mode("append").parquet(folder)
+    return folder
+
+
+@query
+def stream_progress_closed(t):
+    folder, out = _timed_files(t), work_path(t.spark, "closed")
+    schema = t.spark.read.parquet(folder).schema
+    log = jobs.read_events(t.spark, folder, "*.parquet", schema, per_batch=1)
+    jobs.run_to_files(jobs.closed_windows(log), out).awaitTermination()
+    rows = t.spark.read.schema("window_start timestamp, crawled bigint, succeeded bigint").parquet(f"{out}/rows")
+    return rows.select(C.iso_lastmod("window_start").alias("window_start"), "crawled", "succeeded")

@@ -11,11 +11,10 @@ from ..functions import url as U
 from ..operators.registry import apply_results, latest_result, pending_rows
 
 
-def read_events(spark: SparkSession, folder: str, files: str, schema) -> DataFrame:
-    """New files of a folder as a stream."""
-    return (
-        spark.readStream.schema(schema).option("pathGlobFilter", files).parquet(folder)
-    )
+def read_events(spark: SparkSession, folder: str, files: str, schema, per_batch: int | None = None) -> DataFrame:
+    """New files of a folder as a stream, ``per_batch`` of them at a time or all there are."""
+    reader = spark.readStream.schema(schema).option("pathGlobFilter", files)
+    return (reader if per_batch is None else reader.option("maxFilesPerTrigger", per_batch)).parquet(folder)
 
 
 class BatchStore:
@@ -23,6 +22,8 @@ class BatchStore:
 
     A replayed batch overwrites itself; what the stream has come to is read from the
     stored tables, so the last rows to arrive count as soon as their batch is written.
+    ``fold`` merges what is stored into one table and removes its batches, so that what is kept
+    grows with the result and not with the number of batches.
     """
 
     SCHEMA = ""
@@ -30,16 +31,59 @@ class BatchStore:
     def __init__(self, spark: SparkSession, folder: str, name: str):
         self.spark = spark
         self.path = f"{folder}/{name}"
+        self.folds = f"{folder}/{name}-folds"
         self.offsets = f"{folder}/{name}-offsets"
 
     def reduce(self, batch: DataFrame) -> DataFrame:
         raise NotImplementedError
 
+    def merge(self, stored: DataFrame) -> DataFrame:
+        """Rows of many batches as those of one."""
+        raise NotImplementedError
+
+    def _files(self, path: str):
+        jpath = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return jpath.getFileSystem(self.spark._jsc.hadoopConfiguration()), jpath
+
+    def _numbers(self, pattern: str) -> list[int]:
+        fs, jpath = self._files(pattern)
+        return sorted(int(s.getPath().getParent().getName().split("=")[1]) for s in fs.globStatus(jpath) or [])
+
+    def folded(self) -> int:
+        """The last batch of the newest complete fold; -1 for none."""
+        return max(self._numbers(f"{self.folds}/fold=*/_SUCCESS"), default=-1)
+
     def stored(self) -> DataFrame:
-        return self.spark.read.schema(self.SCHEMA + ", batch_id bigint").parquet(self.path)
+        """Rows of the newest fold and of the batches after it."""
+        last = self.folded()
+        waiting = [n for n in self._numbers(f"{self.path}/batch_id=*/_SUCCESS") if n > last]
+        paths = [f"{self.path}/batch_id={n}" for n in waiting]
+        if last >= 0:
+            paths.append(f"{self.folds}/fold={last}")
+        return self.spark.read.schema(self.SCHEMA).parquet(*paths) if paths else self.spark.createDataFrame([], self.SCHEMA)
+
+    def fold(self) -> int:
+        """Merge all complete batches into a new fold; returns the number of the last one.
+
+        The fold counts from the moment it is complete; until then its batches do. What it
+        replaces is removed afterwards, so a fold that breaks off loses nothing. A stream whose batches are folded must not
+        be running, for its next batch could be the replay of a folded one.
+        """
+        batches = self._numbers(f"{self.path}/batch_id=*/_SUCCESS")
+        before = self.folded()
+        last = max([before, *batches])
+        if last > before:
+            self.merge(self.stored()).write.mode("overwrite").parquet(f"{self.folds}/fold={last}")
+        for old in [f"{self.path}/batch_id={n}" for n in batches if n <= last] + [
+            f"{self.folds}/fold={n}" for n in self._numbers(f"{self.folds}/fold=*/_SUCCESS") if n < last
+        ]:
+            fs, jpath = self._files(old)
+            fs.delete(jpath, True)
+        return last
 
     def write_batch(self, batch: DataFrame, batch_id: int) -> None:
-        self.reduce(batch).write.mode("overwrite").parquet(f"{self.path}/batch_id={batch_id}")
+        if batch_id > self.folded():  # a replay of what is folded is there already
+            self.reduce(batch).write.mode("overwrite").parquet(f"{self.path}/batch_id={batch_id}")
 
     def start(self, rows: DataFrame) -> StreamingQuery:
         return (
@@ -67,14 +111,14 @@ class ProgressStream(BatchStore):
             .select(F.col("w.start").alias("window_start"), "crawled", "succeeded")
         )
 
+    def merge(self, stored: DataFrame) -> DataFrame:
+        sums = [F.sum(c).alias(c) for c in ("crawled", "succeeded")]
+        return stored.groupBy("window_start").agg(*sums)
+
     def windows(self) -> DataFrame:
         """A batch has a row per window at most, so this sums few rows."""
-        return (
-            self.stored()
-            .groupBy("window_start")
-            .agg(F.sum("crawled").alias("crawled"), F.sum("succeeded").alias("succeeded"))
-            .withColumn("success_rate", F.col("succeeded") / F.col("crawled") * 100)
-        )
+        rate = F.col("succeeded") / F.col("crawled") * 100
+        return self.merge(self.stored()).withColumn("success_rate", rate)
 
 
 class FirstSeenStream(BatchStore):
@@ -89,8 +133,44 @@ class FirstSeenStream(BatchStore):
         seen = F.min("fetched_at").cast("timestamp").alias("first_seen")
         return batch.groupBy(U.url_normalize("url").alias("url")).agg(seen)
 
+    def merge(self, stored: DataFrame) -> DataFrame:
+        return stored.groupBy("url").agg(F.min("first_seen").alias("first_seen"))
+
     def urls(self) -> DataFrame:
-        return self.stored().groupBy("url").agg(F.min("first_seen").alias("first_seen"))
+        return self.merge(self.stored())
+
+
+def closed_windows(log: DataFrame, width: str = "1 hour", delay: str = "1 hour") -> DataFrame:
+    """Per window fetches and successes, once no row of it can come any more: for append mode.
+
+    ``log`` is a stream. The state holds the windows that are open within ``delay`` and is dropped with them;
+    rows later than that, by the times of the batches before, are left out.
+    """
+    ok = C.crawl_status("status_code", "error_message") == "success"
+    timed = log.withColumn("fetched_at", F.col("fetched_at").cast("timestamp")).withWatermark("fetched_at", delay)
+    return (
+        timed.groupBy(F.window("fetched_at", width).alias("w"))
+        .agg(F.count(F.lit(1)).alias("crawled"), F.count_if(ok).alias("succeeded"))
+        .select(F.col("w.start").alias("window_start"), "crawled", "succeeded")
+    )
+
+
+def recent_urls(log: DataFrame, delay: str) -> DataFrame:
+    """Each normalised URL once within ``delay``; the state forgets a URL that long after it was seen."""
+    timed = log.withColumn("fetched_at", F.col("fetched_at").cast("timestamp")).withWatermark("fetched_at", delay)
+    return timed.select(U.url_normalize("url").alias("url"), "fetched_at").dropDuplicatesWithinWatermark(["url"])
+
+
+def run_to_files(rows: DataFrame, folder: str) -> StreamingQuery:
+    """Append a stream's rows to Parquet files below ``folder``, all that is there now."""
+    return (
+        rows.writeStream.format("parquet")
+        .option("path", f"{folder}/rows")
+        .option("checkpointLocation", f"{folder}/offsets")
+        .outputMode("append")
+        .trigger(availableNow=True)
+        .start()
+    )
 
 
 class RegistryStream:

@@ -87,7 +87,41 @@ def test_first_seen(spark, tmp_path):
     got = {r.url.replace(SITE, ""): r.first_seen for r in job.urls().collect()}
     assert sorted(got) == ["/a", "/b", "/c", "/d?a=2&b=1", "/known"]
     assert got["/a"] == datetime(2024, 1, 1) and got["/b"] == datetime(2024, 1, 1, 0, 1)
-    assert job.stored().select("batch_id").distinct().count() == 3
+    assert job._numbers(f"{job.path}/batch_id=*/_SUCCESS") == [0, 1, 2]
+
+
+def test_folding_keeps_the_result_and_removes_batches(spark, tmp_path):
+    folder = str(tmp_path / "log")
+    write_logs(spark, folder, BATCHES[:2])
+    for kind, result in ((jobs.FirstSeenStream, "urls"), (jobs.ProgressStream, "windows")):
+        job = kind(spark, str(tmp_path / kind.__name__))
+        assert job.fold() == -1 and getattr(job, result)().count() == 0
+        job.start(stream(spark, folder)).awaitTermination()
+        before = sorted(map(tuple, getattr(job, result)().collect()))
+        assert job.fold() == 1 == job.folded() and job.fold() == 1
+        assert job._numbers(f"{job.path}/batch_id=*/_SUCCESS") == []
+        assert sorted(map(tuple, getattr(job, result)().collect())) == before
+        job.write_batch(spark.read.schema(LOG).parquet(folder), 1)  # a replay of a folded batch
+        assert sorted(map(tuple, getattr(job, result)().collect())) == before
+    write_logs(spark, folder, [BATCHES[2]])
+    job.start(stream(spark, folder)).awaitTermination()
+    assert job.folded() == 1 and job.fold() == 2
+    assert job._numbers(f"{job.folds}/fold=*/_SUCCESS") == [2]
+    assert sum(r.crawled for r in job.windows().collect()) == sum(map(len, BATCHES))
+
+
+def test_closed_windows_forget(spark, tmp_path):
+    folder = str(tmp_path / "log")
+    write_logs(spark, folder, [[("/a", 1, 200), ("/b", 2, 500)], [("/c", 61, 200), ("/a", 62, 0)], [("/d", 400, 200)], [("/late", 3, 200)], [("/later", 4, 200), ("/e", 401, 200)]])
+    done = jobs.run_to_files(jobs.closed_windows(stream(spark, folder)), str(tmp_path / "out"))
+    done.awaitTermination()
+    rows = spark.read.parquet(str(tmp_path / "out/rows")).orderBy("window_start").collect()
+    assert [(r.window_start.hour, r.crawled, r.succeeded) for r in rows] == [(0, 3, 2), (1, 2, 1)]  # lateness counts from the batch before
+    assert done.lastProgress["stateOperators"][0]["numRowsTotal"] == 1  # the open window
+    seen = jobs.run_to_files(jobs.recent_urls(stream(spark, folder), "30 days"), str(tmp_path / "urls"))
+    seen.awaitTermination()
+    got = [r.url.replace(SITE, "") for r in spark.read.parquet(str(tmp_path / "urls/rows")).collect()]
+    assert sorted(got) == ["/a", "/b", "/c", "/d", "/e", "/late", "/later"]
 
 
 def test_progress_counts_every_window_and_late_rows(spark, tmp_path):

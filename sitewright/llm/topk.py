@@ -30,10 +30,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sitewright.llm.common import ship
-from sitewright.session import materialize
+from sitewright.session import materialize, shuffle_partitions
 
 BLOCK = 65_536
-GROUP = 512
+#: Queries of a group, at least.
+GROUP = 128
 LEVELS = 16
 #: Processing goes on while more than this share of a block may still be members: rescoring those costs less than the proof.
 FEW = 0.4
@@ -160,7 +161,9 @@ def search(vectors: DataFrame, queries: Column, k: int, block: int = BLOCK, grou
     vectors = materialize(vectors.select("vec_id", "v"), "vectors")
     asked = materialize(vectors.where(queries).groupBy("vec_id").agg(F.min("v").alias("v")), "queries")
     blocks = max(1, -(-vectors.count() // block))
-    groups = max(1, -(-asked.count() // group))
+    # Groups of queries are as large as blocks, so that vectors are copied seldom, but for as many as it takes to keep all tasks busy.
+    n_asked, busy = asked.count(), -(-4 * shuffle_partitions(vectors.sparkSession) // blocks)
+    groups = max(1, -(-n_asked // block), min(busy, -(-n_asked // group)))
     own_block = F.pmod(F.xxhash64(F.col("vec_id"), F.lit(1)), F.lit(blocks))
     own_group = F.pmod(F.xxhash64(F.col("vec_id"), F.lit(2)), F.lit(groups))
     every_group = F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))
@@ -168,7 +171,8 @@ def search(vectors: DataFrame, queries: Column, k: int, block: int = BLOCK, grou
     # A stated set of queries against all vectors, in blocks: each side is copied to the units of the other's blocks.
     indexed = vectors.withColumn("g", F.explode(every_group)).select((own_block * groups + F.col("g")).alias("unit"), F.lit(0).alias("kind"), "vec_id", "v")
     posed = asked.withColumn("b", F.explode(every_block)).select((F.col("b") * groups + own_group).alias("unit"), F.lit(1).alias("kind"), "vec_id", "v")
-    dealt = indexed.union(posed).repartition(min(blocks * groups, 100_000), "unit").sortWithinPartitions("unit", "kind")
+    tasks = min(blocks * groups, 100_000)
+    dealt = indexed.union(posed).repartitionById(tasks, F.pmod("unit", F.lit(tasks)).cast("int")).sortWithinPartitions("unit", "kind")
     found = dealt.mapInArrow(partial(_search, k=k), "query_id long, vec_id long, score long")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     ranked = found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)

@@ -203,7 +203,7 @@ def per_document(found: DataFrame) -> DataFrame:
         .agg(
             *[F.count(F.when(F.col("base") & (F.col("kind") == k), 1)).alias(f"n_{k}") for k in BASE],
             F.count("kind").alias("n_spans"),
-            F.count(F.when(~F.col("base"), 1)).alias("n_added"),
+            F.count(F.when(F.col("kind").isNotNull() & ~F.col("base"), 1)).alias("n_added"),
             F.sha2(listed(F.when(F.col("base"), span)), 256).alias("base_sha256"),
             listed(F.when(F.col("kind").isNotNull(), span)).alias("spans"),
         )

@@ -38,6 +38,7 @@ from functools import partial
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -415,7 +416,9 @@ def _answered(batches: Iterator[pa.RecordBatch], order: int, parts: int, low) ->
                     trie = Trie(*(held[0] if held else (np.zeros(0, np.uint64), np.zeros(0, np.int64))), order, low.value)
                     trie.index()
                     held = []
-                answer = trie.log10(asked).astype(np.float32).tobytes()
+                # Many bytes have the same few probabilities: their first, second, ... bytes compress well together.
+                planes = np.ascontiguousarray(trie.log10(asked).astype("<f4").view(np.uint8).reshape(-1, 4).T)
+                answer = zstandard.ZstdCompressor(level=3).compress(planes.tobytes())
             row = [pa.array([chunk], pa.int64()), pa.array([p], pa.int64()), pa.array([answer], pa.binary())]
             yield pa.RecordBatch.from_arrays(row, ["chunk", "part", "data"])
 
@@ -432,7 +435,8 @@ def _scored(batches: Iterator[pa.RecordBatch], order: int, parts: int, salt: str
                 chunk, logs, counts = batch.column(0)[i].as_py(), [], []
                 ids, listed = (_unpacked(data, c).to_pylist() for c in ("ids", "texts"))
             elif batch.column(1)[i].as_py() < parts:
-                logs.append(np.frombuffer(data, np.float32))
+                planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(4, -1)
+                logs.append(np.ascontiguousarray(planes.T).view("<f4").reshape(-1))
             else:
                 counts.append(_unpacked(data, "n").to_numpy())
     if ids:
@@ -444,7 +448,8 @@ def _summed(
 ) -> Iterator[pa.RecordBatch]:
     # Words and keys are found again, in the order in which they were asked for.
     rare = [w for _, w in _rare(listed, known, _word_hash(salt))]
-    more = dict(zip(rare, (np.concatenate(counts) if counts else np.zeros(0, np.int64)).tolist(), strict=True))
+    more = (np.concatenate(counts) if counts else np.zeros(0, np.int64)).tolist()
+    log_of = (known | {w: math.log10(c + 1) for w, c in zip(rare, more, strict=True) if c}).get
     asked, _ = _by_part(listed, order, parts)
     answers = np.concatenate(logs)
     by_key = np.argsort(asked)
@@ -459,19 +464,9 @@ def _summed(
         sums = np.add.reduceat(values, begins[:-1])
         rows = []
         for text in part:
-            words = Counter(split_words(text))
-            words[b""] += 1
-            base, there = 0.0, 0
-            for w, n in words.items():
-                log = known.get(w)
-                if log is None:
-                    c = more[w]
-                    log = math.log10(c + 1) if c else 0.0
-                    there += n if c else 0
-                else:
-                    there += n
-                base += n * log
-            rows.append((sum(words.values()), there, base))
+            words = [*split_words(text), b""]
+            there = [x for x in map(log_of, words) if x is not None]
+            rows.append((len(words), len(there), sum(there)))
         columns = [pa.array(x, kind) for x, kind in zip(zip(*rows), (pa.int64(), pa.int64(), pa.float64()))]
         names = ["doc_id", "n_tokens", "n_known", "base", "score"]
         yield pa.RecordBatch.from_arrays([pa.array(ids[at : at + 256], pa.int64()), *columns, pa.array(sums)], names)

@@ -17,7 +17,8 @@ from sitewright.session import materialize
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
-#: A document goes if it is more likely bad than good.
+#: A document goes if it is more likely bad than good. On the held-out labels of sf0.1 this loses none of 854 good documents and keeps
+#: 3 of 136 bad ones; 0.7, the limit of op8's decision, loses 2 and keeps the same 3.
 LEAST_QUALITY = 0.5
 
 

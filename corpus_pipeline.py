@@ -22,8 +22,17 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 LEAST_QUALITY = 0.5
 
 
+#: Rows of a batch that goes to a Python worker. Documents may be long, and both sides hold a batch at a time.
+BATCH_ROWS = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+
+
 def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier, learned from the labels, does not reject."""
+    small_batches(spark)
     weights = quality.train(docs, table(spark, sf_dir, "labels"), "quality")
     return quality.score(docs, weights).where(F.col("score") >= LEAST_QUALITY).drop("score")
 
@@ -36,6 +45,7 @@ def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of linked near duplicates (five words, 0.8) the one of the smallest id."""
+    small_batches(spark)
     return ngram_join.keep_one(docs, width=5, percent=80)
 
 
@@ -46,6 +56,7 @@ def untested(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token counts and digests of what is left."""
+    small_batches(spark)
     return bpe.round_trip(docs, *vocabulary())
 
 

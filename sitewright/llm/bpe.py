@@ -7,7 +7,8 @@ concatenates the binary piece of every id.
 
 The work is one narrow stage of Arrow batches: no shuffle, and a lost executor costs the
 partitions it held. The ranks are read by the driver and broadcast, so executors need no file. A task's memory is
-the ranks, one batch and a table of words of about ``CACHED`` bytes, which is emptied when it is full.
+the ranks, one batch and two tables of words of about ``CACHED`` bytes each: when one is full, the words of the older one are
+forgotten, unless they have occurred again.
 
 Null and empty texts give no ids. Ids of documents that occur repeatedly are returned
 once per row. White space, control strings such as ``<|endoftext|>`` and any other text
@@ -29,8 +30,8 @@ from pyspark.sql import DataFrame
 
 from sitewright.llm.common import ship, texts
 
-#: Bytes of words, their ids and what Python needs to hold them that a task remembers.
-CACHED = 40 << 20
+#: Bytes of words, their ids and what Python needs to hold them in each of the two tables that a task remembers.
+CACHED = 12 << 20
 #: Texts and ids are handed on in lots of about this many characters or ids.
 LOT = 1 << 20
 #: Up to this many bytes a word is scanned for its lowest pair; longer ones use a heap.
@@ -113,16 +114,17 @@ class Tokenizer:
         self.matches = regex.compile(pattern).findall
         self.pieces = pieces_of(ranks)
         self.known: dict[str, list[int]] = {}
+        self.earlier: dict[str, list[int]] = {}
         self.held = 0
 
     def encode(self, text: str) -> list[int]:
         found = self.matches(text)
         known = self.known
         if self.held > CACHED:
-            self.held, known = 0, {}
+            self.held, self.earlier, known = 0, known, {}
             self.known = known
         for word in set(found).difference(known):
-            ids = known[word] = fold(word.encode(), self.ranks)
+            ids = known[word] = self.earlier.get(word) or fold(word.encode(), self.ranks)
             self.held += 200 + len(word) + 8 * len(ids)
         return list(chain.from_iterable(map(known.__getitem__, found)))
 

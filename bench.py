@@ -43,7 +43,7 @@ def drain(df) -> None:
     df.write.format("noop").mode("overwrite").save()
 
 
-def sitemap_50k(spark: SparkSession, sf_dir: str) -> None:
+def sitemap_50k(spark: SparkSession, sf_dir: str) -> str:
     """Registry rows to sitemap, index and robots files, 50,000 URLs."""
     t = Inputs(spark, sf_dir)
     urls = G.candidates(origins_of(t), dimensions_of(t), G.all_paths).select("url")
@@ -55,7 +55,17 @@ def sitemap_50k(spark: SparkSession, sf_dir: str) -> None:
         .limit(SITEMAP_ROWS)
         .withColumn("last_crawled", F.lit("2024-01-01 00:00:00").cast("timestamp"))
     )
-    X.write_site(S.build_entries(registry), work_path(spark, "bench-site"), BASE, now())
+    out = work_path(spark, "bench-site")
+    X.write_site(S.build_entries(registry), out, BASE, now())
+    return out
+
+
+def check_site(spark: SparkSession, out: str, sf_dir: str) -> None:
+    """What was timed must be whole: every file valid, and all rows in them."""
+    report = X.validate_sitemaps(spark, f"{out}/sitemap*.xml").collect()
+    assert report and all(r.valid for r in report), report
+    rows = sum(r.urls for r in report if r.kind == "urlset")
+    assert rows == SITEMAP_ROWS or sf_dir == WARM_UP, rows
 
 
 def main() -> None:
@@ -70,8 +80,10 @@ def main() -> None:
     for name, run in runs.items():
         run(WARM_UP if os.path.isdir(WARM_UP) else sf_dir)
         start = time.perf_counter()
-        run(sf_dir)
+        out = run(sf_dir)
         timings[name] = round(time.perf_counter() - start, 3)
+        if out is not None:
+            check_site(spark, out, sf_dir)
     print(
         json.dumps(
             {

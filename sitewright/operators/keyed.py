@@ -88,6 +88,11 @@ class KeyedTable:
         for name in old:
             self.spark.sql(f"DROP TABLE IF EXISTS {name}")
 
+    def compact_if_outgrown(self) -> None:
+        # Counts come from file footers.
+        if self.rounds and self.changes().count() > max(10_000, self.spark.table(self._base_name).count()):
+            self.compact()
+
     def drop(self) -> None:
         """Take the tables out of the catalog; their files stay until the work folder is cleared."""
         for name in (self._base_name, self._changes_name):
@@ -104,6 +109,11 @@ class KeyedState:
         at = (lambda name: None) if path is None else (lambda name: f"{path}/{name}")
         return cls(KeyedTable(state.registry, at("registry"), buckets), KeyedTable(state.frontier, at("frontier"), buckets))
 
+    def compact_if_outgrown(self) -> None:
+        """Fold tables whose changes are more than their base: each row is rewritten a few times at most."""
+        for table in (self.registry, self.frontier):
+            table.compact_if_outgrown()
+
     def current(self) -> CrawlState:
         return CrawlState(self.registry.current(), self.frontier.current())
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import url as U
-from ..operators import filters, generate as G, graph, links as L, registry as R
+from ..operators import filters, generate as G, graph, keyed, links as L, registry as R
 from ..operators import schedule, sitemap as S, stats
 from ..operators.registry import CrawlState
 from ..rules import FINAL, Rules, STANDARD
@@ -41,22 +41,25 @@ def crawl(
     """Replay a crawl by breadth-first levels: ``seeds(url)``, ``results`` of ``results_of``.
 
     Each level takes the frontier's URLs that have a result, marks them, adds what
-    they link to, and writes both tables as a new version under ``path``. URLs
-    without a result stay pending.
+    they link to, and stores the changed rows of both tables under ``path``; a level costs what it
+    changes, and once changes outgrow the base they are folded into it. URLs without a result stay pending.
     """
     spark = results.sparkSession
     path = path or work_path(spark, "crawl")
     empty = CrawlState(*reset_registry(spark))
-    state = R.registry_add(empty, R.seed_batch(seeds, seeded_at)).write(f"{path}/seeds")
-    for depth in range(rules.max_depth + 1):
-        waiting = state.registry.join(state.frontier.select("url"), "url", "left_semi")
+    seeded = R.registry_add(empty, R.seed_batch(seeds, seeded_at))
+    state = keyed.KeyedState.of(seeded, path)
+    for _ in range(rules.max_depth + 1):
+        now = state.current()
+        waiting = now.registry.join(now.frontier.select("url"), "url", "left_semi")
         level = materialize(
             results.join(waiting.select("url", "depth"), "url"), "level"
         )
         if level.isEmpty():
             break
-        state = R.process_results(state, level, rules).write(f"{path}/level={depth}")
-    return state
+        keyed.process_results(state, level, rules)
+        state.compact_if_outgrown()
+    return state.current()
 
 
 def publish(
@@ -67,7 +70,7 @@ def publish(
     names = X.write_site(entries, out_dir, rules.base_urls[0], now, rules.urls_per_sitemap, gzip)
     spark = state.registry.sparkSession
     if not names:
-        return spark.createDataFrame([], "file string, kind string, urls bigint, valid boolean")
+        return spark.createDataFrame([], "file string, kind string, urls bigint, valid boolean, file_size_mb double")
     return X.validate_sitemaps(spark, f"{out_dir}/sitemap*.xml", rules.urls_per_sitemap)
 
 

@@ -297,7 +297,8 @@ def _asked(batches: Iterator[pa.RecordBatch], order: int, parts: int, word_parts
             listed = _unpacked(docs.as_py(), "texts").to_pylist()
             keys, begins = _by_part(listed, order, parts)
             wanted = [(p, keys[begins[p] : begins[p + 1]]) for p in np.flatnonzero(np.diff(begins)).tolist()]
-            wanted += _by_word_part(_rare(listed, heavy.value, _word_hash(salt)), parts, word_parts)
+            _, hashes, by_hash = _rare(listed, heavy.value, salt)
+            wanted += _by_word_part(hashes[by_hash], parts, word_parts)
             for p, own in wanted:
                 steps = _packed(steps=pa.array(np.diff(own, prepend=np.uint64(0))))
                 row = [pa.array([p], pa.int64()), pa.array([chunk.as_py()], pa.int64()), pa.array([steps], pa.binary())]
@@ -350,8 +351,7 @@ def _low_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _word_hash(salt: str):
     """The hash of a word as Spark's ``xxhash64(salt, word)`` works it out, without its sign."""
-    seed = xxhash.xxh64_intdigest(salt.encode(), 42)
-    return lambda word: xxhash.xxh64_intdigest(word, seed)
+    return partial(xxhash.xxh64_intdigest, seed=xxhash.xxh64_intdigest(salt.encode(), 42))
 
 
 def _word_part(keys: np.ndarray, parts: int, word_parts: int) -> np.ndarray:
@@ -359,9 +359,8 @@ def _word_part(keys: np.ndarray, parts: int, word_parts: int) -> np.ndarray:
     return parts + (((keys >> np.uint64(32)) * np.uint64(word_parts)) >> np.uint64(32)).astype(np.int64)
 
 
-def _by_word_part(found: list[tuple[int, bytes]], parts: int, word_parts: int) -> Iterator[tuple[int, np.ndarray]]:
+def _by_word_part(keys: np.ndarray, parts: int, word_parts: int) -> Iterator[tuple[int, np.ndarray]]:
     """Sorted hashes by part."""
-    keys = np.array([h for h, _ in found], np.uint64)
     own = _word_part(keys, parts, word_parts)
     begins = np.searchsorted(own, np.arange(parts, parts + word_parts + 1))
     yield from ((parts + p, keys[a:b]) for p, (a, b) in enumerate(zip(begins, begins[1:])) if a < b)
@@ -377,13 +376,16 @@ def _word_parcels(batches: Iterator[pa.RecordBatch], parts: int, word_parts: int
             yield _parcels([(int(own[a]), keys[a:b], counts[a:b]) for a, b in zip(begins.tolist(), ends)])
 
 
-def _rare(listed: list[str], known: dict, hash_of) -> list[tuple[int, bytes]]:
-    """The distinct words of texts that are not heavy, by their hash."""
+def _rare(listed: list[str], known: dict, salt: str) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """The distinct words of texts that are not heavy, their hashes, and the order of these."""
     found: set[bytes] = set()
     for text in listed:
         found.update(split_words(text))
     found.add(b"")
-    return sorted((hash_of(w), w) for w in found if w not in known)
+    found.difference_update(known)
+    words = list(found)
+    hashes = np.fromiter(map(_word_hash(salt), words), np.uint64, len(words))
+    return words, hashes, np.argsort(hashes, kind="stable")
 
 
 def _counts_of(held: list[tuple[np.ndarray, np.ndarray]], asked: np.ndarray) -> np.ndarray:
@@ -447,9 +449,11 @@ def _summed(
     ids: list, listed: list[str], logs: list[np.ndarray], counts: list[np.ndarray], order: int, parts: int, salt: str, known: dict
 ) -> Iterator[pa.RecordBatch]:
     # Words and keys are found again, in the order in which they were asked for.
-    rare = [w for _, w in _rare(listed, known, _word_hash(salt))]
-    more = (np.concatenate(counts) if counts else np.zeros(0, np.int64)).tolist()
-    log_of = (known | {w: math.log10(c + 1) for w, c in zip(rare, more, strict=True) if c}).get
+    rare, _, by_hash = _rare(listed, known, salt)
+    more = np.zeros(len(rare), np.int64)
+    more[by_hash] = np.concatenate(counts) if counts else 0
+    there = np.flatnonzero(more)
+    log_of = (known | dict(zip([rare[i] for i in there.tolist()], np.log10(more[there] + 1).tolist()))).get
     asked, _ = _by_part(listed, order, parts)
     answers = np.concatenate(logs)
     by_key = np.argsort(asked)

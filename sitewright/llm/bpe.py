@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from sitewright.llm.common import ship, texts
 
 #: Bytes of words, their ids and what Python needs to hold them in each of the two tables that a task remembers.
-CACHED = 12 << 20
+CACHED = 20 << 20
 #: Texts and ids are handed on in lots of about this many characters or ids.
 LOT = 1 << 20
 #: Up to this many bytes a word is scanned for its lowest pair; longer ones use a heap.

@@ -2,6 +2,8 @@ import glob
 import os
 from datetime import datetime, timedelta
 
+import __spark_entry__ as entry_point
+from compare import connect, differences
 
 from sitewright.operators import registry as R
 from sitewright.sources import tables
@@ -133,3 +135,13 @@ def test_progress_counts_every_window_and_late_rows(spark, tmp_path):
     got = job.windows().orderBy("window_start").collect()
     assert [(r.window_start.hour, r.crawled, r.succeeded) for r in got] == [(0, 3, 2), (3, 2, 1), (6, 1, 1)]
     assert got[1].success_rate == 50.0
+
+
+def test_closed_windows_of_a_log_in_many_files(spark, tmp_path):
+    sf = "/root/testdata/sf0.001"
+    for path in glob.glob(f"{sf}/*.parquet"):
+        if not path.endswith("/pages.parquet"):
+            os.symlink(path, tmp_path / os.path.basename(path))
+    spark.read.parquet(f"{sf}/pages.parquet").repartition(6).write.parquet(str(tmp_path / "pages.parquet"))
+    got = entry_point.queries()["stream_progress_closed"](spark, str(tmp_path))
+    assert differences(got, connect(sf).execute(entry_point.oracle_sql()["stream_progress_closed"]).df()) == []

@@ -161,6 +161,25 @@ def write_site(
     return names
 
 
+def write_site_final(
+    entries: DataFrame, out_dir: str, base_url: str, now: Column, per_file: int = MAX_URLS_PER_SITEMAP
+) -> list[str]:
+    """The output of the final rules, at the site root. No rows, no files.
+
+    ``sitemap.xml``, which robots.txt names, is the lone sitemap or the index of the numbered ones.
+    """
+    chunks = S.chunk_sitemaps(entries, per_file)
+    names = write_sitemaps(chunks, out_dir)
+    if not names:
+        return []
+    files = S.sitemap_files(chunks)
+    if len(names) > 1:
+        index = S.sitemap_index(files, base_url, now, folder="").withColumn("file", F.lit("sitemap.xml"))
+        write_files(index.select("file", "loc", "lastmod"), out_dir, "sitemap", "sitemapindex")
+    write_robots(S.robots_txt_final(files, base_url, index="sitemap.xml"), out_dir)
+    return names
+
+
 def read_sitemap(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """Rows of ``urlset`` files: ``(file, loc, lastmod, changefreq, priority)``."""
     rows = (

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sitewright.operators import sitemap as S
+from sitewright.plans import queries
 from sitewright.sources import sitemap_files as X
 
 SITE = "https://www.example.com"
@@ -153,6 +154,23 @@ def test_final_output(spark, tmp_path):
     assert split[2].line == f"Sitemap: {SITE}/sitemap_index.xml"
 
 
+def test_final_site_of_several_sitemaps(spark, tmp_path):
+    rows = [(f"{SITE}/p{i}", 200, None) for i in range(3)]
+    df = spark.createDataFrame(rows, "url string, status_code int, error_message string")
+    X.write_site_final(S.build_entries_final(df, now()), str(tmp_path), SITE, now(), 2)
+    assert (tmp_path / "robots.txt").read_text() == f"User-agent: *\nAllow: /\nSitemap: {SITE}/sitemap.xml\n"
+    index = X.read_sitemap_index(spark, str(tmp_path / "sitemap.xml")).collect()
+    assert sorted(r["loc"] for r in index) == [f"{SITE}/sitemap_001.xml", f"{SITE}/sitemap_002.xml"]
+    found = X.read_sitemap(spark, str(tmp_path / "sitemap*.xml")).collect()
+    assert sorted(r["loc"] for r in found) == [r[0] for r in rows]
+
+
+def test_final_robots_lines_at_any_number_of_sitemaps(spark, monkeypatch):
+    monkeypatch.setattr(queries.S, "sitemap_files", lambda chunks: chunks.sparkSession.range(2).withColumn("filename", F.lit("x")))
+    lines = queries.all_queries()["write_robots_final"](spark, "/root/testdata/sf0.001").collect()
+    assert [r.line for r in lines] == ["User-agent: *", "Allow: /", f"Sitemap: {SITE}/sitemap.xml"]
+
+
 def test_root_tag_over_several_lines(spark, tmp_path):
     space = "http://www.sitemaps.org/schemas/sitemap/0.9"
     (tmp_path / "a.xml").write_text(f'<?xml version="1.0"?>\n<urlset\n  xmlns:x="http://x"\n  xmlns="{space}"\n>\n<url><loc>{SITE}/</loc></url>\n</urlset>\n')

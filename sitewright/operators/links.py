@@ -264,8 +264,11 @@ def base_pages(pages: DataFrame) -> DataFrame:
 
 
 def homepage_links(pages: DataFrame) -> DataFrame:
-    """Links of base pages: anchors, script URLs, forms of any method and ``data-url``, same site only."""
-    staged = base_pages(pages).select(
+    """Links of pages taken as home pages: anchors, script URLs, forms of any method and ``data-url``, same site only.
+
+    All given pages count; ``base_pages`` picks those at the root of their origin.
+    """
+    staged = pages.select(
         F.col("url").alias("src_url"),
         U.url_split("url").alias("base"),
         F.col("html"),

@@ -248,3 +248,10 @@ def test_all_entities_are_decoded_once(spark):
     html = "<title>caf&eacute; &pound;5 &ndash; x &amp;lt; &#60; &#x3E; &#0; &#99999999; &nosuch; &lt&#59; AT&T; &CounterClockwiseContourIntegral;</title>"
     got = L.page_metadata(pages(spark, html)).first().title
     assert got == "café £5 – x &lt; < > � � &nosuch; &lt; AT&T; ∳"
+
+
+def test_homepage_links_of_every_page(spark):
+    rows = [("https://www.example.com/", '<a href="/a">a</a>'), ("https://www.example.com/about?q=1", '<a href="/b">b</a>')]
+    df = spark.createDataFrame(rows, "url string, html string")
+    assert sorted(map(tuple, L.homepage_links(df).collect())) == [(u, "https://www.example.com/" + x) for (u, _), x in zip(rows, "ab")]
+    assert [r.src_url for r in L.homepage_links(L.base_pages(df)).collect()] == [rows[0][0]]

@@ -255,3 +255,16 @@ def test_homepage_links_of_every_page(spark):
     df = spark.createDataFrame(rows, "url string, html string")
     assert sorted(map(tuple, L.homepage_links(df).collect())) == [(u, "https://www.example.com/" + x) for (u, _), x in zip(rows, "ab")]
     assert [r.src_url for r in L.homepage_links(L.base_pages(df)).collect()] == [rows[0][0]]
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_snapshot_joins_are_shuffled_by_rows(spark, monkeypatch):
+    monkeypatch.setattr("sitewright.operators.skew.ROWS_PER_TASK", 2, raising=False)
+    html = ['<a href="/0">0</a>', '<a href="/0">0</a><a href="/1">1</a>', '<a href="/2">2</a>']
+    df = spark.createDataFrame([("http://h/p", k, h) for k, h in enumerate(html)], "url string, step int, html string")
+    clicks = N.snapshot_delta(df, stop_on_empty=False)
+    assert "Broadcast" not in _plan(clicks) and "SortMergeJoin" in _plan(clicks)
+    assert sorted((r.step, r.dst_url[-2:]) for r in clicks.collect()) == [(1, "/1"), (2, "/2")]

@@ -268,3 +268,11 @@ def test_snapshot_joins_are_shuffled_by_rows(spark, monkeypatch):
     clicks = N.snapshot_delta(df, stop_on_empty=False)
     assert "Broadcast" not in _plan(clicks) and "SortMergeJoin" in _plan(clicks)
     assert sorted((r.step, r.dst_url[-2:]) for r in clicks.collect()) == [(1, "/1"), (2, "/2")]
+
+
+def test_snapshot_stops_are_not_broadcast(spark):
+    df = spark.createDataFrame([("http://h/p", k, f'<a href="/{k // 2}">x</a>') for k in (0, 1, 2, 3)], "url string, step int, html string")
+    scrolls = N.snapshot_delta(df)
+    plan = _plan(scrolls)
+    assert plan.count("SortMergeJoin") >= 2  # stops with the steps that brought links, then links with stops
+    assert scrolls.collect() == []

@@ -12,6 +12,12 @@ from ..session import materialize
 
 #: Edges of one source that a task may hold before the source is split.
 EDGES_PER_TASK = 100_000
+#: Larger tables of nodes are shuffled, not broadcast: each level passes what it broadcasts through the driver.
+BROADCAST_ROWS = 20_000
+
+
+def _joined_by(nodes: DataFrame, rows: int) -> DataFrame:
+    return F.broadcast(nodes) if rows <= BROADCAST_ROWS else nodes.hint("merge")
 
 
 def bfs_depth(
@@ -29,7 +35,7 @@ def bfs_depth(
     ``seeds(node)``, ``links(src, dst)``. Edges are written once to the shared folder,
     each with the number of shares its source is dealt into, so a source with very
     many links is split in proportion; each level is written there before the next
-    one starts, and its real size decides the join.
+    one starts, and its number of rows decides the join.
     """
     distinct = materialize(links.select("src", "dst"), "edges")
     hot = (
@@ -47,23 +53,26 @@ def bfs_depth(
     )
     edges = materialize(edges, "edges")
     level = materialize(seeds.select("node").distinct().withColumn("depth", F.lit(0)), "bfs")
-    seen = level
+    seen, rows = level, level.count()
+    known = rows
     for depth in range(1, max_depth + 1) if max_depth is not None else count(1):
         reach = (
             level.select(F.col("node").alias("src"))
             .join(hot, "src", "left")
             .select("src", F.explode(F.sequence(F.lit(0), F.coalesce("_shares", one) - 1)).alias("_salt"))
         )
-        nodes = edges.join(reach, ["src", "_salt"]).select(F.col("dst").alias("node"))
+        nodes = edges.join(_joined_by(reach, rows), ["src", "_salt"]).select(F.col("dst").alias("node"))
         if also is not None:
             nodes = nodes.unionByName(also(level))
         found = (
             nodes.distinct()
-            .join(seen.select("node"), "node", "left_anti")
+            .join(_joined_by(seen.select("node"), known), "node", "left_anti")
             .withColumn("depth", F.lit(depth))
         )
         level = materialize(found, "bfs")
-        if level.isEmpty():
+        rows = level.count()
+        if not rows:
             break
+        known += rows
         seen = seen.unionByName(level)
     return seen

@@ -198,3 +198,20 @@ def test_clear_work_removes_what_was_written(spark):
     clear_work(spark)
     with pytest.raises(Exception, match="PATH_NOT_FOUND|does not exist"):
         spark.read.parquet(path).count()
+
+
+def test_levels_pass_the_driver_only_while_small(spark, monkeypatch):
+    monkeypatch.setattr(graph, "BROADCAST_ROWS", 1, raising=False)
+    plans, real = [], graph.materialize
+
+    def noted(df, label):
+        plans.append((label, df._jdf.queryExecution().executedPlan().toString()))
+        return real(df, label)
+
+    monkeypatch.setattr(graph, "materialize", noted)
+    links = spark.createDataFrame([("a", "b"), ("a", "c"), ("b", "d"), ("c", "d"), ("d", "a")], "src string, dst string")
+    got = graph.bfs_depth(spark.createDataFrame([("a",)], "node string"), links, None)
+    assert sorted(map(tuple, got.collect())) == [("a", 0), ("b", 1), ("c", 1), ("d", 2)]
+    levels = [p for label, p in plans if label == "bfs"]
+    assert "SortMergeJoin" not in levels[1]
+    assert all("LeftAnti" in p and "SortMergeJoin" in p and "BroadcastHashJoin [node" not in p for p in levels[2:])

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 from urllib.parse import unquote
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import url as U
@@ -70,42 +70,46 @@ def _xml_rows(chunks: DataFrame) -> DataFrame:
     )
 
 
+def _element(name: str) -> Column:
+    """The element of a column, nothing for null."""
+    text = F.col(name).cast("string")
+    for raw, escaped in (("&", "&amp;"), ("<", "&lt;"), ("]]>", "]]&gt;"), ("\r", "&#xd;")):
+        text = F.replace(text, F.lit(raw), F.lit(escaped))
+    return F.coalesce(F.concat(F.lit(f"\n        <{name}>"), text, F.lit(f"</{name}>")), F.lit(""))
+
+
+def _xml_lines(rows: DataFrame, key: str, order: list[Column], row_tag: str, root_tag: str) -> DataFrame:
+    """``(key, value)``: the markup of one XML file per ``key``, a file in one partition and in order.
+
+    Columns but ``key`` are elements. Every value lacks its last ``>``, which ends a line in place of a newline: the
+    files end with their root element.
+    """
+    elements = [_element(c) for c in rows.columns if c != key]
+    head = f'<?xml {XML_DECLARATION}?>\n<{root_tag} xmlns="{SITEMAP_NAMESPACE}">'
+    in_file = Window.partitionBy(key).orderBy(*order)
+    value = F.concat(
+        F.when(F.row_number().over(in_file) == 1, F.lit(head)).otherwise(""),
+        F.lit(f"\n    <{row_tag}>"),
+        *elements,
+        F.lit(f"\n    </{row_tag}"),
+        F.when(F.lead(F.lit(1)).over(in_file).isNull(), F.lit(f">\n</{root_tag}")).otherwise(""),
+    )
+    return rows.repartition(shuffle_partitions(rows.sparkSession), key).select(key, value.alias("value"))
+
+
 def write_sitemaps(chunks: DataFrame, out_dir: str, gzip: bool = False) -> list[str]:
     """One XML file per ``sitemap_no``; returns the file names.
 
     A sitemap is one task's work of at most 50,000 rows. Part files are then given
     their protocol names, a metadata step per file.
     """
-    spark = chunks.sparkSession
-    staging = f"{out_dir}/_staging-{uuid.uuid4().hex}"
-    writer = (
-        _xml_rows(chunks)
-        .repartition(shuffle_partitions(spark), "sitemap_no")
-        .sortWithinPartitions("sitemap_no", "loc")
-        .write.partitionBy("sitemap_no")
-        .format("xml")
-        .option("rowTag", "url")
-        .option("rootTag", f'urlset xmlns="{SITEMAP_NAMESPACE}"')
-        .option("declaration", XML_DECLARATION)
-    )
-    if gzip:
-        writer = writer.option("compression", "gzip")
-    writer.save(staging)
-    parts = _part_files(spark, staging, 2)
+    lines = _xml_lines(_xml_rows(chunks), "sitemap_no", [F.asc("loc")], "url", "urlset")
     suffix = ".xml.gz" if gzip else ".xml"
 
-    def name(folder: str) -> str:
-        number = int(folder.split("=")[1])
-        return ("sitemap" if len(parts) == 1 else f"sitemap_{number:03d}") + suffix
+    def name(number: str, files: int) -> str:
+        return ("sitemap" if files == 1 else f"sitemap_{int(number):03d}") + suffix
 
-    with ThreadPoolExecutor(MOVE_THREADS) as pool:
-        moves = [
-            pool.submit(_move, spark, path, f"{out_dir}/{name(folder)}") for folder, path in parts
-        ]
-        for move in moves:
-            move.result()
-    _drop(spark, staging)
-    return sorted(name(folder) for folder, _ in parts)
+    return _write_keyed(lines, out_dir, name, ">", gzip)
 
 
 def _write_single(df: DataFrame, target: str, fmt: str, **options: str) -> None:
@@ -324,46 +328,117 @@ def write_files(rows: DataFrame, out_dir: str, row_tag: str, root_tag: str) -> l
 
     A file is one task's work; renaming is a metadata step per file.
     """
-    spark = rows.sparkSession
-    staging = f"{out_dir}/_staging-{uuid.uuid4().hex}"
-    (
-        rows.repartition(shuffle_partitions(spark), "file")
-        .sortWithinPartitions("file", F.length("loc"), "loc")
-        .write.partitionBy("file")
-        .format("xml")
-        .option("rowTag", row_tag)
-        .option("rootTag", f'{root_tag} xmlns="{SITEMAP_NAMESPACE}"')
-        .option("declaration", XML_DECLARATION)
-        .save(staging)
-    )
-    return _place(spark, staging, out_dir, lambda name: name)
+    lines = _xml_lines(rows, "file", [F.length("loc").asc(), F.asc("loc")], row_tag, root_tag)
+    return _write_keyed(lines, out_dir, lambda name, _: name, ">")
 
 
 def write_robots_files(lines: DataFrame, out_dir: str) -> list[str]:
     """Lines ``(host, line_no, line)`` to ``out_dir/host/robots.txt``."""
-    spark = lines.sparkSession
-    staging = f"{out_dir}/_staging-{uuid.uuid4().hex}"
-    (
-        lines.repartition(shuffle_partitions(spark), "host")
+    placed = (
+        lines.repartition(shuffle_partitions(lines.sparkSession), "host")
         .sortWithinPartitions("host", "line_no")
         .select("host", "line")
-        .write.partitionBy("host")
-        .text(staging)
     )
-    return _place(spark, staging, out_dir, lambda host: f"{host}/robots.txt")
+    return _write_keyed(placed, out_dir, lambda host, _: f"{host}/robots.txt", "\n")
+
 
+def _write_keyed(lines: DataFrame, out_dir: str, name_of: Callable[[str, int], str], end: str, gzip: bool = False) -> list[str]:
+    """Lines ``(key, line)``, a key in one partition and in order, each closed by ``end``, to one text file per key; returns the names.
 
-def _place(spark: SparkSession, staging: str, out_dir: str, name_of: Callable[[str], str]) -> list[str]:
-    """Move the one data file of each value folder to the name of the value."""
+    ``name_of`` gets the key and the number of files. Files are written aside and get their names when all are whole.
+    """
+    spark = lines.sparkSession
+    staging = f"{out_dir}/_staging-{uuid.uuid4().hex}"
+    fs, root = _hadoop(spark, staging)
+    if fs.getUri().getScheme() == "file":
+        fs.mkdirs(root)
+        target = _hadoop(spark, out_dir)[1].toUri().getPath()
+        names = _write_mounted(lines, root.toUri().getPath(), target, name_of, end, gzip)
+    else:
+        names = _write_remote(lines, staging, out_dir, name_of, end, gzip)
+    _drop(spark, staging)
+    return sorted(names)
+
+
+def _write_mounted(
+    lines: DataFrame, staging: str, target: str, name_of: Callable[[str, int], str], end: str, gzip: bool
+) -> list[str]:
+    """Files on a mounted file system: tasks write and rename them, each file opened once and without a folder of its own.
+
+    Hadoop's local file system starts processes for every file and folder it makes.
+    """
+
+    def write(batches):
+        import gzip as gz
+        import hashlib
+        import os
+        import uuid
+
+        import pyarrow as pa
+
+        attempt = uuid.uuid4().hex
+
+        def aside(key):
+            return os.path.join(staging, f"{attempt}-{hashlib.sha256(key.encode()).hexdigest()}")
+
+        out, last = None, None
+        for batch in batches:
+            begun = []
+            for key, line in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if key != last:
+                    if out is not None:
+                        out.close()
+                    out = gz.open(aside(key), "wb") if gzip else open(aside(key), "wb")
+                    last = key
+                    begun.append(key)
+                out.write(((line or "") + end).encode())
+            paths = [aside(key) for key in begun]
+            yield pa.RecordBatch.from_arrays([pa.array(begun, pa.string()), pa.array(paths, pa.string())], ["key", "path"])
+        if out is not None:
+            out.close()
+
+    def move(share):
+        import os
+
+        for path, name in share:
+            there = os.path.join(target, name)
+            if not os.path.exists(path):
+                continue  # moved by an earlier attempt
+            parent, leaf = os.path.split(there)
+            os.makedirs(parent, exist_ok=True)
+            sums = os.path.join(parent, f".{leaf}.crc")
+            if os.path.exists(sums):
+                os.remove(sums)  # of a file that is replaced
+            os.replace(path, there)
+
+    spark = lines.sparkSession
+    keyed = lines.toDF("key", "value").select(F.col("key").cast("string"), "value")
+    written = keyed.mapInArrow(write, "key string, path string").collect()
+    named = [(r["path"], name_of(r["key"], len(written))) for r in written]
+    if named:
+        spark.sparkContext.parallelize(named, min(len(named), shuffle_partitions(spark))).foreachPartition(move)
+    return [name for _, name in named]
+
+
+def _write_remote(
+    lines: DataFrame, staging: str, out_dir: str, name_of: Callable[[str, int], str], end: str, gzip: bool
+) -> list[str]:
+    """Files on any Hadoop file system: a folder per key, its one data file then moved by the driver's threads."""
+    spark = lines.sparkSession
+    key, value = lines.columns
+    writer = lines.select(key, F.col(value).alias("value")).write.partitionBy(key).option("lineSep", end)
+    if gzip:
+        writer = writer.option("compression", "gzip")
+    writer.text(staging)
     fs, _ = _hadoop(spark, out_dir)
-    names = [(name_of(unquote(folder.split("=", 1)[1])), path) for folder, path in _part_files(spark, staging, 2)]
+    parts = _part_files(spark, staging, 2)
+    names = [(name_of(unquote(folder.split("=", 1)[1]), len(parts)), path) for folder, path in parts]
     for parent in {name.rpartition("/")[0] for name, _ in names}:
         fs.mkdirs(_hadoop(spark, f"{out_dir}/{parent}")[1])
     with ThreadPoolExecutor(MOVE_THREADS) as pool:
         for move in [pool.submit(_move, spark, path, f"{out_dir}/{name}") for name, path in names]:
             move.result()
-    _drop(spark, staging)
-    return sorted(name for name, _ in names)
+    return [name for name, _ in names]
 
 
 DOCUMENT = (

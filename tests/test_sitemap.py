@@ -276,3 +276,41 @@ def test_chunks_follow_url_order(spark, per_file):
     chunks = S.chunk_sitemaps(entries(spark, paths), per_file).collect()
     ordered = sorted(SITE + p for p in paths)
     assert {r["loc"]: r.sitemap_no for r in chunks} == {u: i // per_file + 1 for i, u in enumerate(ordered)}
+
+
+def test_named_files_are_placed_by_tasks(spark, tmp_path, monkeypatch):
+    def refuse(*_):
+        raise AssertionError("a file passed through the driver")
+
+    monkeypatch.setattr(X, "_move", refuse)
+    monkeypatch.setattr(X, "_part_files", refuse)
+    odd = "https://a.com/x?a=1&b=<é>\"'"
+    rows = [(f"a.com/m{i % 40}.xml", f"https://a.com/{i}", None if i % 2 else "2024-01-01") for i in range(200)] + [("a.com/m0.xml", odd, None)]
+    (tmp_path / "a.com").mkdir()
+    (tmp_path / "a.com" / "m0.xml").write_text("old")
+    (tmp_path / "a.com" / ".m0.xml.crc").write_bytes(b"crc\0" + bytes(8))  # checksums of the old file
+    names = X.write_files(spark.createDataFrame(rows, "file string, loc string, lastmod string"), str(tmp_path), "url", "urlset")
+    assert names == sorted({r[0] for r in rows}) and sorted(p.name for p in tmp_path.iterdir()) == ["a.com"]
+    got = [(f"a.com/{f.name}", *(u.findtext(NS + c) for c in ("loc", "lastmod"))) for f in (tmp_path / "a.com").glob("*.xml")
+           for u in ET.parse(f).getroot()]
+    assert sorted(got, key=str) == sorted(rows, key=str)
+    space = "http://www.sitemaps.org/schemas/sitemap/0.9"
+    head = f'<?xml version="1.0" encoding="UTF-8"?>\n<urlset xmlns="{space}">'
+    blocks = "".join(f"\n    <url>\n        <loc>https://a.com/{i}</loc>\n        <lastmod>2024-01-01</lastmod>\n    </url>" for i in range(2, 200, 40))
+    assert (tmp_path / "a.com" / "m2.xml").read_text() == head + blocks + "\n</urlset>"
+    read = X.read_sitemap(spark, str(tmp_path / "a.com")).collect()
+    assert sorted(r["loc"] for r in read) == sorted(r[1] for r in rows)
+
+
+@pytest.mark.parametrize("gzipped", [False, True])
+def test_mounted_and_remote_folders_get_the_same_files(spark, tmp_path, gzipped):
+    lines = spark.createDataFrame([("a b%2F", "é"), ("a b%2F", None), ("c", "y")], "k string, line string").coalesce(1)
+    found = []
+    for write in (X._write_mounted, X._write_remote):
+        out = tmp_path / write.__name__
+        (out / "_staging").mkdir(parents=True)
+        staging = out / "_staging" if write is X._write_mounted else out / "_staging" / "new"
+        names = write(lines, str(staging), str(out), lambda key, files: f"{key.replace('%2F', '_')}{files}.txt" + gzipped * ".gz", "\n", gzipped)
+        body = [(gzip.decompress if gzipped else bytes)((out / n).read_bytes()) for n in sorted(names)]
+        found.append((sorted(names), body))
+    assert found[0] == found[1] and found[0][1] == ["é\n\n".encode(), b"y\n"]

@@ -5,11 +5,13 @@ of its distinct ``width``-word shingles; the whole sequence where it has fewer w
 
 1. Documents with equal sets are one class; everything below works on classes.
 2. Two sets with coefficient t or more differ in few shingles for their sizes, d at most. A set is cut
-   by hash into somewhat more than d + 1 segments, so some of them are equal in linked sets; the sum of each non-empty
-   segment is a key under which classes meet. Sizes fall in classes of ratio t; a set is cut for its size class and
-   for the one below. The most frequent shingles, as many as are at
+   by hash into somewhat more than d + 1 segments, so some of them are equal in linked sets; the sum of each of d + 1 non-empty
+   segments is a key under which classes meet. These are the segments of the most shingles (ordered by key, where as many): linked sets
+   share more segments than either leaves out, and one shingle that many texts happen to share is seldom a key, so clusters
+   stay small as the corpus grows. Sizes fall in classes of ratio t; a set is cut for its size class and
+   for the one below, d is of its own size. The most frequent shingles, as many as are at
    least 16 times in some task's documents and ``HOT`` of them at most, are left out before cutting, in all sets alike, which only lowers the difference; sets with too few others are
-   cut with them, and sets near that border both ways. Sets with more empty segments than the surplus list those
+   cut with them, and sets near that border both ways. Sets with too few non-empty segments in every cut list the empty ones
    too. No linked pair is lost. A task hands on one set for each key and links the others it holds to that one, so a key of
    very many sets is a few rows.
 3. Classes that lists connect are a cluster. A cluster of up to ``CLUSTER`` classes is dealt into blocks, and every pair of blocks is
@@ -94,6 +96,11 @@ def _without(own: np.ndarray, hot: np.ndarray) -> np.ndarray:
     return own[hot[at] != own]
 
 
+def _differ(a: int, b: int, percent: int) -> int:
+    """In how many shingles linked sets of these sizes differ at most."""
+    return (100 - percent) * (a + b) // (100 + percent)
+
+
 def segments(own: np.ndarray, percent: int, bounds: list[int], hot: np.ndarray) -> np.ndarray:
     """Keys of a set: two linked, unequal sets have one in common."""
     size_class = int(np.searchsorted(bounds, len(own), "right")) - 1
@@ -102,18 +109,22 @@ def segments(own: np.ndarray, percent: int, bounds: list[int], hot: np.ndarray)
         if scheme < 0:
             continue
         largest = bounds[scheme + 1] - 1
-        differ = (100 - percent) * (largest + largest * 100 // percent) // (100 + percent)
-        count = -(-(differ + 1) * 4 // 3)
+        count = -(-(_differ(largest, largest * 100 // percent, percent) + 1) * 4 // 3)
+        differ = _differ(len(own), len(own) * 100 // percent if scheme == size_class else largest, percent)
         enough = 8 * count // 5  # so many that few segments are empty
         if len(cold) >= enough:
-            keys += _cuts(cold, count, count - differ - 1, 2 * scheme)
+            keys += _cuts(cold, count, differ, 2 * scheme)
         if len(cold) < enough + differ:  # the other set may have fewer than enough
-            keys += _cuts(own, count, count - differ - 1, 2 * scheme + 1)
+            keys += _cuts(own, count, differ, 2 * scheme + 1)
     return np.concatenate(keys)
 
 
-def _cuts(own: np.ndarray, count: int, surplus: int, name: int) -> list[np.ndarray]:
-    """Keys of cut after cut, up to the first with so few empty segments that a linked set must share another one."""
+def _cuts(own: np.ndarray, count: int, differ: int, name: int) -> list[np.ndarray]:
+    """Keys of cut after cut, up to the first with so many segments that are not empty that a linked set must share one.
+
+    Of n such segments, a linked set shares n - ``differ`` at least, and so one of any ``differ`` + 1: those of the most shingles.
+    Both sets put them in the same order, so the first that they share is listed by both.
+    """
     out = []
     for cut in range(CUTS):
         part = ((own * (_C + np.uint64(2 * cut))) >> np.uint64(33)) % np.uint64(count)
@@ -121,13 +132,17 @@ def _cuts(own: np.ndarray, count: int, surplus: int, name: int) -> list[np.ndarr
         sorted_part = part[order]
         first = np.flatnonzero(np.r_[True, sorted_part[1:] != sorted_part[:-1]])
         there, sums = sorted_part[first], np.add.reduceat(own[order], first)
-        good = count - len(there) <= surplus
+        good = len(there) > differ
         if not good and cut == CUTS - 1:
             empty = np.setdiff1d(np.arange(count, dtype=np.uint64), there)
             there, sums = np.append(there, empty), np.append(sums, np.zeros(len(empty), np.uint64))
         x = (sums * _A) ^ ((there + np.uint64((name * CUTS + cut) << 24)) * _B)
         x ^= x >> np.uint64(32)
-        out.append(x * _D)
+        x *= _D
+        if good:
+            held = np.diff(np.append(first, len(own)))
+            x = x[np.lexsort((x, -held))[: differ + 1]]
+        out.append(x)
         if good:
             break
     return out

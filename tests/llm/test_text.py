@@ -209,6 +209,45 @@ def test_segments_of_linked_sets_meet():
                 assert list(ngram_join.Index([b], 90).search(a)) == []
 
 
+def test_segments_of_sets_of_any_size_meet():
+    import numpy as np
+
+    choose = np.random.default_rng(5)
+    for percent in (50, 80, 90):
+        bounds = ngram_join.starts(percent, 5000)
+        for n in [1, 2, 3, 4, 5, 7, 9, 15, 16, 17, 30, 64, 120, 121, 122, 250, 700]:
+            linked = 0
+            for _ in range(60):
+                a = np.unique(choose.integers(0, 2**63, n).astype(np.uint64))
+                gone, new = (int(choose.integers(0, n * (100 - percent) // percent + 1)) for _ in range(2))
+                b = np.union1d(a[gone:], choose.integers(0, 2**63, new).astype(np.uint64))
+                both = len(np.intersect1d(a, b))
+                if not len(b) or len(a) == len(b) == both or 100 * both < percent * (len(a) + len(b) - both):
+                    continue
+                linked += 1
+                for share in (0, 0.3, 0.6, 1):
+                    hot = np.sort(choose.choice(np.union1d(a, b), int(share * len(a)), replace=False))
+                    assert len(np.intersect1d(ngram_join.segments(a, percent, bounds, hot), ngram_join.segments(b, percent, bounds, hot))), (percent, n)
+            assert linked or n < 15
+
+
+def test_segments_are_as_few_as_needed_and_no_shared_shingles():
+    import numpy as np
+
+    choose = np.random.default_rng(6)
+    bounds, none = ngram_join.starts(80, 5000), np.empty(0, np.uint64)
+    common = choose.integers(0, 2**63, 40).astype(np.uint64)
+    sets = []
+    for _ in range(300):  # unlike sets of 350 to 400, each with 6 of 40 common shingles
+        own = choose.integers(0, 2**63, int(choose.integers(344, 395))).astype(np.uint64)
+        sets.append(np.union1d(own, choose.choice(common, 6, replace=False)))
+    keys = [ngram_join.segments(x, 80, bounds, none) for x in sets]
+    for own, found in zip(sets, keys):
+        assert len(found) <= 2 + 20 * (len(own) + len(own) * 100 // 80) // 180 + 20 * 2 * len(own) // 180
+    listed, n = np.unique(np.concatenate(keys), return_counts=True)
+    assert n[n > 1].sum() <= 10
+
+
 def test_components_of_chains_and_hubs(spark):
     links = [(i, i + 1) for i in range(1, 60)] + [(1000, i) for i in range(1001, 1300)] + [(5000, 5001), (5001, 5000), (7, 7)]
     got = {r.node: r.root for r in components(spark.createDataFrame(links, "u long, v long")).collect()}
